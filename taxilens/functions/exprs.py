@@ -145,3 +145,12 @@ def avg_if(cond: Column, x: str | Column) -> Column:
 
 def sum_if(cond: Column, x: str | Column) -> Column:
     return F.sum(F.when(cond, col(x)))
+
+
+def round_half_even(x: str | Column, digits: int = 0) -> Column:
+    """Round like pandas/numpy ``.round(d)``: scale in binary, then to the
+    nearest integer with ties to even (``rint``).  Used where the reference
+    rounds in pandas rather than in SQL."""
+    c = col(x).cast("double")
+    f = float(10 ** digits)
+    return (F.rint(c * F.lit(f)) / F.lit(f)).cast("double")

@@ -35,9 +35,9 @@ def yoy_summary(silver: DataFrame, *, years=FULL_YEARS) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("year")
     return y.select(
         "*",
-        X.round_half_away(X.growth_ratio_pct("total_trips", F.lag("total_trips").over(w)), 2)
+        X.round_half_even(X.growth_ratio_pct("total_trips", F.lag("total_trips").over(w)), 2)
          .alias("trip_growth_pct"),
-        X.round_half_away(X.growth_ratio_pct("avg_fare", F.lag("avg_fare").over(w)), 2)
+        X.round_half_even(X.growth_ratio_pct("avg_fare", F.lag("avg_fare").over(w)), 2)
          .alias("fare_growth_pct"),
     ).orderBy("year")
 

@@ -192,3 +192,90 @@ def _benefited(spark, sf_dir):
 @query("congestion_totals")
 def _congestion_totals(spark, sf_dir):
     return policy.congestion_totals(_congestion_monthly(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- DiD
+TREATED = fixtures.FIXTURE_TREATED_ZONES
+
+
+def _panel(spark, sf_dir):
+    from ..operators import did
+    return did.did_panel(yellow(spark, sf_dir), TREATED)
+
+
+@query("did_panel")
+def _did_panel(spark, sf_dir):
+    return _panel(spark, sf_dir)
+
+
+@query("panel_counts")
+def _panel_counts(spark, sf_dir):
+    from ..operators import did
+    return did.panel_counts(_panel(spark, sf_dir))
+
+
+@query("did_2x2")
+def _did_2x2(spark, sf_dir):
+    from ..operators import did
+    return did.did_2x2(_panel(spark, sf_dir), "trip_count")
+
+
+@query("did_fare")
+def _did_fare(spark, sf_dir):
+    from ..operators import did
+    return did.did_2x2(_panel(spark, sf_dir), "avg_fare")
+
+
+@query("parallel_trends")
+def _parallel_trends(spark, sf_dir):
+    from ..operators import did
+    return did.parallel_trends(_panel(spark, sf_dir))
+
+
+@query("parallel_trends_check")
+def _parallel_trends_check(spark, sf_dir):
+    from ..operators import did
+    return did.parallel_trends_check(_parallel_trends(spark, sf_dir))
+
+
+@query("implied_elasticity")
+def _implied_elasticity(spark, sf_dir):
+    from ..operators import did
+    return did.implied_elasticity(_panel(spark, sf_dir))
+
+
+@query("did_cells")
+def _did_cells(spark, sf_dir):
+    from ..operators import did
+    return did.did_cells(_panel(spark, sf_dir))
+
+
+@query("did_ols_hc3")
+def _did_ols(spark, sf_dir):
+    from ..operators import did
+    return did.did_ols_hc3(_did_cells(spark, sf_dir))
+
+
+@query("did_summary")
+def _did_summary(spark, sf_dir):
+    from ..operators import did
+    return did.did_summary(_did_cells(spark, sf_dir), len(TREATED))
+
+
+# ---------------------------------------------------------------- wait
+@query("fhv_wait_time")
+def _fhv_wait(spark, sf_dir):
+    from ..operators import wait
+    return wait.fhv_wait_time(fhv(spark, sf_dir), min_trips=T_WAIT)
+
+
+@query("wait_by_year")
+def _wait_by_year(spark, sf_dir):
+    from ..operators import wait
+    return wait.wait_by(_fhv_wait(spark, sf_dir), "year")
+
+
+@query("wait_by_platform")
+def _wait_by_platform(spark, sf_dir):
+    from ..operators import wait
+    return wait.wait_by(_fhv_wait(spark, sf_dir), "platform")

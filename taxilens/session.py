@@ -25,6 +25,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Joins are planned from sizes Catalyst can prove; anything it cannot
     # bound goes through a shuffle join.  10 MB is Spark's default and is
     # kept explicit so the choice is visible.
