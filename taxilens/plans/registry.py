@@ -279,3 +279,166 @@ def _wait_by_year(spark, sf_dir):
 def _wait_by_platform(spark, sf_dir):
     from ..operators import wait
     return wait.wait_by(_fhv_wait(spark, sf_dir), "platform")
+
+
+# ---------------------------------------------------------- experiments
+# Registered designs use the arithmetic order key so DuckDB can reproduce
+# the assignment; the library default is the xxhash64 key.
+ISOLATED = fixtures.FIXTURE_ISOLATED_ZONE
+KEY = "arith"
+
+
+def _baseline(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.zone_baseline(yellow(spark, sf_dir), min_trips=T_BASELINE)
+
+
+def _design(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.stratified_design(_baseline(spark, sf_dir), key=KEY)
+
+
+def _projected(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.scenario_projection(_design(spark, sf_dir))
+
+
+def _trips(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.assign_trips(yellow(spark, sf_dir), key=KEY)
+
+
+@query("zone_baseline")
+def _q_baseline(spark, sf_dir):
+    return _baseline(spark, sf_dir)
+
+
+@query("baseline_dispersion")
+def _q_dispersion(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.baseline_dispersion(_baseline(spark, sf_dir))
+
+
+@query("zone_tiers")
+def _q_tiers(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.with_tier(_baseline(spark, sf_dir))
+
+
+@query("assignment_stratified")
+def _q_assign(spark, sf_dir):
+    return _design(spark, sf_dir)
+
+
+@query("assignment_isolated")
+def _q_assign_iso(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.isolated_design(_baseline(spark, sf_dir), ISOLATED, key=KEY)
+
+
+@query("tier_summary")
+def _q_tier_summary(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.tier_summary(_design(spark, sf_dir))
+
+
+@query("scenario_projection")
+def _q_projection(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.zone_detail(_projected(spark, sf_dir))
+
+
+@query("welch_overall")
+def _q_welch(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.welch_overall(_projected(spark, sf_dir))
+
+
+@query("welch_by_tier")
+def _q_welch_tier(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.welch_by_tier(_projected(spark, sf_dir))
+
+
+@query("ab_test_by_tier")
+def _q_ab_by_tier(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.ab_test_by_tier(_projected(spark, sf_dir))
+
+
+@query("balance")
+def _q_balance(spark, sf_dir):
+    from ..operators import experiment as E
+    iso = E.isolated_design(_baseline(spark, sf_dir), ISOLATED, key=KEY)
+    return E.balance(iso, group="group_v3")
+
+
+@query("revenue_impact")
+def _q_revenue(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.revenue_impact(_projected(spark, sf_dir))
+
+
+@query("isolated_unit")
+def _q_isolated_unit(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.isolated_unit(_baseline(spark, sf_dir), ISOLATED)
+
+
+@query("ab_test_result")
+def _q_v2(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.v2_result(_projected(spark, sf_dir))
+
+
+@query("ab_test_v3_result")
+def _q_v3(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.v3_result(_baseline(spark, sf_dir), ISOLATED, key=KEY)
+
+
+@query("permutation")
+def _q_perm(spark, sf_dir):
+    from ..operators import resample as R
+    return R.permutation_test(_projected(spark, sf_dir))
+
+
+@query("bootstrap_ci")
+def _q_boot(spark, sf_dir):
+    from ..operators import resample as R
+    return R.bootstrap_ci(_projected(spark, sf_dir))
+
+
+@query("trip_assignment")
+def _q_trips(spark, sf_dir):
+    return _trips(spark, sf_dir)
+
+
+@query("trip_welch")
+def _q_trip_welch(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.trip_welch(_trips(spark, sf_dir))
+
+
+@query("prop_ztest")
+def _q_prop(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.prop_ztest(_trips(spark, sf_dir))
+
+
+@query("welch_by_bucket")
+def _q_bucket(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.welch_by_bucket(_trips(spark, sf_dir))
+
+
+@query("two_year_fare_test")
+def _q_two_year(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.two_year_fare_test(yellow(spark, sf_dir))
+
+
+@query("ab_test_v5_result")
+def _q_v5(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.v5_result(_trips(spark, sf_dir))
