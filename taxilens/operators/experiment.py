@@ -39,6 +39,8 @@ TIERS = ("large", "medium", "small")
 CONTROL, TREATMENT = "control", "treatment"
 # v1 (random zone split) survives only as these two published numbers.
 V1_P_VALUE, V1_COHENS_D = 0.8660, 0.0284
+# Load-time label of the per-tier result (replaces the boolean column).
+PASS_LABEL, FAIL_LABEL = "✅ pass", "✗ fail"
 # ---------------------------------------------------------------------------
 
 EXPERIMENT_YEARS = (2024, 2025, 2026)
@@ -235,7 +237,7 @@ def ab_test_by_tier(projected: DataFrame, *, alpha: float = ALPHA, **kw) -> Data
         X.round_half_even("t_stat", 4).alias("t_stat"),
         X.round_half_even(p, 4).alias("p_value"),
         X.round_half_even("cohens_d", 4).alias("cohens_d"),
-        F.when(p < F.lit(alpha), F.lit("pass")).otherwise(F.lit("fail")).alias("result"),
+        F.when(p < F.lit(alpha), F.lit(PASS_LABEL)).otherwise(F.lit(FAIL_LABEL)).alias("result"),
     ).orderBy("tier")
 
 
@@ -435,3 +437,30 @@ def v5_result(trips: DataFrame, *, alpha: float = ALPHA, multiplier: float = SUR
         r("ctrl_rate", 4).alias("high_fare_rate_ctrl"), r("treat_rate", 4).alias("high_fare_rate_treat"),
         r("prop_test_p", 6).alias("prop_test_p"),
     )
+
+
+def design_comparison(v2: DataFrame, v3: DataFrame, v4: DataFrame, v5: DataFrame,
+                      *, alpha: float = ALPHA) -> DataFrame:
+    """One row per design: version, unit, test, p-value, significant.
+
+    v1 exists in the reference only as two published numbers and is carried
+    as such.
+    """
+    rows = [
+        v2.select(F.lit("v2").alias("version"), F.lit("zone").alias("unit"),
+                  F.lit("t-test (stratified)").alias("test"), F.col("p_value")),
+        v3.select(F.lit("v3").alias("version"), F.lit("zone").alias("unit"),
+                  F.lit("t-test (isolated)").alias("test"), F.col("p_value")),
+        v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
+                  F.lit("permutation (all)").alias("test"), F.col("p_value_perm_all").alias("p_value")),
+        v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
+                  F.lit("permutation (rest)").alias("test"), F.col("p_value_perm_rest").alias("p_value")),
+        v5.select(F.lit("v5").alias("version"), F.lit("trip").alias("unit"),
+                  F.lit("t-test").alias("test"), F.col("p_value")),
+    ]
+    v1 = v2.select(F.lit("v1").alias("version"), F.lit("zone").alias("unit"),
+                   F.lit("t-test (random)").alias("test"), F.lit(V1_P_VALUE).alias("p_value"))
+    out = v1
+    for r in rows:
+        out = out.unionByName(r)
+    return out.withColumn("significant", F.col("p_value") < F.lit(alpha)).orderBy("version", "test")

@@ -122,3 +122,26 @@ def bootstrap_ci(units: DataFrame, *, level: float = 0.95, **kw) -> DataFrame:
         F.when(F.col("boot_se") > 0, F.col("observed_diff") / F.col("boot_se")).otherwise(F.lit(0.0))
          .alias("effect_over_se"),
         ((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)).alias("ci_includes_zero"))
+
+
+def v4_result(projected: DataFrame, projected_rest: DataFrame, *, revenue_uplift: DataFrame,
+              alpha: float = 0.05, n: int = N_REPLICATES, seed: int = 42,
+              rest_group: str = "group_v3") -> DataFrame:
+    """The 11-column v4 result (permutation + bootstrap, all zones and the rest)."""
+    from ..functions import exprs as X
+    from ..functions.frames import one_row
+    p_all = permutation_test(projected, n=n, seed=seed).select(
+        "observed_diff", "n_permutations", F.col("p_value").alias("p_all"))
+    p_rest = permutation_test(projected_rest, arm=rest_group, n=n, seed=seed).select(
+        F.col("p_value").alias("p_rest"))
+    ci = bootstrap_ci(projected, n=n, seed=seed).select("ci_lower", "ci_upper")
+    r = lambda c, d: X.round_half_even(c, d)
+    return one_row(p_all, p_rest, ci, revenue_uplift).select(
+        F.lit("fee_increase_10pct_v4_bootstrap").alias("experiment"),
+        F.lit("permutation_bootstrap").alias("test_method"),
+        "n_permutations",
+        r("observed_diff", 0).alias("observed_diff"),
+        r("p_all", 4).alias("p_value_perm_all"), r("p_rest", 4).alias("p_value_perm_rest"),
+        r("ci_lower", 0).alias("ci_lower"), r("ci_upper", 0).alias("ci_upper"),
+        (F.col("p_all") < alpha).alias("significant_all"), (F.col("p_rest") < alpha).alias("significant_rest"),
+        r("revenue_uplift", 0).alias("revenue_uplift_usd"))

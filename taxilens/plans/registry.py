@@ -442,3 +442,79 @@ def _q_two_year(spark, sf_dir):
 def _q_v5(spark, sf_dir):
     from ..operators import experiment as E
     return E.v5_result(_trips(spark, sf_dir))
+
+
+def _projected_rest(spark, sf_dir):
+    from ..operators import experiment as E
+    iso = E.isolated_design(_baseline(spark, sf_dir), ISOLATED, key=KEY)
+    return E.scenario_projection(iso, group="group_v3")
+
+
+@query("ab_test_v4_result")
+def _q_v4(spark, sf_dir):
+    from ..operators import experiment as E
+    from ..operators import resample as R
+    proj = _projected(spark, sf_dir)
+    uplift = E.revenue_impact(proj).where("tier = 'all'").select("revenue_uplift")
+    return R.v4_result(proj, _projected_rest(spark, sf_dir), revenue_uplift=uplift)
+
+
+@query("experiment_readout")
+def _q_readout(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.design_comparison(_q_v2(spark, sf_dir), _q_v3(spark, sf_dir),
+                               _q_v4(spark, sf_dir), _q_v5(spark, sf_dir))
+
+
+# ------------------------------------------------------------- forecasting
+def _series(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.monthly_series(yellow(spark, sf_dir))
+
+
+@query("monthly_series")
+def _q_series(spark, sf_dir):
+    return _series(spark, sf_dir)
+
+
+@query("forecast_trips")
+def _q_fc_trips(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.forecast_trips(_series(spark, sf_dir))
+
+
+@query("forecast_fare")
+def _q_fc_fare(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.forecast_fare(_series(spark, sf_dir))
+
+
+@query("forecast_2026")
+def _q_fc_table(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.forecast_table(_series(spark, sf_dir))
+
+
+@query("forecast_validation")
+def _q_fc_valid(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.validation(yellow(spark, sf_dir), _q_fc_table(spark, sf_dir))
+
+
+@query("forecast_accuracy")
+def _q_fc_acc(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.accuracy(_q_fc_valid(spark, sf_dir))
+
+
+@query("full_series")
+def _q_full_series(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.bridge_series(FC.full_series(_series(spark, sf_dir), _q_fc_table(spark, sf_dir)))
+
+
+@query("zone_forecast")
+def _q_zone_fc(spark, sf_dir):
+    from ..operators import forecast as FC
+    s = FC.monthly_series(yellow(spark, sf_dir), group=("pickup_zone",))
+    return FC.forecast_trips(s, group=("pickup_zone",))
