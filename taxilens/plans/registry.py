@@ -518,3 +518,66 @@ def _q_zone_fc(spark, sf_dir):
     from ..operators import forecast as FC
     s = FC.monthly_series(yellow(spark, sf_dir), group=("pickup_zone",))
     return FC.forecast_trips(s, group=("pickup_zone",))
+
+
+# ------------------------------------------------- sources: calendar, landing
+@query("month_coverage")
+def _q_coverage(spark, sf_dir):
+    from ..streaming import ingest
+    return ingest.month_coverage(spark, {"yellow": raw_yellow(spark, sf_dir), "fhv": raw_fhv(spark, sf_dir)})
+
+
+@query("missing_months")
+def _q_missing(spark, sf_dir):
+    from ..streaming import ingest
+    return ingest.missing_months(spark, {"yellow": raw_yellow(spark, sf_dir), "fhv": raw_fhv(spark, sf_dir)})
+
+
+def _scratch(spark, tag):
+    import uuid
+    return S.scratch_path(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
+
+
+def land_with_drift(spark, sf_dir) -> str:
+    """Write the yellow feed as a year-partitioned table whose 2022-2023 (and
+    earlier) partitions carry ``passenger_count`` as double, like the
+    reference's files.  Returns the table folder (under the checkpoint dir)."""
+    from pyspark.sql import functions as F
+    base = _scratch(spark, "raw-drift") + "/yellow"
+    li = fixtures.read_lineitem(spark, sf_dir)
+    drifted = fixtures.yellow_from_lineitem(li, drift=True)
+    old = drifted.where(F.col("year") <= 2023)
+    new = drifted.where(F.col("year") >= 2024).withColumn("passenger_count", F.col("passenger_count").cast("long"))
+    old.write.mode("append").partitionBy("year").parquet(base)
+    new.write.mode("append").partitionBy("year").parquet(base)
+    return base
+
+
+@query("drift_audit")
+def _q_drift_audit(spark, sf_dir):
+    from ..sources import drift
+    return drift.audit(spark, land_with_drift(spark, sf_dir)).drop("path")
+
+
+@query("landed_monthly_trend")
+def _q_landed_trend(spark, sf_dir):
+    """Landing with type drift -> per-group repair -> silver (partition year) -> mart."""
+    from ..sources import drift
+    base = land_with_drift(spark, sf_dir)
+    raw = drift.normalize_types(spark, base, "yellow")
+    return yoy.monthly_trend(silver.silver_yellow(raw, year_from_partition=True))
+
+
+@query("ingest_partition_counts")
+def _q_ingest(spark, sf_dir):
+    """Structured-Streaming landing (availableNow) of the yellow feed, twice:
+    the second run must add nothing; counts per partition of the result."""
+    from ..sources import catalog
+    from ..streaming import ingest
+    root = _scratch(spark, "ingest")
+    landing, raw, ckpt = f"{root}/landing", f"{root}/raw", f"{root}/_checkpoint"
+    feed = raw_yellow(spark, sf_dir).drop("year")
+    feed.write.mode("overwrite").parquet(landing)
+    ingest.land(spark, "yellow", landing, raw, ckpt)
+    ingest.land(spark, "yellow", landing, raw, ckpt)
+    return catalog.partition_counts({"yellow": catalog.read_raw(spark, "yellow", raw)})
