@@ -103,10 +103,18 @@ def pct_change(new: str | Column, base: str | Column) -> Column:
     return (col(new).cast("double") - b) * F.lit(100.0) / F.when(b == 0, F.lit(None)).otherwise(b)
 
 
+def div(num: str | Column, den: str | Column) -> Column:
+    """num / den, NULL when den is 0.  Under ANSI mode Spark raises on any
+    division by zero (doubles included), so every divisor that can be 0 on
+    some group goes through this."""
+    d = col(den)
+    return col(num) / F.when(d == 0, F.lit(None)).otherwise(d)
+
+
 def growth_ratio_pct(new: str | Column, base: str | Column) -> Column:
     """(new - base) / base * 100, the order pandas ``pct_change() * 100`` uses."""
     b = col(base).cast("double")
-    return (col(new).cast("double") - b) / b * F.lit(100.0)
+    return div(col(new).cast("double") - b, b) * F.lit(100.0)
 
 
 def clamp(x: str | Column, lo: float, hi: float) -> Column:

@@ -81,7 +81,7 @@ def did_2x2(panel: DataFrame, value: str = "trip_count") -> DataFrame:
     return (m.withColumn("did_estimate", est)
              .withColumn("cbd_change_pct", X.growth_ratio_pct("cbd_after", "cbd_before"))
              .withColumn("noncbd_change_pct", X.growth_ratio_pct("noncbd_after", "noncbd_before"))
-             .withColumn("did_pct", F.col("did_estimate") / F.col("cbd_before") * F.lit(100.0)))
+             .withColumn("did_pct", X.div("did_estimate", "cbd_before") * F.lit(100.0)))
 
 
 def parallel_trends(panel: DataFrame, *, pre_year: int = 2024) -> DataFrame:
@@ -111,7 +111,7 @@ def implied_elasticity(panel: DataFrame) -> DataFrame:
                   X.avg_if(_cell(1, 0), "avg_fare").alias("cbd_fare_before"))
     from ..functions.frames import one_row
     out = one_row(d, f).withColumn(
-        "pct_price_change", F.col("avg_congestion_fee") / F.col("cbd_fare_before") * F.lit(100.0))
+        "pct_price_change", X.div("avg_congestion_fee", "cbd_fare_before") * F.lit(100.0))
     return out.select(
         "avg_congestion_fee", "cbd_fare_before", "pct_price_change", "did_pct",
         F.when(F.col("pct_price_change") != 0, F.col("did_pct") / F.col("pct_price_change"))

@@ -60,7 +60,7 @@ def baseline_dispersion(baseline: DataFrame, volume: str = "total_trips") -> Dat
     return baseline.agg(
         F.count(F.lit(1)).alias("eligible_zones"),
         F.min(v).alias("min_trips"), F.max(v).alias("max_trips"),
-        (F.stddev_samp(v) / F.avg(v)).alias("cv"))
+        X.div(F.stddev_samp(v), F.avg(v)).alias("cv"))
 
 
 def with_tier(baseline: DataFrame, *, volume: str = "total_trips", low: float = 0.25,
@@ -179,17 +179,17 @@ def arm_moments(df: DataFrame, value: str | Column, arm: str = "group", by: Sequ
 
 def welch_columns(m: DataFrame, *, ddof_d: int = 0, d_direction: str = "control_minus_treatment") -> DataFrame:
     """Welch t (control minus treatment, as scipy's argument order), df, Cohen's d."""
-    se2 = F.col("var_c") / F.col("n_c") + F.col("var_t") / F.col("n_t")
-    t = (F.col("mean_c") - F.col("mean_t")) / F.sqrt(se2)
-    dfw = se2 * se2 / (F.pow(F.col("var_c") / F.col("n_c"), 2) / (F.col("n_c") - 1)
-                       + F.pow(F.col("var_t") / F.col("n_t"), 2) / (F.col("n_t") - 1))
+    vc_n, vt_n = X.div("var_c", "n_c"), X.div("var_t", "n_t")
+    se2 = vc_n + vt_n
+    t = X.div(F.col("mean_c") - F.col("mean_t"), F.sqrt(se2))
+    dfw = X.div(se2 * se2, X.div(F.pow(vc_n, 2), F.col("n_c") - 1) + X.div(F.pow(vt_n, 2), F.col("n_t") - 1))
     vc, vt = (F.col("varp_c"), F.col("varp_t")) if ddof_d == 0 else (F.col("var_c"), F.col("var_t"))
     pooled = F.sqrt((vc + vt) / F.lit(2.0))
     diff = (F.col("mean_c") - F.col("mean_t")) if d_direction == "control_minus_treatment" \
         else (F.col("mean_t") - F.col("mean_c"))
     d = F.when(pooled > 0, diff / pooled).otherwise(F.lit(0.0))
     return (m.withColumn("t_stat", t).withColumn("df", dfw).withColumn("cohens_d", d)
-             .withColumn("sem_t", F.sqrt(F.col("var_t") / F.col("n_t"))))
+             .withColumn("sem_t", F.sqrt(X.div("var_t", "n_t"))))
 
 
 def with_inference(w: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
@@ -247,8 +247,8 @@ def balance(assigned: DataFrame, *, group: str = "group", volume: str = "total_t
         F.sum(F.when(F.col(group) == CONTROL, F.col(volume))).alias("control_trips"),
         F.sum(F.when(F.col(group) == TREATMENT, F.col(volume))).alias("treatment_trips"))
     return b.withColumn("imbalance_pct",
-                        F.abs(F.col("control_trips") - F.col("treatment_trips")).cast("double")
-                        / F.col("control_trips") * F.lit(100.0))
+                        X.div(F.abs(F.col("control_trips") - F.col("treatment_trips")).cast("double"),
+                              F.col("control_trips")) * F.lit(100.0))
 
 
 def revenue_impact(projected: DataFrame, *, tier: str = "tier", group: str = "group") -> DataFrame:
@@ -264,7 +264,7 @@ def revenue_impact(projected: DataFrame, *, tier: str = "tier", group: str = "gr
                      (F.col("trips_before") - F.col("trips_after")).alias("trip_loss"),
                      "revenue_before", "revenue_after",
                      (F.col("revenue_after") - F.col("revenue_before")).alias("revenue_uplift"),
-                     ((F.col("revenue_after") - F.col("revenue_before")) / F.col("revenue_before")
+                     (X.div(F.col("revenue_after") - F.col("revenue_before"), F.col("revenue_before"))
                       * F.lit(100.0)).alias("revenue_uplift_pct"),
                      "mean_demand_effect")
             .orderBy("tier"))
@@ -380,7 +380,7 @@ def trip_welch(trips: DataFrame) -> DataFrame:
         F.col("mean_c").alias("ctrl_sim_fare"), F.col("mean_t").alias("treat_sim_fare"),
         (F.col("mean_t") - F.col("mean_c")).alias("fare_difference"),
         "t_stat", "df", "cohens_d", "sem_t",
-        ((F.col("sum_t") - F.col("sum_c")) / F.col("sum_c") * F.lit(100.0)).alias("revenue_uplift_pct"),
+        (X.div(F.col("sum_t") - F.col("sum_c"), F.col("sum_c")) * F.lit(100.0)).alias("revenue_uplift_pct"),
     )
 
 
@@ -390,10 +390,10 @@ def prop_ztest(trips: DataFrame, *, threshold: float = HIGH_FARE) -> DataFrame:
     c, t = F.col("group") == CONTROL, F.col("group") == TREATMENT
     s = trips.agg(X.count_if(c).alias("n_c"), X.count_if(t).alias("n_t"),
                   X.sum_if(c, hi).alias("k_c"), X.sum_if(t, hi).alias("k_t"))
-    s = (s.withColumn("ctrl_rate", F.col("k_c") / F.col("n_c"))
-          .withColumn("treat_rate", F.col("k_t") / F.col("n_t"))
-          .withColumn("p_pool", (F.col("k_c") + F.col("k_t")) / (F.col("n_c") + F.col("n_t"))))
-    se = F.sqrt(F.col("p_pool") * (1 - F.col("p_pool")) * (F.lit(1.0) / F.col("n_c") + F.lit(1.0) / F.col("n_t")))
+    s = (s.withColumn("ctrl_rate", X.div("k_c", "n_c"))
+          .withColumn("treat_rate", X.div("k_t", "n_t"))
+          .withColumn("p_pool", X.div(F.col("k_c") + F.col("k_t"), F.col("n_c") + F.col("n_t"))))
+    se = F.sqrt(F.col("p_pool") * (1 - F.col("p_pool")) * (X.div(F.lit(1.0), "n_c") + X.div(F.lit(1.0), "n_t")))
     return s.select("n_c", "n_t", "ctrl_rate", "treat_rate",
                     (F.col("treat_rate") - F.col("ctrl_rate")).alias("rate_diff"),
                     F.when(se > 0, (F.col("treat_rate") - F.col("ctrl_rate")) / se)

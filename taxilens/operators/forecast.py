@@ -123,8 +123,8 @@ def validation(silver: DataFrame, forecast: DataFrame, *, holdout_years=(2026,),
         *group, "ds", F.col("trip_count").alias("actual_trips"), F.col("avg_fare").alias("actual_fare"))
     j = actual.join(forecast.select(*group, "ds", "trips_forecast", "trips_lower", "trips_upper"),
                     list(group) + ["ds"], "inner")
-    err = (F.col("actual_trips") - F.col("trips_forecast")) / F.col("trips_forecast") * F.lit(100.0)
-    err_a = (F.col("actual_trips") - F.col("trips_forecast")) / F.col("actual_trips") * F.lit(100.0)
+    err = X.div(F.col("actual_trips") - F.col("trips_forecast"), "trips_forecast") * F.lit(100.0)
+    err_a = X.div(F.col("actual_trips") - F.col("trips_forecast"), "actual_trips") * F.lit(100.0)
     return j.select(*group, "ds", "actual_trips", "actual_fare", "trips_forecast", "trips_lower",
                     "trips_upper", X.round_half_even(err, 2).alias("error_pct"),
                     err_a.alias("error_pct_of_actual")).orderBy(*group, "ds")

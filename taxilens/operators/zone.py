@@ -154,11 +154,18 @@ def stability_correlation(monthly: DataFrame, *, threshold: float = 0.95) -> Dat
                 keep.alias("keep"), F.col(f"{p}{a}").alias("x"), F.col(f"{p}{b}").alias("y")))
     long = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("keep")
     return (long.groupBy("comparison", "metric")
-            .agg(F.count(F.lit(1)).alias("zones"), F.corr("x", "y").alias("correlation"))
+            .agg(F.count(F.lit(1)).alias("zones"), pearson("x", "y").alias("correlation"))
             .withColumn("above_threshold",
                         F.coalesce(F.col("correlation") > F.lit(float(threshold)), F.lit(False))))
 
 
+def pearson(x: str, y: str):
+    """Pearson r that is NULL (not an ANSI division error) for fewer than two
+    points or a constant side, like pandas' NaN."""
+    den = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(den == 0, F.lit(None)).otherwise(den)
+
+
 def stability_verdict(corr: DataFrame) -> DataFrame:
     """Fare/volume stable when Jan-Feb and Jan-Mar both exceed the threshold."""
     core = F.col("comparison").isin("jan_feb", "jan_mar")
