@@ -37,21 +37,25 @@ def query(name: str):
 
 
 def raw_yellow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw yellow table: the ``lineitem`` projection, landed once per input
+    version as a year-partitioned Parquet table (see ``fixtures.landed_feed``)."""
     S.prepare(spark)
-    return fixtures.yellow_from_lineitem(fixtures.read_lineitem(spark, sf_dir))
+    return fixtures.landed_feed(spark, sf_dir, "yellow")
 
 
 def raw_fhv(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.prepare(spark)
-    return fixtures.fhv_from_lineitem(fixtures.read_lineitem(spark, sf_dir))
+    return fixtures.landed_feed(spark, sf_dir, "fhv")
 
 
 def yellow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.silver_yellow(raw_yellow(spark, sf_dir))
+    # The landing partitions by pickup year, so the partition column is the
+    # derived year and year filters prune partitions exactly.
+    return silver.silver_yellow(raw_yellow(spark, sf_dir), year_from_partition=True)
 
 
 def fhv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.silver_fhv(raw_fhv(spark, sf_dir))
+    return silver.silver_fhv(raw_fhv(spark, sf_dir), year_from_partition=True)
 
 
 # ------------------------------------------------------------------ silver
@@ -576,7 +580,7 @@ def _q_ingest(spark, sf_dir):
     from ..streaming import ingest
     root = _scratch(spark, "ingest")
     landing, raw, ckpt = f"{root}/landing", f"{root}/raw", f"{root}/_checkpoint"
-    feed = raw_yellow(spark, sf_dir).drop("year")
+    feed = fixtures.yellow_from_lineitem(fixtures.read_lineitem(spark, sf_dir)).drop("year")
     feed.write.mode("overwrite").parquet(landing)
     ingest.land(spark, "yellow", landing, raw, ckpt)
     ingest.land(spark, "yellow", landing, raw, ckpt)

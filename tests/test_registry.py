@@ -24,13 +24,20 @@ def con():
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") if v else 0.0
+        return "nan" if math.isnan(v) else (v or 0.0)
     return v if v is None or isinstance(v, (int, bool)) else str(v)
 
 
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
+    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    return sorted(out, key=lambda t: tuple(f"{x:.6g}" if isinstance(x, float) else repr(x) for x in t))
+
+
+def _same(a, b):
+    return len(a) == len(b) and all(
+        math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) if isinstance(x, float) and isinstance(y, float)
+        else x == y for x, y in zip(a, b))
 
 
 def test_entry(spark):
@@ -60,4 +67,7 @@ def test_query_against_oracle(spark, con, name):
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
-    assert _rows(df.columns, rows) == _rows(dcols, res.fetchall())
+    a, b = _rows(df.columns, rows), _rows(dcols, res.fetchall())
+    assert len(a) == len(b)
+    bad = [(x, y) for x, y in zip(a, b) if not _same(x, y)]
+    assert not bad, bad[:3]
