@@ -13,8 +13,8 @@ aggregates for any number of series at once (``group=()`` is the city,
   generated with ``sequence`` + ``explode``;
 * ``link="log"`` fits log(y) and back-transforms with ``exp``.
 
-Every step is an aggregate, a window-free equi-join on the group keys, or a
-row expression over the monthly series (groups x months rows), so the model
+Every step is a window aggregate partitioned by the series keys or a row
+expression over the monthly series (groups x months rows), so the model
 scales with the number of series, never with the trip count.  Numbers differ
 from Prophet's; the columns, horizon, band and validation are the contract.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -50,37 +50,62 @@ def _month_index(ds: str = "ds"):
     return (F.year(ds) * 12 + F.month(ds) - 1).cast("double")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys), "inner")
-    from ..functions.frames import one_row
-    return one_row(left, right)
+def _partition(group: Sequence[str]):
+    # One window partition per series.  With no group keys there is a single
+    # series; it holds one row per month, so the partition is bounded by the
+    # calendar, not by the data.
+    return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+
+
+def fit_models(series: DataFrame, models: dict[str, tuple[str, str]], *, group: Sequence[str] = (),
+               horizon: int = HORIZON, z: float = Z_975) -> DataFrame:
+    """Fit several (value, link) models on the same series in one pass.
+
+    Plan: one shuffle by the group keys; all fits are window aggregates over
+    that partitioning (``(group)`` partitioning also satisfies the
+    ``(group, month-of-year)`` windows and the final per-month aggregate), so
+    no join is needed.  Returns (group..., ds, <name>_yhat, <name>_lower,
+    <name>_upper, <name>_trend) for the ``horizon`` months after each
+    series' last month.
+    """
+    wg = _partition(group)
+    wm = Window.partitionBy(*group, "moy")
+    pts = series.select(*group, "ds", _month_index().alias("t"), F.month("ds").alias("moy"),
+                        *[(F.log(F.col(v).cast("double")) if link == "log" else F.col(v).cast("double"))
+                          .alias(f"_y_{n}") for n, (v, link) in models.items()])
+    pts = pts.withColumn("t_last", F.max("t").over(wg)).withColumn("ds_last", F.max("ds").over(wg))
+    for n in models:
+        y = f"_y_{n}"
+        pts = (pts.withColumn(f"_b_{n}", F.regr_slope(y, "t").over(wg))
+                  .withColumn(f"_a_{n}", F.regr_intercept(y, "t").over(wg)))
+        pts = pts.withColumn(f"_r_{n}", F.col(y) - (F.col(f"_a_{n}") + F.col(f"_b_{n}") * F.col("t")))
+        pts = pts.withColumn(f"_s_{n}", F.avg(f"_r_{n}").over(wm))
+        pts = pts.withColumn(f"_sig_{n}", F.stddev_samp(F.col(f"_r_{n}") - F.col(f"_s_{n}")).over(wg))
+    keep = ["t_last", "ds_last"] + [f"_{k}_{n}" for n in models for k in ("a", "b", "s", "sig")]
+    per_moy = pts.groupBy(*group, "moy").agg(*[F.first(c).alias(c) for c in keep])
+    # months ahead h with month-of-year moy: h = first such h, then every 12 months
+    first_h = F.pmod(F.col("moy") - F.month("ds_last") - 1, F.lit(12)) + 1
+    h = per_moy.where(first_h <= horizon).withColumn(
+        "h", F.explode(F.sequence(first_h, F.lit(int(horizon)), F.lit(12))))
+    h = h.withColumn("ds", F.add_months("ds_last", F.col("h"))).withColumn("t", F.col("t_last") + F.col("h"))
+    cols = []
+    for n, (_, link) in models.items():
+        back = F.exp if link == "log" else (lambda c: c)
+        trend = F.col(f"_a_{n}") + F.col(f"_b_{n}") * F.col("t")
+        yhat = trend + F.col(f"_s_{n}")
+        band = F.lit(z) * F.col(f"_sig_{n}")
+        cols += [back(yhat).alias(f"{n}_yhat"), back(yhat - band).alias(f"{n}_lower"),
+                 back(yhat + band).alias(f"{n}_upper"), back(trend).alias(f"{n}_trend")]
+    return h.select(*group, "ds", *cols)
 
 
 def fit_forecast(series: DataFrame, value: str, *, group: Sequence[str] = (), link: str = "log",
                  horizon: int = HORIZON, z: float = Z_975) -> DataFrame:
-    """Fit and forecast ``value``: rows (group..., ds, yhat, lower, upper, trend) in the
+    """Fit and forecast one ``value``: rows (group..., ds, yhat, lower, upper, trend) in the
     response scale, for the ``horizon`` months after each group's last month."""
-    y = F.log(F.col(value).cast("double")) if link == "log" else F.col(value).cast("double")
-    pts = series.select(*group, "ds", _month_index().alias("t"), F.month("ds").alias("moy"), y.alias("y"))
-    fit = pts.groupBy(*group).agg(F.regr_slope("y", "t").alias("b"), F.regr_intercept("y", "t").alias("a"),
-                                  F.max("t").alias("t_last"), F.max("ds").alias("ds_last"))
-    with_fit = _join(pts, fit, group).withColumn("r", F.col("y") - (F.col("a") + F.col("b") * F.col("t")))
-    seas = with_fit.groupBy(*group, "moy").agg(F.avg("r").alias("s"))
-    sig = (_join(with_fit, seas, list(group) + ["moy"])
-           .groupBy(*group).agg(F.stddev_samp(F.col("r") - F.col("s")).alias("sigma")))
-    h = fit.select(*group, "a", "b", "t_last", "ds_last",
-                   F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))).alias("h"))
-    h = (h.withColumn("ds", F.add_months("ds_last", F.col("h")))
-          .withColumn("t", F.col("t_last") + F.col("h"))
-          .withColumn("moy", F.month("ds")))
-    out = _join(_join(h, seas, list(group) + ["moy"]), sig, group)
-    trend = F.col("a") + F.col("b") * F.col("t")
-    yhat = trend + F.col("s")
-    lo, hi = yhat - F.lit(z) * F.col("sigma"), yhat + F.lit(z) * F.col("sigma")
-    back = (lambda c: F.exp(c)) if link == "log" else (lambda c: c)
-    return out.select(*group, "ds", back(yhat).alias("yhat"), back(lo).alias("lower"),
-                      back(hi).alias("upper"), back(trend).alias("trend"))
+    f = fit_models(series, {"m": (value, link)}, group=group, horizon=horizon, z=z)
+    return f.select(*group, "ds", F.col("m_yhat").alias("yhat"), F.col("m_lower").alias("lower"),
+                    F.col("m_upper").alias("upper"), F.col("m_trend").alias("trend"))
 
 
 def forecast_trips(series: DataFrame, *, group: Sequence[str] = (), horizon: int = HORIZON) -> DataFrame:
@@ -103,13 +128,18 @@ def forecast_fare(series: DataFrame, *, group: Sequence[str] = (), horizon: int
 
 
 def forecast_table(series: DataFrame, *, group: Sequence[str] = (), horizon: int = HORIZON) -> DataFrame:
-    """T3 + T5: the ``forecast_2026`` mart: trips, fare and revenue = trips x fare."""
-    t = forecast_trips(series, group=group, horizon=horizon)
-    f = forecast_fare(series, group=group, horizon=horizon)
-    j = t.join(f, list(group) + ["ds"], "inner")
-    return j.withColumn("revenue_forecast",
-                        X.round_half_even(F.col("trips_forecast") * F.col("fare_forecast"), 0)) \
-            .orderBy(*group, "ds")
+    """T3 + T5: the ``forecast_2026`` mart: trips (log scale), fare (linear) and
+    revenue = trips x fare, both models fitted in the same pass."""
+    f = fit_models(series, {"trips": ("trip_count", "log"), "fare": ("avg_fare", "identity")},
+                   group=group, horizon=horizon)
+    r = X.round_half_even
+    out = f.select(*group, "ds",
+                   r("trips_yhat", 0).alias("trips_forecast"), r("trips_lower", 0).alias("trips_lower"),
+                   r("trips_upper", 0).alias("trips_upper"), r("trips_trend", 0).alias("trend"),
+                   r("fare_yhat", 2).alias("fare_forecast"), r("fare_lower", 2).alias("fare_lower"),
+                   r("fare_upper", 2).alias("fare_upper"))
+    return out.withColumn("revenue_forecast",
+                          r(F.col("trips_forecast") * F.col("fare_forecast"), 0)).orderBy(*group, "ds")
 
 
 def validation(silver: DataFrame, forecast: DataFrame, *, holdout_years=(2026,),

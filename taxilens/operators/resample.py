@@ -26,11 +26,13 @@ REPLICATE_SCHEMA = "replicate long, diff double"
 
 
 def _arm_arrays(units: DataFrame, value: str, arm: str, max_units: int):
-    n = units.count()
-    if n > max_units:
-        raise ValueError(f"{n} units exceed the broadcast bound {max_units}; "
+    # One job: fetch at most max_units + 1 rows, so the size check and the
+    # fetch are the same action and an oversized input is never pulled whole.
+    rows = (units.select(F.col(arm).alias("a"), F.col(value).cast("double").alias("v"))
+            .limit(max_units + 1).collect())
+    if len(rows) > max_units:
+        raise ValueError(f"more than {max_units} units exceed the broadcast bound; "
                          "use a trip-level (Poisson) bootstrap instead")
-    rows = units.select(F.col(arm).alias("a"), F.col(value).cast("double").alias("v")).collect()
     ctrl = np.array([r.v for r in rows if r.a == CONTROL], dtype=float)
     treat = np.array([r.v for r in rows if r.a == TREATMENT], dtype=float)
     return ctrl, treat

@@ -548,10 +548,9 @@ def land_with_drift(spark, sf_dir) -> str:
     reference's files.  Returns the table folder (under the checkpoint dir)."""
     from pyspark.sql import functions as F
     base = _scratch(spark, "raw-drift") + "/yellow"
-    li = fixtures.read_lineitem(spark, sf_dir)
-    drifted = fixtures.yellow_from_lineitem(li, drift=True)
-    old = drifted.where(F.col("year") <= 2023)
-    new = drifted.where(F.col("year") >= 2024).withColumn("passenger_count", F.col("passenger_count").cast("long"))
+    raw = raw_yellow(spark, sf_dir)
+    old = raw.where(F.col("year") <= 2023).withColumn("passenger_count", F.col("passenger_count").cast("double"))
+    new = raw.where(F.col("year") >= 2024)
     old.write.mode("append").partitionBy("year").parquet(base)
     new.write.mode("append").partitionBy("year").parquet(base)
     return base
@@ -580,7 +579,7 @@ def _q_ingest(spark, sf_dir):
     from ..streaming import ingest
     root = _scratch(spark, "ingest")
     landing, raw, ckpt = f"{root}/landing", f"{root}/raw", f"{root}/_checkpoint"
-    feed = fixtures.yellow_from_lineitem(fixtures.read_lineitem(spark, sf_dir)).drop("year")
+    feed = raw_yellow(spark, sf_dir).drop("year")
     feed.write.mode("overwrite").parquet(landing)
     ingest.land(spark, "yellow", landing, raw, ckpt)
     ingest.land(spark, "yellow", landing, raw, ckpt)
