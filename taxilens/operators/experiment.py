@@ -104,6 +104,11 @@ def assign_stratified(units: DataFrame, *, stratum: str = "tier", unit: str = "p
             .drop("_rn", "_n"))
 
 
+def unstratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash") -> DataFrame:
+    """X3 (v1): one stratum, half of all zones to control."""
+    return assign_stratified(baseline.withColumn("tier", F.lit("all")), seed=seed, key=key)
+
+
 def stratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash") -> DataFrame:
     """v2: tier all eligible zones, assign within tiers."""
     return assign_stratified(with_tier(baseline), seed=seed, key=key)
@@ -410,10 +415,20 @@ def welch_by_bucket(trips: DataFrame, *, min_n: int = 30) -> DataFrame:
             .orderBy("time_bucket"))
 
 
-def two_year_fare_test(silver: DataFrame, *, pre: int = 2024, post: int = 2025) -> DataFrame:
-    """Welch test of fares, ``pre`` year vs ``post`` year, on all trips."""
-    arms = (years_filter(silver, (pre, post))
-            .withColumn("group", F.when(F.col("year") == pre, F.lit(CONTROL)).otherwise(F.lit(TREATMENT))))
+def two_year_fare_test(silver: DataFrame, *, pre: int = 2024, post: int = 2025,
+                       sample_per_year: int | None = None, seed: int = RANDOM_SEED) -> DataFrame:
+    """Welch test of fares, ``pre`` year vs ``post`` year.
+
+    All trips by default; ``sample_per_year`` draws the reference's
+    exact-size uniform sample per year first (L3).
+    """
+    arms = years_filter(silver, (pre, post))
+    if sample_per_year:
+        from .sampling import sample_exact
+        keys = ["pickup_time", "pickup_zone", "dropoff_zone", "fare_amount", "trip_distance"]
+        arms = sample_exact(arms.where(F.col("year") == pre), sample_per_year, keys=keys, seed=seed).unionByName(
+            sample_exact(arms.where(F.col("year") == post), sample_per_year, keys=keys, seed=seed + 1))
+    arms = arms.withColumn("group", F.when(F.col("year") == pre, F.lit(CONTROL)).otherwise(F.lit(TREATMENT)))
     w = welch_columns(arm_moments(arms, "fare_amount"))
     return w.select(F.col("n_c").alias("n_pre"), F.col("n_t").alias("n_post"),
                     F.col("mean_c").alias("mean_pre"), F.col("mean_t").alias("mean_post"),

@@ -155,3 +155,10 @@ def years_filter(df: DataFrame, years) -> DataFrame:
     if years is None:
         return df
     return df.where(F.col("year").isin(list(years)))
+
+
+def publish_views(raw_yellow: DataFrame, raw_fhv: DataFrame, **kw) -> None:
+    """Register ``silver_yellow`` / ``silver_fhv`` as temporary views, so
+    the marts can also be written as SQL text (``spark.sql``)."""
+    silver_yellow(raw_yellow, **kw).createOrReplaceTempView("silver_yellow")
+    silver_fhv(raw_fhv, **kw).createOrReplaceTempView("silver_fhv")

@@ -584,3 +584,26 @@ def _q_ingest(spark, sf_dir):
     ingest.land(spark, "yellow", landing, raw, ckpt)
     ingest.land(spark, "yellow", landing, raw, ckpt)
     return catalog.partition_counts({"yellow": catalog.read_raw(spark, "yellow", raw)})
+
+
+@query("fare_sample_test")
+def _q_fare_sample(spark, sf_dir):
+    """X18 on the reference's exact-size samples (50,000 trips per year, L3)."""
+    from ..operators import experiment as E
+    return E.two_year_fare_test(yellow(spark, sf_dir), sample_per_year=50_000)
+
+
+@query("assignment_unstratified")
+def _q_assign_v1(spark, sf_dir):
+    from ..operators import experiment as E
+    return E.unstratified_design(_baseline(spark, sf_dir), key=KEY)
+
+
+@query("silver_views_sql")
+def _q_views(spark, sf_dir):
+    """S9 + S13: the silver views published, then a mart written as SQL text."""
+    silver.publish_views(raw_yellow(spark, sf_dir), raw_fhv(spark, sf_dir), year_from_partition=True)
+    from ..sources import catalog
+    return catalog.run_sql(spark, """
+        SELECT platform, COUNT(*) AS fhv_trips, (SELECT COUNT(*) FROM silver_yellow) AS yellow_trips
+        FROM silver_fhv GROUP BY platform""")

@@ -13,7 +13,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from taxilens.session import build_session
-    s = build_session("local[*]", app="taxilens-tests", shuffle_partitions=8)
+    s = build_session("local[*]", app="taxilens-tests", shuffle_partitions=8,
+                      extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
 

@@ -149,3 +149,14 @@ def test_prop_ztest_matches_formula(spark):
     se = math.sqrt(pp * (1 - pp) * (1 / len(c) + 1 / len(t)))
     got = E.prop_ztest(trips).first()
     assert got.z_stat == pytest.approx((t.mean() - c.mean()) / se, rel=1e-9)
+
+
+def test_sample_exact_equals_brute_force(spark):
+    from taxilens.operators.sampling import hash_unit, sample_exact
+    y = Q.yellow(spark, SF_MID).where("year = 2024")
+    keys = ["pickup_time", "pickup_zone", "dropoff_zone", "fare_amount", "trip_distance"]
+    for n, bins in ((500, 64), (2000, 4096), (10 ** 9, 16)):
+        got = sample_exact(y, n, keys=keys, seed=7, bins=bins)
+        want = y.withColumn("u", hash_unit(7, keys)).orderBy("u", *keys).limit(min(n, y.count())).drop("u")
+        assert got.count() == min(n, y.count())
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
