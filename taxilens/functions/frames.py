@@ -7,21 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "__one"
 
-
-def attach_global(df: DataFrame, *aggs: Column) -> DataFrame:
+def attach_global(df: DataFrame, **aggs: Column) -> DataFrame:
     """Add whole-table aggregates of ``df`` as columns of every row.
 
-    This replaces ``agg(...) OVER ()``: a window without a partition key
-    moves every row into one task.  Here the aggregate is computed with the
-    usual partial/final aggregation, yields exactly one row, and is joined
-    back through a broadcast of that single row (size bound: one row).
+    This replaces ``agg(...) OVER ()``, which would move every row into one
+    task.  The aggregates run as ordinary partial/final aggregation and enter
+    the plan as one scalar subquery (one row, computed once), so no join is
+    planned at all.
     """
-    one = df.agg(*aggs).withColumn(_KEY, F.lit(1))
-    return (df.withColumn(_KEY, F.lit(1))
-              .join(F.broadcast(one), on=_KEY, how="inner")
-              .drop(_KEY))
+    names = list(aggs)
+    packed = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("v")).select("v")
+    out = df.withColumn("__g", packed.scalar())
+    return out.select(*[c for c in df.columns], *[F.col(f"__g.{n}").alias(n) for n in names])
 
 
 def top_k(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
@@ -31,8 +29,14 @@ def top_k(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
 
 def one_row(df: DataFrame, *others: DataFrame) -> DataFrame:
-    """Put several one-row DataFrames side by side (broadcast, one row each)."""
-    out = df.withColumn(_KEY, F.lit(1))
-    for o in others:
-        out = out.join(F.broadcast(o.withColumn(_KEY, F.lit(1))), on=_KEY, how="inner")
-    return out.drop(_KEY)
+    """Append the columns of one-row DataFrames (aggregates) to ``df``.
+
+    Each one-row input becomes a struct-valued scalar subquery, evaluated
+    once; no join (and no cross product) is planned.
+    """
+    out = df
+    for i, o in enumerate(others):
+        tag = f"__o{i}"
+        out = out.withColumn(tag, o.select(F.struct(*o.columns).alias("v")).scalar())
+        out = out.select(*[c for c in out.columns if c != tag], *[F.col(f"{tag}.{c}").alias(c) for c in o.columns])
+    return out

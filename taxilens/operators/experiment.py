@@ -70,8 +70,8 @@ def with_tier(baseline: DataFrame, *, volume: str = "total_trips", low: float =
     Quantiles interpolate linearly (``percentile``), like pandas.
     """
     t = attach_global(baseline,
-                      F.percentile(F.col(volume), high).alias("_qh"),
-                      F.percentile(F.col(volume), low).alias("_ql"))
+                      _qh=F.percentile(F.col(volume), high),
+                      _ql=F.percentile(F.col(volume), low))
     v = F.col(volume)
     tier = (F.when(v >= F.col("_qh"), F.lit(TIERS[0]))
              .when(v >= F.col("_ql"), F.lit(TIERS[1]))

@@ -25,7 +25,7 @@ def zone_performance(silver: DataFrame, *, years=RECENT_YEARS, limit: int = 20)
          .agg(F.count(F.lit(1)).alias("total_trips"),
               F.avg("fare_amount").alias("_fare"),
               F.avg("fare_per_km").alias("_fpk")))
-    z = attach_global(z, F.avg("total_trips").alias("_avg_trips"))
+    z = attach_global(z, _avg_trips=F.avg("total_trips"))
     out = z.select(
         "pickup_zone", "total_trips",
         X.round_half_away("_fare", 2).alias("avg_fare"),
