@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import exprs as X
+from ..functions.measures import measures
 from .silver import years_filter
 
 # Reference labels for the summary and the assumed elasticity.
@@ -42,14 +43,15 @@ def did_panel(silver: DataFrame, treated_zones: Sequence[int], *, years=(2024, 2
               post_year: int = 2025) -> DataFrame:
     """Zone-month panel with post/treated/did indicators and log1p(trips)."""
     is_cbd = F.when(F.col("pickup_zone").isin(list(treated_zones)), F.lit(1)).otherwise(F.lit(0))
+    m = measures(silver)
     p = (years_filter(silver, years)
          .groupBy("year", "month", "pickup_zone", is_cbd.alias("is_cbd"))
-         .agg(F.count(F.lit(1)).alias("trip_count"),
-              F.avg("fare_amount").alias("avg_fare"),
-              F.avg("fare_per_km").alias("avg_fare_per_km"),
-              F.avg("trip_distance").alias("avg_distance"),
-              F.avg("congestion_fee").alias("avg_congestion_fee"),
-              F.sum("fare_amount").alias("total_revenue")))
+         .agg(m.n().alias("trip_count"),
+              m.avg("fare_amount").alias("avg_fare"),
+              m.avg("fare_per_km").alias("avg_fare_per_km"),
+              m.avg("trip_distance").alias("avg_distance"),
+              m.avg("congestion_fee").alias("avg_congestion_fee"),
+              m.sum("fare_amount").alias("total_revenue")))
     post = F.when(F.col("year") == post_year, F.lit(1)).otherwise(F.lit(0))
     return (p.withColumn("post", post)
              .withColumn("treated", F.col("is_cbd"))

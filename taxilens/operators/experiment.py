@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions import exprs as X
 from ..functions.frames import attach_global, one_row
+from ..functions.measures import measures
 from .silver import years_filter
 
 # ---------------------------------------------------------------------------
@@ -48,8 +49,9 @@ EXPERIMENT_YEARS = (2024, 2025, 2026)
 
 def zone_baseline(silver: DataFrame, *, years=EXPERIMENT_YEARS, min_trips: int = 500) -> DataFrame:
     """Per-zone volume, fare and estimated revenue (count x avg fare)."""
+    m = measures(silver)
     return (years_filter(silver, years).groupBy("pickup_zone")
-            .agg(F.count(F.lit(1)).alias("total_trips"), F.avg("fare_amount").alias("avg_fare"))
+            .agg(m.n().alias("total_trips"), m.avg("fare_amount").alias("avg_fare"))
             .where(F.col("total_trips") >= min_trips)
             .withColumn("est_revenue", F.col("total_trips") * F.col("avg_fare")))
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.dist import Z_975
+from ..functions.measures import measures
 from .silver import years_filter
 
 TRAIN_YEARS = (2022, 2023, 2024, 2025)
@@ -39,11 +40,12 @@ ACCURACY_ELSE = "POOR"
 
 def monthly_series(silver: DataFrame, *, years=TRAIN_YEARS, group: Sequence[str] = ()) -> DataFrame:
     """Per group and month start ``ds``: trips, mean fare and revenue."""
-    ds = F.trunc(F.to_date("pickup_time"), "month").alias("ds")
+    m = measures(silver)
+    ds = X.month_start("year", "month").alias("ds")   # = date_trunc('month', pickup_time)
     return (years_filter(silver, years).groupBy(*group, ds)
-            .agg(F.count(F.lit(1)).alias("trip_count"),
-                 F.avg("fare_amount").alias("avg_fare"),
-                 F.sum("fare_amount").alias("total_revenue")))
+            .agg(m.n().alias("trip_count"),
+                 m.avg("fare_amount").alias("avg_fare"),
+                 m.sum("fare_amount").alias("total_revenue")))
 
 
 def _month_index(ds: str = "ds"):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.frames import top_k
+from ..functions.measures import measures
 from .silver import years_filter
 
 # Fixed labels: era names and the demand-change verdict (-5 % / 0 %).
@@ -21,10 +22,11 @@ TOTAL_LABELS = ("significant_reduction", "mild_reduction", "stable")
 def congestion_monthly(silver: DataFrame, *, base: int = 2024, comp: int = 2025) -> DataFrame:
     """Month-by-month comparison with the base year's surcharge."""
     ib, ic = F.col("year") == base, F.col("year") == comp
+    ms = measures(silver)
     m = (years_filter(silver, (base, comp)).groupBy("month")
-         .agg(X.count_if(ib).alias(f"trips_{base}"), X.count_if(ic).alias(f"trips_{comp}"),
-              X.avg_if(ib, "fare_amount").alias("_fb"), X.avg_if(ic, "fare_amount").alias("_fc"),
-              X.avg_if(ib, "congestion_fee").alias("_fee"))
+         .agg(ms.n_if(ib).alias(f"trips_{base}"), ms.n_if(ic).alias(f"trips_{comp}"),
+              ms.avg_if(ib, "fare_amount").alias("_fb"), ms.avg_if(ic, "fare_amount").alias("_fc"),
+              ms.avg_if(ib, "congestion_fee").alias("_fee"))
          .where((F.col(f"trips_{base}") > 0) & (F.col(f"trips_{comp}") > 0)))
     return m.select(
         "month", f"trips_{base}", f"trips_{comp}",
@@ -41,22 +43,24 @@ def pre_post(silver: DataFrame, *, years=(2024, 2025)) -> DataFrame:
     """Averages by policy era, with the era label."""
     label = F.when(F.col("is_congestion_era") == 0, F.lit(ERA_LABELS[0])) \
              .when(F.col("is_congestion_era") == 1, F.lit(ERA_LABELS[1]))
+    m = measures(silver)
     return (years_filter(silver, years).groupBy("is_congestion_era")
-            .agg(F.count(F.lit(1)).alias("total_trips"),
-                 X.round_half_away(F.avg("fare_amount"), 2).alias("avg_fare"),
-                 X.round_half_away(F.avg("fare_per_km"), 2).alias("avg_fare_per_km"),
-                 X.round_half_away(F.avg("trip_distance"), 2).alias("avg_distance"),
-                 X.round_half_away(F.avg("congestion_fee"), 4).alias("avg_congestion_fee"))
+            .agg(m.n().alias("total_trips"),
+                 X.round_half_away(m.avg("fare_amount"), 2).alias("avg_fare"),
+                 X.round_half_away(m.avg("fare_per_km"), 2).alias("avg_fare_per_km"),
+                 X.round_half_away(m.avg("trip_distance"), 2).alias("avg_distance"),
+                 X.round_half_away(m.avg("congestion_fee"), 4).alias("avg_congestion_fee"))
             .withColumn("era", label)
             .orderBy("is_congestion_era"))
 
 
 def _zone_years(silver: DataFrame, base: int, comp: int, min_trips: int) -> DataFrame:
     ib, ic = F.col("year") == base, F.col("year") == comp
+    m = measures(silver)
     return (years_filter(silver, (base, comp)).groupBy("pickup_zone")
-            .agg(X.count_if(ib).alias("_nb"), X.count_if(ic).alias("_nc"),
-                 X.avg_if(ib, "fare_amount").alias("_fb"), X.avg_if(ic, "fare_amount").alias("_fc"),
-                 X.avg_if(ib, "congestion_fee").alias("_fee"))
+            .agg(m.n_if(ib).alias("_nb"), m.n_if(ic).alias("_nc"),
+                 m.avg_if(ib, "fare_amount").alias("_fb"), m.avg_if(ic, "fare_amount").alias("_fc"),
+                 m.avg_if(ib, "congestion_fee").alias("_fee"))
             .where((F.col("_nb") >= min_trips) & (F.col("_nc") > 0))
             .withColumn("_mb", F.col("_nb") / F.lit(12.0))
             .withColumn("_mc", F.col("_nc") / F.lit(12.0)))

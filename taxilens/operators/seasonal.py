@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.frames import top_k
+from ..functions.measures import measures
 from .silver import years_filter
 
 SEASON_YEARS = (2022, 2023, 2024, 2025)
@@ -23,8 +24,9 @@ def seasonal_by_quarter(silver: DataFrame, *, years=SEASON_YEARS) -> DataFrame:
     ``avg_fare`` is the unweighted mean of the zone averages, as in the
     reference.
     """
+    m = measures(silver)
     q = (years_filter(silver, years).groupBy("year", "quarter", "pickup_zone")
-         .agg(F.count(F.lit(1)).alias("trip_count"), F.avg("fare_amount").alias("avg_fare")))
+         .agg(m.n().alias("trip_count"), m.avg("fare_amount").alias("avg_fare")))
     w = Window.partitionBy("year", "pickup_zone")
     q = q.withColumn("seasonal_index", F.col("trip_count").cast("double") / F.avg("trip_count").over(w))
     return (q.groupBy("quarter")
@@ -38,8 +40,9 @@ def seasonal_by_quarter(silver: DataFrame, *, years=SEASON_YEARS) -> DataFrame:
 def seasonal_zones(silver: DataFrame, *, years=SEASON_YEARS, min_trips: int = 4000,
                    limit: int = 20) -> DataFrame:
     """Zones whose quarterly index swings the most."""
+    m = measures(silver)
     q = (years_filter(silver, years).groupBy("pickup_zone", "quarter")
-         .agg(F.count(F.lit(1)).alias("trip_count"), F.avg("fare_amount").alias("avg_fare")))
+         .agg(m.n().alias("trip_count"), m.avg("fare_amount").alias("avg_fare")))
     w = Window.partitionBy("pickup_zone")
     q = q.withColumn("seasonal_index", F.col("trip_count").cast("double") / F.avg("trip_count").over(w))
     z = (q.groupBy("pickup_zone")
@@ -57,9 +60,10 @@ def seasonal_q1_vs_q3(silver: DataFrame, *, years=SEASON_YEARS, min_trips: int =
     """Winter vs summer per zone, ordered by the absolute change."""
     s = years_filter(silver, years).where(F.col("quarter").isin(1, 3))
     is1, is3 = F.col("quarter") == 1, F.col("quarter") == 3
+    m = measures(silver)
     z = (s.groupBy("pickup_zone")
-         .agg(X.count_if(is1).alias("trips_q1"), X.count_if(is3).alias("trips_q3"),
-              X.avg_if(is1, "fare_amount").alias("_f1"), X.avg_if(is3, "fare_amount").alias("_f3"))
+         .agg(m.n_if(is1).alias("trips_q1"), m.n_if(is3).alias("trips_q3"),
+              m.avg_if(is1, "fare_amount").alias("_f1"), m.avg_if(is3, "fare_amount").alias("_f3"))
          .where((F.col("trips_q1") >= min_trips) & (F.col("trips_q3") > 0)))
     out = z.select(
         "pickup_zone", "trips_q1", "trips_q3",
@@ -76,8 +80,9 @@ def seasonal_time_bucket(silver: DataFrame, *, years=SEASON_YEARS) -> DataFrame:
     The reference groups a second time on the same keys; that is the
     identity, so it is not repeated.
     """
+    m = measures(silver)
     b = (years_filter(silver, years).groupBy("year", "quarter", "time_bucket")
-         .agg(F.count(F.lit(1)).alias("total_trips"), F.avg("fare_amount").alias("_fare")))
+         .agg(m.n().alias("total_trips"), m.avg("fare_amount").alias("_fare")))
     w = Window.partitionBy("year")
     return b.select(
         "year", "quarter", "time_bucket", "total_trips",

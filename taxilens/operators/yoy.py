@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.frames import top_k
+from ..functions.measures import measures
 from .silver import years_filter
 
 FULL_YEARS = (2022, 2023, 2024, 2025)
@@ -25,11 +26,12 @@ Q1_LABELS = ("significant_decline", "mild_decline", "stable_or_growing")
 
 def yoy_summary(silver: DataFrame, *, years=FULL_YEARS) -> DataFrame:
     """Yearly totals plus growth; fare growth is on the *rounded* fare."""
+    m = measures(silver)
     y = (years_filter(silver, years).groupBy("year")
-         .agg(F.count(F.lit(1)).alias("total_trips"),
-              X.round_half_away(F.avg("fare_amount"), 2).alias("avg_fare"),
-              X.round_half_away(F.avg("fare_per_km"), 2).alias("avg_fare_per_km"),
-              X.round_half_away(F.sum("fare_amount"), 0).alias("total_revenue"),
+         .agg(m.n().alias("total_trips"),
+              X.round_half_away(m.avg("fare_amount"), 2).alias("avg_fare"),
+              X.round_half_away(m.avg("fare_per_km"), 2).alias("avg_fare_per_km"),
+              X.round_half_away(m.sum("fare_amount"), 0).alias("total_revenue"),
               F.countDistinct("pickup_zone").alias("active_zones")))
     # One row per requested year: the ordered window is over a handful of rows.
     w = Window.partitionBy(F.lit(0)).orderBy("year")
@@ -44,9 +46,10 @@ def yoy_summary(silver: DataFrame, *, years=FULL_YEARS) -> DataFrame:
 
 def _two_years(silver: DataFrame, base: int, comp: int, with_fares: bool) -> DataFrame:
     is_b, is_c = F.col("year") == base, F.col("year") == comp
-    aggs = [X.count_if(is_b).alias("_nb"), X.count_if(is_c).alias("_nc")]
+    m = measures(silver)
+    aggs = [m.n_if(is_b).alias("_nb"), m.n_if(is_c).alias("_nc")]
     if with_fares:
-        aggs += [X.avg_if(is_b, "fare_amount").alias("_fb"), X.avg_if(is_c, "fare_amount").alias("_fc")]
+        aggs += [m.avg_if(is_b, "fare_amount").alias("_fb"), m.avg_if(is_c, "fare_amount").alias("_fc")]
     return (years_filter(silver, (base, comp)).groupBy("pickup_zone").agg(*aggs)
             .where((F.col("_nb") > 0) & (F.col("_nc") > 0)))
 
@@ -83,21 +86,23 @@ def yoy_declining(silver: DataFrame, *, base: int = 2024, comp: int = 2025,
 
 def monthly_trend(silver: DataFrame, *, years=ALL_YEARS) -> DataFrame:
     """Year x month trips, fare and revenue, with the month start ``ds``."""
+    m = measures(silver)
     return (years_filter(silver, years).groupBy("year", "month")
-            .agg(F.count(F.lit(1)).alias("total_trips"),
-                 X.round_half_away(F.avg("fare_amount"), 2).alias("avg_fare"),
-                 X.round_half_away(F.sum("fare_amount"), 0).alias("total_revenue"))
+            .agg(m.n().alias("total_trips"),
+                 X.round_half_away(m.avg("fare_amount"), 2).alias("avg_fare"),
+                 X.round_half_away(m.sum("fare_amount"), 0).alias("total_revenue"))
             .withColumn("ds", X.month_start("year", "month"))
             .orderBy("year", "month"))
 
 
 def q1_comparison(silver: DataFrame, *, years=ALL_YEARS, months=(1, 3)) -> DataFrame:
     """First-quarter totals per year."""
+    m = measures(silver)
     return (years_filter(silver, years).where(F.col("month").between(*months))
             .groupBy("year")
-            .agg(F.count(F.lit(1)).alias("q1_trips"),
-                 X.round_half_away(F.avg("fare_amount"), 2).alias("avg_fare"),
-                 X.round_half_away(F.sum("fare_amount"), 0).alias("q1_revenue"),
+            .agg(m.n().alias("q1_trips"),
+                 X.round_half_away(m.avg("fare_amount"), 2).alias("avg_fare"),
+                 X.round_half_away(m.sum("fare_amount"), 0).alias("q1_revenue"),
                  F.countDistinct("pickup_zone").alias("active_zones"))
             .orderBy("year"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.frames import attach_global, top_k
+from ..functions.measures import measures
 from .silver import years_filter
 
 RECENT_YEARS = (2024, 2025, 2026)
@@ -21,10 +22,11 @@ RECENT_YEARS = (2024, 2025, 2026)
 
 def zone_performance(silver: DataFrame, *, years=RECENT_YEARS, limit: int = 20) -> DataFrame:
     """A1: per zone trips, fares and demand index vs the all-zone average."""
+    m = measures(silver)
     z = (years_filter(silver, years).groupBy("pickup_zone")
-         .agg(F.count(F.lit(1)).alias("total_trips"),
-              F.avg("fare_amount").alias("_fare"),
-              F.avg("fare_per_km").alias("_fpk")))
+         .agg(m.n().alias("total_trips"),
+              m.avg("fare_amount").alias("_fare"),
+              m.avg("fare_per_km").alias("_fpk")))
     z = attach_global(z, _avg_trips=F.avg("total_trips"))
     out = z.select(
         "pickup_zone", "total_trips",
@@ -42,9 +44,10 @@ def peak_hours(silver: DataFrame, *, years=RECENT_YEARS, top_zones: int = 10) ->
     ranking is derived from that aggregate and applied as a broadcast
     left-semi join (at most ``top_zones`` keys).
     """
+    m = measures(silver)
     hourly = (years_filter(silver, years)
               .groupBy("pickup_zone", "pickup_hour", "time_bucket")
-              .agg(F.count(F.lit(1)).alias("trip_count"), F.avg("fare_amount").alias("_fare")))
+              .agg(m.n().alias("trip_count"), m.avg("fare_amount").alias("_fare")))
     ranked = top_k(hourly.groupBy("pickup_zone").agg(F.sum("trip_count").alias("_n")),
                    top_zones, [F.col("_n").desc(), F.col("pickup_zone").asc()]).select("pickup_zone")
     kept = hourly.join(F.broadcast(ranked), "pickup_zone", "left_semi")
@@ -102,24 +105,26 @@ def elasticity(silver: DataFrame, *, years=RECENT_YEARS, bucket_width: float = 5
 
 def kpi_summary(silver: DataFrame, *, years=RECENT_YEARS) -> DataFrame:
     """A5: one-row headline numbers."""
+    m = measures(silver)
     return years_filter(silver, years).agg(
         F.countDistinct("pickup_zone").alias("total_zones"),
-        F.count(F.lit(1)).alias("total_trips"),
-        X.round_half_away(F.avg("fare_amount"), 2).alias("overall_avg_fare"),
-        X.round_half_away(F.avg("fare_per_km"), 2).alias("overall_fare_per_km"),
-        X.round_half_away(F.min("fare_amount"), 2).alias("min_fare"),
-        X.round_half_away(F.max("fare_amount"), 2).alias("max_fare"),
+        m.n().alias("total_trips"),
+        X.round_half_away(m.avg("fare_amount"), 2).alias("overall_avg_fare"),
+        X.round_half_away(m.avg("fare_per_km"), 2).alias("overall_fare_per_km"),
+        X.round_half_away(m.min("fare_amount"), 2).alias("min_fare"),
+        X.round_half_away(m.max("fare_amount"), 2).alias("max_fare"),
     )
 
 
 def monthly_stability(silver: DataFrame, *, year: int = 2024, months=(1, 6),
                       min_trips: int = 100) -> DataFrame:
     """Month x zone averages for the first half of ``year``."""
+    m = measures(silver)
     return (silver.where((F.col("year") == year) & F.col("month").between(*months))
             .groupBy("month", "pickup_zone")
-            .agg(F.avg("fare_amount").alias("avg_fare"),
-                 F.avg("fare_per_km").alias("avg_fare_per_km"),
-                 F.count(F.lit(1)).alias("trip_count"))
+            .agg(m.avg("fare_amount").alias("avg_fare"),
+                 m.avg("fare_per_km").alias("avg_fare_per_km"),
+                 m.n().alias("trip_count"))
             .where(F.col("trip_count") >= min_trips))
 
 

@@ -607,3 +607,57 @@ def _q_views(spark, sf_dir):
     return catalog.run_sql(spark, """
         SELECT platform, COUNT(*) AS fhv_trips, (SELECT COUNT(*) FROM silver_yellow) AS yellow_trips
         FROM silver_fhv GROUP BY platform""")
+
+
+# ------------------------------------------------------------- rollup base
+def rollup(spark, sf_dir):
+    """The rollup base of silver_yellow, materialized once per input version."""
+    from . import rollup as RU
+    return RU.materialized_rollup(
+        spark, yellow(spark, sf_dir), f"rollup/{fixtures.input_version(spark, sf_dir)}/yellow")
+
+
+@query("rollup_base")
+def _q_rollup_base(spark, sf_dir):
+    """The rollup itself, computed from trips (what a refresh runs)."""
+    from . import rollup as RU
+    return RU.build_rollup(yellow(spark, sf_dir))
+
+
+def _rollup_queries():
+    """The marts that read the rollup base instead of the trips (same code)."""
+    from ..operators import did, experiment as E, forecast as FC
+    R = rollup
+    return {
+        "zone_performance": lambda s, d: zone.zone_performance(R(s, d)),
+        "peak_hours": lambda s, d: zone.peak_hours(R(s, d)),
+        "kpi_summary": lambda s, d: zone.kpi_summary(R(s, d)),
+        "monthly_stability": lambda s, d: zone.monthly_stability(R(s, d), min_trips=T_STABILITY),
+        "stability_correlation": lambda s, d: zone.stability_correlation(
+            zone.monthly_stability(R(s, d), min_trips=T_STABILITY)),
+        "yoy_summary": lambda s, d: yoy.yoy_summary(R(s, d)),
+        "yoy_growing": lambda s, d: yoy.yoy_growing(R(s, d), min_trips=T_YOY),
+        "yoy_declining": lambda s, d: yoy.yoy_declining(R(s, d), min_trips=T_YOY),
+        "monthly_trend": lambda s, d: yoy.monthly_trend(R(s, d)),
+        "q1_comparison": lambda s, d: yoy.q1_comparison(R(s, d)),
+        "seasonal_by_quarter": lambda s, d: seasonal.seasonal_by_quarter(R(s, d)),
+        "seasonal_zones": lambda s, d: seasonal.seasonal_zones(R(s, d), min_trips=T_SEASONAL_ZONES),
+        "seasonal_q1_vs_q3": lambda s, d: seasonal.seasonal_q1_vs_q3(R(s, d), min_trips=T_Q1_Q3),
+        "seasonal_time_bucket": lambda s, d: seasonal.seasonal_time_bucket(R(s, d)),
+        "congestion_monthly": lambda s, d: policy.congestion_monthly(R(s, d)),
+        "pre_post": lambda s, d: policy.pre_post(R(s, d)),
+        "impacted_zones": lambda s, d: policy.impacted_zones(R(s, d), min_trips=T_CONGESTION),
+        "benefited_zones": lambda s, d: policy.benefited_zones(R(s, d), min_trips=T_CONGESTION),
+        "congestion_totals": lambda s, d: policy.congestion_totals(policy.congestion_monthly(R(s, d))),
+        "did_panel": lambda s, d: did.did_panel(R(s, d), TREATED),
+        "did_summary": lambda s, d: did.did_summary(did.did_cells(did.did_panel(R(s, d), TREATED)), len(TREATED)),
+        "zone_baseline": lambda s, d: E.zone_baseline(R(s, d), min_trips=T_BASELINE),
+        "ab_test_result": lambda s, d: E.v2_result(E.scenario_projection(E.stratified_design(
+            E.zone_baseline(R(s, d), min_trips=T_BASELINE), key=KEY))),
+        "monthly_series": lambda s, d: FC.monthly_series(R(s, d)),
+        "forecast_2026": lambda s, d: FC.forecast_table(FC.monthly_series(R(s, d))),
+    }
+
+
+for _name, _fn in _rollup_queries().items():
+    QUERIES[f"{_name}__rollup"] = _fn

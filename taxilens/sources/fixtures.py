@@ -136,48 +136,29 @@ def raw_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # filters become partition filters.
 # ---------------------------------------------------------------------------
 import hashlib as _hashlib
-import threading as _threading
 
-_LAND_LOCK = _threading.Lock()
 # Bounds file size so a landed year is split over several files (parallel scans).
 LANDED_RECORDS_PER_FILE = 50_000
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _version_key(spark: SparkSession, sf_dir: str) -> str:
-    fs, p = _hadoop_fs(spark, f"{sf_dir}/lineitem.parquet")
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the input: path, size and modification time of ``lineitem``."""
+    from .materialize import hadoop_path
+    fs, p = hadoop_path(spark, f"{sf_dir}/lineitem.parquet")
     st = fs.getFileStatus(p)
     raw = f"{p.toUri().toString()}|{st.getLen()}|{st.getModificationTime()}|v1"
     return _hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
 def landed_feed(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
-    """The raw ``feed`` table for ``sf_dir``, landed on first use.
-
-    The table is written to a private folder and renamed into place, so a
-    reader never sees a half-written table; nothing is ever deleted.
-    """
-    import uuid
-
-    from .. import session as S
+    """The raw ``feed`` table for ``sf_dir``, landed on first use."""
     from .catalog import read_raw
+    from .materialize import once
 
-    target = S.scratch_path(spark, f"landed/{_version_key(spark, sf_dir)}/{feed}")
-    fs, tp = _hadoop_fs(spark, target)
-    with _LAND_LOCK:
-        if fs.exists(tp.suffix("/_SUCCESS")):
-            return read_raw(spark, feed, target)
+    def build():
         li = read_lineitem(spark, sf_dir)
-        df = yellow_from_lineitem(li) if feed == "yellow" else fhv_from_lineitem(li)
-        tmp = f"{target}.tmp-{uuid.uuid4().hex[:12]}"
-        (df.write.mode("errorifexists").option("maxRecordsPerFile", LANDED_RECORDS_PER_FILE)
-           .partitionBy("year").parquet(tmp))
-        _, tmpp = _hadoop_fs(spark, tmp)
-        if not fs.exists(tp) and fs.rename(tmpp, tp):
-            return read_raw(spark, feed, target)
-        return read_raw(spark, feed, tmp)
+        return yellow_from_lineitem(li) if feed == "yellow" else fhv_from_lineitem(li)
+
+    return once(spark, f"landed/{input_version(spark, sf_dir)}/{feed}", build,
+                lambda path: read_raw(spark, feed, path), partition_by=("year",),
+                max_records_per_file=LANDED_RECORDS_PER_FILE)

@@ -160,3 +160,22 @@ def test_sample_exact_equals_brute_force(spark):
         want = y.withColumn("u", hash_unit(7, keys)).orderBy("u", *keys).limit(min(n, y.count())).drop("u")
         assert got.count() == min(n, y.count())
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("name", ["did_summary", "ab_test_result", "forecast_2026", "kpi_summary"])
+def test_rollup_path_equals_direct_path(spark, name):
+    direct = Q.QUERIES[name](spark, SF_MID).collect()
+    rolled = Q.QUERIES[f"{name}__rollup"](spark, SF_MID).collect()
+    assert len(direct) == len(rolled)
+    for a, b in zip(direct, rolled):
+        for x, y in zip(a, b):
+            if isinstance(x, float):
+                assert x == pytest.approx(y, rel=1e-9, abs=1e-9)
+            else:
+                assert x == y
+
+
+def test_rollup_is_small(spark):
+    r = Q.rollup(spark, SF_MID)
+    trips = Q.yellow(spark, SF_MID).count()
+    assert r.count() < trips and r.agg(F.sum("n")).first()[0] == trips
