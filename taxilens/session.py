@@ -6,8 +6,12 @@ takes a DataFrame.  These helpers exist for scripts, tests and ``bench.py``.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,17 +54,58 @@ def build_session(master: str | None = None, app: str = "taxilens",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on to a session made elsewhere."""
+    """Apply the settings results depend on to a session made elsewhere, and
+    make the package importable on the executors."""
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``addPyFile`` a zip of this package, once per SparkContext.
+
+    Pandas UDFs, ``applyInPandas`` and ``mapInPandas`` run functions of this
+    package on the executors, which must be able to import it.  The zip is
+    built in memory and written through the Hadoop file system API into the
+    shared checkpoint folder, so the same code works for local paths and
+    for cluster storage URLs.
+    """
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if id(sc) in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        data = buf.getvalue()
+        path = scratch_path(spark, f"pyfiles/taxilens-{hashlib.sha1(data).hexdigest()[:12]}.zip")
+        jvm = sc._jvm
+        hp = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(hp):
+            out = fs.create(hp, False)
+            out.write(bytearray(data))
+            out.close()
+        sc.addPyFile(path)
+        _SHIPPED.add(id(sc))
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     d = spark.conf.get("spark.checkpoint.dir", None)

@@ -141,12 +141,25 @@ import hashlib as _hashlib
 LANDED_RECORDS_PER_FILE = 50_000
 
 
+def _code_version() -> str:
+    """Hash of the code that shapes landed/materialized tables, so a code
+    change never reuses a table built by older code."""
+    import os
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = _hashlib.sha1()
+    for rel in ("sources/fixtures.py", "schemas.py", "operators/silver.py", "plans/rollup.py",
+                "functions/measures.py", "functions/exprs.py"):
+        with open(os.path.join(here, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def input_version(spark: SparkSession, sf_dir: str) -> str:
     """Identity of the input: path, size and modification time of ``lineitem``."""
     from .materialize import hadoop_path
     fs, p = hadoop_path(spark, f"{sf_dir}/lineitem.parquet")
     st = fs.getFileStatus(p)
-    raw = f"{p.toUri().toString()}|{st.getLen()}|{st.getModificationTime()}|v1"
+    raw = f"{p.toUri().toString()}|{st.getLen()}|{st.getModificationTime()}|{_code_version()}"
     return _hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
