@@ -2,19 +2,23 @@
 
 The reference draws ``ORDER BY rand() LIMIT n``.  Here every row gets a
 seeded hash value u in [0, 1); the sample is the n rows with the smallest u,
-which is a uniform sample without replacement that is identical on every
+a uniform sample without replacement that is identical on every
 recomputation.  It is found without sorting the table or pulling n rows
 through one task:
 
-1. a histogram of u over ``bins`` equal-width bins (one grouped aggregate;
-   ``bins`` rows reach the driver);
-2. the bin where the cumulative count reaches n is the boundary bin: every
-   row in a lower bin is in the sample;
-3. only the boundary bin (about N / bins rows) is ranked, to take the
-   remaining rows exactly.
+1. a histogram of u over ``bins`` equal-width bins (one grouped aggregate
+   with map-side combine; ``bins`` small rows reach the driver);
+2. the bin where the cumulative count reaches n is the boundary bin; every
+   row in a lower bin is in the sample.  While the boundary bin still holds
+   more than ``max_edge`` rows it is refined by a histogram of its own range
+   (the count of rows to rank shrinks by ~``bins`` per level);
+3. only the final boundary range is ranked.  Exact copies of a row share u,
+   so they are collapsed to (row, copies) first: a group of copies holding a
+   third of the table is one ranked row, and the needed number of copies is
+   re-emitted with ``array_repeat`` + ``explode``.
 
-Rows with equal hash values are ordered by the row key itself, so the size
-is always exactly min(n, N).
+Ties in u are ordered by the row key, so the size is always exactly
+min(n, N).
 """
 
 from __future__ import annotations
@@ -33,21 +37,46 @@ def hash_unit(seed: int, keys: Sequence[str]):
     return h.bitwiseAND(F.lit(_MASK)).cast("double") / F.lit(float(1 << 53))
 
 
-def sample_exact(df: DataFrame, n: int, *, keys: Sequence[str], seed: int = 42, bins: int = 4096) -> DataFrame:
-    """The ``n`` rows of ``df`` with the smallest seeded hash of ``keys``."""
-    u = df.withColumn("__u", hash_unit(seed, keys)).withColumn(
-        "__b", F.least(F.floor(F.col("__u") * bins), F.lit(bins - 1)).cast("int"))
-    hist = sorted((r["__b"], r["c"]) for r in u.groupBy("__b").agg(F.count(F.lit(1)).alias("c")).collect())
-    total, boundary, need = 0, None, 0
-    for b, c in hist:
-        if total + c >= n:
-            boundary, need = b, n - total
-            break
-        total += c
-    if boundary is None:          # fewer than n rows: the sample is everything
-        return df
-    inside = u.where(F.col("__b") < boundary)
-    edge = u.where(F.col("__b") == boundary)
-    w = Window.partitionBy("__b").orderBy("__u", *keys)
-    edge = edge.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= need).drop("__r")
-    return inside.unionByName(edge).drop("__u", "__b")
+def _histogram(u: DataFrame, in_range, lo: float, width: float, bins: int):
+    b = F.least(F.greatest(F.floor((F.col("__u") - F.lit(lo)) / F.lit(width)), F.lit(0)),
+                F.lit(bins - 1)).cast("int")
+    rows = u.where(in_range).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    return b, sorted((r["b"], r["c"]) for r in rows)
+
+
+def sample_exact(df: DataFrame, n: int, *, keys: Sequence[str], seed: int = 42, bins: int = 4096,
+                 max_edge: int = 200_000, max_levels: int = 4) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest seeded hash of ``keys``.
+
+    Membership of every level is defined by the same bin expressions that
+    were counted, so the counts and the selection can never disagree.
+    """
+    cols = df.columns
+    u = df.withColumn("__u", hash_unit(seed, keys))
+    in_range, inside = F.lit(True), F.lit(False)
+    lo, width, take = 0.0, 1.0 / bins, n
+    for level in range(max_levels):
+        b, hist = _histogram(u, in_range, lo, width, bins)
+        below, boundary, edge_rows = 0, None, 0
+        for bi, c in hist:
+            if below + c >= take:
+                boundary, edge_rows = bi, c
+                break
+            below += c
+        if boundary is None:            # fewer than n rows: the sample is everything
+            return df if level == 0 else u.where(inside | in_range).select(*cols)
+        inside = inside | (in_range & (b < boundary))
+        in_range = in_range & (b == boundary)
+        take -= below
+        lo, width = lo + boundary * width, width / bins
+        if edge_rows <= max_edge or edge_rows == sum(c for _, c in hist):
+            break                       # small enough, or copies of one value
+    picked_inside = u.where(inside).select(*cols)
+    edge = u.where(in_range).groupBy("__u", *cols).agg(F.count(F.lit(1)).alias("__copies"))
+    w = Window.partitionBy(F.lit(0)).orderBy("__u", *keys)
+    before = F.coalesce(F.sum("__copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = (edge.withColumn("__before", before)
+                .where(F.col("__before") < take)
+                .withColumn("__k", F.least(F.col("__copies"), F.lit(take) - F.col("__before")).cast("int")))
+    picked = edge.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("__k"))).alias("__x")).select(*cols)
+    return picked_inside.unionByName(picked)

@@ -179,3 +179,15 @@ def test_rollup_is_small(spark):
     r = Q.rollup(spark, SF_MID)
     trips = Q.yellow(spark, SF_MID).count()
     assert r.count() < trips and r.agg(F.sum("n")).first()[0] == trips
+
+
+def test_sample_exact_refines_and_collapses_copies(spark):
+    from taxilens.operators.sampling import hash_unit, sample_exact
+    base = spark.range(0, 3000).selectExpr("id", "id % 7 AS g")
+    copies = spark.range(0, 2000).selectExpr("-1 AS id", "0 AS g")     # one row repeated 2000 times
+    df = base.unionByName(copies)
+    for n in (10, 1500, 4000, 5000, 6000):
+        got = sample_exact(df, n, keys=["id", "g"], seed=3, bins=8, max_edge=50)
+        want = df.withColumn("u", hash_unit(3, ["id", "g"])).orderBy("u", "id", "g").limit(min(n, 5000)).drop("u")
+        assert got.count() == min(n, 5000)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
