@@ -40,6 +40,11 @@ TIERS = ("large", "medium", "small")
 CONTROL, TREATMENT = "control", "treatment"
 # v1 (random zone split) survives only as these two published numbers.
 V1_P_VALUE, V1_COHENS_D = 0.8660, 0.0284
+# Output names of the v3/v4 result marts (the reference's column contract;
+# the isolated unit is a parameter, the names are fixed).
+V3_EXPERIMENT, V3_DESIGN = "fee_increase_10pct_v3_non_jfk", "stratified_jfk_isolated"
+V3_REST_UPLIFT, V3_ISOLATED_UPLIFT = "revenue_uplift_nojfk", "jfk_uplift"
+V4_P_REST, V4_SIG_REST = "p_value_perm_nojfk", "significant_nojfk"
 # Load-time label of the per-tier result (replaces the boolean column).
 PASS_LABEL, FAIL_LABEL = "✅ pass", "✗ fail"
 # ---------------------------------------------------------------------------
@@ -333,13 +338,13 @@ def v3_result(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEE
     r = lambda c, d: X.round_half_even(c, d)
     iso_u = F.coalesce(F.col("uplift_iso"), F.lit(0.0))
     return one_row(w, imp, iso).select(
-        F.lit("fee_increase_10pct_v3_isolated").alias("experiment"),
-        F.lit("stratified_unit_isolated").alias("design"),
+        F.lit(V3_EXPERIMENT).alias("experiment"),
+        F.lit(V3_DESIGN).alias("design"),
         F.col("n_c").alias("control_zones"), F.col("n_t").alias("treatment_zones"),
         r("t_stat", 4).alias("t_statistic"), r("p_value", 4).alias("p_value"),
         r("cohens_d", 4).alias("cohens_d"), "significant",
-        r("uplift_rest", 0).alias("revenue_uplift_rest"),
-        r(iso_u, 0).alias("isolated_uplift"),
+        r("uplift_rest", 0).alias(V3_REST_UPLIFT),
+        r(iso_u, 0).alias(V3_ISOLATED_UPLIFT),
         r(iso_u + F.col("uplift_rest"), 0).alias("total_uplift"),
         F.when((F.col("p_value") < alpha) & (F.col("uplift_rest") > 0), F.lit("ROLL OUT"))
          .otherwise(F.lit("INCONCLUSIVE")).alias("recommendation"),
@@ -471,7 +476,7 @@ def design_comparison(v2: DataFrame, v3: DataFrame, v4: DataFrame, v5: DataFrame
         v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
                   F.lit("permutation (all)").alias("test"), F.col("p_value_perm_all").alias("p_value")),
         v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
-                  F.lit("permutation (rest)").alias("test"), F.col("p_value_perm_rest").alias("p_value")),
+                  F.lit("permutation (rest)").alias("test"), F.col(V4_P_REST).alias("p_value")),
         v5.select(F.lit("v5").alias("version"), F.lit("trip").alias("unit"),
                   F.lit("t-test").alias("test"), F.col("p_value")),
     ]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .experiment import CONTROL, TREATMENT
+from .experiment import CONTROL, TREATMENT, V4_P_REST, V4_SIG_REST
 
 N_REPLICATES = 10_000
 MAX_UNITS = 1_000_000   # 8 MB of doubles per arm, far under the broadcast budget
@@ -143,7 +143,7 @@ def v4_result(projected: DataFrame, projected_rest: DataFrame, *, revenue_uplift
         F.lit("permutation_bootstrap").alias("test_method"),
         "n_permutations",
         r("observed_diff", 0).alias("observed_diff"),
-        r("p_all", 4).alias("p_value_perm_all"), r("p_rest", 4).alias("p_value_perm_rest"),
+        r("p_all", 4).alias("p_value_perm_all"), r("p_rest", 4).alias(V4_P_REST),
         r("ci_lower", 0).alias("ci_lower"), r("ci_upper", 0).alias("ci_upper"),
-        (F.col("p_all") < alpha).alias("significant_all"), (F.col("p_rest") < alpha).alias("significant_rest"),
+        (F.col("p_all") < alpha).alias("significant_all"), (F.col("p_rest") < alpha).alias(V4_SIG_REST),
         r("revenue_uplift", 0).alias("revenue_uplift_usd"))
