@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import session as S
 from ..operators import policy, seasonal, silver, yoy, zone
@@ -661,3 +662,19 @@ def _rollup_queries():
 
 for _name, _fn in _rollup_queries().items():
     QUERIES[f"{_name}__rollup"] = _fn
+
+
+@query("did_effect")
+def _q_did_effect(spark, sf_dir):
+    """C1 + C7: the DiD percentage and its reduction label."""
+    from ..operators import did
+    d = did.did_2x2(_panel(spark, sf_dir))
+    return d.select("did_estimate", "did_pct", did.effect_label("did_pct").alias("effect_label"))
+
+
+@query("row_counts")
+def _q_row_counts(spark, sf_dir):
+    """Total rows per raw table."""
+    from ..sources import catalog
+    return catalog.total_count(raw_yellow(spark, sf_dir)).withColumn("feed", F.lit("yellow")).unionByName(
+        catalog.total_count(raw_fhv(spark, sf_dir)).withColumn("feed", F.lit("fhv")))

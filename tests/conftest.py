@@ -11,10 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from taxilens.session import build_session
+    wh = str(tmp_path_factory.mktemp("warehouse"))
     s = build_session("local[*]", app="taxilens-tests", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "8g"})
+                      extra={"spark.driver.memory": "8g", "spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 

@@ -99,3 +99,21 @@ def test_sinks_and_mart_registry(spark, tmp_root):
     p = write_mart(Q.QUERIES["monthly_trend"](spark, SF_SMALL), os.path.join(tmp_root, "csv_mt"), fmt="csv")
     back = read_mart_csv(spark, p)
     assert back.count() == 51 and "total_trips" in back.columns
+
+
+def test_declared_table_and_table_load(spark, tmp_root):
+    from taxilens.sources.sinks import load_table
+    raw = Q.raw_yellow(spark, SF_SMALL)
+    base = os.path.join(tmp_root, "declared", "yellow")
+    raw.write.mode("overwrite").partitionBy("year").parquet(base)
+    catalog.declare_table(spark, "yellow_trips", "yellow", base)
+    got = {r.year: r.trips for r in spark.sql(
+        "SELECT year, COUNT(*) AS trips FROM yellow_trips GROUP BY year").collect()}
+    want = {r.year: r.trips for r in catalog.partition_counts({"yellow": raw}).collect()}
+    assert got == want
+    pruned = spark.sql("SELECT COUNT(*) FROM yellow_trips WHERE year = 2024")
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year" in plan
+    assert pruned.first()[0] == want[2024]
+    n = load_table(spark, Q.QUERIES["kpi_summary"](spark, SF_SMALL), "kpi_summary_mart")
+    assert n == 1 and spark.table("kpi_summary_mart").columns[0] == "total_zones"
