@@ -30,6 +30,12 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark 4 records the Python call site of every DataFrame/Column call
+    # (error context), costing several py4j round trips per expression.
+    # Plans here are built from hundreds of expressions, so batch sessions
+    # made by this package switch it off; sessions made elsewhere are left
+    # as they are.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Joins are planned from sizes Catalyst can prove; anything it cannot
     # bound goes through a shuffle join.  10 MB is Spark's default and is
     # kept explicit so the choice is visible.

@@ -141,9 +141,14 @@ import hashlib as _hashlib
 LANDED_RECORDS_PER_FILE = 50_000
 
 
+_CODE_VERSION: list[str] = []
+
+
 def _code_version() -> str:
     """Hash of the code that shapes landed/materialized tables, so a code
-    change never reuses a table built by older code."""
+    change never reuses a table built by older code (computed once)."""
+    if _CODE_VERSION:
+        return _CODE_VERSION[0]
     import os
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = _hashlib.sha1()
@@ -151,7 +156,8 @@ def _code_version() -> str:
                 "functions/measures.py", "functions/exprs.py"):
         with open(os.path.join(here, rel), "rb") as f:
             h.update(f.read())
-    return h.hexdigest()[:12]
+    _CODE_VERSION.append(h.hexdigest()[:12])
+    return _CODE_VERSION[0]
 
 
 def input_version(spark: SparkSession, sf_dir: str) -> str:
