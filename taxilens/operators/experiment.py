@@ -346,8 +346,7 @@ def v3_result(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEE
         r("uplift_rest", 0).alias(V3_REST_UPLIFT),
         r(iso_u, 0).alias(V3_ISOLATED_UPLIFT),
         r(iso_u + F.col("uplift_rest"), 0).alias("total_uplift"),
-        F.when((F.col("p_value") < alpha) & (F.col("uplift_rest") > 0), F.lit("ROLL OUT"))
-         .otherwise(F.lit("INCONCLUSIVE")).alias("recommendation"),
+        decision(F.col("p_value"), F.col("uplift_rest"), alpha).alias("recommendation"),
     )
 
 
