@@ -103,3 +103,31 @@ def test_extended_union_shares_schema(spark):
     assert set(u.select("dataset").distinct().toPandas()["dataset"]) == {"yellow", "fhv"}
     r = u.where("dataset = 'fhv'").select("passenger_count").distinct().collect()
     assert [x.passenger_count for x in r] == [1]
+
+
+def _silver_rows(spark, rows):
+    schema = ("pickup_time timestamp_ntz, year int, month int, pickup_hour int, quarter int, time_bucket string, "
+              "is_congestion_era int, pickup_zone int, dropoff_zone int, fare_amount double, trip_distance double, "
+              "fare_per_km double, congestion_fee double")
+    return spark.createDataFrame(rows, schema)
+
+
+def test_elasticity_lag_skips_filtered_bucket(spark):
+    from taxilens.operators import zone
+    t = dt.datetime(2024, 5, 1, 12)
+    rows = []
+    # buckets 10 (3 trips), 15 (3 trips), 20 (1 trip: below the minimum), 25 (6 trips)
+    for fare, k in ((11.0, 3), (16.0, 3), (21.0, 1), (26.0, 6)):
+        rows += [(t, 2024, 5, 12, 2, "off_peak", 0, 7, 8, fare, 2.0, fare / 2.0, 0.0)] * k
+    out = zone.elasticity(_silver_rows(spark, rows), min_trips=2).collect()
+    assert [r.fare_bucket for r in out] == [10.0, 15.0, 25.0]
+    assert out[2].pct_demand_change == 100.0      # 6 vs 3 (bucket 15), not vs bucket 20
+
+
+def test_top_k_ties_break_on_lower_zone(spark):
+    from taxilens.operators import zone
+    t = dt.datetime(2024, 5, 1, 12)
+    rows = [(t, 2024, 5, 12, 2, "off_peak", 0, z, 1, 10.0, 2.0, 5.0, 0.0) for z in (9, 3, 5) for _ in range(4)]
+    out = zone.zone_performance(_silver_rows(spark, rows), limit=2).collect()
+    assert [r.pickup_zone for r in out] == [3, 5]
+    assert all(r.demand_index_vs_avg == 1.0 for r in out)
