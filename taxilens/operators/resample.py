@@ -1,12 +1,13 @@
 """Permutation test and bootstrap interval.
 
-The replicates are the distributed dimension: ``spark.range(R)`` is spread
-over tasks and each task draws its replicates with numpy inside
-``mapInPandas`` (Arrow batches).  The unit values (one per zone) are
-shipped once as a broadcast variable; their count is checked against
-``max_units`` first, so the broadcast has a proven size bound.  Every
-replicate seeds its own generator from (seed, replicate id), so results do
-not depend on how replicates are split across tasks or on task retries.
+The replicates are the distributed dimension: chunks of replicate ids
+(``spark.range``) are spread over tasks and each task draws its replicates
+with numpy inside ``mapInPandas`` (Arrow batches).  The unit values (one
+per zone) enter the plan once, as a scalar subquery of two sorted arrays
+whose size is bounded by ``max_units`` inside the plan; nothing is
+collected in Python.  Every replicate seeds its own generator from
+(seed, replicate id), so results do not depend on how replicates are split
+across tasks or on task retries.
 The p-value and the percentile interval are Spark aggregates over the
 replicate table.
 """
@@ -15,74 +16,83 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .experiment import CONTROL, TREATMENT, V4_P_REST, V4_SIG_REST
 
 N_REPLICATES = 10_000
 MAX_UNITS = 1_000_000   # 8 MB of doubles per arm, far under the broadcast budget
+CHUNK = 250             # replicates per task input row
 REPLICATE_SCHEMA = "replicate long, diff double"
 
 
-def _arm_arrays(units: DataFrame, value: str, arm: str, max_units: int):
-    # One job: fetch at most max_units + 1 rows, so the size check and the
-    # fetch are the same action and an oversized input is never pulled whole.
-    rows = (units.select(F.col(arm).alias("a"), F.col(value).cast("double").alias("v"))
-            .limit(max_units + 1).collect())
-    if len(rows) > max_units:
-        raise ValueError(f"more than {max_units} units exceed the broadcast bound; "
-                         "use a trip-level (Poisson) bootstrap instead")
-    ctrl = np.array([r.v for r in rows if r.a == CONTROL], dtype=float)
-    treat = np.array([r.v for r in rows if r.a == TREATMENT], dtype=float)
-    return ctrl, treat
+def _arms_value(units: DataFrame, value: str, arm: str, max_units: int) -> Column:
+    """Both arms' values as one struct of sorted arrays, a scalar subquery.
+
+    Sorting makes the replicates independent of partition order; the size
+    bound is checked inside the plan (``raise_error``), so an oversized
+    input fails instead of being shipped.
+    """
+    v = F.col(value).cast("double")
+    packed = units.agg(
+        F.array_sort(F.collect_list(F.when(F.col(arm) == CONTROL, v))).alias("c"),
+        F.array_sort(F.collect_list(F.when(F.col(arm) == TREATMENT, v))).alias("t"),
+        F.count(F.lit(1)).alias("n"))
+    checked = packed.select(
+        F.when(F.col("n") <= max_units, F.struct("c", "t"))
+         .otherwise(F.raise_error(F.lit(f"more than {max_units} units: use a trip-level bootstrap")))
+         .alias("v"))
+    return checked.scalar()
+
+
+def _chunks(units: DataFrame, n: int, value: str, arm: str, max_units: int, partitions: int | None):
+    spark = units.sparkSession
+    k = -(-n // CHUNK)
+    p = partitions or max(1, min(spark.sparkContext.defaultParallelism * 2, k))
+    return spark.range(0, k, 1, p).withColumnRenamed("id", "chunk") \
+        .withColumn("v", _arms_value(units, value, arm, max_units))
 
 
-def _replicates(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
-    p = partitions or max(1, min(spark.sparkContext.defaultParallelism * 2, n // 500 + 1))
-    return spark.range(0, n, 1, p).withColumnRenamed("id", "replicate")
+def _replicate_ids(chunk: int, n: int):
+    return range(chunk * CHUNK, min(n, (chunk + 1) * CHUNK))
 
 
 def permutation_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
                       n: int = N_REPLICATES, seed: int = 42, partitions: int | None = None,
                       max_units: int = MAX_UNITS) -> DataFrame:
     """Replicate table of mean(treatment) - mean(control) under relabelling."""
-    spark = units.sparkSession
-    ctrl, treat = _arm_arrays(units, value, arm, max_units)
-    bc = spark.sparkContext.broadcast((np.concatenate([ctrl, treat]), len(treat)))
-
     def run(batches):
-        pooled, n_t = bc.value
         for b in batches:
-            reps = b["replicate"].to_numpy()
-            out = np.empty(len(reps))
-            for i, r in enumerate(reps):
-                perm = np.random.default_rng([seed, 1, int(r)]).permutation(pooled)
-                out[i] = perm[:n_t].mean() - perm[n_t:].mean()
-            yield pd.DataFrame({"replicate": reps, "diff": out})
+            reps, out = [], []
+            for chunk, v in zip(b["chunk"], b["v"]):
+                c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
+                pooled, n_t = np.concatenate([c, t]), len(t)
+                for r in _replicate_ids(int(chunk), n):
+                    perm = np.random.default_rng([seed, 1, r]).permutation(pooled)
+                    reps.append(r)
+                    out.append(perm[:n_t].mean() - perm[n_t:].mean())
+            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out)})
 
-    return _replicates(spark, n, partitions).mapInPandas(run, REPLICATE_SCHEMA)
+    return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
 
 
 def bootstrap_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
                     n: int = N_REPLICATES, seed: int = 42, partitions: int | None = None,
                     max_units: int = MAX_UNITS) -> DataFrame:
     """Replicate table of resampled mean(treatment) - mean(control)."""
-    spark = units.sparkSession
-    ctrl, treat = _arm_arrays(units, value, arm, max_units)
-    bc = spark.sparkContext.broadcast((ctrl, treat))
-
     def run(batches):
-        c, t = bc.value
         for b in batches:
-            reps = b["replicate"].to_numpy()
-            out = np.empty(len(reps))
-            for i, r in enumerate(reps):
-                g = np.random.default_rng([seed, 2, int(r)])
-                out[i] = t[g.integers(0, len(t), len(t))].mean() - c[g.integers(0, len(c), len(c))].mean()
-            yield pd.DataFrame({"replicate": reps, "diff": out})
-
-    return _replicates(spark, n, partitions).mapInPandas(run, REPLICATE_SCHEMA)
+            reps, out = [], []
+            for chunk, v in zip(b["chunk"], b["v"]):
+                c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
+                for r in _replicate_ids(int(chunk), n):
+                    g = np.random.default_rng([seed, 2, r])
+                    reps.append(r)
+                    out.append(t[g.integers(0, len(t), len(t))].mean() - c[g.integers(0, len(c), len(c))].mean())
+            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out)})
+
+    return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
 
 
 def observed_diff(units: DataFrame, *, value: str = "sim_trips", arm: str = "group") -> DataFrame:

@@ -114,8 +114,8 @@ def test_permutation_and_bootstrap_reproducible_and_exact(spark):
     b = R.permutation_diffs(proj, n=300, partitions=5).orderBy("replicate").toPandas()
     np.testing.assert_array_equal(a["diff"].to_numpy(), b["diff"].to_numpy())
     pdf = proj.toPandas()
-    c = pdf.loc[pdf.group == "control", "sim_trips"].to_numpy(float)
-    t = pdf.loc[pdf.group == "treatment", "sim_trips"].to_numpy(float)
+    c = np.sort(pdf.loc[pdf.group == "control", "sim_trips"].to_numpy(float))
+    t = np.sort(pdf.loc[pdf.group == "treatment", "sim_trips"].to_numpy(float))
     pooled = np.concatenate([c, t])
     want = []
     for r in range(300):
@@ -191,3 +191,9 @@ def test_sample_exact_refines_and_collapses_copies(spark):
         want = df.withColumn("u", hash_unit(3, ["id", "g"])).orderBy("u", "id", "g").limit(min(n, 5000)).drop("u")
         assert got.count() == min(n, 5000)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_resampling_refuses_oversized_units(spark):
+    proj = Q._projected(spark, SF_SMALL)
+    with pytest.raises(Exception, match="more than 3 units"):
+        R.permutation_diffs(proj, n=10, max_units=3).collect()
