@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def attach_global(df: DataFrame, **aggs: Column) -> DataFrame:
     """Add whole-table aggregates of ``df`` as columns of every row.
 
-    This replaces ``agg(...) OVER ()``, which would move every row into one
-    task.  The aggregates run as ordinary partial/final aggregation and enter
-    the plan as one scalar subquery (one row, computed once), so no join is
-    planned at all.
+    Only for tables bounded by a dimension (one row per zone, tier, year
+    ...), never for trip-level data: the aggregate is a window over the
+    whole (small) table, so the table's own plan, and the trip scan below
+    it, runs once.  A scalar subquery or a join would run that plan a
+    second time, i.e. scan the trips twice.
     """
-    names = list(aggs)
-    packed = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("v")).select("v")
-    out = df.withColumn("__g", packed.scalar())
-    return out.select(*[c for c in df.columns], *[F.col(f"__g.{n}").alias(n) for n in names])
+    w = Window.partitionBy(F.lit(0))
+    return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
 
 
 def top_k(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

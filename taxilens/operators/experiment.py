@@ -176,8 +176,10 @@ def zone_detail(projected: DataFrame, *, tier: str = "tier", group: str = "group
 
 
 # ------------------------------------------------------------------ tests
-def arm_moments(df: DataFrame, value: str | Column, arm: str = "group", by: Sequence[str] = ()) -> DataFrame:
-    """Per-arm n, mean, sample variance and population variance of ``value``."""
+def arm_moments(df: DataFrame, value: str | Column, arm: str = "group", by: Sequence[str] = (),
+                extra: Sequence[Column] = ()) -> DataFrame:
+    """Per-arm n, mean, sample variance and population variance of ``value``
+    (plus any ``extra`` aggregates, computed in the same pass)."""
     v = X.col(value).cast("double")
     aggs = []
     for tag, label in (("c", CONTROL), ("t", TREATMENT)):
@@ -186,7 +188,7 @@ def arm_moments(df: DataFrame, value: str | Column, arm: str = "group", by: Sequ
         aggs += [X.count_if(sel & v.isNotNull()).alias(f"n_{tag}"), F.avg(x).alias(f"mean_{tag}"),
                  F.var_samp(x).alias(f"var_{tag}"), F.var_pop(x).alias(f"varp_{tag}"),
                  F.sum(x).alias(f"sum_{tag}")]
-    return (df.groupBy(*by) if by else df).agg(*aggs)
+    return (df.groupBy(*by) if by else df).agg(*aggs, *extra)
 
 
 def welch_columns(m: DataFrame, *, ddof_d: int = 0, d_direction: str = "control_minus_treatment") -> DataFrame:
@@ -378,13 +380,25 @@ def assign_trips(silver: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash
                         .otherwise(F.col("fare_amount")))
 
 
+def trip_summary(trips: DataFrame, *, threshold: float = HIGH_FARE) -> DataFrame:
+    """All per-arm statistics of the trip-level design in ONE aggregation
+    (one scan of the trips): simulated-fare moments, observed-fare means
+    and high-fare counts."""
+    c, t = F.col("group") == CONTROL, F.col("group") == TREATMENT
+    hi = (F.col("sim_fare") > F.lit(float(threshold))).cast("double")
+    m = arm_moments(trips, "sim_fare", extra=[
+        X.avg_if(c, "fare_amount").alias("ctrl_avg_fare"), X.avg_if(t, "fare_amount").alias("treat_avg_fare"),
+        X.sum_if(c, hi).alias("k_c"), X.sum_if(t, hi).alias("k_t")])
+    return welch_columns(m, ddof_d=1, d_direction="treatment_minus_control")
+
+
 def trip_welch(trips: DataFrame) -> DataFrame:
     """X14 + X9 + X16: fare test on simulated fares, balance and revenue uplift."""
-    m = arm_moments(trips, "sim_fare")
-    bal = arm_moments(trips, "fare_amount").select(
-        F.col("mean_c").alias("ctrl_avg_fare"), F.col("mean_t").alias("treat_avg_fare"))
-    w = welch_columns(m, ddof_d=1, d_direction="treatment_minus_control")
-    return one_row(w, bal).select(
+    return _trip_welch_cols(trip_summary(trips))
+
+
+def _trip_welch_cols(w: DataFrame) -> DataFrame:
+    return w.select(
         F.col("n_c").alias("control_trips"), F.col("n_t").alias("treatment_trips"),
         "ctrl_avg_fare", "treat_avg_fare",
         (F.col("treat_avg_fare") - F.col("ctrl_avg_fare")).alias("balance_diff"),
@@ -397,18 +411,19 @@ def trip_welch(trips: DataFrame) -> DataFrame:
 
 def prop_ztest(trips: DataFrame, *, threshold: float = HIGH_FARE) -> DataFrame:
     """Two-proportion z test of sim_fare > threshold between arms."""
-    hi = (F.col("sim_fare") > F.lit(float(threshold))).cast("double")
-    c, t = F.col("group") == CONTROL, F.col("group") == TREATMENT
-    s = trips.agg(X.count_if(c).alias("n_c"), X.count_if(t).alias("n_t"),
-                  X.sum_if(c, hi).alias("k_c"), X.sum_if(t, hi).alias("k_t"))
+    return _with_prop(trip_summary(trips, threshold=threshold)).select(
+        "n_c", "n_t", "ctrl_rate", "treat_rate", "rate_diff", "z_stat")
+
+
+def _with_prop(s: DataFrame) -> DataFrame:
+    """Add the proportion-test columns to a ``trip_summary`` row."""
     s = (s.withColumn("ctrl_rate", X.div("k_c", "n_c"))
           .withColumn("treat_rate", X.div("k_t", "n_t"))
           .withColumn("p_pool", X.div(F.col("k_c") + F.col("k_t"), F.col("n_c") + F.col("n_t"))))
     se = F.sqrt(F.col("p_pool") * (1 - F.col("p_pool")) * (X.div(F.lit(1.0), "n_c") + X.div(F.lit(1.0), "n_t")))
-    return s.select("n_c", "n_t", "ctrl_rate", "treat_rate",
-                    (F.col("treat_rate") - F.col("ctrl_rate")).alias("rate_diff"),
-                    F.when(se > 0, (F.col("treat_rate") - F.col("ctrl_rate")) / se)
-                     .otherwise(F.lit(0.0)).alias("z_stat"))
+    return (s.withColumn("rate_diff", F.col("treat_rate") - F.col("ctrl_rate"))
+             .withColumn("z_stat", F.when(se > 0, (F.col("treat_rate") - F.col("ctrl_rate")) / se)
+                         .otherwise(F.lit(0.0))))
 
 
 def welch_by_bucket(trips: DataFrame, *, min_n: int = 30) -> DataFrame:
@@ -442,19 +457,20 @@ def two_year_fare_test(silver: DataFrame, *, pre: int = 2024, post: int = 2025,
 
 
 def v5_result(trips: DataFrame, *, alpha: float = ALPHA, multiplier: float = SURGE_MULTIPLIER) -> DataFrame:
-    """The 14-column trip-level result (full population, no sample)."""
-    w = trip_welch(trips).withColumn("p_value", dist.t_two_sided_p(F.col("t_stat"), F.col("df")))
-    z = prop_ztest(trips).withColumn("prop_test_p", dist.normal_two_sided_p(F.col("z_stat")))
+    """The 14-column trip-level result (full population, one trip scan)."""
+    s = _with_prop(trip_summary(trips))
+    s = (s.withColumn("p_value", dist.t_two_sided_p(F.col("t_stat"), F.col("df")))
+          .withColumn("prop_test_p", dist.normal_two_sided_p(F.col("z_stat"))))
     r = lambda c, d: X.round_half_even(c, d)
-    return one_row(w, z.select("ctrl_rate", "treat_rate", "prop_test_p")).select(
+    return s.select(
         F.lit("fee_increase_10pct_v5_trip_level").alias("experiment"),
         F.lit("trip").alias("unit"),
-        (F.col("control_trips") + F.col("treatment_trips")).alias("sample_size"),
-        "control_trips", "treatment_trips",
+        (F.col("n_c") + F.col("n_t")).alias("sample_size"),
+        F.col("n_c").alias("control_trips"), F.col("n_t").alias("treatment_trips"),
         F.lit(float(multiplier)).alias("surge_multiplier"),
         r("t_stat", 4).alias("t_statistic"), r("p_value", 6).alias("p_value"),
         r("cohens_d", 4).alias("cohens_d"), (F.col("p_value") < alpha).alias("significant"),
-        r("revenue_uplift_pct", 2).alias("revenue_uplift_pct"),
+        r(X.div(F.col("sum_t") - F.col("sum_c"), F.col("sum_c")) * F.lit(100.0), 2).alias("revenue_uplift_pct"),
         r("ctrl_rate", 4).alias("high_fare_rate_ctrl"), r("treat_rate", 4).alias("high_fare_rate_treat"),
         r("prop_test_p", 6).alias("prop_test_p"),
     )

@@ -24,7 +24,7 @@ from .experiment import CONTROL, TREATMENT, V4_P_REST, V4_SIG_REST
 N_REPLICATES = 10_000
 MAX_UNITS = 1_000_000   # 8 MB of doubles per arm, far under the broadcast budget
 CHUNK = 250             # replicates per task input row
-REPLICATE_SCHEMA = "replicate long, diff double"
+REPLICATE_SCHEMA = "replicate long, diff double, observed_diff double"
 
 
 def _arms_value(units: DataFrame, value: str, arm: str, max_units: int) -> Column:
@@ -68,11 +68,13 @@ def permutation_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str =
             for chunk, v in zip(b["chunk"], b["v"]):
                 c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
                 pooled, n_t = np.concatenate([c, t]), len(t)
+                obs = t.mean() - c.mean()
                 for r in _replicate_ids(int(chunk), n):
                     perm = np.random.default_rng([seed, 1, r]).permutation(pooled)
                     reps.append(r)
                     out.append(perm[:n_t].mean() - perm[n_t:].mean())
-            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out)})
+            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out),
+                                "observed_diff": obs if reps else np.asarray([], dtype=float)})
 
     return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
 
@@ -86,11 +88,13 @@ def bootstrap_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "g
             reps, out = [], []
             for chunk, v in zip(b["chunk"], b["v"]):
                 c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
+                obs = t.mean() - c.mean()
                 for r in _replicate_ids(int(chunk), n):
                     g = np.random.default_rng([seed, 2, r])
                     reps.append(r)
                     out.append(t[g.integers(0, len(t), len(t))].mean() - c[g.integers(0, len(c), len(c))].mean())
-            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out)})
+            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out),
+                                "observed_diff": obs if reps else np.asarray([], dtype=float)})
 
     return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
 
@@ -104,32 +108,28 @@ def observed_diff(units: DataFrame, *, value: str = "sim_trips", arm: str = "gro
 def permutation_test(units: DataFrame, *, corrected: bool = False, **kw) -> DataFrame:
     """X11: two-sided permutation p-value, share of |perm| >= |observed|.
 
-    The reference has no +1 correction; ``corrected=True`` gives
-    (k + 1) / (R + 1).
+    The observed difference comes from the same unit arrays as the
+    replicates, so the units are computed once.  The reference has no +1
+    correction; ``corrected=True`` gives (k + 1) / (R + 1).
     """
-    obs = observed_diff(units, value=kw.get("value", "sim_trips"), arm=kw.get("arm", "group"))
     reps = permutation_diffs(units, **kw)
-    from ..functions.frames import one_row
-    j = one_row(reps, obs)
     hit = (F.abs(F.col("diff")) >= F.abs(F.col("observed_diff"))).cast("double")
-    agg = j.agg(F.first("observed_diff").alias("observed_diff"),
-                F.count(F.lit(1)).alias("n_permutations"),
-                F.sum(hit).alias("_k"))
+    agg = reps.agg(F.first("observed_diff").alias("observed_diff"),
+                   F.count(F.lit(1)).alias("n_permutations"),
+                   F.sum(hit).alias("_k"))
     p = (F.col("_k") + 1) / (F.col("n_permutations") + 1) if corrected else F.col("_k") / F.col("n_permutations")
     return agg.select("observed_diff", "n_permutations", p.alias("p_value"))
 
 
 def bootstrap_ci(units: DataFrame, *, level: float = 0.95, **kw) -> DataFrame:
     """Percentile interval of the difference, bootstrap SE and effect / SE."""
-    obs = observed_diff(units, value=kw.get("value", "sim_trips"), arm=kw.get("arm", "group"))
     reps = bootstrap_diffs(units, **kw)
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    s = reps.agg(F.count(F.lit(1)).alias("n_bootstraps"),
+    s = reps.agg(F.first("observed_diff").alias("observed_diff"),
+                 F.count(F.lit(1)).alias("n_bootstraps"),
                  F.percentile("diff", lo).alias("ci_lower"), F.percentile("diff", hi).alias("ci_upper"),
                  F.stddev_pop("diff").alias("boot_se"))
-    from ..functions.frames import one_row
-    out = one_row(s, obs)
-    return out.select(
+    return s.select(
         "observed_diff", "n_bootstraps", "ci_lower", "ci_upper", "boot_se",
         F.when(F.col("boot_se") > 0, F.col("observed_diff") / F.col("boot_se")).otherwise(F.lit(0.0))
          .alias("effect_over_se"),
