@@ -72,12 +72,13 @@ def _cell(t: int, p: int):
     return (F.col("treated") == t) & (F.col("post") == p)
 
 
-def did_2x2(panel: DataFrame, value: str = "trip_count") -> DataFrame:
+def did_2x2(panel: DataFrame, value: str = "trip_count", extra=()) -> DataFrame:
     """The 2x2 table of panel means and the DiD estimate."""
     v = F.col(value).cast("double")
     m = panel.agg(
         X.avg_if(_cell(1, 0), v).alias("cbd_before"), X.avg_if(_cell(1, 1), v).alias("cbd_after"),
         X.avg_if(_cell(0, 0), v).alias("noncbd_before"), X.avg_if(_cell(0, 1), v).alias("noncbd_after"),
+        *extra,
     )
     est = (F.col("cbd_after") - F.col("cbd_before")) - (F.col("noncbd_after") - F.col("noncbd_before"))
     return (m.withColumn("did_estimate", est)
@@ -107,12 +108,10 @@ def parallel_trends_check(trends: DataFrame, *, tolerance: float = 5.0) -> DataF
 
 
 def implied_elasticity(panel: DataFrame) -> DataFrame:
-    """DiD demand change over the fee's share of the treated pre-period fare."""
-    d = did_2x2(panel).select("cbd_before", "did_pct")
-    f = panel.agg(X.avg_if(_cell(1, 1), "avg_congestion_fee").alias("avg_congestion_fee"),
-                  X.avg_if(_cell(1, 0), "avg_fare").alias("cbd_fare_before"))
-    from ..functions.frames import one_row
-    out = one_row(d, f).withColumn(
+    """DiD demand change over the fee's share of the treated pre-period fare
+    (one aggregation of the panel)."""
+    out = did_2x2(panel, extra=[X.avg_if(_cell(1, 1), "avg_congestion_fee").alias("avg_congestion_fee"),
+                                X.avg_if(_cell(1, 0), "avg_fare").alias("cbd_fare_before")]).withColumn(
         "pct_price_change", X.div("avg_congestion_fee", "cbd_fare_before") * F.lit(100.0))
     return out.select(
         "avg_congestion_fee", "cbd_fare_before", "pct_price_change", "did_pct",

@@ -40,17 +40,20 @@ def zone_performance(silver: DataFrame, *, years=RECENT_YEARS, limit: int = 20)
 def peak_hours(silver: DataFrame, *, years=RECENT_YEARS, top_zones: int = 10) -> DataFrame:
     """A2: hourly demand profile of the busiest zones.
 
-    One scan: trips are aggregated to (zone, hour, bucket) once; the zone
-    ranking is derived from that aggregate and applied as a broadcast
-    left-semi join (at most ``top_zones`` keys).
+    One scan: trips are aggregated to (zone, hour, bucket) once (at most
+    zones x 24 rows).  Zone totals and the zone ranking are windows over
+    that small aggregate, so the trips are never read a second time for the
+    ranking.  The ranking window spans the whole aggregate, bounded by the
+    zone and hour dimensions.
     """
     m = measures(silver)
     hourly = (years_filter(silver, years)
               .groupBy("pickup_zone", "pickup_hour", "time_bucket")
               .agg(m.n().alias("trip_count"), m.avg("fare_amount").alias("_fare")))
-    ranked = top_k(hourly.groupBy("pickup_zone").agg(F.sum("trip_count").alias("_n")),
-                   top_zones, [F.col("_n").desc(), F.col("pickup_zone").asc()]).select("pickup_zone")
-    kept = hourly.join(F.broadcast(ranked), "pickup_zone", "left_semi")
+    hourly = hourly.withColumn("_zone_n", F.sum("trip_count").over(Window.partitionBy("pickup_zone")))
+    rank = F.dense_rank().over(Window.partitionBy(F.lit(0))
+                               .orderBy(F.col("_zone_n").desc(), F.col("pickup_zone").asc()))
+    kept = hourly.withColumn("_rank", rank).where(F.col("_rank") <= top_zones)
     w = Window.partitionBy("pickup_zone")
     return kept.select(
         "pickup_zone", "pickup_hour", "time_bucket", "trip_count",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import session as S
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()   # re-entrant: building one table may materialize its inputs
 
 
 def hadoop_path(spark: SparkSession, path: str):
