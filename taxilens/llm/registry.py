@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_fair_mix
+from .quality import op9_quality_rules
 from .token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op5_fair_mix": op5_fair_mix,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
     "op5_fair_mix": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
