@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_fair_mix
+from .pii import op8_pii
 from .quality import op9_quality_rules
 from .token_store import op1_token_store
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op5_fair_mix": op5_fair_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
 }
 
