@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op4_jaccard_join
 from .language import op2_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_fair_mix
@@ -12,6 +13,7 @@ from .token_store import op1_token_store
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_fair_mix": op5_fair_mix,
     "op6_line_dedup": op6_line_dedup,
     "op8_pii": op8_pii,
