@@ -79,7 +79,7 @@ class Encoder:
         if len(self.parts) > CACHE_WORDS:
             self.parts = {"": b""}
         split = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in words}
-        need = list({p for s in split.values() for p in s} - self.parts.keys())
+        need = [p for p in {p for s in split.values() for p in s} if p not in self.parts]
         for p, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False), strict=True):
             self.parts[p] = np.asarray(e.ids, dtype="<u4").tobytes()
         for w, (a, b) in split.items():
@@ -94,8 +94,8 @@ class Encoder:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            words_set = set(words)
-            self._learn(words_set - self.cache.keys() if len(self.cache) + len(words_set) <= CACHE_WORDS else words_set)
+            new = {w for w in words if w not in self.cache}
+            self._learn(new if len(self.cache) + len(new) <= CACHE_WORDS else set(words))
             return b"".join(map(self.cache.__getitem__, words))
 
 
