@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from taxilens.session import scratch_path
 
-from .common import documents
+from .common import documents, pieces
 
 MAGIC = b"TOKSTOR1"
 HEAD = struct.Struct("<8s16sI")
@@ -51,8 +51,12 @@ DICT_BYTES = 64 << 10
 LEVEL = 3
 #: A block is closed when its frames hold so many ids.
 BLOCK_TOKENS = 1 << 19
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: What a Python worker remembers of words (each as written) and of parts.
+CACHE_WORDS = 250_000
+CACHE_PARTS = 1_200_000
+LINE_WORDS = 500
+#: Texts encoded at once: so many characters, one text at least.
+BATCH_CHARS = 1 << 20
 
 #: Letters that no composition, case rule or contraction ties to a neighbour.
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
@@ -63,40 +67,74 @@ class Encoder:
 
     No token of the vocabulary and no step before the merges reaches across
     ASCII white space, so a text's ids are those of its white-space-separated
-    words, joined.  The library encodes each word that is not yet remembered;
-    a plain word with closing punctuation is remembered as its two parts.
+    words, joined.  A worker remembers words and, longer, their parts: a
+    plain word in lower case, its closing punctuation, or any other word
+    whole.  The library encodes what is new; plain words go to it in lines,
+    whose ids fall apart at the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+
+    def _encode(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.parts[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _encode_plain(self, parts: list[str]) -> None:
+        lines = [parts[i:i + LINE_WORDS] for i in range(0, len(parts), LINE_WORDS)]
+        for line, e in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(to) != len(line):
+                self._encode(line)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, t in zip(line, to, strict=True):
+                self.parts[p] = raw[at:t]
+                at = t
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache = {"": b""}
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.parts) + len(words) > CACHE_PARTS:
             self.parts = {"": b""}
-        split = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in words}
-        need = [p for p in {p for s in split.values() for p in s} if p not in self.parts]
-        for p, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            self.parts[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+        split, plain, other = {}, set(), set()
+        parts = self.parts
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            a, b = (m[1].lower(), m[2]) if m else (w, "")
+            split[w] = a, b
+            if a not in parts:
+                (plain if m else other).add(a)
+            if b not in parts:
+                other.add(b)
+        if plain:
+            self._encode_plain(list(plain))
+        if other:
+            self._encode(list(other))
         for w, (a, b) in split.items():
-            self.cache[w] = self.parts[a] + self.parts[b]
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian uint32, without an end id."""
-        for ws in "\n\t\r\v\f":
-            if text and ws in text:
-                text = text.replace(ws, " ")
-        words = (text or "").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = {w for w in words if w not in self.cache}
-            self._learn(new if len(self.cache) + len(new) <= CACHE_WORDS else set(words))
-            return b"".join(map(self.cache.__getitem__, words))
+            self.words[w] = parts[a] + parts[b]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian uint32, without an end id."""
+        split = []
+        for text in texts:
+            text = text or ""
+            for ws in "\n\t\r\v\f":
+                if ws in text:
+                    text = text.replace(ws, " ")
+            split.append(text.split(" "))
+        every = set().union(*split) if split else set()
+        new = {w for w in every if w not in self.words}
+        if new:
+            self._learn(new if len(self.words) + len(new) <= CACHE_WORDS else every)
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -120,7 +158,7 @@ def train_dictionary(docs: DataFrame, path: str, n_docs: int = SAMPLE_DOCS, size
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            yield pa.record_batch({"ids": pa.array([(enc.ids(t) + struct.pack("<I", END_ID))[:4 * SAMPLE_IDS] for t in b.column(0).to_pylist()], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([(x + struct.pack("<I", END_ID))[:4 * SAMPLE_IDS] for x in enc.ids_of(b.column(0).to_pylist())], pa.binary())})
 
     chosen = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n_docs)
     ids = sorted(bytes(r[0]) for r in chosen.select("text").mapInArrow(sample, "ids binary").collect())
@@ -186,15 +224,16 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
                                     "n_tokens": pa.array([sum(counts)], pa.int64()), "block": pa.array([pack(key, ids, counts, frames)], pa.binary())})
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw_ids = enc.ids(t.as_py()) + end
-                ids.append(NULL_ID if i is None else i)
-                counts.append(len(raw_ids) // 4)
-                frames.append(squeeze.compress(raw_ids))
-                held += counts[-1]
-                if held >= BLOCK_TOKENS:
-                    yield out()
-                    ids, counts, frames, seq, held = [], [], [], seq + 1, 0
+            for part in pieces(b, "text", BATCH_CHARS):
+                for i, raw_ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1).to_pylist()), strict=True):
+                    raw_ids += end
+                    ids.append(NULL_ID if i is None else i)
+                    counts.append(len(raw_ids) // 4)
+                    frames.append(squeeze.compress(raw_ids))
+                    held += counts[-1]
+                    if held >= BLOCK_TOKENS:
+                        yield out()
+                        ids, counts, frames, seq, held = [], [], [], seq + 1, 0
         if ids:
             yield out()
 
