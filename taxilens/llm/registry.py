@@ -6,18 +6,22 @@ from .jaccard import op4_jaccard_join
 from .language import op2_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_fair_mix
+from .passage_dedup import op10_passage_dedup
 from .pii import op8_pii
 from .quality import op9_quality_rules
+from .substring_dedup import op3_suffix_dedup
 from .token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fair_mix": op5_fair_mix,
     "op6_line_dedup": op6_line_dedup,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 SQL = {
