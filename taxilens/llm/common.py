@@ -176,6 +176,36 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+#: The side of a join that is broadcast if it has at most so many bytes.
+SMALL_BYTES = 24 << 20
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its rows come to no more than
+    SMALL_BYTES; otherwise Spark joins it by shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes <= SMALL_BYTES else table
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows with one value of ``key`` after another, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+        at = 0
+        if held and held[-1].column(key)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for c in cut.tolist():
+            yield pa.Table.from_batches([*held, b.slice(at, c - at)])
+            held, at = [], c
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def word_count(text="text"):
     """Number of words of a text as a column; null text has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ intersection.
    returns a spanning forest of its links, so no group is ever expanded
    into its pairs.
    First round: each class in one of its lists, inside tiles.  Second: the
-   lists that still span several components, all tiles of each; members
+   lists that still span several components, all tiles of each.  Members
    whose bitmaps rule out every partner are gone before arrays are moved.
 4. Links make components.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import U, Words, documents, flat, gram_hash, map_arrow, pieces, union_find, written
+from .common import U, Words, documents, flat, gram_hash, map_arrow, pieces, runs_of, small, union_find, written
 from .graph import components
 
 SHINGLE = 5
@@ -89,8 +89,8 @@ def folded(m: np.ndarray, words: int) -> np.ndarray:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows from one pass: (doc_id, version, n, key) of every
-    document, and (token, seen) of shingles that lie in several documents of
+    """Two kinds of rows from one pass: (doc_id, version, n, key, bits) of
+    every document, and (token, seen) of shingles that lie in several documents of
     one task's stretch."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -101,25 +101,26 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             c = np.diff(np.append(at, len(t)))
             t, c = t[at][c > 1], c[c > 1]
             none = pa.nulls(len(t), pa.int64())
-            return pa.record_batch({"doc_id": none, "version": none, "n": none, "key": none, "token": pa.array(t.view(np.int64)), "seen": pa.array(c.astype(np.int64))})
+            return pa.record_batch({"doc_id": none, "version": none, "n": none, "key": none, "bits": pa.nulls(len(t), pa.binary()), "token": pa.array(t.view(np.int64)), "seen": pa.array(c.astype(np.int64))})
 
         for b in batches:
             for part in pieces(b):
-                n, key = [], []
+                n, key, bits = [], [], []
                 for s in shingle_sets(*flat(part.column("text"))):
                     n.append(len(s))
+                    bits.append(bitmap(s).tobytes() if len(s) else None)
                     key.append(set_key(s))
                     held.append(s)
                     size += len(s)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "version": part.column("version"), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64()), "token": none, "seen": none})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "version": part.column("version"), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64()), "bits": pa.array(bits, pa.binary()), "token": none, "seen": none})
                 if size > 4 * FLUSH:
                     yield repeated()
                     held, size = [], 0
         if size:
             yield repeated()
 
-    return map_arrow(docs, fn, "doc_id long, version long, n long, key long, token long, seen long")
+    return map_arrow(docs, fn, "doc_id long, version long, n long, key long, bits binary, token long, seen long")
 
 
 def prefix_index(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -193,38 +194,36 @@ def shared_lists(index: DataFrame) -> DataFrame:
     return index.groupBy("bucket").applyInPandas(fn, "list long, key long, n long").distinct()
 
 
-def class_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n, tokens, bits) of the wanted classes, from one document each."""
+def class_arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, tokens) of the wanted classes, from one document each."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in pieces(b):
-                sets = list(shingle_sets(*flat(part.column("text"))))
-                yield pa.record_batch({"key": part.column("key"), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary())})
+                yield pa.record_batch({"key": part.column("key"), "tokens": pa.array([s.tobytes() for s in shingle_sets(*flat(part.column("text")))], pa.binary())})
 
-    ids = wanted.select(F.col("key"), F.col("rep.doc_id").alias("r_id"), F.col("rep.version").alias("r_version"))
-    # of repeated rows any serves, they have one text
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["r_id"]) & (docs["version"] == ids["r_version"])).select("key", "text")
-    return map_arrow(rows, fn, "key long, n long, tokens binary, bits binary").dropDuplicates(["key"])
+    rep = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("rep"))
+    rep = small(written(rep.select("key", F.col("rep.doc_id").alias("r_id"), F.col("rep.version").alias("r_version")), "jaccard-wanted"), 24)
+    rows = docs.join(rep, docs["doc_id"].eqNullSafe(F.col("r_id")) & (docs["version"] == F.col("r_version"))).select("key", "text")
+    return map_arrow(rows, fn, "key long, tokens binary").dropDuplicates(["key"])  # of repeated rows any serves
 
 
 class Members:
     """The members of a tile by size, and which pairs can link."""
 
-    def __init__(self, keys, n, bits, comp, side=None):
+    def __init__(self, keys, n, bits, comp, side):
         order = np.lexsort((keys, n))
-        self.order, self.keys, self.n = order, np.asarray(keys)[order], np.asarray(n, np.int64)[order]
-        self.comp = np.asarray(comp)[order]
-        self.side = None if side is None else np.asarray(side)[order]
+        self.order, self.keys, self.n = order, keys[order], n[order]
+        self.comp, self.side = comp[order], side[order]
+        self.two = bool((side != side[0]).any())  # two tiles: only pairs across
         self.bits = [np.frombuffer(bits[i], U) for i in order]
         self.narrow: dict[int, np.ndarray] = {}
 
-    def partners(self, i: int, mine=None) -> np.ndarray:
+    def partners(self, i: int) -> np.ndarray:
         """Later members that may link with i, by size, component and bitmap."""
         to = int(np.searchsorted(self.n, self.n[i] * 100 // NUM, side="right"))
         j = np.arange(i + 1, to)
-        comp = self.comp if mine is None else mine
-        j = j[comp[j] != comp[i]]
-        if self.side is not None:
+        j = j[self.comp[j] != self.comp[i]]
+        if self.two:
             j = j[self.side[j] != self.side[i]]
         if not len(j):
             return j
@@ -240,47 +239,58 @@ class Members:
 def tile_links(m: Members, tokens: list[bytes]) -> list[tuple[int, int]]:
     """A spanning forest, by index in ``m``, of the tile's links."""
     sets = [np.frombuffer(tokens[i], U) for i in m.order]
-    names, mine = np.unique(m.comp, return_inverse=True)
-    find, join = union_find(len(names))
+    mine = np.unique(m.comp, return_inverse=True)[1]
+    find, join = union_find(int(mine.max(initial=-1)) + 1)
     out = []
     for i in range(len(sets)):
-        for j in m.partners(i, mine):
+        for j in m.partners(i):
             if find(mine[i]) == find(mine[j]):
                 continue
             a, b = sets[i], sets[j]
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
             if np.count_nonzero(b[at] == a) >= need(len(a), len(b)):
-                join(mine[i], mine[j])
+                join(int(mine[i]), int(mine[j]))
                 out.append((i, int(j)))
-        if out:
-            mine = np.array([find(x) for x in mine]) if len(out) % 16 == 0 else mine
     return out
 
 
-def links_of(tiles: DataFrame) -> DataFrame:
-    """(u, v) links of tiles: rows (list, a, b, side, key, n, comp, tokens, bits)."""
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        two = rows["a"].iloc[0] != rows["b"].iloc[0]
-        m = Members(rows["key"].to_numpy(), rows["n"].to_numpy(), rows["bits"].tolist(), rows["comp"].to_numpy(), rows["side"].to_numpy() if two else None)
-        e = tile_links(m, rows["tokens"].tolist())
-        return pd.DataFrame({"u": [m.keys[i] for i, _ in e], "v": [m.keys[j] for _, j in e]}).astype("int64")
-
-    return tiles.groupBy("list", "a", "b").applyInPandas(fn, "u long, v long")
+def _members(t: pa.Table) -> Members:
+    return Members(*(t.column(c).to_numpy() for c in ("key", "n")), t.column("bits").to_pylist(), t.column("comp").to_numpy(), t.column("side").to_numpy())
 
 
 def possible(tiles: DataFrame) -> DataFrame:
-    """(list, a, b, key, side) of the members of tiles that the bitmaps leave a partner."""
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        two = rows["a"].iloc[0] != rows["b"].iloc[0]
-        m = Members(rows["key"].to_numpy(), rows["n"].to_numpy(), rows["bits"].tolist(), rows["comp"].to_numpy(), rows["side"].to_numpy() if two else None)
-        stay = np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            j = m.partners(i)
-            stay[j] = True
-            stay[i] |= len(j) > 0
-        return rows.iloc[m.order[stay]][["list", "a", "b", "side", "key"]]
+    """The rows of ``tiles`` (tile, side, key, n, comp, bits) that the bitmaps leave a partner."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "tile"):
+            m = _members(t)
+            stay = np.zeros(t.num_rows, bool)
+            for i in range(t.num_rows - 1):
+                j = m.partners(i)
+                stay[j] = True
+                stay[i] |= len(j) > 0
+            if stay.any():
+                yield from t.take(pa.array(m.order[stay])).to_batches()
+
+    return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, tiles.schema.simpleString()[7:-1].replace(":", " "))
+
+
+def links_of(tiles: DataFrame) -> DataFrame:
+    """(u, v) links of tiles: rows (tile, side, key, n, comp, bits, tokens)."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "tile"):
+            m = _members(t)
+            e = np.array(tile_links(m, t.column("tokens").to_pylist()), np.int64).reshape(-1, 2)
+            if len(e):
+                yield pa.record_batch({"u": pa.array(m.keys[e[:, 0]]), "v": pa.array(m.keys[e[:, 1]])})
+
+    return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, "u long, v long")
+
 
-    return tiles.groupBy("list", "a", "b").applyInPandas(fn, "list long, a long, b long, side long, key long")
+def _verified(tiles: DataFrame, docs: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
+    """(u, v) links of tiles (tile, side, key, n, comp): bitmaps, then arrays."""
+    left = written(possible(tiles.join(bits, "key").select("tile", "side", "key", "n", "comp", "bits")), "jaccard-possible")
+    arrays = written(class_arrays(docs, sets, left.select("key").distinct()), "jaccard-arrays")
+    return written(links_of(left.join(arrays, "key")), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -295,43 +305,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     rows = written(scan_sets(docs), "jaccard-sets")
-    sets = rows.where(F.col("n").isNotNull()).select("doc_id", "version", "n", "key")
+    sets = rows.where(F.col("n").isNotNull()).select("doc_id", "version", "n", "key", "bits")
     seen = rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HEAVY)
     heavy = np.sort(np.array([r[0] for r in seen.orderBy(F.desc("seen"), "token").limit(HEAVY_MAX).select("token").collect()], np.int64).view(U))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(shared_lists(prefix_index(docs, heavy, buckets)), "jaccard-lists")
 
-    wanted = sets.join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("rep"))
-    arrays = written(class_arrays(docs, wanted), "jaccard-arrays")
+    bits = written(sets.select("key", "bits").join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "jaccard-bits")
 
     # first round: each class in one list, in tiles of neighbours by size
     one = lists.groupBy("key", "n").agg(F.min("list").alias("list"))
-    place = F.row_number().over(Window.partitionBy("list", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / NUM)))).orderBy("n", "key"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / NUM)))
-    tile = F.xxhash64(band, F.floor(place / TILE))
-    first = one.select("list", "key", tile.alias("a")).join(arrays, "key")
-    first = first.select("list", "a", F.col("a").alias("b"), F.lit(0).cast("long").alias("side"), "key", "n", F.col("key").alias("comp"), "tokens", "bits")
-    links = written(links_of(first), "jaccard-links")
+    one = one.withColumn("place", F.row_number().over(Window.partitionBy("list").orderBy("n", "key")))
+    tile = F.xxhash64("list", F.floor(F.col("place") / TILE))
+    links = _verified(one.select(tile.alias("tile"), F.lit(0).alias("side"), "key", "n", F.col("key").alias("comp")), docs, sets, bits)
     label = components(links)
 
     # second round: lists that still span components, every pair of tiles in the size band
     named = lists.join(label, lists["key"] == label["node"], "left").select("list", "key", "n", F.coalesce("component", "key").alias("comp"))
     spans = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    named = written(named.join(spans, "list"), "jaccard-open")
     chunk = F.floor((F.row_number().over(Window.partitionBy("list").orderBy("n", "key")) - 1) / TILE)
-    chunks = named.withColumn("chunk", chunk)
+    chunks = written(named.join(spans, "list").withColumn("chunk", chunk), "jaccard-open")
     bounds = chunks.groupBy("list", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = bounds.select("list", F.col("chunk").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    other = bounds.select("list", F.col("chunk").alias("other"), F.col("lo").alias("o_lo"))
     pairs = bounds.join(other, "list").where((F.col("chunk") <= F.col("other")) & (F.col("o_lo") * NUM <= F.col("hi") * 100))
-    pairs = pairs.select("list", F.col("chunk").alias("a"), F.col("other").alias("b"))
-    halves = pairs.select("*", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).cast("long").alias("side")))).otherwise(
-        F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).cast("long").alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).cast("long").alias("side"))))).alias("h"))
-    halves = halves.select("list", "a", "b", F.col("h.chunk").alias("chunk"), F.col("h.side").alias("side"))
-    tiles = chunks.join(halves, ["list", "chunk"]).join(arrays.select("key", "bits"), "key")
-    left = written(possible(tiles.select("list", "a", "b", "side", "key", "n", "comp", "bits")), "jaccard-possible")
-    second = left.join(named.select("list", "key", "comp"), ["list", "key"]).join(arrays, "key")
-    more = links_of(second.select("list", "a", "b", "side", "key", "n", "comp", "tokens", "bits"))
-    label = components(written(links.unionByName(more), "jaccard-links"))
+    tile = F.xxhash64("list", "chunk", "other")
+    halves = F.array_distinct(F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("other").alias("chunk"), F.when(F.col("chunk") == F.col("other"), 0).otherwise(1).alias("side"))))
+    halves = pairs.select("list", tile.alias("tile"), F.explode(halves).alias("h")).select("list", "tile", "h.chunk", "h.side")
+    more = _verified(chunks.join(halves, ["list", "chunk"]).select("tile", "side", "key", "n", "comp"), docs, sets, bits)
+    label = components(links.unionByName(more))
 
     sets = sets.join(label, sets["key"] == label["node"], "left").withColumn("component", F.coalesce("component", "key"))
     least = sets.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

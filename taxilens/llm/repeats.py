@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, written
+from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, written
 
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
 CAP = 256
 FLUSH = 1 << 20
 LOW48 = (1 << 48) - 1
-#: The side of a join that is broadcast if it has at most so many bytes.
-SMALL_BYTES = 24 << 20
 #: Shards for each shuffle partition, so that one fits in a worker.
 SHARDS = 8
 
