@@ -1,20 +1,94 @@
 """Corpus pipeline: language ID, near duplicates, decontamination, mixing,
-token store.  Each stage reads what its predecessor kept."""
+token store.
+
+Every stage works on all rows that its predecessor kept and passes on the
+columns of documents as they are.  Rows are told apart by their id and a
+hash of their text, so null and repeated ids do no harm; columns that the
+stages add on the way start with an underscore pair and end inside a stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taxilens.llm import decontaminate, jaccard, language, mixing, token_store
+from taxilens.llm.common import documents, small, written
+from taxilens.session import prepare, scratch_path
+
+#: Documents whose language is told with less confidence go.
+MIN_SCORE = 0.5
+
+
+def _same(docs: DataFrame, table: DataFrame) -> Column:
+    return F.col("__id").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("__version") == F.xxhash64(docs["text"]))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: not those without a letter, nor
+    those the network scores under MIN_SCORE."""
+    prepare(spark)
+    cols = docs.columns
+    out = language.identify(docs, language.train(docs), *cols, names=("__lang", "__score"))
+    return out.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*cols)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links connect: the one with the
+    smallest id.  Documents without words are linked with nothing and stay.
+    Of rows equal in id and text one stays, unless they have no words."""
+    prepare(spark)
+    groups = written(jaccard.jaccard_components(docs).select("doc_id", "version", "n_shingles", "component"), "pipeline-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    first = groups.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.version").alias("__version"), F.lit(True).alias("__one"))
+    empty = groups.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.lit(False).alias("__one")).distinct()
+    stay = first.unionByName(empty)
+    rows = groups.groupBy(F.col("doc_id").alias("g_id"), F.col("version").alias("g_version")).agg(F.count(F.lit(1)).alias("__rows"))
+    stay = stay.join(rows, F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__version") == F.col("g_version"))).drop("g_id", "g_version")
+    stay = small(written(stay, "pipeline-stay"), 32)
+    kept = docs.join(stay, _same(docs, stay))
+    single = kept.where(~F.col("__one") | (F.col("__rows") == 1)).select(*docs.columns)
+    again = kept.where(F.col("__one") & (F.col("__rows") > 1)).groupBy("__id", "__version").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return single.unionByName(again.select("__row.*"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the table ``benchmark`` was found."""
+    found = decontaminate.with_hits(docs, documents(spark, sf_dir, "benchmark"), "__hits")
+    return found.where(F.size("__hits") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it was taken."""
+    prepare(spark)
+    plan = mixing.fair_mix(docs)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    plan = plan.select(F.col("doc_id").cast("long").alias("__id"), F.col("version").alias("__version"), F.col("source").alias("__source"), copies.alias("__copies")).where("__copies > 0").distinct()
+    plan = small(written(plan, "pipeline-mix"), 48)
+    taken = docs.join(plan, _same(docs, plan) & docs["source"].eqNullSafe(plan["__source"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store of the mix, as read back."""
+    prepare(spark)
+    return token_store.token_store(docs).drop("ids")
 
-from taxilens.llm.common import documents
-from taxilens.session import scratch_path
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("tokens", tokens),
+]
 
-#: SQL has no convolutional network, so no statement gives run()'s rows;
-#: tests/llm compares the stages with brute force.
+#: SQL has neither a convolutional network nor the tokenizer, so no statement
+#: gives run()'s rows; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -294,7 +294,9 @@ def _verified(tiles: DataFrame, docs: DataFrame, sets: DataFrame, bits: DataFram
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, component, version) for every row of
+    ``docs``; component names the group whatever its ids, version is a hash of
+    the text, by which rows with one id can be told apart.
 
     Null and empty texts, and texts of white space, have no shingles and are
     linked with nothing; their component is their own id.  Null ids do not
@@ -336,8 +338,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     sets = sets.join(label, sets["key"] == label["node"], "left").withColumn("component", F.coalesce("component", "key"))
     least = sets.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sets.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component", "version")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).drop("component", "version")

@@ -164,13 +164,13 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None
     return ByteNet(langs).fit(x, np.array([langs.index(r[0]) for r in rows]))
 
 
-def identify(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs``, lang_pred and score.
+def identify(docs: DataFrame, net: ByteNet | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs``, and its language and score under ``names``.
 
     Text that is null, empty or without a letter is ``und`` with score 0, as
     is any text if nothing could be learned.  Ids, languages and other
     columns are not looked at, and may be null, repeat or clash with nothing
-    but the two new names.
+    but the two names.
     """
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -190,9 +190,9 @@ def identify(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
                     for i, t in enumerate(text.to_pylist()):
                         if t and _LETTER.search(t):
                             pred[i], score[i] = model.langs[best[i]], min(1.0, share[i, best[i]])
-                yield pa.record_batch({k: part.column(k) for k in keep} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
+                yield pa.record_batch({k: part.column(k) for k in keep} | {names[0]: pa.array(pred, pa.string()), names[1]: pa.array(score)})
 
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), fn, ", ".join([*fields, "lang_pred string, score double"]))
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), fn, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double"]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

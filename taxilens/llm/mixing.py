@@ -60,14 +60,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, source, version) for every
+    row of ``docs``; version is a hash of the text, by which rows with one id
+    can be told apart.
 
     Null text has size 0; a null source is a source of its own, ranked last;
     a null id is shuffled as the text "null".  Repeated rows each count and
     are each decided alike.  Empty documents take 0.  An empty table gives no
     rows.  Columns beyond the three named ones are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "mix-sizes")
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("version")), "mix-sizes")
     per = written(targets(rows, weights, budget, max_repeats), "mix-targets")
     queue = (rows.join(per, rows["source"].eqNullSafe(per["source"])).drop(per["source"])
              .withColumn("key", shuffle_key("doc_id", seed))
@@ -80,7 +82,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     queue = queue.withColumn("run", F.sum("size").over(inside))
     queue = queue.join(sums, queue["source"].eqNullSafe(sums["s_source"]) & (queue["bucket"] == sums["s_bucket"]))
     queue = queue.withColumn("end", F.col("run") + F.col("offset"))
-    queue = written(queue.select("doc_id", "size", "source_size", "target", "end", "key"), "mix-queue")
+    queue = written(queue.select("doc_id", "size", "source_size", "target", "end", "key", "version", "source"), "mix-queue")
 
     finish = (F.col("end") + F.col("epoch") * F.col("source_size")) / F.col("target")
     copies = (queue.where((F.col("size") > 0) & (F.col("target") > 0))
@@ -106,11 +108,11 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     for e in range(max_repeats):
         at = F.struct(((F.col("end") + F.lit(e) * F.col("source_size")) / F.col("target")).alias("finish"), F.lit(e).alias("epoch"), "key", "doc_id", "size")
         taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.col("cut").isNull() | (at < F.col("cut"))), F.col("size")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "version")
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fair_mix(documents(spark, sf_dir))
+    return fair_mix(documents(spark, sf_dir)).drop("source", "version")
 
 
 OP5_SQL = f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard_join
 from .language import op2_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fair_mix": op5_fair_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
