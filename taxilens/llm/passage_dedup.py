@@ -68,3 +68,4 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_passages(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+

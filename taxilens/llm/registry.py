@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
-from .jaccard import op4_jaccard_join
+from .jaccard import OP4_SQL, op4_jaccard_join
 from .language import op2_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_fair_mix
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_jaccard_join": OP4_SQL,
     "op5_fair_mix": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
