@@ -91,8 +91,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     documents and more, and also in a document with a larger id.
 
     Null text is one empty line.  A null id is smaller than any other.
-    Repeated rows count as documents; those with the largest id all keep
-    their lines.  An empty table gives no rows.  Other columns are not read.
+    Rows equal in id and text count as one document; all rows with the
+    largest id keep their lines.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
