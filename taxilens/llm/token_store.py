@@ -52,13 +52,14 @@ LEVEL = 3
 #: A block is closed when its frames hold so many ids.
 BLOCK_TOKENS = 1 << 19
 #: What a Python worker remembers of words (each as written) and of parts.
-CACHE_WORDS = 250_000
-CACHE_PARTS = 1_200_000
+CACHE_WORDS = 500_000
+CACHE_PARTS = 1_000_000
 LINE_WORDS = 500
 #: Texts encoded at once: so many characters, one text at least.
 BATCH_CHARS = 1 << 20
 
 #: Letters that no composition, case rule or contraction ties to a neighbour.
+_CLOSING = ".,;:!?"
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
 
 
@@ -106,19 +107,26 @@ class Encoder:
         split, plain, other = {}, set(), set()
         parts = self.parts
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            a, b = (m[1].lower(), m[2]) if m else (w, "")
+            a = w.rstrip(_CLOSING)
+            if a.isascii() and a.isalpha():
+                b, a = w[len(a):], a.lower()
+                simple = True
+            else:
+                m = _PLAIN.fullmatch(w)
+                a, b = (m[1].lower(), m[2]) if m else (w, "")
+                simple = m is not None
             split[w] = a, b
             if a not in parts:
-                (plain if m else other).add(a)
-            if b not in parts:
+                (plain if simple else other).add(a)
+            if b and b not in parts:
                 other.add(b)
         if plain:
             self._encode_plain(list(plain))
         if other:
             self._encode(list(other))
+        known = self.words
         for w, (a, b) in split.items():
-            self.words[w] = parts[a] + parts[b]
+            known[w] = parts[a] + parts[b] if b else parts[a]
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32, without an end id."""
