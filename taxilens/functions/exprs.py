@@ -162,3 +162,19 @@ def round_half_even(x: str | Column, digits: int = 0) -> Column:
     c = col(x).cast("double")
     f = float(10 ** digits)
     return (F.rint(c * F.lit(f)) / F.lit(f)).cast("double")
+
+
+HASH_BITS = 52
+
+
+def hash_key(*parts: str | Column | int) -> Column:
+    """52 bits of md5 over integers joined by ``|``: the one pseudo-random key
+    of every shuffle, assignment and sample.  Text of integers has one form
+    in every engine, so a SQL oracle gives the same key."""
+    text = F.concat_ws("|", *[(F.lit(p) if isinstance(p, int) else col(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hundredths(x: str | Column) -> Column:
+    """A double as whole hundredths, for :func:`hash_key`."""
+    return F.floor(col(x) * F.lit(100.0) + F.lit(0.5)).cast("long")

@@ -4,8 +4,7 @@ Design choices for scale and reproducibility:
 
 * Random assignment uses a seeded hash of the unit key, never ``rand()``:
   a recomputed partition (lost executor, AQE re-plan) gets the same arms.
-  ``key="hash"`` (xxhash64) is the production default; ``key="arith"`` is a
-  plain arithmetic order key that a SQL oracle can reproduce.
+  The hash is md5 over integers (``exprs.hash_key``), which SQL oracles repeat.
 * Zone-level designs work on the zone baseline, whose size is bounded by the
   zone dimension.  Trip-level designs never collect trips: every test
   statistic is computed from per-arm moments (count, mean, var_samp) that
@@ -86,24 +85,19 @@ def with_tier(baseline: DataFrame, *, volume: str = "total_trips", low: float =
     return t.withColumn(name, tier).drop("_qh", "_ql")
 
 
-def order_key(unit: str | Column, seed: int, key: str = "hash") -> Column:
+def order_key(unit: str | Column, seed: int) -> Column:
     """Seeded pseudo-random order of units; reproducible under recomputation."""
-    u = X.col(unit)
-    if key == "hash":
-        return F.xxhash64(F.lit(int(seed)), u)
-    if key == "arith":
-        return F.pmod(u.cast("long") * F.lit(7919) + F.lit(int(seed)), F.lit(10007))
-    raise ValueError(key)
+    return X.hash_key(int(seed), unit)
 
 
 def assign_stratified(units: DataFrame, *, stratum: str = "tier", unit: str = "pickup_zone",
-                      seed: int = RANDOM_SEED, key: str = "hash", name: str = "group") -> DataFrame:
+                      seed: int = RANDOM_SEED, name: str = "group") -> DataFrame:
     """Shuffle units inside each stratum; the first floor(n/2) are control.
 
     The window partitions by stratum over the zone baseline (bounded by the
     zone dimension).  Trip-scale units use :func:`assign_trips` instead.
     """
-    w = Window.partitionBy(stratum).orderBy(order_key(unit, seed, key), F.col(unit))
+    w = Window.partitionBy(stratum).orderBy(order_key(unit, seed), F.col(unit))
     n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
     return (units.withColumn("_rn", F.row_number().over(w)).withColumn("_n", n)
             .withColumn(name, F.when(F.col("_rn") <= F.floor(F.col("_n") / 2), F.lit(CONTROL))
@@ -111,22 +105,21 @@ def assign_stratified(units: DataFrame, *, stratum: str = "tier", unit: str = "p
             .drop("_rn", "_n"))
 
 
-def unstratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash") -> DataFrame:
+def unstratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED) -> DataFrame:
     """X3 (v1): one stratum, half of all zones to control."""
-    return assign_stratified(baseline.withColumn("tier", F.lit("all")), seed=seed, key=key)
+    return assign_stratified(baseline.withColumn("tier", F.lit("all")), seed=seed)
 
 
-def stratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash") -> DataFrame:
+def stratified_design(baseline: DataFrame, *, seed: int = RANDOM_SEED) -> DataFrame:
     """v2: tier all eligible zones, assign within tiers."""
-    return assign_stratified(with_tier(baseline), seed=seed, key=key)
+    return assign_stratified(with_tier(baseline), seed=seed)
 
 
-def isolated_design(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEED,
-                    key: str = "hash") -> DataFrame:
+def isolated_design(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEED) -> DataFrame:
     """X4 (v3): drop the dominant unit, re-tier as ``tier_v3``, re-assign with seed + 1."""
     rest = baseline.where(F.col("pickup_zone") != isolated_zone)
     return assign_stratified(with_tier(rest, name="tier_v3"), stratum="tier_v3",
-                             seed=seed + 1, key=key, name="group_v3")
+                             seed=seed + 1, name="group_v3")
 
 
 def tier_summary(assigned: DataFrame, *, tier: str = "tier", group: str = "group") -> DataFrame:
@@ -328,10 +321,9 @@ def v2_result(projected: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
     return out
 
 
-def v3_result(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEED,
-              key: str = "hash", alpha: float = ALPHA) -> DataFrame:
+def v3_result(baseline: DataFrame, isolated_zone: int, *, seed: int = RANDOM_SEED, alpha: float = ALPHA) -> DataFrame:
     """The 12-column v3 result (isolated unit + re-stratified rest)."""
-    design = isolated_design(baseline, isolated_zone, seed=seed, key=key)
+    design = isolated_design(baseline, isolated_zone, seed=seed)
     proj = scenario_projection(design, group="group_v3")
     w = with_inference(welch_overall(proj, group="group_v3"), alpha=alpha)
     imp = revenue_impact(proj, tier="tier_v3", group="group_v3").where(F.col("tier") == "all") \
@@ -358,21 +350,20 @@ def trip_key(ts: str = "pickup_time") -> Column:
     return F.timestamp_diff("SECOND", X.ts_ntz("1970-01-01 00:00:00"), F.col(ts))
 
 
-def assign_trips(silver: DataFrame, *, seed: int = RANDOM_SEED, key: str = "hash",
+def trip_identity() -> list[Column]:
+    """What tells a trip from another, as integers."""
+    return [trip_key(), F.col("pickup_zone"), F.col("dropoff_zone"),
+            X.hundredths("fare_amount"), X.hundredths("trip_distance")]
+
+
+def assign_trips(silver: DataFrame, *, seed: int = RANDOM_SEED,
                  years=EXPERIMENT_YEARS, multiplier: float = SURGE_MULTIPLIER) -> DataFrame:
     """Independent 50/50 assignment per trip by a seeded hash.
 
     A per-row expression: no shuffle, stable under repartitioning and task
     retries.  Treatment trips get the fee multiplier as ``sim_fare``.
     """
-    if key == "hash":
-        bit = F.pmod(F.xxhash64(F.lit(int(seed)), "pickup_time", "pickup_zone", "dropoff_zone",
-                                "fare_amount", "trip_distance"), F.lit(2))
-    elif key == "arith":
-        bit = F.pmod(trip_key() + F.col("pickup_zone") * F.lit(7919)
-                     + F.col("dropoff_zone") * F.lit(104729) + F.lit(int(seed)), F.lit(2))
-    else:
-        raise ValueError(key)
+    bit = X.hash_key(int(seed), *trip_identity()) % F.lit(2)
     g = F.when(bit == 0, F.lit(CONTROL)).otherwise(F.lit(TREATMENT))
     t = years_filter(silver, years).withColumn("group", g)
     return t.withColumn("sim_fare", F.when(F.col("group") == TREATMENT,
@@ -446,9 +437,7 @@ def two_year_fare_test(silver: DataFrame, *, pre: int = 2024, post: int = 2025,
     arms = years_filter(silver, (pre, post))
     if sample_per_year:
         from .sampling import sample_exact
-        keys = ["pickup_time", "pickup_zone", "dropoff_zone", "fare_amount", "trip_distance"]
-        arms = sample_exact(arms.where(F.col("year") == pre), sample_per_year, keys=keys, seed=seed).unionByName(
-            sample_exact(arms.where(F.col("year") == post), sample_per_year, keys=keys, seed=seed + 1))
+        arms = sample_exact(arms, sample_per_year, keys=trip_identity(), seed=seed, by="year")
     arms = arms.withColumn("group", F.when(F.col("year") == pre, F.lit(CONTROL)).otherwise(F.lit(TREATMENT)))
     w = welch_columns(arm_moments(arms, "fare_amount"))
     return w.select(F.col("n_c").alias("n_pre"), F.col("n_t").alias("n_post"),

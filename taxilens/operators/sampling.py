@@ -3,80 +3,56 @@
 The reference draws ``ORDER BY rand() LIMIT n``.  Here every row gets a
 seeded hash value u in [0, 1); the sample is the n rows with the smallest u,
 a uniform sample without replacement that is identical on every
-recomputation.  It is found without sorting the table or pulling n rows
-through one task:
+recomputation.  It takes two scans and no sort of the table:
 
-1. a histogram of u over ``bins`` equal-width bins (one grouped aggregate
-   with map-side combine; ``bins`` small rows reach the driver);
-2. the bin where the cumulative count reaches n is the boundary bin; every
-   row in a lower bin is in the sample.  While the boundary bin still holds
-   more than ``max_edge`` rows it is refined by a histogram of its own range
-   (the count of rows to rank shrinks by ~``bins`` per level);
-3. only the final boundary range is ranked.  Exact copies of a row share u,
-   so they are collapsed to (row, copies) first: a group of copies holding a
+1. a histogram of u over ``BINS`` equal-width bins, per group (map-side
+   combined); running sums over it give the bin where the count reaches n;
+2. rows of lower bins are in the sample.  Only rows of the boundary bin,
+   about one in ``BINS``, are ranked.  Exact copies of a row share u, so
+   they are collapsed to (row, copies) first: a group of copies holding a
    third of the table is one ranked row, and the needed number of copies is
    re-emitted with ``array_repeat`` + ``explode``.
 
-Ties in u are ordered by the row key, so the size is always exactly
-min(n, N).
+Everything is one lazy plan; nothing reaches the driver.  Ties in u are
+ordered by all columns, so the sample is the same on every run and its size
+is always exactly min(n, N).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_MASK = (1 << 53) - 1
+from ..functions import exprs as X
 
+BINS = 1 << 20
 
-def hash_unit(seed: int, keys: Sequence[str]):
-    """Seeded uniform value in [0, 1) from the row key (53 bits of xxhash64)."""
-    h = F.xxhash64(F.lit(int(seed)), *[F.col(k) for k in keys])
-    return h.bitwiseAND(F.lit(_MASK)).cast("double") / F.lit(float(1 << 53))
 
+def hash_unit(seed: int, keys: Sequence[str | Column]) -> Column:
+    """Seeded uniform value in [0, 1) from the row key."""
+    return X.hash_key(int(seed), *keys) / F.lit(float(1 << X.HASH_BITS))
 
-def _histogram(u: DataFrame, in_range, lo: float, width: float, bins: int):
-    b = F.least(F.greatest(F.floor((F.col("__u") - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                F.lit(bins - 1)).cast("int")
-    rows = u.where(in_range).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
-    return b, sorted((r["b"], r["c"]) for r in rows)
 
-
-def sample_exact(df: DataFrame, n: int, *, keys: Sequence[str], seed: int = 42, bins: int = 4096,
-                 max_edge: int = 200_000, max_levels: int = 4) -> DataFrame:
-    """The ``n`` rows of ``df`` with the smallest seeded hash of ``keys``.
-
-    Membership of every level is defined by the same bin expressions that
-    were counted, so the counts and the selection can never disagree.
-    """
+def sample_exact(df: DataFrame, n: int, *, keys: Sequence[str | Column], seed: int = 42,
+                 by: str | None = None, bins: int = BINS) -> DataFrame:
+    """The ``n`` rows of ``df`` (of each value of ``by``) with the smallest
+    seeded hash of ``keys``."""
     cols = df.columns
-    u = df.withColumn("__u", hash_unit(seed, keys))
-    in_range, inside = F.lit(True), F.lit(False)
-    lo, width, take = 0.0, 1.0 / bins, n
-    for level in range(max_levels):
-        b, hist = _histogram(u, in_range, lo, width, bins)
-        below, boundary, edge_rows = 0, None, 0
-        for bi, c in hist:
-            if below + c >= take:
-                boundary, edge_rows = bi, c
-                break
-            below += c
-        if boundary is None:            # fewer than n rows: the sample is everything
-            return df if level == 0 else u.where(inside | in_range).select(*cols)
-        inside = inside | (in_range & (b < boundary))
-        in_range = in_range & (b == boundary)
-        take -= below
-        lo, width = lo + boundary * width, width / bins
-        if edge_rows <= max_edge or edge_rows == sum(c for _, c in hist):
-            break                       # small enough, or copies of one value
-    picked_inside = u.where(inside).select(*cols)
-    edge = u.where(in_range).groupBy("__u", *cols).agg(F.count(F.lit(1)).alias("__copies"))
-    w = Window.partitionBy(F.lit(0)).orderBy("__u", *keys)
-    before = F.coalesce(F.sum("__copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = (edge.withColumn("__before", before)
-                .where(F.col("__before") < take)
-                .withColumn("__k", F.least(F.col("__copies"), F.lit(take) - F.col("__before")).cast("int")))
-    picked = edge.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("__k"))).alias("__x")).select(*cols)
-    return picked_inside.unionByName(picked)
+    group = F.lit(0) if by is None else F.col(by)
+    u = df.withColumns({"__g": group, "__u": hash_unit(seed, keys)})
+    u = u.withColumn("__bin", F.floor(F.col("__u") * F.lit(float(bins))))
+    hist = u.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__g").orderBy("__bin"))
+    # the last bin that is touched, and how many rows lie before it: one row per group
+    cut = (hist.withColumn("below", upto - F.col("c")).where(F.col("below") < n)
+           .groupBy(F.col("__g").alias("__cg")).agg(F.max(F.struct("__bin", "below")).alias("__cut")))
+    u = u.join(cut, u["__g"].eqNullSafe(cut["__cg"]))
+    inside = u.where(F.col("__bin") < F.col("__cut.__bin")).select(*cols)
+    edge = (u.where(F.col("__bin") == F.col("__cut.__bin")).withColumn("__take", F.lit(n) - F.col("__cut.below"))
+            .groupBy("__g", "__take", "__u", *cols).agg(F.count(F.lit(1)).alias("__copies")))
+    w = Window.partitionBy("__g").orderBy("__u", *cols).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("__left", F.col("__take") - F.coalesce(F.sum("__copies").over(w), F.lit(0))).where("__left > 0")
+    again = F.array_repeat(F.lit(1), F.least("__copies", "__left").cast("int"))
+    return inside.unionByName(edge.withColumn("__k", F.explode(again)).select(*cols))

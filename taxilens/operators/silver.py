@@ -13,6 +13,8 @@ filters (exact, not approximate: the landing partitions by the pickup year).
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +48,33 @@ def _year(raw: DataFrame, ts: str, year_from_partition: bool):
     return F.year(ts)
 
 
-def silver_yellow(raw: DataFrame, *, start: str = WINDOW[0], end: str = WINDOW[1],
+def _window(start: str | None, end: str | None, extended: bool) -> tuple[str, str]:
+    """The caller's bounds, each defaulting to the view's own."""
+    lo, hi = EXTENDED_WINDOW if extended else WINDOW
+    return start or lo, end or hi
+
+
+def _in_window(raw: DataFrame, ts: str, start: str, end: str, year_from_partition: bool):
+    """start <= ts < end; where the partition is the pickup year, also as a
+    partition filter."""
+    cond = (F.col(ts) >= X.ts_ntz(start)) & (F.col(ts) < X.ts_ntz(end))
+    if year_from_partition and "year" in raw.columns:
+        last = datetime.fromisoformat(end) - timedelta(microseconds=1)
+        cond = F.col("year").between(datetime.fromisoformat(start).year, last.year) & cond
+    return cond
+
+
+def silver_yellow(raw: DataFrame, *, start: str | None = None, end: str | None = None,
                   extended: bool = False, year_from_partition: bool = False) -> DataFrame:
     """``silver_yellow`` (13 columns), or the extended variant (P3) if asked."""
     ts, drop = "tpep_pickup_datetime", "tpep_dropoff_datetime"
-    if extended and (start, end) == WINDOW:
-        start, end = EXTENDED_WINDOW
+    start, end = _window(start, end, extended)
     fare, dist = F.col("fare_amount"), F.col("trip_distance")
     passengers = F.col("passenger_count")
     cond = (fare.between(*FARE_BOUNDS)
             & dist.between(*DISTANCE_BOUNDS)
-            & (passengers if extended else passengers.cast("int")).between(*PASSENGER_BOUNDS)
-            & (F.col(ts) >= X.ts_ntz(start))
-            & (F.col(ts) < X.ts_ntz(end))
+            & passengers.between(*PASSENGER_BOUNDS)
+            & _in_window(raw, ts, start, end, year_from_partition)
             & (F.col(drop) > F.col(ts)))
     if extended:
         cond = cond & X.whole_minutes(ts, drop).between(*EXTENDED_DURATION)
@@ -79,7 +95,7 @@ def silver_yellow(raw: DataFrame, *, start: str = WINDOW[0], end: str = WINDOW[1
         year_from_partition=year_from_partition))
 
 
-def silver_fhv(raw: DataFrame, *, start: str = WINDOW[0], end: str = WINDOW[1],
+def silver_fhv(raw: DataFrame, *, start: str | None = None, end: str | None = None,
                extended: bool = False, year_from_partition: bool = False) -> DataFrame:
     """``silver_fhv`` (15 columns), or the extended variant (P4) if asked.
 
@@ -87,13 +103,11 @@ def silver_fhv(raw: DataFrame, *, start: str = WINDOW[0], end: str = WINDOW[1],
     ``trip_miles`` as in the reference; there is no passenger test.
     """
     ts, drop = "pickup_datetime", "dropoff_datetime"
-    if extended and (start, end) == WINDOW:
-        start, end = EXTENDED_WINDOW
+    start, end = _window(start, end, extended)
     wait = X.whole_minutes("request_datetime", ts)
     cond = (F.col("base_passenger_fare").between(*FARE_BOUNDS)
             & F.col("trip_miles").between(*DISTANCE_BOUNDS)
-            & (F.col(ts) >= X.ts_ntz(start))
-            & (F.col(ts) < X.ts_ntz(end))
+            & _in_window(raw, ts, start, end, year_from_partition)
             & (F.col(drop) > F.col(ts))
             & wait.between(*WAIT_BOUNDS))
     if extended:

@@ -1,10 +1,9 @@
 """FHV wait-time marts.
 
-Percentiles are exact by default (``percentile``): wait times are whole
-minutes bounded to [1, 60], so the per-group value->count map the exact
-aggregate keeps has at most 60 entries, however many trips a group holds
-(one hot zone with a third of all trips included).  ``exact=False`` uses
-``percentile_approx`` as the reference's engine does.
+Percentiles are exact.  Wait times are whole minutes bounded to [1, 60], so
+trips are first counted per group and minute in a plain hash aggregate, at
+most 60 rows per group however many trips it holds; ``percentile`` with
+those counts as frequencies then reads the counts, never the trips.
 """
 
 from __future__ import annotations
@@ -20,20 +19,17 @@ WAIT_KEYS = ("year", "pickup_zone", "time_bucket", "platform")
 
 
 def fhv_wait_time(silver_fhv: DataFrame, *, years=WAIT_YEARS, bounds=(1, 60),
-                  min_trips: int = 100, exact: bool = True) -> DataFrame:
+                  min_trips: int = 100) -> DataFrame:
     """Wait statistics per (year, zone, bucket, platform) and an action."""
     w = F.col("wait_time_minutes")
-    if exact:
-        med, p90 = F.percentile(w, 0.5), F.percentile(w, 0.9)
-    else:
-        med = F.percentile_approx(w, 0.5).cast("double")
-        p90 = F.percentile_approx(w, 0.9).cast("double")
-    g = (years_filter(silver_fhv, years).where(w.between(*bounds))
-         .groupBy(*WAIT_KEYS)
-         .agg(F.count(F.lit(1)).alias("total_trips"),
-              F.avg(w).alias("_avg"),
-              med.alias("median_wait_min"),
-              p90.alias("p90_wait_min"))
+    minutes = (years_filter(silver_fhv, years).where(w.between(*bounds))
+               .groupBy(*WAIT_KEYS, "wait_time_minutes").agg(F.count(F.lit(1)).alias("_n")))
+    n = F.sum("_n")
+    g = (minutes.groupBy(*WAIT_KEYS)
+         .agg(n.alias("total_trips"),
+              (F.sum(w * F.col("_n")) / n).alias("_avg"),
+              F.percentile(w, 0.5, F.col("_n")).alias("median_wait_min"),
+              F.percentile(w, 0.9, F.col("_n")).alias("p90_wait_min"))
          .where(F.col("total_trips") >= min_trips))
     return g.select(
         *WAIT_KEYS, "total_trips",

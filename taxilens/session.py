@@ -74,7 +74,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
 
@@ -89,7 +89,7 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     with _SHIP_LOCK:
-        if id(sc) in _SHIPPED:
+        if sc.applicationId in _SHIPPED:
             return
         pkg = os.path.dirname(os.path.abspath(__file__))
         buf = io.BytesIO()
@@ -109,7 +109,7 @@ def ship_package(spark: SparkSession) -> None:
             out.write(bytearray(data))
             out.close()
         sc.addPyFile(path)
-        _SHIPPED.add(id(sc))
+        _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
