@@ -1,102 +1,72 @@
-"""Permutation test and bootstrap interval.
-
-The replicates are the distributed dimension: chunks of replicate ids
-(``spark.range``) are spread over tasks and each task draws its replicates
-with numpy inside ``mapInPandas`` (Arrow batches).  The unit values (one
-per zone) enter the plan once, as a scalar subquery of two sorted arrays
-whose size is bounded by ``max_units`` inside the plan; nothing is
-collected in Python.  Every replicate seeds its own generator from
-(seed, replicate id), so results do not depend on how replicates are split
-across tasks or on task retries.
-The p-value and the percentile interval are Spark aggregates over the
-replicate table.
+"""Permutation test and bootstrap intervals.
+
+Zone level: replicate ids are exploded on the units, one row per unit and
+replicate, and everything else is window, join and aggregate.  A permutation
+ranks the units of a replicate by a seeded hash and calls the first n_t
+treated; a bootstrap draw is a unit slot whose hash picks another unit of
+its arm.  Hashes are md5 over integers (``exprs.hash_key``), so replicates
+do not depend on partitions or retries, and a SQL oracle repeats them.  Work
+and shuffle are units x replicates; no task holds more than one replicate's
+units or one part of them.
+
+Trip level: :func:`poisson_bootstrap` gives every row a Poisson(1) weight
+per replicate, summed with map-side combine; only one row per replicate and
+arm is shuffled, however many trips there are.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from .experiment import CONTROL, TREATMENT, V4_P_REST, V4_SIG_REST
 
 N_REPLICATES = 10_000
-MAX_UNITS = 1_000_000   # 8 MB of doubles per arm, far under the broadcast budget
-CHUNK = 250             # replicates per task input row
-REPLICATE_SCHEMA = "replicate long, diff double, observed_diff double"
-
+N_TRIP_REPLICATES = 200
+#: Differences that equal the observed one up to summation order count as equal.
+TIE = 1e-9
+PRIME = (1 << 31) - 1
 
-def _arms_value(units: DataFrame, value: str, arm: str, max_units: int) -> Column:
-    """Both arms' values as one struct of sorted arrays, a scalar subquery.
 
-    Sorting makes the replicates independent of partition order; the size
-    bound is checked inside the plan (``raise_error``), so an oversized
-    input fails instead of being shipped.
-    """
+def _replicated(units: DataFrame, value: str, arm: str, unit: str, n: int) -> DataFrame:
+    """(unit, arm, value, observed_diff, r) for every unit and replicate."""
     v = F.col(value).cast("double")
-    packed = units.agg(
-        F.array_sort(F.collect_list(F.when(F.col(arm) == CONTROL, v))).alias("c"),
-        F.array_sort(F.collect_list(F.when(F.col(arm) == TREATMENT, v))).alias("t"),
-        F.count(F.lit(1)).alias("n"))
-    checked = packed.select(
-        F.when(F.col("n") <= max_units, F.struct("c", "t"))
-         .otherwise(F.raise_error(F.lit(f"more than {max_units} units: use a trip-level bootstrap")))
-         .alias("v"))
-    return checked.scalar()
-
-
-def _chunks(units: DataFrame, n: int, value: str, arm: str, max_units: int, partitions: int | None):
-    spark = units.sparkSession
-    k = -(-n // CHUNK)
-    p = partitions or max(1, min(spark.sparkContext.defaultParallelism * 2, k))
-    return spark.range(0, k, 1, p).withColumnRenamed("id", "chunk") \
-        .withColumn("v", _arms_value(units, value, arm, max_units))
-
-
-def _replicate_ids(chunk: int, n: int):
-    return range(chunk * CHUNK, min(n, (chunk + 1) * CHUNK))
+    whole = Window.partitionBy()
+    obs = F.avg(F.when(F.col(arm) == TREATMENT, v)).over(whole) - F.avg(F.when(F.col(arm) == CONTROL, v)).over(whole)
+    # the window runs over the units, before they are replicated
+    base = units.select(F.col(unit).cast("long").alias("unit"), F.col(arm).alias("arm"), v.alias("value"), obs.alias("observed_diff"))
+    return base.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def permutation_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
-                      n: int = N_REPLICATES, seed: int = 42, partitions: int | None = None,
-                      max_units: int = MAX_UNITS) -> DataFrame:
-    """Replicate table of mean(treatment) - mean(control) under relabelling."""
-    def run(batches):
-        for b in batches:
-            reps, out = [], []
-            for chunk, v in zip(b["chunk"], b["v"]):
-                c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
-                pooled, n_t = np.concatenate([c, t]), len(t)
-                obs = t.mean() - c.mean()
-                for r in _replicate_ids(int(chunk), n):
-                    perm = np.random.default_rng([seed, 1, r]).permutation(pooled)
-                    reps.append(r)
-                    out.append(perm[:n_t].mean() - perm[n_t:].mean())
-            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out),
-                                "observed_diff": obs if reps else np.asarray([], dtype=float)})
-
-    return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
+                      unit: str = "pickup_zone", n: int = N_REPLICATES, seed: int = 42) -> DataFrame:
+    """(replicate, diff, observed_diff): mean(treatment) - mean(control) under relabelling."""
+    rows = _replicated(units, value, arm, unit, n).withColumn("h", X.hash_key(int(seed), 1, "r", "unit"))
+    of_r = Window.partitionBy("r")
+    rows = rows.withColumns({"k": F.row_number().over(of_r.orderBy("h", "unit")),
+                             "n_t": F.count_if(F.col("arm") == TREATMENT).over(of_r)})
+    treated = F.col("k") <= F.col("n_t")
+    return rows.groupBy(F.col("r").cast("long").alias("replicate")).agg(
+        (F.avg(F.when(treated, F.col("value"))) - F.avg(F.when(~treated, F.col("value")))).alias("diff"),
+        F.first("observed_diff").alias("observed_diff"))
 
 
 def bootstrap_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
-                    n: int = N_REPLICATES, seed: int = 42, partitions: int | None = None,
-                    max_units: int = MAX_UNITS) -> DataFrame:
-    """Replicate table of resampled mean(treatment) - mean(control)."""
-    def run(batches):
-        for b in batches:
-            reps, out = [], []
-            for chunk, v in zip(b["chunk"], b["v"]):
-                c, t = np.asarray(v["c"], dtype=float), np.asarray(v["t"], dtype=float)
-                obs = t.mean() - c.mean()
-                for r in _replicate_ids(int(chunk), n):
-                    g = np.random.default_rng([seed, 2, r])
-                    reps.append(r)
-                    out.append(t[g.integers(0, len(t), len(t))].mean() - c[g.integers(0, len(c), len(c))].mean())
-            yield pd.DataFrame({"replicate": np.asarray(reps, dtype="int64"), "diff": np.asarray(out),
-                                "observed_diff": obs if reps else np.asarray([], dtype=float)})
-
-    return _chunks(units, n, value, arm, max_units, partitions).mapInPandas(run, REPLICATE_SCHEMA)
+                    unit: str = "pickup_zone", n: int = N_REPLICATES, seed: int = 42) -> DataFrame:
+    """(replicate, diff, observed_diff) of resampled mean(treatment) - mean(control)."""
+    rows = _replicated(units, value, arm, unit, 1).drop("r")
+    of_arm = Window.partitionBy("arm")
+    slots = rows.withColumns({"slot": F.row_number().over(of_arm.orderBy("unit")) - 1, "size": F.count(F.lit(1)).over(of_arm)})
+    draws = slots.drop("value").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = draws.withColumn("slot", (X.hash_key(int(seed), 2, "r", "unit") % F.col("size")).cast("int"))
+    drawn = draws.select("r", "arm", "slot", "observed_diff").join(slots.select("arm", "slot", "value"), ["arm", "slot"])
+    return drawn.groupBy(F.col("r").cast("long").alias("replicate")).agg(
+        (F.avg(F.when(F.col("arm") == TREATMENT, F.col("value"))) - F.avg(F.when(F.col("arm") == CONTROL, F.col("value")))).alias("diff"),
+        F.first("observed_diff").alias("observed_diff"))
 
 
 def observed_diff(units: DataFrame, *, value: str = "sim_trips", arm: str = "group") -> DataFrame:
@@ -108,25 +78,20 @@ def observed_diff(units: DataFrame, *, value: str = "sim_trips", arm: str = "gro
 def permutation_test(units: DataFrame, *, corrected: bool = False, **kw) -> DataFrame:
     """X11: two-sided permutation p-value, share of |perm| >= |observed|.
 
-    The observed difference comes from the same unit arrays as the
-    replicates, so the units are computed once.  The reference has no +1
-    correction; ``corrected=True`` gives (k + 1) / (R + 1).
+    The reference has no +1 correction; ``corrected=True`` gives
+    (k + 1) / (R + 1).
     """
     reps = permutation_diffs(units, **kw)
-    hit = (F.abs(F.col("diff")) >= F.abs(F.col("observed_diff"))).cast("double")
-    agg = reps.agg(F.first("observed_diff").alias("observed_diff"),
-                   F.count(F.lit(1)).alias("n_permutations"),
-                   F.sum(hit).alias("_k"))
+    hit = F.abs("diff") >= F.abs("observed_diff") * F.lit(1 - TIE)
+    agg = reps.agg(F.first("observed_diff").alias("observed_diff"), F.count(F.lit(1)).alias("n_permutations"),
+                   F.count_if(hit).cast("double").alias("_k"))
     p = (F.col("_k") + 1) / (F.col("n_permutations") + 1) if corrected else F.col("_k") / F.col("n_permutations")
     return agg.select("observed_diff", "n_permutations", p.alias("p_value"))
 
 
-def bootstrap_ci(units: DataFrame, *, level: float = 0.95, **kw) -> DataFrame:
-    """Percentile interval of the difference, bootstrap SE and effect / SE."""
-    reps = bootstrap_diffs(units, **kw)
+def _interval(reps: DataFrame, level: float) -> DataFrame:
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    s = reps.agg(F.first("observed_diff").alias("observed_diff"),
-                 F.count(F.lit(1)).alias("n_bootstraps"),
+    s = reps.agg(F.first("observed_diff").alias("observed_diff"), F.count(F.lit(1)).alias("n_bootstraps"),
                  F.percentile("diff", lo).alias("ci_lower"), F.percentile("diff", hi).alias("ci_upper"),
                  F.stddev_pop("diff").alias("boot_se"))
     return s.select(
@@ -136,11 +101,57 @@ def bootstrap_ci(units: DataFrame, *, level: float = 0.95, **kw) -> DataFrame:
         ((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)).alias("ci_includes_zero"))
 
 
+def bootstrap_ci(units: DataFrame, *, level: float = 0.95, **kw) -> DataFrame:
+    """Percentile interval of the difference, bootstrap SE and effect / SE."""
+    return _interval(bootstrap_diffs(units, **kw), level)
+
+
+def replicate_factors(n: int, seed: int) -> list[tuple[int, int]]:
+    """Two factors below PRIME for each replicate: weights come from
+    (a * row key + b) mod PRIME, one multiplication per row and replicate."""
+    def factor(r: int, k: int) -> int:
+        return 1 + int(hashlib.md5(f"{seed}|3|{r}|{k}".encode()).hexdigest()[:13], 16) % (PRIME - 1)
+    return [(factor(r, 0), factor(r, 1)) for r in range(n)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) by inversion of a uniform value, exact up to 1e-9 of its mass."""
+    weight, mass, term = F.lit(0), 0.0, math.exp(-1.0)
+    for k in range(12):
+        mass += term
+        term /= k + 1
+        weight = weight + (u >= F.lit(mass)).cast("int")
+    return weight
+
+
+def poisson_diffs(trips: DataFrame, *, value: str, identity: list[Column | str], arm: str = "group",
+                  n: int = N_TRIP_REPLICATES, seed: int = 42) -> DataFrame:
+    """(replicate, diff, observed_diff) from Poisson-weighted rows."""
+    v = F.col(value).cast("double")
+    factors = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                        for r, (a, b) in enumerate(replicate_factors(n, seed))])
+    base = trips.where(F.col(arm).isin(CONTROL, TREATMENT)).select(
+        F.col(arm).alias("arm"), v.alias("value"), (X.hash_key(int(seed), *identity) % F.lit(PRIME)).alias("key"))
+    obs = observed_diff(base.withColumnRenamed("arm", arm), value="value", arm=arm).scalar()
+    rows = base.withColumn("f", F.explode(factors))
+    u = ((F.col("key") * F.col("f.a") + F.col("f.b")) % F.lit(PRIME)) / F.lit(float(PRIME))
+    rows = rows.select("arm", "value", F.col("f.r").alias("r"), poisson_weight(u).alias("w"))
+    sums = rows.groupBy("r", "arm").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("value")).alias("s"))
+    by_r = sums.groupBy(F.col("r").cast("long").alias("replicate")).agg(
+        F.sum(F.when(F.col("arm") == TREATMENT, F.col("s") / F.col("n"))).alias("t"),
+        F.sum(F.when(F.col("arm") == CONTROL, F.col("s") / F.col("n"))).alias("c"))
+    return by_r.select("replicate", (F.col("t") - F.col("c")).alias("diff"), obs.alias("observed_diff"))
+
+
+def poisson_bootstrap(trips: DataFrame, *, value: str, identity: list[Column | str], level: float = 0.95, **kw) -> DataFrame:
+    """X12 on trips: interval of the difference of means without one array or task per arm."""
+    return _interval(poisson_diffs(trips, value=value, identity=identity, **kw), level)
+
+
 def v4_result(projected: DataFrame, projected_rest: DataFrame, *, revenue_uplift: DataFrame,
               alpha: float = 0.05, n: int = N_REPLICATES, seed: int = 42,
               rest_group: str = "group_v3") -> DataFrame:
     """The 11-column v4 result (permutation + bootstrap, all zones and the rest)."""
-    from ..functions import exprs as X
     from ..functions.frames import one_row
     p_all = permutation_test(projected, n=n, seed=seed).select(
         "observed_diff", "n_permutations", F.col("p_value").alias("p_all"))

@@ -29,6 +29,7 @@ T_SEASONAL_ZONES = 400  # [4000]
 T_Q1_Q3 = 50           # [2000]
 T_WAIT = 10            # [100]
 T_SAMPLE = 1000        # [50000]
+T_TRIP_REPLICATES = 20  # [200]
 
 
 def query(name: str):
@@ -437,6 +438,14 @@ def _q_boot(spark, sf_dir):
     return R.bootstrap_ci(_projected(spark, sf_dir))
 
 
+@query("trip_bootstrap")
+def _q_trip_boot(spark, sf_dir):
+    """Poisson bootstrap on trip rows (20 replicates at test scale [200])."""
+    from ..operators import experiment as E
+    from ..operators import resample as R
+    return R.poisson_bootstrap(_trips(spark, sf_dir), value="sim_fare", identity=E.trip_identity(), n=T_TRIP_REPLICATES)
+
+
 @query("trip_assignment")
 def _q_trips(spark, sf_dir):
     return _trips(spark, sf_dir)

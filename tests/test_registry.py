@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
+from taxilens.plans.registry import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -51,14 +52,9 @@ def test_oracle_keys_are_queries():
     assert len(entry_mod.queries()) >= 75
 
 
-SLOW = {"ab_test_v4_result", "experiment_readout"}
-
-
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_against_oracle(spark, con, name):
-    if name in SLOW:
-        pytest.skip("covered by test_stats resampling tests")
-    df = entry_mod.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     sql = entry_mod.oracle_sql().get(name)
     if sql is None:

@@ -113,26 +113,42 @@ def test_tiers_use_linear_quantiles(spark):
     assert got == want
 
 
+def md5_key(*parts):
+    import hashlib
+    return int(hashlib.md5("|".join(str(int(p)) for p in parts).encode()).hexdigest()[:13], 16)
+
+
 def test_permutation_and_bootstrap_reproducible_and_exact(spark):
     proj = Q._projected(spark, SF_MID)
-    a = R.permutation_diffs(proj, n=300, partitions=2).orderBy("replicate").toPandas()
-    b = R.permutation_diffs(proj, n=300, partitions=5).orderBy("replicate").toPandas()
-    np.testing.assert_array_equal(a["diff"].to_numpy(), b["diff"].to_numpy())
-    pdf = proj.toPandas()
-    c = np.sort(pdf.loc[pdf.group == "control", "sim_trips"].to_numpy(float))
-    t = np.sort(pdf.loc[pdf.group == "treatment", "sim_trips"].to_numpy(float))
-    pooled = np.concatenate([c, t])
-    want = []
+    a = R.permutation_diffs(proj, n=300).orderBy("replicate").toPandas()
+    b = R.permutation_diffs(proj.repartition(5), n=300).orderBy("replicate").toPandas()
+    np.testing.assert_allclose(a["diff"].to_numpy(), b["diff"].to_numpy(), rtol=1e-12)
+    pdf = proj.toPandas().sort_values("pickup_zone")
+    zones, values = pdf.pickup_zone.tolist(), dict(zip(pdf.pickup_zone, pdf.sim_trips.astype(float)))
+    arms = {g: pdf.loc[pdf.group == g, "pickup_zone"].tolist() for g in ("control", "treatment")}
+    mean = lambda zs: np.mean([values[z] for z in zs])
+    perm, boot = [], []
     for r in range(300):
-        p = np.random.default_rng([42, 1, r]).permutation(pooled)
-        want.append(p[:len(t)].mean() - p[len(t):].mean())
-    np.testing.assert_allclose(a["diff"].to_numpy(), want, rtol=1e-12)
-    obs = t.mean() - c.mean()
+        order = sorted(zones, key=lambda z: (md5_key(42, 1, r, z), z))
+        n_t = len(arms["treatment"])
+        perm.append(mean(order[:n_t]) - mean(order[n_t:]))
+        drawn = {g: [zs[md5_key(42, 2, r, z) % len(zs)] for z in zs] for g, zs in arms.items()}
+        boot.append(mean(drawn["treatment"]) - mean(drawn["control"]))
+    np.testing.assert_allclose(a["diff"].to_numpy(), perm, rtol=1e-9, atol=1e-6)
+    obs = mean(arms["treatment"]) - mean(arms["control"])
     p_val = R.permutation_test(proj, n=300).first().p_value
-    assert p_val == pytest.approx(np.mean(np.abs(want) >= abs(obs)))
-    ci = R.bootstrap_ci(proj, n=400).first()
-    bd = R.bootstrap_diffs(proj, n=400).toPandas()["diff"].to_numpy()
-    assert ci.ci_lower == pytest.approx(np.percentile(bd, 2.5)) and ci.ci_upper == pytest.approx(np.percentile(bd, 97.5))
+    assert p_val == pytest.approx(np.mean(np.abs(perm) >= abs(obs) * (1 - 1e-9)))
+    ci = R.bootstrap_ci(proj, n=300).first()
+    assert ci.ci_lower == pytest.approx(np.percentile(boot, 2.5)) and ci.ci_upper == pytest.approx(np.percentile(boot, 97.5))
+
+
+def test_poisson_bootstrap_on_trips(spark):
+    trips = Q._trips(spark, SF_MID)
+    got = R.poisson_bootstrap(trips, value="sim_fare", identity=E.trip_identity(), n=100).first()
+    w = E.trip_welch(trips).first()
+    assert got.observed_diff == pytest.approx(w.fare_difference, rel=1e-9) and got.n_bootstraps == 100
+    assert 0.7 < got.boot_se / abs(w.fare_difference / w.t_stat) < 1.3
+    assert got.ci_lower < got.observed_diff < got.ci_upper
 
 
 def test_permutation_null_roughly_uniform(spark):
@@ -196,9 +212,3 @@ def test_sample_exact_collapses_copies(spark):
         want = df.withColumn("u", hash_unit(3, ["id", "g"])).orderBy("u", "id", "g").limit(min(n, 5000)).drop("u")
         assert got.count() == min(n, 5000)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
-def test_resampling_refuses_oversized_units(spark):
-    proj = Q._projected(spark, SF_SMALL)
-    with pytest.raises(Exception, match="more than 3 units"):
-        R.permutation_diffs(proj, n=10, max_units=3).collect()
