@@ -8,7 +8,6 @@ generated from the declared year range instead of being listed.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +51,7 @@ def declare_table(spark: SparkSession, name: str, feed: str, base: str) -> None:
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in FEEDS[feed]["schema"].fields)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet "
-              f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{os.path.abspath(base)}'")
+              f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{base}'")
     spark.sql(f"MSCK REPAIR TABLE {name}")
 
 

@@ -1,73 +1,115 @@
-"""Type-drift audit and repair of the raw tables.
-
-``passenger_count`` is a double in some partitions and a bigint in others.
-Spark cannot read such a table in one pass (``mergeSchema`` fails on
-double/bigint, a declared bigint schema fails on double files), so the
-repair reads each drift group with its own type, ``try_cast``s to the
-declared type (NaN or out-of-range values become NULL, never an error under
-ANSI mode) and unions the groups by name.  The audit only opens Parquet
-footers.  The repaired table is written to a *new* location; the table being
-read is never overwritten.
+"""Type-drift audit and repair of raw Parquet files.
+
+``passenger_count`` is a double in some files and a bigint in others.  Spark
+cannot read such files in one pass (``mergeSchema`` fails on double/bigint, a
+declared bigint schema fails on double files), so files are grouped by their
+own types, each group is read with those, ``try_cast`` to the declared type
+(NaN or out-of-range values become NULL, never an error under ANSI mode) and
+united by name.  Types are told per file, whatever folder it lies in; only
+Parquet footers are opened for that, some at a time.  The repaired table is
+written to a *new* location; the table being read is never overwritten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import FEEDS, PARTITION_COLUMN, PARTITION_YEARS
-from .catalog import _exists, partition_paths
+from ..schemas import FEEDS, PARTITION_COLUMN
+
+#: Footers read at the same time; each is a small Spark job.
+FOOTERS_AT_ONCE = 16
+
+
+def list_files(spark: SparkSession, base: str, years: Iterable[int] | None = None) -> list[str]:
+    """The Parquet files under ``base``, of all partitions there are or of ``years``."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .option("recursiveFileLookup", "true").load(base).select("path"))
+    if years is not None:
+        files = files.where(F.regexp_extract("path", f"/{PARTITION_COLUMN}=([0-9]+)/", 1).isin([str(y) for y in years]))
+    return sorted(r.path for r in files.collect())
+
+
+def file_schemas(spark: SparkSession, paths: Sequence[str]) -> dict[str, StructType | Exception]:
+    """Each file's own schema, or the error its footer gives."""
+    def one(path: str):
+        try:
+            return spark.read.parquet(path).schema
+        except Exception as e:  # noqa: BLE001  a bad file is reported, others continue
+            return e
+
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        return dict(zip(paths, pool.map(one, paths), strict=True))
 
 
 def audit(spark: SparkSession, base: str, *, column: str = "passenger_count", target: str = "bigint",
-          years: Iterable[int] = PARTITION_YEARS) -> DataFrame:
-    """One row per partition: found type and the action the repair takes."""
+          years: Iterable[int] | None = None) -> DataFrame:
+    """One row per file: its partition, found type and the action the repair takes."""
     rows = []
-    for y, path in zip(years, partition_paths(base, years)):
-        if not _exists(spark, path):
-            continue
-        try:
-            schema = spark.read.parquet(path).schema
-            if column not in schema.fieldNames():
-                rows.append((int(y), path, None, "skipped: no column"))
-                continue
-            found = schema[column].dataType.simpleString()
-            rows.append((int(y), path, found, "skipped: already " + target if found == target else "fixed"))
-        except Exception as e:  # noqa: BLE001  a bad partition is reported, others continue
-            rows.append((int(y), path, None, f"error: {type(e).__name__}"))
-    return spark.createDataFrame(
-        rows, "year int, path string, found_type string, action string")
+    for path, found in file_schemas(spark, list_files(spark, base, years)).items():
+        part = path.rpartition(f"/{PARTITION_COLUMN}=")[2].partition("/")[0]
+        year = int(part) if part.isdigit() else None
+        if isinstance(found, Exception):
+            rows.append((year, path, None, f"error: {type(found).__name__}"))
+        elif column not in found.fieldNames():
+            rows.append((year, path, None, "skipped: no column"))
+        else:
+            kind = found[column].dataType.simpleString()
+            rows.append((year, path, kind, "skipped: already " + target if kind == target else "fixed"))
+    return spark.createDataFrame(rows, "year int, path string, found_type string, action string")
 
 
-def normalize_types(spark: SparkSession, base: str, feed: str = "yellow", *,
-                    years: Iterable[int] = PARTITION_YEARS) -> DataFrame:
-    """Read every partition with its own types and cast to the declared schema."""
-    target: StructType = FEEDS[feed]["schema"]
+def conform(df: DataFrame, target: StructType) -> DataFrame:
+    """``df`` with the declared columns and types, missing columns as NULL."""
+    types = {f.name.lower(): f.dataType for f in df.schema.fields}
+    cols = []
+    for f in target.fields:
+        have = types.get(f.name.lower())
+        if have is None:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        else:
+            cols.append((F.col(f.name) if have == f.dataType else F.col(f.name).try_cast(f.dataType)).alias(f.name))
+    return df.select(*cols)
+
+
+def by_type(schemas: dict[str, StructType]) -> list[list[str]]:
+    """Files that can be read in one pass: those with the same columns and types."""
     groups: dict[str, list[str]] = {}
-    for path in partition_paths(base, years):
-        if not _exists(spark, path):
-            continue
-        found = spark.read.parquet(path).schema
-        sig = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in found.fields)
-        groups.setdefault(sig, []).append(path)
+    for path, schema in schemas.items():
+        groups.setdefault(schema.simpleString(), []).append(path)
+    return list(groups.values())
+
+
+def read_conformed(spark: SparkSession, paths: Sequence[str], target: StructType, *, base: str | None = None,
+                   schemas: dict[str, StructType] | None = None) -> DataFrame:
+    """The files as one frame of the declared schema, whatever their own types."""
+    schemas = schemas or file_schemas(spark, paths)
+    for found in schemas.values():
+        if isinstance(found, Exception):
+            raise found
     out = None
-    for paths in groups.values():
-        df = spark.read.option("basePath", base).parquet(*paths)
-        cols = []
-        for f in target.fields:
-            if f.name in df.columns:
-                cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name)
-                            if df.schema[f.name].dataType != f.dataType else F.col(f.name))
-            else:
-                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        part = df.select(*cols)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], target)
-    return out
+    for group in by_type(schemas):
+        reader = spark.read.schema(schemas[group[0]])
+        df = conform((reader.option("basePath", base) if base else reader).parquet(*group), target)
+        out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], target) if out is None else out
+
+
+def normalize_types(spark: SparkSession, base: str, feed: str = "yellow", *,
+                    years: Iterable[int] | None = None) -> DataFrame:
+    """Read every file of a partitioned table with its own types and cast
+    to the declared schema.  An unreadable footer is an error."""
+    paths = list_files(spark, base, years)
+    schemas = file_schemas(spark, paths)
+    target: StructType = FEEDS[feed]["schema"]
+    # the partition column comes from the folder, not from the file
+    with_year = {p: s if isinstance(s, Exception) or PARTITION_COLUMN in s.fieldNames()
+                 else StructType([*s.fields, target[PARTITION_COLUMN]]) for p, s in schemas.items()}
+    return read_conformed(spark, paths, target, base=base, schemas=with_year)
 
 
 def rewrite(df: DataFrame, out: str, *, mode: str = "overwrite",

@@ -2,24 +2,35 @@
 table (S1), and the feed calendar / coverage checks (S2).
 
 The reference loops over 51 months x 2 feeds, skips files already present
-and aborts a failed file while the others continue.  Here that is a
-Structured Streaming query over the landing folder with
-``trigger(availableNow=True)``: the checkpoint records which files were
-committed, so a re-run lands only new files (a second run adds nothing),
-unreadable files are skipped (``ignoreCorruptFiles``) and a crashed run
-resumes from the last committed batch.  Output is partitioned by the
-*pickup* year, so the partition column equals the silver view's derived
-``year`` and year filters become exact partition filters.
+and aborts a failed file, naming it, while the others continue.  Here a
+Structured Streaming query over the *names* of the landing files finds new
+ones (``trigger(availableNow=True)``; its checkpoint records what it has
+seen), and each micro-batch lands its files whole or not at all:
+
+* files are read by groups of equal types and conformed to the declared
+  schema, so files whose types drifted land with all their rows;
+* a file whose footer or data cannot be read lands no row.  It is named in
+  the file log (:func:`file_log`) with its error, and tried again on the
+  next call;
+* output is partitioned by the *pickup* year, so the partition column equals
+  the silver view's derived ``year``.
+
+A batch writes its rows, then its log.  A batch that is repeated after its
+log was written is skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..sources import drift
 from ..schemas import FEEDS, FHV_COLUMNS, PARTITION_COLUMN, YELLOW_COLUMNS
 
 LANDING_COLUMNS = {"yellow": YELLOW_COLUMNS, "fhv": FHV_COLUMNS}
@@ -30,22 +41,85 @@ CALENDAR_END = "2026-03-01"
 FEED_NAMES = ("yellow", "fhv")
 
 
+LOG_SCHEMA = "path string, status string, error string, batch long, at timestamp"
+
+
+def _log_path(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}-files"
+
+
+def file_log(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row per landing file: its last status (landed or failed) and error."""
+    try:
+        log = spark.read.schema(LOG_SCHEMA).parquet(_log_path(checkpoint))
+    except AnalysisException:  # no batch has been landed yet
+        return spark.createDataFrame([], LOG_SCHEMA)
+    last = F.max_by(F.struct("status", "error", "batch", "at"), "at")
+    return log.groupBy("path").agg(last.alias("s")).select("path", "s.*")
+
+
+def _bad_files(spark: SparkSession, schemas: dict[str, StructType]) -> dict[str, str]:
+    """Read every file whole; the errors of those that cannot be."""
+    def one(path: str) -> str | None:
+        try:
+            spark.read.schema(schemas[path]).parquet(path).write.format("noop").mode("overwrite").save()
+            return None
+        except Exception as e:  # noqa: BLE001  it is reported by name
+            return f"{type(e).__name__}: {str(e)[:300]}"
+
+    with ThreadPoolExecutor(drift.FOOTERS_AT_ONCE) as pool:
+        return {p: e for p, e in zip(schemas, pool.map(one, schemas), strict=True) if e}
+
+
+def land_files(spark: SparkSession, feed: str, paths: list[str], raw: str, checkpoint: str, batch: int) -> None:
+    """Land whole files, and log every one of them.  Files are read one by
+    one only if the group they are in failed."""
+    found = drift.file_schemas(spark, paths)
+    bad = {p: f"{type(s).__name__}: {str(s)[:300]}" for p, s in found.items() if isinstance(s, Exception)}
+    good = {p: s for p, s in found.items() if p not in bad}
+
+    def write(schemas: dict[str, StructType]) -> None:
+        rows = drift.read_conformed(spark, list(schemas), LANDING_COLUMNS[feed], schemas=schemas)
+        rows = rows.withColumn(PARTITION_COLUMN, F.year(FEEDS[feed]["pickup"]).cast("int"))
+        rows.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(raw)  # all or nothing: one job commit
+
+    if good:
+        try:
+            write(good)
+        except Exception:  # noqa: BLE001  some file is damaged beyond its footer
+            damaged = _bad_files(spark, good)
+            if not damaged:
+                raise
+            bad |= damaged
+            good = {p: s for p, s in good.items() if p not in damaged}
+            if good:
+                write(good)
+    log = [(p, "failed" if p in bad else "landed", bad.get(p), batch) for p in paths]
+    spark.createDataFrame(log, "path string, status string, error string, batch long").withColumn("at", F.current_timestamp()) \
+        .coalesce(1).write.mode("append").parquet(_log_path(checkpoint))
+
+
 def land(spark: SparkSession, feed: str, landing: str, raw: str, checkpoint: str,
-         *, files_per_batch: int | None = None, wait: bool = True) -> StreamingQuery:
-    """Land new files of ``feed`` from ``landing`` into ``raw`` (partitioned by year)."""
-    reader = (spark.readStream.schema(LANDING_COLUMNS[feed])
-              .option("ignoreCorruptFiles", "true"))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    src = reader.parquet(landing)
-    pickup = FEEDS[feed]["pickup"]
-    out = src.withColumn(PARTITION_COLUMN, F.year(pickup).cast("int"))
-    q = (out.writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint)
-         .partitionBy(PARTITION_COLUMN)
-         .trigger(availableNow=True)
-         .outputMode("append")
-         .start(raw))
+         *, files_per_batch: int = 64, wait: bool = True) -> StreamingQuery:
+    """Land new files of ``feed`` from ``landing`` into ``raw`` (partitioned by
+    year), and those that failed before."""
+    log = file_log(spark, checkpoint)
+    again = sorted(r.path for r in log.where("status = 'failed'").select("path").collect())
+    if again:
+        land_files(spark, feed, again, raw, checkpoint, -1)
+
+    def batch(names: DataFrame, number: int) -> None:
+        session = names.sparkSession
+        if file_log(session, checkpoint).where(F.col("batch") == number).limit(1).count():
+            return
+        paths = sorted(r.path for r in names.select("path").collect())  # files_per_batch at most
+        if paths:
+            land_files(session, feed, paths, raw, checkpoint, number)
+
+    names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+             .option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).load(landing).select("path"))
+    q = (names.writeStream.option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).foreachBatch(batch).start())
     if wait:
         q.awaitTermination()
     return q
