@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import exprs as X
+from ..functions.frames import one_row
 from ..functions.measures import measures
 from .silver import years_filter
 
@@ -185,50 +186,29 @@ def did_ols_hc3(cells: DataFrame) -> DataFrame:
             .applyInPandas(lambda pdf: ols_hc3_from_cells(pdf), OLS_SCHEMA))
 
 
-SUMMARY_SCHEMA = (
-    "method string, treatment string, policy_event string, cbd_zones int, "
-    "cbd_demand_change_pct double, noncbd_demand_change_pct double, did_estimate_trips double, "
-    "did_effect_pct double, did_fare_effect double, avg_congestion_fee double, "
-    "implied_elasticity double, assumed_elasticity double, did_regression_pval double, "
-    "did_effect_pct_reg double")
-
-
-def summary_from_cells(cells: pd.DataFrame, n_treated_zones: int) -> pd.DataFrame:
-    """The one-row summary mart, computed from the cell table."""
-    def mean(col, t, p):
-        c = cells[(cells["treated"] == t) & (cells["post"] == p)]
-        return float(c[col].sum() / c["n"].sum()) if c["n"].sum() > 0 else float("nan")
-
-    cb, ca = mean("sum_trips", 1, 0), mean("sum_trips", 1, 1)
-    nb, na = mean("sum_trips", 0, 0), mean("sum_trips", 0, 1)
-    est = (ca - cb) - (na - nb)
-    cbd_change = (ca - cb) / cb * 100
-    non_change = (na - nb) / nb * 100
-    did_pct = est / cb * 100
-    fb, fa = mean("sum_fare", 1, 0), mean("sum_fare", 1, 1)
-    gb, ga = mean("sum_fare", 0, 0), mean("sum_fare", 0, 1)
-    did_fare = (fa - fb) - (ga - gb)
-    fee = mean("sum_fee", 1, 1)
-    price = fee / fb * 100
-    elasticity = did_pct / price if price != 0 else 0.0
-    ols = ols_hc3_from_cells(cells).set_index("term")
-    coef, pval = float(ols.loc["did", "coef"]), float(ols.loc["did", "p_value"])
-    r = lambda v, d: float(np.round(v, d))  # noqa: E731  pandas-side rounding
-    return pd.DataFrame([{
-        "method": SUMMARY_METHOD, "treatment": SUMMARY_TREATMENT, "policy_event": SUMMARY_EVENT,
-        "cbd_zones": int(n_treated_zones),
-        "cbd_demand_change_pct": r(cbd_change, 2), "noncbd_demand_change_pct": r(non_change, 2),
-        "did_estimate_trips": r(est, 0), "did_effect_pct": r(did_pct, 2),
-        "did_fare_effect": r(did_fare, 4), "avg_congestion_fee": r(fee, 2),
-        "implied_elasticity": r(elasticity, 4), "assumed_elasticity": ASSUMED_ELASTICITY,
-        "did_regression_pval": r(pval, 4), "did_effect_pct_reg": r((math.exp(coef) - 1) * 100, 2),
-    }])
-
-
-def did_summary(cells: DataFrame, n_treated_zones: int) -> DataFrame:
-    """One-row summary (rows-only: needs the regression p-value)."""
-    return (cells.withColumn("_g", F.lit(0)).groupBy("_g")
-            .applyInPandas(lambda pdf: summary_from_cells(pdf, n_treated_zones), SUMMARY_SCHEMA))
+def summary_columns(panel: DataFrame, n_treated_zones: int) -> DataFrame:
+    """C6 without the regression: C1, C2 and C5 as one row.  A zero mean makes
+    the ratio over it null."""
+    demand = did_2x2(panel).select("cbd_change_pct", "noncbd_change_pct", "did_estimate", "did_pct")
+    fare = did_2x2(panel, "avg_fare").select(F.col("did_estimate").alias("fare_effect"))
+    price = implied_elasticity(panel).select("avg_congestion_fee", F.col("implied_elasticity").alias("elasticity"))
+    r = X.round_half_even
+    return one_row(demand, fare, price).select(
+        F.lit(SUMMARY_METHOD).alias("method"), F.lit(SUMMARY_TREATMENT).alias("treatment"),
+        F.lit(SUMMARY_EVENT).alias("policy_event"), F.lit(n_treated_zones).cast("int").alias("cbd_zones"),
+        r("cbd_change_pct", 2).alias("cbd_demand_change_pct"), r("noncbd_change_pct", 2).alias("noncbd_demand_change_pct"),
+        r("did_estimate", 0).alias("did_estimate_trips"), r("did_pct", 2).alias("did_effect_pct"),
+        r("fare_effect", 4).alias("did_fare_effect"), r("avg_congestion_fee", 2).alias("avg_congestion_fee"),
+        r("elasticity", 4).alias("implied_elasticity"), F.lit(ASSUMED_ELASTICITY).cast("double").alias("assumed_elasticity"))
+
+
+def did_summary(panel: DataFrame, n_treated_zones: int) -> DataFrame:
+    """The one-row summary mart; only the regression row is solved in pandas."""
+    ols = did_ols_hc3(did_cells(panel)).where("term = 'did'").select("coef", "p_value")
+    r = X.round_half_even
+    return one_row(summary_columns(panel, n_treated_zones), ols).select(
+        "*", r("p_value", 4).alias("did_regression_pval"),
+        r((F.exp("coef") - 1) * 100, 2).alias("did_effect_pct_reg")).drop("coef", "p_value")
 
 
 def effect_label(did_pct_col, strong: float = -5.0):

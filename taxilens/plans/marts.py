@@ -48,8 +48,7 @@ def _default_marts(treated_zones, *, min_trips: Mapping[str, int] | None = None)
         "congestion_monthly": lambda y, f: policy.congestion_monthly(y),
         "congestion_impacted_zones": lambda y, f: policy.impacted_zones(y, min_trips=g("congestion", 1200)),
         "congestion_benefited_zones": lambda y, f: policy.benefited_zones(y, min_trips=g("congestion", 1200)),
-        "did_summary": lambda y, f: did.did_summary(did.did_cells(did.did_panel(y, treated_zones)),
-                                                    len(treated_zones)),
+        "did_summary": lambda y, f: did.did_summary(did.did_panel(y, treated_zones), len(treated_zones)),
         "ab_test_result": lambda y, f: E.v2_result(ab_projected(y)),
         "ab_test_by_tier": lambda y, f: E.ab_test_by_tier(ab_projected(y)),
         "forecast_2026": lambda y, f: forecast(y),

@@ -282,7 +282,14 @@ def _did_ols(spark, sf_dir):
 @query("did_summary")
 def _did_summary(spark, sf_dir):
     from ..operators import did
-    return did.did_summary(_did_cells(spark, sf_dir), len(TREATED))
+    return did.did_summary(_panel(spark, sf_dir), len(TREATED))
+
+
+@query("did_summary_columns")
+def _did_summary_columns(spark, sf_dir):
+    """The summary without its two regression columns."""
+    from ..operators import did
+    return did.summary_columns(_panel(spark, sf_dir), len(TREATED))
 
 
 # ---------------------------------------------------------------- wait
@@ -699,7 +706,7 @@ def _rollup_queries():
         "benefited_zones": lambda s, d: policy.benefited_zones(R(s, d), min_trips=T_CONGESTION),
         "congestion_totals": lambda s, d: policy.congestion_totals(policy.congestion_monthly(R(s, d))),
         "did_panel": lambda s, d: did.did_panel(R(s, d), TREATED),
-        "did_summary": lambda s, d: did.did_summary(did.did_cells(did.did_panel(R(s, d), TREATED)), len(TREATED)),
+        "did_summary": lambda s, d: did.did_summary(did.did_panel(R(s, d), TREATED), len(TREATED)),
         "zone_baseline": lambda s, d: E.zone_baseline(R(s, d), min_trips=T_BASELINE),
         "ab_test_result": lambda s, d: E.v2_result(E.scenario_projection(E.stratified_design(
             E.zone_baseline(R(s, d), min_trips=T_BASELINE)))),

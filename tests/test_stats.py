@@ -41,12 +41,20 @@ def test_hc3_cells_equal_row_level(spark):
 
 def test_did_summary_consistent_with_2x2(spark):
     panel = Q._panel(spark, SF_MID)
-    s = did.did_summary(did.did_cells(panel), 15).first()
+    s = did.did_summary(panel, 15).first()
     d = did.did_2x2(panel).first()
     assert s.did_effect_pct == float(np.round(d.did_pct, 2))
     assert s.cbd_demand_change_pct == float(np.round(d.cbd_change_pct, 2))
 
 
+def test_did_summary_with_empty_cells(spark):
+    panel = Q._panel(spark, SF_MID)
+    s = did.summary_columns(panel.where("not (treated = 1 and post = 0)"), 15).first()
+    assert s.did_effect_pct is None and s.cbd_demand_change_pct is None and s.noncbd_demand_change_pct is not None
+    zero = did.summary_columns(panel.withColumn("avg_fare", F.lit(0.0)), 15).first()
+    assert zero.did_fare_effect == 0.0
+
+
 def welch_numpy(a, b):
     va, vb = a.var(ddof=1), b.var(ddof=1)
     se2 = va / len(a) + vb / len(b)
