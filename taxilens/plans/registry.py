@@ -665,6 +665,53 @@ def _q_views(spark, sf_dir):
         FROM silver_fhv GROUP BY platform""")
 
 
+@query("mart_csv_roundtrip")
+def _q_csv(spark, sf_dir):
+    """A mart exported as CSV and read back."""
+    from ..sources import sinks
+    path = _memo(spark, sf_dir, "mart-csv", lambda: sinks.write_mart(
+        _monthly_trend(spark, sf_dir), _scratch(spark, "mart-csv"), fmt="csv"))
+    return sinks.read_mart_csv(spark, path).select(
+        "year", "month", F.col("total_trips").cast("long").alias("total_trips"), F.col("avg_fare").cast("double").alias("avg_fare"),
+        F.col("total_revenue").cast("double").alias("total_revenue"), F.col("ds").cast("date").alias("ds"))
+
+
+@query("mart_table_roundtrip")
+def _q_table(spark, sf_dir):
+    """A mart loaded into a table twice (the second load replaces
+    the first), its count from SQL text."""
+    import uuid
+    from ..sources import catalog, sinks
+    name = f"mart_monthly_trend_{uuid.uuid4().hex[:12]}"
+    mart = _monthly_trend(spark, sf_dir)
+    path = _scratch(spark, name)
+    for _ in range(2):
+        n = sinks.load_table(spark, mart, name, path=path)
+    out = catalog.run_sql(spark, f"SELECT year, COUNT(*) AS months, SUM(total_trips) AS total_trips FROM {name} GROUP BY year")
+    out = out.withColumn("loaded", F.lit(n).cast("long"))
+    catalog.run_sql(spark, f"DROP TABLE {name}")  # an external table: the files stay for the frame
+    return out
+
+
+@query("ddl_table_counts")
+def _q_ddl(spark, sf_dir):
+    """The landed yellow feed declared as a partitioned table, counted by SQL text."""
+    import uuid
+    from ..sources import catalog
+    name = f"yellow_{uuid.uuid4().hex[:12]}"
+    base = raw_yellow(spark, sf_dir).inputFiles()[0].rpartition("/year=")[0]  # where it was landed
+    catalog.declare_table(spark, name, "yellow", base)
+    return catalog.run_sql(spark, f"SELECT year, COUNT(*) AS trips FROM {name} GROUP BY year")
+
+
+@query("mart_publish_tally")
+def _q_publish(spark, sf_dir):
+    """Three marts published, with their row counts."""
+    from . import marts
+    return marts.publish(spark, yellow(spark, sf_dir), fhv(spark, sf_dir), _scratch(spark, "marts"),
+                         TREATED, names={"kpi_summary", "monthly_trend", "yoy_summary"})
+
+
 # ------------------------------------------------------------- rollup base
 def rollup(spark, sf_dir):
     """The rollup base of silver_yellow, materialized once per input version."""

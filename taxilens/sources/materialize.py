@@ -1,9 +1,11 @@
-"""Write a derived table once into the shared checkpoint folder and reuse it.
+"""Write a derived table once per application into the shared folder and reuse it.
 
 Used for tables that are derived from the inputs and read by many queries
-(the landed trip feeds, the rollup base).  The table is written to a private
-folder and renamed into place, so readers never see a partial table, and it
-lives in ``spark.checkpoint.dir`` (shared storage on a cluster), so it
+(the landed trip feeds, the rollup base).  Every table is written to a path
+of its own, with Spark's job commit; its name is remembered by this driver
+only after the write has succeeded.  So there is no rename to rely on, no
+reader sees a partial table, and no other code or run can leave a stale one.
+The table lives in ``spark.checkpoint.dir`` (shared storage on a cluster),
 survives lost executors and cuts the lineage of every reader.  Nothing is
 ever deleted.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import session as S
 
 _LOCK = threading.RLock()   # re-entrant: building one table may materialize its inputs
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -30,21 +33,16 @@ def hadoop_path(spark: SparkSession, path: str):
 def once(spark: SparkSession, relpath: str, build: Callable[[], DataFrame],
          read: Callable[[str], DataFrame], *, partition_by: Sequence[str] = (),
          max_records_per_file: int | None = None) -> DataFrame:
-    """Return ``read(path)`` of the table at ``relpath``, building it first if absent."""
-    target = S.scratch_path(spark, relpath)
-    fs, tp = hadoop_path(spark, target)
+    """Return ``read(path)`` of the table called ``relpath``, building it first if absent."""
+    key = (spark.sparkContext.applicationId, relpath)
     with _LOCK:
-        if fs.exists(tp.suffix("/_SUCCESS")):
-            return read(target)
-        tmp = f"{target}.tmp-{uuid.uuid4().hex[:12]}"
-        w = build().write.mode("errorifexists")
-        if max_records_per_file:
-            w = w.option("maxRecordsPerFile", max_records_per_file)
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(tmp)
-        _, tmpp = hadoop_path(spark, tmp)
-        fs.mkdirs(tp.getParent())
-        if not fs.exists(tp) and fs.rename(tmpp, tp):
-            return read(target)
-        return read(tmp)
+        if key not in _WRITTEN:
+            target = f"{S.scratch_path(spark, relpath)}-{uuid.uuid4().hex[:12]}"
+            w = build().write.mode("errorifexists")
+            if max_records_per_file:
+                w = w.option("maxRecordsPerFile", max_records_per_file)
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(target)
+            _WRITTEN[key] = target
+        return read(_WRITTEN[key])

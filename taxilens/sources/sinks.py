@@ -27,7 +27,9 @@ def read_mart_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def load_table(spark: SparkSession, df: DataFrame, name: str) -> int:
-    """Truncate-and-replace a table from the DataFrame; return its row count."""
-    df.write.mode("overwrite").saveAsTable(name)
+def load_table(spark: SparkSession, df: DataFrame, name: str, *, path: str | None = None) -> int:
+    """Truncate-and-replace a table from the DataFrame; return its row
+    count.  ``path`` makes it an external table."""
+    w = df.write.mode("overwrite")
+    (w.option("path", path) if path else w).saveAsTable(name)
     return spark.table(name).count()
