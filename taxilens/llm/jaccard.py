@@ -15,8 +15,9 @@ intersection.
    returns a spanning forest of its links, so no group is ever expanded
    into its pairs.
    First round: each class in one of its lists, inside tiles.  Second: the
-   lists that still span several components, all tiles of each.  Members
-   whose bitmaps rule out every partner are gone before arrays are moved.
+   lists that still span several components, all pairs of their tiles; the
+   pairs that bitmaps leave open are joined to groups, whose tiles are then
+   decided.  Classes whose bitmaps rule out every partner never move arrays.
 4. Links make components.
 
 Exact up to collisions of 64-bit hashes.
@@ -258,20 +259,19 @@ def _members(t: pa.Table) -> Members:
     return Members(*(t.column(c).to_numpy() for c in ("key", "n")), t.column("bits").to_pylist(), t.column("comp").to_numpy(), t.column("side").to_numpy())
 
 
-def possible(tiles: DataFrame) -> DataFrame:
-    """The rows of ``tiles`` (tile, side, key, n, comp, bits) that the bitmaps leave a partner."""
+def candidates(tiles: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the pairs that the bitmaps of a tile leave
+    open; tiles are rows (tile, side, key, n, comp, bits)."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, "tile"):
             m = _members(t)
-            stay = np.zeros(t.num_rows, bool)
-            for i in range(t.num_rows - 1):
-                j = m.partners(i)
-                stay[j] = True
-                stay[i] |= len(j) > 0
-            if stay.any():
-                yield from t.take(pa.array(m.order[stay])).to_batches()
+            find, join = union_find(t.num_rows)
+            e = [(i, int(j)) for i in range(t.num_rows - 1) for j in m.partners(i) if join(i, int(j))]
+            if e:
+                e = np.array(e, np.int64)
+                yield pa.record_batch({"u": pa.array(m.keys[e[:, 0]]), "v": pa.array(m.keys[e[:, 1]])})
 
-    return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, tiles.schema.simpleString()[7:-1].replace(":", " "))
+    return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, "u long, v long")
 
 
 def links_of(tiles: DataFrame) -> DataFrame:
@@ -286,11 +286,27 @@ def links_of(tiles: DataFrame) -> DataFrame:
     return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, "u long, v long")
 
 
-def _verified(tiles: DataFrame, docs: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
-    """(u, v) links of tiles (tile, side, key, n, comp): bitmaps, then arrays."""
-    left = written(possible(tiles.join(bits, "key").select("tile", "side", "key", "n", "comp", "bits")), "jaccard-possible")
-    arrays = written(class_arrays(docs, sets, left.select("key").distinct()), "jaccard-arrays")
-    return written(links_of(left.join(arrays, "key")), "jaccard-links")
+def paired_tiles(members: DataFrame) -> DataFrame:
+    """(tile, side, key, n, comp) of members (list, key, n, comp): lists cut
+    into chunks by size, a tile for every pair of chunks in the size band
+    that does not lie in one component."""
+    chunk = F.floor((F.row_number().over(Window.partitionBy("list").orderBy("n", "key")) - 1) / TILE)
+    chunks = written(members.withColumn("chunk", chunk), "jaccard-chunks")
+    bounds = chunks.groupBy("list", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    other = bounds.select("list", *(F.col(c).alias(f"o_{c}") for c in ("chunk", "lo", "c0", "c1")))
+    pairs = bounds.join(other, "list").where((F.col("chunk") <= F.col("o_chunk")) & (F.col("o_lo") * NUM <= F.col("hi") * 100))
+    pairs = pairs.where((F.col("c0") != F.col("c1")) | (F.col("o_c0") != F.col("o_c1")) | (F.col("c0") != F.col("o_c0")))
+    halves = F.array_distinct(F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("side")),
+                                      F.struct(F.col("o_chunk").alias("chunk"), F.when(F.col("chunk") == F.col("o_chunk"), 0).otherwise(1).alias("side"))))
+    pairs = pairs.select("list", F.xxhash64("list", "chunk", "o_chunk").alias("tile"), F.explode(halves).alias("h")).select("list", "tile", "h.chunk", "h.side")
+    return chunks.join(pairs, ["list", "chunk"]).select("tile", "side", "key", "n", "comp")
+
+
+def verified(tiles: DataFrame, docs: DataFrame, sets: DataFrame, bits: DataFrame, name: str) -> DataFrame:
+    """(u, v) links of tiles (tile, side, key, n, comp), by exact intersection."""
+    tiles = written(tiles, f"jaccard-tiles-{name}")
+    arrays = written(class_arrays(docs, sets, tiles.select("key").distinct()), f"jaccard-arrays-{name}")
+    return written(links_of(tiles.join(bits, "key").join(arrays, "key").select("tile", "side", "key", "n", "comp", "bits", "tokens")), f"jaccard-links-{name}")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -318,22 +334,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # first round: each class in one list, in tiles of neighbours by size
     one = lists.groupBy("key", "n").agg(F.min("list").alias("list"))
     one = one.withColumn("place", F.row_number().over(Window.partitionBy("list").orderBy("n", "key")))
-    tile = F.xxhash64("list", F.floor(F.col("place") / TILE))
-    links = _verified(one.select(tile.alias("tile"), F.lit(0).alias("side"), "key", "n", F.col("key").alias("comp")), docs, sets, bits)
+    one = one.select(F.xxhash64("list", F.floor(F.col("place") / TILE)).alias("tile"), F.lit(0).alias("side"), "key", "n", F.col("key").alias("comp"))
+    open_pairs = written(candidates(one.join(bits, "key")), "jaccard-candidates-1")
+    some = open_pairs.select(F.col("u").alias("key")).unionByName(open_pairs.select(F.col("v").alias("key"))).distinct()
+    links = verified(one.join(some, "key"), docs, sets, bits, "1")
     label = components(links)
 
-    # second round: lists that still span components, every pair of tiles in the size band
+    # second round: lists that still span components.  What their bitmaps
+    # leave open is joined to groups, so a class moves its array once for a
+    # group, not once for each of its lists
     named = lists.join(label, lists["key"] == label["node"], "left").select("list", "key", "n", F.coalesce("component", "key").alias("comp"))
     spans = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    chunk = F.floor((F.row_number().over(Window.partitionBy("list").orderBy("n", "key")) - 1) / TILE)
-    chunks = written(named.join(spans, "list").withColumn("chunk", chunk), "jaccard-open")
-    bounds = chunks.groupBy("list", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = bounds.select("list", F.col("chunk").alias("other"), F.col("lo").alias("o_lo"))
-    pairs = bounds.join(other, "list").where((F.col("chunk") <= F.col("other")) & (F.col("o_lo") * NUM <= F.col("hi") * 100))
-    tile = F.xxhash64("list", "chunk", "other")
-    halves = F.array_distinct(F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("other").alias("chunk"), F.when(F.col("chunk") == F.col("other"), 0).otherwise(1).alias("side"))))
-    halves = pairs.select("list", tile.alias("tile"), F.explode(halves).alias("h")).select("list", "tile", "h.chunk", "h.side")
-    more = _verified(chunks.join(halves, ["list", "chunk"]).select("tile", "side", "key", "n", "comp"), docs, sets, bits)
+    named = written(named.join(spans, "list"), "jaccard-open")
+    group = components(candidates(paired_tiles(named).join(bits, "key")))
+    group = named.select("key", "n", "comp").distinct().join(group, F.col("key") == F.col("node")).select(F.col("component").alias("list"), "key", "n", "comp")
+    more = verified(paired_tiles(group), docs, sets, bits, "2")
     label = components(links.unionByName(more))
 
     sets = sets.join(label, sets["key"] == label["node"], "left").withColumn("component", F.coalesce("component", "key"))
