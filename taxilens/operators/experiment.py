@@ -37,8 +37,6 @@ EFFECT_CLIP = (0.85, 1.10)
 HIGH_FARE = 25.0
 TIERS = ("large", "medium", "small")
 CONTROL, TREATMENT = "control", "treatment"
-# v1 (random zone split) survives only as these two published numbers.
-V1_P_VALUE, V1_COHENS_D = 0.8660, 0.0284
 # Output names of the v3/v4 result marts (the reference's column contract;
 # the isolated unit is a parameter, the names are fixed).
 V3_EXPERIMENT, V3_DESIGN = "fee_increase_10pct_v3_non_jfk", "stratified_jfk_isolated"
@@ -465,28 +463,24 @@ def v5_result(trips: DataFrame, *, alpha: float = ALPHA, multiplier: float = SUR
     )
 
 
-def design_comparison(v2: DataFrame, v3: DataFrame, v4: DataFrame, v5: DataFrame,
+def v1_result(baseline: DataFrame, *, seed: int = RANDOM_SEED) -> DataFrame:
+    """X21, first row: the random split without strata, computed like the others."""
+    proj = scenario_projection(unstratified_design(baseline, seed=seed))
+    return with_inference(welch_overall(proj)).select(X.round_half_even("p_value", 4).alias("p_value"), "cohens_d")
+
+
+def design_comparison(v1: DataFrame, v2: DataFrame, v3: DataFrame, v4: DataFrame, v5: DataFrame,
                       *, alpha: float = ALPHA) -> DataFrame:
     """One row per design: version, unit, test, p-value, significant.
-
-    v1 exists in the reference only as two published numbers and is carried
-    as such.
-    """
-    rows = [
-        v2.select(F.lit("v2").alias("version"), F.lit("zone").alias("unit"),
-                  F.lit("t-test (stratified)").alias("test"), F.col("p_value")),
-        v3.select(F.lit("v3").alias("version"), F.lit("zone").alias("unit"),
-                  F.lit("t-test (isolated)").alias("test"), F.col("p_value")),
-        v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
-                  F.lit("permutation (all)").alias("test"), F.col("p_value_perm_all").alias("p_value")),
-        v4.select(F.lit("v4").alias("version"), F.lit("zone").alias("unit"),
-                  F.lit("permutation (rest)").alias("test"), F.col(V4_P_REST).alias("p_value")),
-        v5.select(F.lit("v5").alias("version"), F.lit("trip").alias("unit"),
-                  F.lit("t-test").alias("test"), F.col("p_value")),
-    ]
-    v1 = v2.select(F.lit("v1").alias("version"), F.lit("zone").alias("unit"),
-                   F.lit("t-test (random)").alias("test"), F.lit(V1_P_VALUE).alias("p_value"))
-    out = v1
-    for r in rows:
+    Each result is read once; v4 brings two p-values."""
+    def row(df: DataFrame, version: str, unit: str, *tests: tuple[str, str]) -> DataFrame:
+        both = F.array(*[F.struct(F.lit(name).alias("test"), F.col(p).alias("p_value")) for name, p in tests])
+        return df.select(F.lit(version).alias("version"), F.lit(unit).alias("unit"), F.explode(both).alias("r")).select("version", "unit", "r.*")
+
+    out = row(v1, "v1", "zone", ("t-test (random)", "p_value"))
+    for r in (row(v2, "v2", "zone", ("t-test (stratified)", "p_value")),
+              row(v3, "v3", "zone", ("t-test (isolated)", "p_value")),
+              row(v4, "v4", "zone", ("permutation (all)", "p_value_perm_all"), ("permutation (rest)", V4_P_REST)),
+              row(v5, "v5", "trip", ("t-test", "p_value"))):
         out = out.unionByName(r)
     return out.withColumn("significant", F.col("p_value") < F.lit(alpha)).orderBy("version", "test")

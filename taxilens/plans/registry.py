@@ -506,7 +506,7 @@ def _q_v4(spark, sf_dir):
 @query("experiment_readout")
 def _q_readout(spark, sf_dir):
     from ..operators import experiment as E
-    return E.design_comparison(_q_v2(spark, sf_dir), _q_v3(spark, sf_dir),
+    return E.design_comparison(E.v1_result(_baseline(spark, sf_dir)), _q_v2(spark, sf_dir), _q_v3(spark, sf_dir),
                                _q_v4(spark, sf_dir), _q_v5(spark, sf_dir))
 
 
