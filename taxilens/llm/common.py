@@ -97,6 +97,12 @@ def range_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * ipw[start] + (end - start).astype(U))
 
 
+def rolling_hash(p: np.ndarray, k: int) -> np.ndarray:
+    """:func:`range_hash` of every k consecutive bytes."""
+    n = max(0, len(p) - k)
+    return mix((p[k:k + n] - p[:n]) * powers(_INV, len(p))[:n] + U(k))
+
+
 def flat(arr) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n+1 offsets; null is empty."""
     if isinstance(arr, pa.ChunkedArray):

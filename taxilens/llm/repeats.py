@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, written
+from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, written
 
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
@@ -64,8 +64,7 @@ class Units:
 def byte_units(k: int) -> Callable[[np.ndarray, np.ndarray], Units]:
     def read(data: np.ndarray, off: np.ndarray) -> Units:
         p = prefix_sums(data)
-        at = np.arange(max(0, len(data) - k + 1))
-        return Units(off, range_hash(p, at, at + k), p, None, None, data)
+        return Units(off, rolling_hash(p, k), p, None, None, data)
     return read
 
 
