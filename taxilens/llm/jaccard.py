@@ -260,16 +260,18 @@ def _members(t: pa.Table) -> Members:
 
 
 def candidates(tiles: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of the pairs that the bitmaps of a tile leave
-    open; tiles are rows (tile, side, key, n, comp, bits)."""
+    """(u, v): of each tile, a spanning forest of the components that have a
+    pair the bitmaps leave open; tiles are rows (tile, side, key, n, comp,
+    bits)."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, "tile"):
             m = _members(t)
-            find, join = union_find(t.num_rows)
-            e = [(i, int(j)) for i in range(t.num_rows - 1) for j in m.partners(i) if join(i, int(j))]
+            names, mine = np.unique(m.comp, return_inverse=True)
+            _, join = union_find(len(names))
+            e = [(int(mine[i]), c) for i in range(t.num_rows - 1) for c in np.unique(mine[m.partners(i)]).tolist() if join(int(mine[i]), c)]
             if e:
                 e = np.array(e, np.int64)
-                yield pa.record_batch({"u": pa.array(m.keys[e[:, 0]]), "v": pa.array(m.keys[e[:, 1]])})
+                yield pa.record_batch({"u": pa.array(names[e[:, 0]]), "v": pa.array(names[e[:, 1]])})
 
     return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), fn, "u long, v long")
 
@@ -340,14 +342,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = verified(one.join(some, "key"), docs, sets, bits, "1")
     label = components(links)
 
-    # second round: lists that still span components.  What their bitmaps
-    # leave open is joined to groups, so a class moves its array once for a
-    # group, not once for each of its lists
+    # second round: lists that still span components.  Components with a pair
+    # that bitmaps leave open are joined to groups, so a class moves its array
+    # once for a group, not once for each of its lists
     named = lists.join(label, lists["key"] == label["node"], "left").select("list", "key", "n", F.coalesce("component", "key").alias("comp"))
     spans = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
     named = written(named.join(spans, "list"), "jaccard-open")
     group = components(candidates(paired_tiles(named).join(bits, "key")))
-    group = named.select("key", "n", "comp").distinct().join(group, F.col("key") == F.col("node")).select(F.col("component").alias("list"), "key", "n", "comp")
+    group = named.select("key", "n", "comp").distinct().join(group, F.col("comp") == F.col("node")).select(F.col("component").alias("list"), "key", "n", "comp")
     more = verified(paired_tiles(group), docs, sets, bits, "2")
     label = components(links.unionByName(more))
 
