@@ -39,11 +39,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under a fresh name in the shared checkpoint
     folder and read back: it cuts the lineage, and what follows survives the
-    loss of executors without running the earlier stages again."""
+    loss of executors without running the earlier stages again.  Shuffle
+    files of the stages before it are of no more use; Spark frees them when
+    the driver's JVM collects its garbage, so it is asked to."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, written
@@ -34,7 +34,8 @@ from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, piec
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
 CAP = 256
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+PIECE_BYTES = 1 << 20
 LOW48 = (1 << 48) - 1
 #: Shards for each shuffle partition, so that one fits in a worker.
 SHARDS = 8
@@ -130,21 +131,23 @@ def dealt(key: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray,
 
 
 class Repeats:
-    """The search over ``docs``, for one kind of unit.
+    """The search over ``docs``, for one kind of unit; ``length`` is the
+    number of units of a text.
 
     search(payloads, docs, window) -> (segment, first window, windows,
     document) is what a shard does with its distinct segments.
     """
 
-    def __init__(self, docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], window: int, k: int, search):
+    def __init__(self, docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: Column, window: int, k: int, search):
+        self.length = length
         self.spark = docs.sparkSession
         self.units, self.window, self.k, self.search = units, window, k, search
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         version = F.xxhash64("text").bitwiseAND(F.lit(LOW48))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", version.alias("version"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
 
-    def _scan(self) -> DataFrame:
-        """Rows (id, version, n) of every document and (bucket, pairs) of anchors and texts."""
+    def _pairs(self) -> DataFrame:
+        """(bucket, pairs): packed anchors and texts, dealt by anchor."""
         units, window, k, buckets = self.units, self.window, self.k, self.buckets
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +156,21 @@ class Repeats:
             def out():
                 rows = np.unique(np.concatenate(held).view("V12")).view(np.uint8).reshape(-1, 12)
                 full, raw = dealt(unpacked([rows.tobytes()])[0], rows, buckets)
-                none = pa.nulls(len(full), pa.int64())
-                return pa.record_batch({"id": none, "version": none, "n": none, "bucket": pa.array(full), "pairs": pa.array(raw, pa.binary())})
+                return pa.record_batch({"bucket": pa.array(full), "pairs": pa.array(raw, pa.binary())})
 
             for b in batches:
-                for part in pieces(b):
-                    u = units(*flat(part.column("text")))
+                for part in pieces(b, limit=PIECE_BYTES):
                     version = part.column("version").to_numpy()
-                    doc, _, _, anchor = segments(u, window, k)
+                    doc, _, _, anchor = segments(units(*flat(part.column("text"))), window, k)
                     held.append(packed(anchor, version.astype(U)[doc]))
                     size += len(doc)
-                    none = pa.nulls(part.num_rows, pa.int64())
-                    yield pa.record_batch({"id": part.column("id"), "version": part.column("version"), "n": pa.array(np.diff(u.first).astype(np.int64)), "bucket": none, "pairs": pa.nulls(part.num_rows, pa.binary())})
                     if size > FLUSH:
                         yield out()
                         held, size = [], 0
             if size:
                 yield out()
 
-        return map_arrow(self.docs.select("id", "version", "text"), fn, "id long, version long, n long, bucket long, pairs binary")
+        return map_arrow(self.docs.select("version", "text"), fn, "bucket long, pairs binary")
 
     def _shared_anchors(self, pairs: DataFrame) -> DataFrame:
         """(version, anchors): of each text, the anchors that other texts have too."""
@@ -205,7 +204,7 @@ class Repeats:
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for part in pieces(b):
+                for part in pieces(b, limit=PIECE_BYTES):
                     u = units(*flat(part.column("text")))
                     doc, at, n, anchor = segments(u, window, k)
                     if not len(doc):
@@ -253,10 +252,9 @@ class Repeats:
         """(id, version, spans): what documents lose.  Spans are pairs of
         units, sorted and merged, as int64; null stands for everything.
         Documents that lose nothing are not listed."""
-        rows = written(self._scan(), "repeat-scan")
-        sets = rows.where(F.col("version").isNotNull()).select("id", "version", "n")
+        sets = written(self.docs.select("id", "version", self.length.alias("n")), "repeat-sets")
         first = written(sets.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n")), "repeat-texts")
-        shared = self._shared_anchors(rows.where(F.col("bucket").isNotNull()).select("bucket", "pairs"))
+        shared = written(self._shared_anchors(self._pairs()), "repeat-anchors")
         shared = shared.join(first.select("version", F.col("first").alias("id")), "version")
         occ = written(self._occurrences(self.docs.select("id", "version", "text").join(shared, ["version", "id"])), "repeat-occurrences")
         found = self._found(occ)
