@@ -6,6 +6,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+# the same names as in the conftest above, whichever of the two is imported
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

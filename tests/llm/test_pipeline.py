@@ -77,6 +77,9 @@ def test_registered():
 
 def test_import_errors_are_not_swallowed(monkeypatch):
     import sys
+
+    import taxilens.llm
     monkeypatch.setitem(sys.modules, "taxilens.llm.registry", None)
+    monkeypatch.delattr(taxilens.llm, "registry")
     with pytest.raises(ImportError):
         entry.queries()
