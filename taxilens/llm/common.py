@@ -183,8 +183,18 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(k))
 
 
+#: What tasks of an operator keep in a Python worker for their next ones;
+#: tasks of other operators free it before they start.
+KEPT: list[dict] = []
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept in KEPT:
+            kept.clear()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 #: The side of a join that is broadcast if it has at most so many bytes.

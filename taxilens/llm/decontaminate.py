@@ -212,7 +212,7 @@ def with_hits(docs: DataFrame, items: DataFrame, column: str = "hits", edits: fl
                         hits[k].append({"item_id": item, "start": a, "end": z, "distance": dist})
                     yield pa.record_batch({c: part.column(c) for c in cols} | {column: pa.array(hits, hit_type)})
 
-        out = out.mapInArrow(fn, out.schema)
+        out = map_arrow(out, fn, out.schema)
     return out
 
 

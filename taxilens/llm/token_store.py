@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from taxilens.session import scratch_path
 
-from .common import documents, pieces
+from .common import KEPT, documents, pieces
 
 MAGIC = b"TOKSTOR1"
 HEAD = struct.Struct("<8s16sI")
@@ -156,6 +156,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
