@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, documents, word_count
 from .fm_index import FMIndex
-from .repeats import Repeats, window_runs, word_units
+from .repeats import Repeats, window_runs, word_keys, word_units
 
 WINDOW = 50
 GRAM = 8
@@ -61,7 +61,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 left.append(b" ".join(words))
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.binary())})
 
-    found = Repeats(docs, word_units(GRAM), word_count(), window, GRAM, fm_search)
+    found = Repeats(docs, word_units(GRAM), word_count(), window, GRAM, fm_search, word_keys)
     return found.apply(fn, "doc_id long, n_words long, n_removed long, kept binary")
 
 

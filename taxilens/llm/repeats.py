@@ -9,17 +9,21 @@ texts: how they are found, and which document has each first.
    that is the only one of its anchor needs no search: all its windows lie
    in its holders.  Where an anchor has different segments, they go to
    shards, and a shard's index finds which windows equal which, and the
-   smallest document of each.
+   smallest document of each.  An anchor whose segments have more than
+   ANCHOR_BYTES goes to no shard: its windows become rows of their own, and
+   the smallest document of equal ones is an aggregate.
 4. Segments hand that document back to all their holders; those with a
    larger id lose the window.
 
 Exact copies of a text are left out from the start: each but the one with
 the smallest id loses everything.  What moves is a row per distinct segment
-and short rows per holder, so a hot text or passage never meets in one task.
+and short rows per holder, and no anchor with many segments is one group, so
+a hot text or passage never meets in one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, written
+from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, small, written
 
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
@@ -39,6 +43,8 @@ PIECE_BYTES = 1 << 20
 LOW48 = (1 << 48) - 1
 #: Shards for each shuffle partition, so that one fits in a worker.
 SHARDS = 8
+#: Bytes of the distinct segments of an anchor that still go to one shard.
+ANCHOR_BYTES = 1 << 18
 
 
 @dataclass
@@ -103,6 +109,16 @@ def segments(u: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc[s], at[s], np.minimum(CAP, np.repeat(size, parts) - place), v[s]
 
 
+def byte_keys(payload: bytes, window: int) -> list[bytes]:
+    """128-bit digests of the windows of a segment, in order."""
+    return [hashlib.blake2b(payload[i:i + window], digest_size=16).digest() for i in range(len(payload) - window + 1)]
+
+
+def word_keys(payload: bytes, window: int) -> list[bytes]:
+    w = payload.split()  # bytes split at exactly the six bytes of white space
+    return [hashlib.blake2b(b" ".join(w[i:i + window]), digest_size=16).digest() for i in range(len(w) - window + 1)]
+
+
 def packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows of 12 bytes: the low 48 bits of each."""
     out = np.empty((len(a), 12), np.uint8)
@@ -135,19 +151,22 @@ class Repeats:
     number of units of a text.
 
     search(payloads, docs, window) -> (segment, first window, windows,
-    document) is what a shard does with its distinct segments.
+    document) is what a shard does with its distinct segments;
+    keys(payload, window) tells the windows of one segment apart.
     """
 
-    def __init__(self, docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: Column, window: int, k: int, search):
+    def __init__(self, docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: Column, window: int, k: int, search, keys: Callable[[bytes, int], list[bytes]]):
         self.length = length
         self.spark = docs.sparkSession
-        self.units, self.window, self.k, self.search = units, window, k, search
+        self.units, self.window, self.k, self.search, self.keys = units, window, k, search, keys
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         version = F.xxhash64("text").bitwiseAND(F.lit(LOW48))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", version.alias("version"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
 
     def _pairs(self) -> DataFrame:
-        """(bucket, pairs): packed anchors and texts, dealt by anchor."""
+        """(bucket, known, pairs): packed anchors and texts.  Those of an anchor
+        that a task sees in several texts are known to be shared and dealt by
+        text; two of them, and all others, are dealt by anchor."""
         units, window, k, buckets = self.units, self.window, self.k, self.buckets
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +174,16 @@ class Repeats:
 
             def out():
                 rows = np.unique(np.concatenate(held).view("V12")).view(np.uint8).reshape(-1, 12)
-                full, raw = dealt(unpacked([rows.tobytes()])[0], rows, buckets)
-                return pa.record_batch({"bucket": pa.array(full), "pairs": pa.array(raw, pa.binary())})
+                a, v = unpacked([rows.tobytes()])
+                order = np.lexsort((v, a))
+                rows, a, v = rows[order], a[order], v[order]
+                nth = np.arange(len(a)) - np.searchsorted(a, a)
+                shared = np.zeros(len(a), bool)
+                shared[1:] = a[1:] == a[:-1]
+                shared |= np.append(shared[1:], False)
+                full, raw = dealt(a[nth < 2], rows[nth < 2], buckets)
+                sure, more = dealt(v[shared], rows[shared], buckets)
+                return pa.record_batch({"bucket": pa.array(np.concatenate((full, sure))), "known": pa.array([False] * len(full) + [True] * len(sure)), "pairs": pa.array(raw + more, pa.binary())})
 
             for b in batches:
                 for part in pieces(b, limit=PIECE_BYTES):
@@ -170,14 +197,18 @@ class Repeats:
             if size:
                 yield out()
 
-        return map_arrow(self.docs.select("version", "text"), fn, "bucket long, pairs binary")
+        return map_arrow(self.docs.select("version", "text"), fn, "bucket long, known boolean, pairs binary")
 
     def _shared_anchors(self, pairs: DataFrame) -> DataFrame:
         """(version, anchors): of each text, the anchors that other texts have too."""
         buckets = self.buckets
 
         def both(rows: pd.DataFrame) -> pd.DataFrame:
-            a, v = unpacked(rows["pairs"].tolist())
+            known = rows["known"].to_numpy(bool)
+            passed = rows.loc[known, ["bucket", "pairs"]]
+            a, v = unpacked(rows.loc[~known, "pairs"].tolist())
+            if not len(a):
+                return passed
             order = np.lexsort((v, a))
             a, v = a[order], v[order]
             once = np.concatenate(([True], (a[1:] != a[:-1]) | (v[1:] != v[:-1])))
@@ -186,20 +217,21 @@ class Repeats:
             again[1:] = a[1:] == a[:-1]
             again |= np.append(again[1:], False)
             full, raw = dealt(v[again], packed(a[again], v[again]), buckets)
-            return pd.DataFrame({"bucket": full, "pairs": raw})
+            return pd.concat((passed, pd.DataFrame({"bucket": full, "pairs": raw})))
 
         def by_text(rows: pd.DataFrame) -> pd.DataFrame:
             a, v = unpacked(rows["pairs"].tolist())
             order = np.argsort(v, kind="stable")
             a, v = a[order], v[order]
             at = np.append(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))), len(v))
-            return pd.DataFrame({"version": v[at[:-1]].astype(np.int64), "anchors": [np.sort(a[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+            return pd.DataFrame({"version": v[at[:-1]].astype(np.int64), "anchors": [np.unique(a[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
 
         two = pairs.groupBy("bucket").applyInPandas(both, "bucket long, pairs binary")
         return two.groupBy("bucket").applyInPandas(by_text, "version long, anchors binary")
 
     def _occurrences(self, texts: DataFrame) -> DataFrame:
-        """(anchor, seg, version, id, pos, n, payload) of segments of shared anchors."""
+        """(anchor, seg, version, id, pos, n, size, payload) of segments of
+        shared anchors; size is that of the payload."""
         units, window, k = self.units, self.window, self.k
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,21 +253,24 @@ class Repeats:
                     seg = mix(range_hash(u.sums, at, end) ^ low).view(np.int64)
                     for i in range(0, len(doc), 50_000):
                         s = slice(i, i + 50_000)
+                        payload = u.payload(at[s], end[s])
                         yield pa.record_batch({"anchor": pa.array(low[s].astype(np.int64)), "seg": pa.array(seg[s]), "version": part.column("version").take(pa.array(doc[s])), "id": part.column("id").take(pa.array(doc[s])),
-                                               "pos": pa.array(at[s] - u.first[doc[s]]), "n": pa.array(n[s]), "payload": u.payload(at[s], end[s])})
+                                               "pos": pa.array(at[s] - u.first[doc[s]]), "n": pa.array(n[s]),
+                                               "size": pa.array(np.diff(np.frombuffer(payload.buffers()[1], np.int32))), "payload": payload})
 
-        return map_arrow(texts.select("id", "version", "anchors", "text"), fn, "anchor long, seg long, version long, id long, pos long, n long, payload binary")
+        return map_arrow(texts.select("id", "version", "anchors", "text"), fn, "anchor long, seg long, version long, id long, pos long, n long, size int, payload binary")
 
     def _found(self, occ: DataFrame) -> DataFrame:
         """(seg, o, n, least): n windows of a segment from its o-th on, and the
         smallest document that has them."""
         search, window = self.search, self.window
-        stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"))
+        stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"))
         stats = written(stats, "repeat-segments")
-        per = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"))
+        per = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("size").alias("bytes"))
+        wide = written(per.where((F.col("segs") > 1) & (F.col("bytes") > ANCHOR_BYTES)).select("anchor"), "repeat-wide")
         stats = stats.join(per, "anchor")
         alone = stats.where((F.col("segs") == 1) & (F.col("least") < F.col("most"))).select("seg", F.lit(0).cast("long").alias("o"), "n", "least")
-        several = stats.where("segs > 1").select("seg", "least", "most")
+        several = stats.where((F.col("segs") > 1) & (F.col("bytes") <= ANCHOR_BYTES)).select("seg", "least", "most")
         shard = F.pmod(F.xxhash64("anchor"), F.lit(self.buckets * SHARDS)).alias("shard")
         rows = occ.select("anchor", "seg", "payload").join(several, "seg").select(shard, "seg", "least", "most", "payload").dropDuplicates(["seg"])
 
@@ -246,7 +281,40 @@ class Repeats:
             use = (least < own) | (own < most)
             return pd.DataFrame({"seg": rows["seg"].to_numpy()[s[use]], "o": o[use], "n": n[use], "least": least[use]})
 
-        return alone.unionByName(rows.groupBy("shard").applyInPandas(fn, "seg long, o long, n long, least long"))
+        found = alone.unionByName(rows.groupBy("shard").applyInPandas(fn, "seg long, o long, n long, least long"))
+        return found if wide.isEmpty() else found.unionByName(self._found_wide(occ, stats, wide))
+
+    def _found_wide(self, occ: DataFrame, stats: DataFrame, wide: DataFrame) -> DataFrame:
+        """As :meth:`_found`, for the segments of the anchors ``wide``: a row
+        per window of a distinct segment."""
+        keys, window = self.keys, self.window
+        wide = small(wide, 8)
+        stats = stats.join(wide, "anchor", "left_semi").select("seg", "least", "most")
+        rows = occ.select("anchor", "seg", "payload").join(wide, "anchor", "left_semi").select("seg", "payload").dropDuplicates(["seg"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 1000):
+                    part = b.slice(i, 1000)
+                    each = [keys(p.as_py(), window) for p in part.column("payload")]
+                    n = np.array([len(x) for x in each], np.int64)
+                    at = pa.array(np.repeat(np.arange(len(n)), n))
+                    yield pa.record_batch({c: part.column(c).take(at) for c in ("seg", "least", "most")} | {"o": pa.array(ranges(np.zeros(len(n), np.int64), n)), "key": pa.array([k for x in each for k in x], pa.binary())})
+
+        windows = written(map_arrow(rows.join(stats, "seg"), cut, "seg long, least long, most long, o long, key binary"), "repeat-windows")
+        first = windows.groupBy("key").agg(F.min("least").alias("first"))
+        lost = windows.join(first, "key").where((F.col("first") < F.col("least")) | (F.col("least") < F.col("most")))
+        lost = lost.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("o", "first"))).alias("lost"))
+
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column("lost")
+                size = x.value_lengths().to_numpy()
+                flat_ = x.flatten()
+                s, o, n, least = window_runs(np.repeat(np.arange(b.num_rows), size), flat_.field("o").to_numpy(), flat_.field("first").to_numpy())
+                yield pa.record_batch({"seg": b.column("seg").take(pa.array(s)), "o": pa.array(o), "n": pa.array(n), "least": pa.array(least)})
+
+        return map_arrow(lost, runs, "seg long, o long, n long, least long")
 
     def actions(self) -> DataFrame:
         """(id, version, spans): what documents lose.  Spans are pairs of

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .repeats import Repeats, byte_units, window_runs
+from .repeats import Repeats, byte_keys, byte_units, window_runs
 from .suffix import sort_suffixes
 
 WINDOW = 50
@@ -63,7 +63,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out["kept"].append(kept)
             yield pa.record_batch({"doc_id": b.column("doc_id")} | {k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
 
-    found = Repeats(docs, byte_units(GRAM), F.octet_length("text").cast("long"), window, GRAM, suffix_search)
+    found = Repeats(docs, byte_units(GRAM), F.octet_length("text").cast("long"), window, GRAM, suffix_search, byte_keys)
     return found.apply(fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -127,6 +127,32 @@ def test_repeats_null_and_equal_ids(make, prose):
     assert substring_dedup.remove_repeats(make(rows).where("false")).count() == 0
 
 
+def test_hot_anchors_are_no_group(spark, make, prose, monkeypatch):
+    """Documents share a line shorter than a window, each with other
+    neighbours: many segments under one anchor, which no search may get."""
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 4000)
+    line = " ".join(f"common{k}" for k in range(40))
+    rows = [(i, f"{prose(20, i % 60)} {line} {prose(20, 700 + i % 45)}") for i in range(120)] + [(500 + i, prose(90, 300 + i // 2)) for i in range(20)]
+
+    def limited(search, units, k):
+        def run(payloads, docs, window):
+            size = {}
+            for p in payloads:
+                anchor = int(repeats.segments(units(np.frombuffer(p, np.uint8), np.array([0, len(p)])), window, k)[3][0])
+                size[anchor] = size.get(anchor, 0) + len(p)
+            if max(size.values()) > 4000:
+                raise ValueError("a hot anchor in one group")
+            return search(payloads, docs, window)
+        return run
+
+    bytes_of = repeats.byte_units(substring_dedup.GRAM)
+    for module, name, units, remove, cols, brute in ((substring_dedup, "suffix_search", bytes_of, substring_dedup.remove_repeats, COLS3, substring_rows),
+                                                     (passage_dedup, "fm_search", repeats.word_units(passage_dedup.GRAM), passage_dedup.remove_passages, COLS10, passage_rows)):
+        monkeypatch.setattr(module, name, limited(getattr(module, name), units, module.GRAM))
+        out = remove(make(rows)).withColumn("sha", F.sha2("kept", 256))
+        assert got(out, *cols) == sorted(brute(rows))
+
+
 def test_small_alphabet_repeats(make):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(40, 200))) + "ab" * 40) for i in range(25)]
