@@ -15,10 +15,14 @@ texts: how they are found, and which document has each first.
 4. Segments hand that document back to all their holders; those with a
    larger id lose the window.
 
-Exact copies of a text are left out from the start: each but the one with
-the smallest id loses everything.  What moves is a row per distinct segment
-and short rows per holder, and no anchor with many segments is one group, so
-a hot text or passage never meets in one task.
+Exact copies of a text, told by SHA-256, are left out from the start: each
+but the one with the smallest id loses everything.  A row is told by its id
+and a 64-bit hash of its text (version).  The index of anchors has 48 bits
+of either; texts that agree in those keep all their anchors.
+
+What moves is a row per distinct segment and short rows per holder, and no
+anchor with many segments is one group, so a hot text or passage never meets
+in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, small, written
@@ -146,6 +150,14 @@ def dealt(key: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return full, [rows[order[at[i]:at[i + 1]]].tobytes() for i in full]
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 class Repeats:
     """The search over ``docs``, for one kind of unit; ``length`` is the
     number of units of a text.
@@ -160,8 +172,7 @@ class Repeats:
         self.spark = docs.sparkSession
         self.units, self.window, self.k, self.search, self.keys = units, window, k, search, keys
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        version = F.xxhash64("text").bitwiseAND(F.lit(LOW48))
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", version.alias("version"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", text_hash(F.col("text")).alias("version"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
 
     def _pairs(self) -> DataFrame:
         """(bucket, known, pairs): packed anchors and texts.  Those of an anchor
@@ -200,7 +211,8 @@ class Repeats:
         return map_arrow(self.docs.select("version", "text"), fn, "bucket long, known boolean, pairs binary")
 
     def _shared_anchors(self, pairs: DataFrame) -> DataFrame:
-        """(version, anchors): of each text, the anchors that other texts have too."""
+        """(low, anchors): of each text, by 48 bits of its version, the anchors
+        that other texts have too."""
         buckets = self.buckets
 
         def both(rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,14 +236,15 @@ class Repeats:
             order = np.argsort(v, kind="stable")
             a, v = a[order], v[order]
             at = np.append(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))), len(v))
-            return pd.DataFrame({"version": v[at[:-1]].astype(np.int64), "anchors": [np.unique(a[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+            return pd.DataFrame({"low": v[at[:-1]].astype(np.int64), "anchors": [np.unique(a[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
 
         two = pairs.groupBy("bucket").applyInPandas(both, "bucket long, pairs binary")
-        return two.groupBy("bucket").applyInPandas(by_text, "version long, anchors binary")
+        return two.groupBy("bucket").applyInPandas(by_text, "low long, anchors binary")
 
     def _occurrences(self, texts: DataFrame) -> DataFrame:
         """(anchor, seg, version, id, pos, n, size, payload) of segments of
-        shared anchors; size is that of the payload."""
+        shared anchors; size is that of the payload.  Null anchors stand for
+        all there are."""
         units, window, k = self.units, self.window, self.k
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +258,9 @@ class Repeats:
                     cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                     keep = np.zeros(len(doc), bool)
                     for i, have in enumerate(part.column("anchors")):
+                        if not have.is_valid:
+                            keep[cut[i]:cut[i + 1]] = True
+                            continue
                         x = np.frombuffer(have.as_py(), "<u8")
                         mine = low[cut[i]:cut[i + 1]]
                         keep[cut[i]:cut[i + 1]] = x[np.minimum(np.searchsorted(x, mine), len(x) - 1)] == mine
@@ -320,11 +336,14 @@ class Repeats:
         """(id, version, spans): what documents lose.  Spans are pairs of
         units, sorted and merged, as int64; null stands for everything.
         Documents that lose nothing are not listed."""
-        sets = written(self.docs.select("id", "version", self.length.alias("n")), "repeat-sets")
-        first = written(sets.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n")), "repeat-texts")
+        key = text_key(F.col("text")).alias("key")
+        sets = written(self.docs.select("id", "version", key, self.length.alias("n")), "repeat-sets")
+        first = sets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n"), F.min("version").bitwiseAND(F.lit(LOW48)).alias("low"))
+        first = written(first.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("low"))), "repeat-texts")
         shared = written(self._shared_anchors(self._pairs()), "repeat-anchors")
-        shared = shared.join(first.select("version", F.col("first").alias("id")), "version")
-        occ = written(self._occurrences(self.docs.select("id", "version", "text").join(shared, ["version", "id"])), "repeat-occurrences")
+        shared = first.select("low", "key", "texts", F.col("first").alias("id")).join(shared, "low", "left").where((F.col("texts") > 1) | F.col("anchors").isNotNull())
+        shared = shared.select("key", "id", F.when(F.col("texts") == 1, F.col("anchors")).alias("anchors"))
+        occ = written(self._occurrences(self.docs.select("id", "version", key, "text").join(shared, ["key", "id"])), "repeat-occurrences")
         found = self._found(occ)
         window = self.window
         spans = occ.select("seg", "version", "id", "pos").join(found, "seg").where(F.col("least") < F.col("id"))
@@ -340,7 +359,7 @@ class Repeats:
                 yield pa.record_batch({"id": b.column("id"), "version": b.column("version"), "spans": pa.array(out, pa.binary())})
 
         spans = map_arrow(spans, merge, "id long, version long, spans binary")
-        copies = sets.join(first.where(F.col("first") < F.col("last")).select("version", "first"), "version").where((F.col("id") > F.col("first")) & (F.col("n") >= window))
+        copies = sets.join(first.where(F.col("first") < F.col("last")).select("key", "first"), "key").where((F.col("id") > F.col("first")) & (F.col("n") >= window))
         return written(spans.unionByName(copies.select("id", "version", F.lit(None).cast("binary").alias("spans")).distinct()), "repeat-actions")
 
     def apply(self, fn, schema: str) -> DataFrame:

@@ -153,6 +153,17 @@ def test_hot_anchors_are_no_group(spark, make, prose, monkeypatch):
         assert got(out, *cols) == sorted(brute(rows))
 
 
+def test_texts_whose_hashes_collide_are_no_copies(make, prose, monkeypatch):
+    """Hashes of which 46 bits are always the same: many texts collide."""
+    monkeypatch.setattr(repeats, "text_hash", lambda text: F.xxhash64(text).bitwiseAND(F.lit(3 | 7 << 48)))
+    passage = prose(70, 3)
+    rows = [(i, prose(90, 100 + i)) for i in range(30)] + [(100, prose(90, 101)), (101, prose(90, 101)), (102, prose(9, 9) + " " + passage), (103, passage)]
+    out = passage_dedup.remove_passages(make(rows)).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, *COLS10) == sorted(passage_rows(rows))
+    out = substring_dedup.remove_repeats(make(rows)).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, *COLS3) == sorted(substring_rows(rows))
+
+
 def test_small_alphabet_repeats(make):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(40, 200))) + "ab" * 40) for i in range(25)]
