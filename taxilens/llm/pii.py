@@ -2,12 +2,17 @@
 
 The values the base patterns find are the protected entities.  The corpus
 tells how strongly other terms reveal them: a term t near an entity c in
-n_ct distinct contexts, in n_t of N documents, has the pointwise mutual
+n_ct of the entity's n_c contexts, in n_t of all N, has the pointwise mutual
 information log2(N n_ct / (n_c n_t)) with c.  A term whose information
 reaches DISCLOSURE times the information content of the entity itself,
 log2(N / n_c), gives it away, and is marked wherever it stands near that
-entity.  Copies of a passage are one context, so copying alone makes no
-term a disclosure.
+entity.
+
+All four count the same: near the entity, distinct contexts; elsewhere,
+distinct texts.  So n_t is n_ct and the distinct texts that have t but not
+near c, and N is n_c and the distinct texts without c.  Copies of a text or
+of a passage with the entity are one, so copying alone neither makes a term
+a disclosure nor hides one.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, documents, flat, map_arrow, mix, pieces, prefix_sums, range_hash, written
+from .common import U, documents, flat, map_arrow, mix, pieces, prefix_sums, range_hash, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -132,7 +137,7 @@ def term_hash(terms: list[str]) -> np.ndarray:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many rows each term lies, by 64-bit hash of the term.
+    """(term, n_t): in how many rows each term lies, by 64-bit hash of the term.
     Tasks count in pieces of text before the shuffle."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -176,16 +181,29 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), fn, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, n_rows, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def distinct_texts(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(text) once for each version; ``copied`` lists the versions that more
+    than one row has, and only their texts move."""
+    docs = docs.select(F.xxhash64("text").alias("version"), "text")
+    again = docs.join(copied, "version", "left_semi").dropDuplicates(["version"])
+    return docs.join(copied, "version", "left_anti").unionByName(again).select("text")
+
+
+def disclosing(near: DataFrame, texts: DataFrame, n_texts: float, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, pmi, content) of the terms that give an entity away.
-    near: (entity, context, term, term_hash)."""
-    seen = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_contexts)
-    pairs = near.select("entity", "term", "term_hash", "context").distinct().groupBy("entity", "term", "term_hash").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = written(pairs.where(F.col("n_ct") >= min_contexts).join(seen, "entity"), "pii-pairs")
+    near: (entity, version, context, term, term_hash); texts: each once."""
+    def both(*by: str) -> DataFrame:
+        """Distinct contexts and distinct texts of each group."""
+        c, v = (near.select(*by, x).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(n)) for x, n in (("context", "n_c"), ("version", "v_c")))
+        return c.where(F.col("n_c") >= min_contexts).join(v, list(by))
+
+    pairs = both("entity", "term", "term_hash").withColumnsRenamed({"n_c": "n_ct", "v_c": "v_ct"})
+    pairs = written(pairs.join(both("entity"), "entity"), "pii-pairs")
     wanted = pairs.select(F.col("term_hash").alias("term")).distinct()
-    counted = term_counts(docs).join(wanted, "term", "left_semi").withColumnRenamed("term", "term_hash")
-    pmi = F.log2(n_rows * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    pairs = pairs.join(counted, "term_hash").withColumn("pmi", pmi).withColumn("content", F.log2(n_rows / F.col("n_c")))
+    counted = term_counts(texts).join(wanted, "term", "left_semi").withColumnsRenamed({"term": "term_hash", "n_t": "v_t"})
+    n = F.lit(float(n_texts)) - F.col("v_c") + F.col("n_c")
+    n_t = F.col("v_t") - F.col("v_ct") + F.col("n_ct")
+    pairs = pairs.join(counted, "term_hash").withColumn("pmi", F.log2(n * F.col("n_ct") / (F.col("n_c") * n_t))).withColumn("content", F.log2(n / F.col("n_c")))
     return pairs.where(F.col("pmi") >= disclosure * F.col("content")).select("entity", "term", "pmi", "content")
 
 
@@ -204,8 +222,9 @@ def find_pii(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: floa
 
     near = rows.select("doc_id", "version", F.explode("near").alias("x")).select("doc_id", "version", "x.*")
     near = written(map_arrow(near, hashed, "doc_id long, version long, entity string, context long, term string, start long, end long, term_hash long"), "pii-near")
-    n_rows = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
-    found = near.join(disclosing(near, docs, n_rows, min_contexts, disclosure), ["entity", "term"])
+    versions = written(rows.groupBy("version").agg(F.count(F.lit(1)).alias("rows")), "pii-texts")
+    copied = small(versions.where("rows > 1").select("version"), 8)
+    found = near.join(disclosing(near, distinct_texts(docs, copied), versions.count(), min_contexts, disclosure), ["entity", "term"])
     found = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     found = found.select(F.col("doc_id").alias("f_id"), F.col("version").alias("f_version"), "terms")
     rows = rows.drop("near").join(found, rows["doc_id"].eqNullSafe(F.col("f_id")) & (F.col("version") == F.col("f_version")), "left")

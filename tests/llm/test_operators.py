@@ -417,6 +417,20 @@ def test_pii_terms_that_give_away(make, prose):
     assert clean[15] == dict(rows)[15]
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_pii_terms_in_groups_of_copies(make, prose, whole):
+    """Hundreds of copies of a text, or of a passage in other texts."""
+    entity = "jane.roe@example.com"
+    passage = [f"{prose(20, i)} Zyxgard writes {entity} about common things {prose(20, 50 + i)}" for i in range(6)]
+    rows = list(enumerate(passage)) + [(10 + i, f"{prose(20, 10 + i)} writes about common things {prose(9, 90 + i)}") for i in range(300)]
+    rows += [(1000 + i, passage[0] if whole else f"{prose(15, 2000 + i)} {passage[0]} {prose(15, 3000 + i)}") for i in range(400)]
+    found = {r.doc_id: r.spans for r in pii.find_pii(make(rows)).collect()}
+    for i, t in rows:
+        terms = {t[int(a):int(b)] for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k == "term"}
+        assert ("Zyxgard" in terms) == (entity in t), i
+        assert not terms & {"writes", "about", "common", "things"}
+
+
 def test_redact():
     assert pii.redact("ab cd ef", "email:3:5,term:0:2") == " [email] ef"
     assert pii.redact("ab cd", "") == "ab cd"
