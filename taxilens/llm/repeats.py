@@ -45,8 +45,10 @@ CAP = 256
 FLUSH = 1 << 19
 PIECE_BYTES = 1 << 20
 LOW48 = (1 << 48) - 1
-#: Shards for each shuffle partition, so that one fits in a worker.
+#: Shards for each shuffle partition, at least.
 SHARDS = 8
+#: Bytes of segments in a shard on average, at most: a shard is searched in memory.
+SHARD_BYTES = 2 << 20
 #: Bytes of the distinct segments of an anchor that still go to one shard.
 ANCHOR_BYTES = 1 << 18
 
@@ -282,12 +284,13 @@ class Repeats:
         search, window = self.search, self.window
         stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"))
         stats = written(stats, "repeat-segments")
-        per = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("size").alias("bytes"))
-        wide = written(per.where((F.col("segs") > 1) & (F.col("bytes") > ANCHOR_BYTES)).select("anchor"), "repeat-wide")
-        stats = stats.join(per, "anchor")
-        alone = stats.where((F.col("segs") == 1) & (F.col("least") < F.col("most"))).select("seg", F.lit(0).cast("long").alias("o"), "n", "least")
-        several = stats.where((F.col("segs") > 1) & (F.col("bytes") <= ANCHOR_BYTES)).select("seg", "least", "most")
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(self.buckets * SHARDS)).alias("shard")
+        per = written(stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("size").alias("bytes")).where("segs > 1"), "repeat-per-anchor")
+        alone = stats.where(F.col("least") < F.col("most")).join(per, "anchor", "left_anti").select("seg", F.lit(0).cast("long").alias("o"), "n", "least")
+        wide = per.where(F.col("bytes") > ANCHOR_BYTES).select("anchor")
+        narrow = per.where(F.col("bytes") <= ANCHOR_BYTES)
+        several = stats.join(narrow, "anchor").select("seg", "least", "most")
+        shards = max(self.buckets * SHARDS, -(-(narrow.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
         rows = occ.select("anchor", "seg", "payload").join(several, "seg").select(shard, "seg", "least", "most", "payload").dropDuplicates(["seg"])
 
         def fn(rows: pd.DataFrame) -> pd.DataFrame:

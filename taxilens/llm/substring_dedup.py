@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte strings: every byte covered by a 50-byte string
 that also starts in a document with a smaller id is removed.
 
-Shards of segments (see :mod:`repeats`) are sorted by external induced
-sorting (:mod:`suffix`); suffixes whose common prefix is 50 and more are one
+Shards of segments (see :mod:`repeats`) are sorted by induced sorting over
+prefix doubling (:mod:`suffix`); suffixes whose common prefix is 50 and more are one
 string, whose first document is the least of the run.
 """
 

@@ -1,21 +1,24 @@
-"""External induced sorting of suffixes with common-prefix values.
+"""Induced sorting of suffixes with common-prefix values, in memory.
 
 Strings are joined, each closed by a separator that is smaller than any
 symbol and differs from every other separator, so comparisons end there.
 
 S* suffixes (an S position after an L position) are named by sorting their
-substrings up to the next S* and ranked by recursion on the names; the
-recursion ends in unique names, or in ranking by doubling once the names
-are too many to be buckets.  From them, one ascending scan induces the L
-suffixes and one descending scan the S suffixes.  Each scan reads and feeds
-priority queues, one for each first symbol: what is put into one comes in
-order, so the smallest is always at its head.  Queue entries are (position,
-common prefix with the entry before); the common prefix of two induced
-suffixes is one more than the least value scanned between their successors.
+substrings up to the next S*.  Where the names are unique, they are the
+ranks; where there are fewer than BUCKETS, the names are sorted by
+recursion.  A shard of more than a few KB has more names, so its S* suffixes
+are ranked by prefix doubling of the names; the induction from them is one
+level.  One ascending scan induces the L suffixes and one descending scan
+the S suffixes.  Each scan reads and feeds priority queues, one for each
+first symbol: what is put into one comes in order, so the smallest is always
+at its head.  Queue entries are (position, common prefix with the entry
+before); the common prefix of two induced suffixes is one more than the least
+value scanned between their successors.
 
 Queues keep ``memory`` entries and write the rest to unnamed temporary
-files, read back in order; the text may be a memory map.  So a scan holds a
-few chunks, however large the shard.
+files, read back in order.  Nothing else is external: the text, its types and
+names, the scanned suffixes, sa and lcp are arrays in memory (README has
+figures).  Callers bound the shard; see SHARD_BYTES in :mod:`repeats`.
 """
 
 from __future__ import annotations

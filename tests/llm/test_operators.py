@@ -164,6 +164,24 @@ def test_texts_whose_hashes_collide_are_no_copies(make, prose, monkeypatch):
     assert got(out, *COLS3) == sorted(substring_rows(rows))
 
 
+def test_shards_are_bounded_by_bytes(make, prose, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARDS", 1)
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 2000)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 4000)
+    base, rng = prose(1200, 1).split(), random.Random(4)
+    rows = [(i, " ".join(f"{w}{i}" if rng.random() < 0.06 else w for w in base)) for i in range(40)]
+    search = substring_dedup.suffix_search
+
+    def limited(payloads, docs, window):
+        if sum(map(len, payloads)) > 25_000:
+            raise ValueError(f"a shard of {sum(map(len, payloads))} bytes")
+        return search(payloads, docs, window)
+
+    monkeypatch.setattr(substring_dedup, "suffix_search", limited)
+    out = substring_dedup.remove_repeats(make(rows)).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, *COLS3) == sorted(substring_rows(rows))
+
+
 def test_small_alphabet_repeats(make):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(40, 200))) + "ab" * 40) for i in range(25)]
