@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .backoff_lm import OP11_SQL, op11_backoff_lm
 from .decontaminate import op7_decontaminate
 from .jaccard import OP4_SQL, op4_jaccard_join
 from .language import op2_language_id
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_backoff_lm": op11_backoff_lm,
 }
 
 SQL = {
     "op4_jaccard_join": OP4_SQL,
     "op5_fair_mix": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op11_backoff_lm": OP11_SQL,
 }
