@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, joined_key, lowered, numbered, pack, steps, unpack
-from .common import IS_SPACE, documents, flat, map_arrow, pieces, written
+from .common import IS_SPACE, documents, flat, map_arrow, pieces, release, written
 
 ORDER = 3
 HELD_MODULUS, HELD_REST = 7, 2
@@ -342,6 +342,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     words = vocab.agg(F.count(F.lit(1)), F.sum("c")).first()
     total, distinct = (words[1] or 0) + trained, words[0] + (trained > 0)
     named = written(_name(blocks, vocab), "lm-texts")
+    del vocab
+    release(docs.sparkSession)
     asked = named.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(asked / GRAMS_PER_PART))
 
@@ -351,6 +353,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if sums is not None:
             rows = rows.unionByName(sums)
         made = written(_answer(rows, level, parts), f"lm-level{level}")
+        del rows
+        release(docs.sparkSession)
         n1, n2 = made.agg(F.sum("n1"), F.sum("n2")).first()
         discounts.insert(0, ((n1 or 0) + 0.5) / ((n1 or 0) + 2 * (n2 or 0) + 1))
         answers.append(made.where(F.col("to").isNotNull()).select(F.col("to").alias("block"), F.lit(level).alias("level"), "part", "blob"))

@@ -51,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees shuffle files of plans that nothing refers to any more: those of
+    a frame that the last ``written`` was given, too, which its caller still
+    held while it ran."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Final mixing of 64-bit hashes (two multiply-xorshift rounds)."""
     h = h ^ (h >> U(31))
