@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, joined_key, lowered, numbered, pack, steps, unpack
+from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, grouped, joined_key, lowered, numbered, order_of, pack, steps, unpack
 from .common import IS_SPACE, documents, flat, map_arrow, pieces, release, written
 
 ORDER = 3
@@ -110,28 +110,29 @@ class _Texts:
         self.train = np.repeat(~np.asarray(held, bool), sizes + 2)
         self.at = np.arange(len(self.seq)) - np.repeat(self.first, sizes + 2)
 
-    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
         """For each length: its n-gram at every place (-1: none, or with an
-        unknown word), their keys, and their words."""
+        unknown word), their keys, their words, and a place where each ends.
+        A key is (the n-gram without its last word) * m + the last word."""
         here = np.where(self.seq == UNKNOWN, -1, self.seq)
         keys = np.arange(self.m)
-        cols = [keys]
-        yield here, keys, cols
+        cols, first = [keys], np.zeros(self.m, np.int64)
+        yield here, keys, cols, first
         for k in range(2, order + 1):
             before = np.full(len(here), -1)
             before[1:] = here[:-1]
             ok = np.flatnonzero((before >= 0) & (self.seq != UNKNOWN) & (self.at >= k - 1))
-            keys, inv = np.unique(before[ok] * self.m + self.seq[ok], return_inverse=True)
+            keys, inv, first = grouped(before[ok] * self.m + self.seq[ok])
             here = np.full(len(here), -1)
             here[ok] = inv
             cols = [c[keys // self.m] for c in cols] + [keys % self.m]
-            yield here, keys, cols
+            yield here, keys, cols, ok[first]
 
 
 def _dealt(columns: list[np.ndarray], values: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
     """Rows sorted by their columns, packed by destination."""
     to = dealt_to(columns, parts)
-    order = np.argsort(to, kind="stable")
+    order = order_of(to)
     cut = np.searchsorted(to[order], np.arange(parts + 1))
     for p in range(parts):
         rows = order[cut[p]:cut[p + 1]]
@@ -144,7 +145,7 @@ def _ask(named: DataFrame, level: int, parts: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 t = _Texts(r["sizes"], r["codes"], r["ids"], r["held"])
-                for k, (here, keys, cols) in enumerate(t.grams(level), 1):
+                for k, (here, keys, cols, _) in enumerate(t.grams(level), 1):
                     if k == level:
                         seen = here >= 0
                         counts = np.bincount(here[seen & t.train], minlength=len(keys))
@@ -168,7 +169,7 @@ def _answer(asked: DataFrame, level: int, parts: int) -> DataFrame:
         del parts_of
         asks = np.repeat([b is not None for b in blocks], size)
         packed = joined_key(cols)
-        _, at, inv = np.unique(packed, return_index=True, return_inverse=True)
+        _, inv, at = grouped(packed)
         del packed
         count = np.bincount(inv[asks], weights=value[asks], minlength=len(at)).astype(np.int64)
         after = np.bincount(inv[~asks], weights=value[~asks], minlength=len(at)).astype(np.int64)
@@ -199,78 +200,70 @@ def _answer(asked: DataFrame, level: int, parts: int) -> DataFrame:
 
 
 class Automaton:
-    """States and arcs from the n-grams of a block.  ``keys[k]`` are the seen
-    n-grams of k + 1 words, ascending, as (place of the first words) * m +
-    last word.  A state is a length and a place; length 0 is the root."""
-
-    def __init__(self, m: int, keys: list[np.ndarray], counts: list[np.ndarray], after: list[np.ndarray], total: int, distinct: int, discounts: list[float]):
-        order = len(keys)
-        self.m, self.order = m, order
-        root = math.log10(1 / (total + distinct + 1))
+    """States and arcs from the n-grams of a block (by length: at every place,
+    keys, a place where each ends), with their training counts and the number
+    of different words after them.
+
+    A state is a seen n-gram of up to order - 1 words, level 0 the root.
+    ``arcs[k]`` names, for each place of the text, the arc that reads its word
+    from the state of the k words before (-1: none); an arc is the n-gram of
+    k + 1 words, with ``logp[k]``.  ``less[k]`` is the same n-gram without its
+    first word: as a state's failure arc, weighted by ``bow``, and, for the
+    longest n-grams, as the state an arc leads to.
+    """
+
+    def __init__(self, m: int, grams: list[tuple], counts: list[np.ndarray], after: list[np.ndarray], total: int, distinct: int, discounts: list[float]):
+        self.order = len(grams)
+        self.unknown = math.log10(1 / (total + distinct + 1))
         p = (counts[0] + 1) / (total + distinct + 1)
-        self.known, self.unknown = counts[0] > 0, root
-        self.keys: list[np.ndarray] = [keys[0]]
-        self.logp, self.fail, self.to = [np.log10(p)], [np.zeros(m, np.int64)], [np.arange(m)]
-        self.bow: list[np.ndarray] = [np.zeros(1)]
-        place = np.arange(m)  # from all asked to the seen
-        seen_counts, seen_after = counts[0], after[0]
-        for k in range(1, order):
-            d = discounts[k]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bow = np.where((seen_counts > 0) & (seen_after > 0), d * seen_after / seen_counts, 1.0)
-            self.bow.append(np.log10(bow))
+        self.arcs, self.logp, self.less, self.bow = [], [], [], []
+        for k, (here, keys, ends) in enumerate(grams):
             seen = counts[k] > 0
-            prefix, word = place[keys[k][seen] // m], keys[k][seen] % m
-            own = prefix * m + word
-            # the same words without the first one, of which all have been seen
-            shorter = word if k == 1 else np.searchsorted(self.keys[k - 1], self.to[k - 1][prefix] * m + word)
-            lower = p[shorter]
-            c = counts[k][seen]
-            p = (c - d) / seen_counts[prefix] + bow[prefix] * lower
-            self.keys.append(own)
-            self.logp.append(np.log10(p))
-            self.to.append(shorter)  # of a state: its failure arc; of the longest n-grams: where the arc leads
-            place = np.cumsum(seen) - 1
-            seen_counts, seen_after = c, after[k][seen]
+            less = np.zeros(len(keys), np.int64)
+            if k:
+                prefix = keys // m
+                less = shorter[ends]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = (counts[k] - discounts[k]) / counts[k - 1][prefix] + bow[prefix] * p[less]
+            if k + 1 < self.order:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bow = np.where(seen & (after[k] > 0), discounts[k + 1] * after[k] / counts[k], 1.0)
+                self.bow.append(np.log10(bow))
+            self.arcs.append(np.where((here >= 0) & seen[np.maximum(here, 0)], here, -1) if len(keys) else here)
+            self.logp.append(np.log10(np.where(seen, p, 1.0)))
+            self.less.append(less)
+            shorter = here
 
     def read(self, seq: np.ndarray, lanes: np.ndarray, size: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """log10 probabilities of the words of lanes (start, tokens), without
         the first ``skip`` of each; the state is carried along."""
-        level, state = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-        sums = np.zeros(len(lanes))
-        by = np.argsort(-size, kind="stable")
-        lanes, size, skip, back = lanes[by], size[by], skip[by], by
+        back = np.argsort(-size, kind="stable")
+        lanes, size, skip = lanes[back], size[back], skip[back]
+        level, state, sums = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), np.zeros(len(lanes))
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, side="left"))
-            word = seq[lanes[:live] + t]
-            add = np.zeros(live)
-            open_ = np.arange(live)
+            place = lanes[:live] + t
+            add, waits = np.zeros(live), np.ones(live, bool)
             for k in range(self.order - 1, 0, -1):
-                on = open_[level[open_] == k]
+                on = np.flatnonzero(waits & (level[:live] == k))
                 if not len(on):
                     continue
-                want = state[on] * self.m + word[on]
-                keys = self.keys[k]
-                at = np.searchsorted(keys, want)
-                hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == want) if len(keys) else np.zeros(len(on), bool)
-                got, arc, miss = on[hit], at[hit], on[~hit]
+                arc = self.arcs[k][place[on]]
+                got, arc, miss = on[arc >= 0], arc[arc >= 0], on[arc < 0]
                 add[got] += self.logp[k][arc]
+                waits[got] = False
                 if k == self.order - 1:
-                    level[got], state[got] = k, self.to[k][arc]
+                    state[got] = self.less[k][arc]
                 else:
                     level[got], state[got] = k + 1, arc
-                add[miss] += self.bow[k][state[miss]]
-                state[miss] = self.to[k - 1][state[miss]] if k > 1 else 0
+                add[miss] += self.bow[k - 1][state[miss]]
+                state[miss] = self.less[k - 1][state[miss]]
                 level[miss] = k - 1
-                done = np.zeros(live, bool)
-                done[got] = True
-                open_ = open_[~done[open_]]
-            w = word[open_]
-            known = self.known[w] & (w != UNKNOWN)
-            begin = w == BEGIN
-            add[open_] += np.where(begin, 0.0, np.where(known, self.logp[0][w], self.unknown))
-            up = (known | begin) & self.known[w] if self.order > 1 else np.zeros(len(w), bool)
-            level[open_], state[open_] = up.astype(np.int64), np.where(up, w, 0)
+            on = np.flatnonzero(waits)
+            arc = self.arcs[0][place[on]]
+            add[on] += np.where(arc >= 0, self.logp[0][np.maximum(arc, 0)], self.unknown)
+            known = (arc >= 0) & (self.order > 1)
+            level[on], state[on] = known, np.where(known, arc, 0)
             sums[:live] += np.where(t >= skip[:live], add, 0.0)
         out = np.empty(len(lanes))
         out[back] = sums
@@ -282,24 +275,24 @@ def _score(named: DataFrame, answers: DataFrame, order: int, parts: int, total:
         row = left.to_pylist()[0]
         t = _Texts(row["sizes"], row["codes"], row["ids"], row["held"])
         blobs = {(k, p): x for k, p, x in zip(*(right.column(c).to_pylist() for c in ("level", "part", "blob")), strict=True)}
-        keys, counts, after = [], [], []
-        for k, (_, own, cols) in enumerate(t.grams(order), 1):
+        grams, counts, after = [], [], []
+        for k, (here, own, cols, ends) in enumerate(t.grams(order), 1):
             to = dealt_to([t.ids[c] for c in cols], parts)
-            by = np.argsort(to, kind="stable")
+            by = order_of(to)
             cut = np.searchsorted(to[by], np.arange(parts + 1))
             c, a = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             for p in range(parts):
                 rows = by[cut[p]:cut[p + 1]]
                 if len(rows):
                     c[rows], a[rows] = unpack(blobs.pop((k, p)))
-            keys.append(own)
+            grams.append((here, own, ends))
             counts.append(c)
             after.append(a)
         base = np.log10((counts[0] + 1) / (total + distinct + 1))
         known = counts[0] > 0
         base[UNKNOWN], known[UNKNOWN] = math.log10(1 / (total + distinct + 1)), False
-        machine = Automaton(t.m, keys, counts, after, total, distinct, discounts)
-        del keys, counts, after, blobs
+        machine = Automaton(t.m, grams, counts, after, total, distinct, discounts)
+        del grams, counts, after, blobs
 
         # lanes: every LANE tokens of a text after its begin mark, with a run-up
         n = t.sizes + 1
@@ -334,7 +327,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     longest text bounds a block.  An empty table gives no rows; without a
     training document every word is unknown.  Other columns are not read.
     """
-    blocks = written(_read(docs), "lm-blocks")
+    blocks = written(_read(docs), "lm-blocks", "zstd")
     entry = F.explode(F.arrays_zip("words", "counts")).alias("e")
     vocab = blocks.select(entry).where("e.counts > 0").groupBy(F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("c"))
     vocab = numbered(vocab, [F.col("c").desc(), F.col("word")], "lm-vocabulary", FIRST_WORD)

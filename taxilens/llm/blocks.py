@@ -80,6 +80,32 @@ def steps(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=0)
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative keys.  Where key and place fit in 63 bits
+    they are sorted as one number, several times faster than by argsort."""
+    n = len(key)
+    if not n:
+        return np.zeros(0, np.int64)
+    most, bits = int(key.max()), max(1, (n - 1).bit_length())
+    if most < 1 << 16:
+        return np.argsort(key.astype(np.uint16), kind="stable")
+    if most >= 1 << (63 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key.astype(np.int64) << bits) | np.arange(n)) & ((1 << bits) - 1)
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, the place of each row's among them, and the
+    first row of each."""
+    order = order_of(key)
+    in_order = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = in_order[1:] != in_order[:-1]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return in_order[new], inverse, order[new]
+
+
 def joined_key(columns: list[np.ndarray]) -> np.ndarray:
     """One 64-bit key per row, in the rows' lexicographic order, exact: what
     would not fit in 63 bits is ranked first."""
@@ -87,7 +113,7 @@ def joined_key(columns: list[np.ndarray]) -> np.ndarray:
     for c in columns[1:]:
         span = int(c.max()) + 1 if len(c) else 1
         if len(key) and (int(key.max()) + 1) * span >= 1 << 63:
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            key = grouped(key)[1]
         key = key * span + c
     return key
 

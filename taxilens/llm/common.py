@@ -36,7 +36,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet under a fresh name in the shared checkpoint
     folder and read back: it cuts the lineage, and what follows survives the
     loss of executors without running the earlier stages again.  Shuffle
@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     del df
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)

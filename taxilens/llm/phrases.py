@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, lowered, numbered, pack, steps, unpack
+from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, grouped, lowered, numbered, pack, steps, unpack
 from .common import documents, flat, map_arrow, pieces, written
 
 THRESHOLD = 30
@@ -67,7 +67,7 @@ def _read(docs: DataFrame, shards: int) -> DataFrame:
                 opens[1:] = (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])
                 langs = piece.column("lang").dictionary_encode()
                 lang, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary
-                keys, codes = np.unique(codes * max(1, len(names)) + lang[doc] if len(codes) else codes, return_inverse=True)
+                keys, codes, _ = grouped(codes * max(1, len(names)) + lang[doc] if len(codes) else codes)
                 yield pa.record_batch({
                     "block": pa.array([(part << 32) + seq], pa.int64()), "shard": pa.array([(part + seq) % shards], pa.int32()),
                     "codes": pa.array([pack(codes)], pa.binary()), "opens": pa.array([pack(opens)], pa.binary()),
@@ -171,9 +171,10 @@ def _scan(named: DataFrame, shard: int, k: int, step: int, shards: int, filters:
                 key = seq[ends - k + 1]
                 for i in range(1, k):
                     if i > 1:
-                        distinct, key = np.unique(key, return_inverse=True)
+                        key = grouped(key)[1]
                     key = key * len(ids) + seq[ends - k + 1 + i]
-                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                distinct, inverse, at = grouped(key)
+                n = np.bincount(inverse, minlength=len(distinct))
                 words = [seq[ends[at] - k + 1 + i] for i in range(k)]
                 first = np.maximum(reach[words[0]], reach[words[1]]) + 1 if k == 2 else np.zeros(len(at), np.int64)
                 yield pa.record_batch({**{c: pa.array(ids[w]) for c, w in zip(_cols(k), words, strict=True)}, "first": pa.array(first.astype(np.int32)), "n": pa.array(n, pa.int64())})
@@ -235,7 +236,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     long texts are read whole.  An empty table, and a language without a
     phrase over the threshold, give no rows.  Other columns are not read.
     """
-    blocks = written(_read(docs, shards), "phrases-blocks")
+    blocks = written(_read(docs, shards), "phrases-blocks", "zstd")
     every = blocks.select("shard", F.explode(F.arrays_zip("langs", "words", "counts")).alias("e"))
     in_shard = [F.sum(F.when(F.col("shard") == s, F.col("e.counts")).otherwise(0)).alias(f"s{s}") for s in range(shards)]
     words = written(every.groupBy(F.col("e.langs").alias("lang"), F.col("e.words").alias("word")).agg(*in_shard), "phrases-words")
