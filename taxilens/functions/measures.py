@@ -42,6 +42,9 @@ class TripMeasures:
     def avg_if(self, cond: Column, c: str) -> Column:
         return X.avg_if(cond, c)
 
+    def stddev(self, c: str) -> Column:
+        return F.stddev_samp(c)
+
     def min(self, c: str) -> Column:
         return F.min(c)
 
@@ -65,6 +68,11 @@ class RollupMeasures:
     def avg_if(self, cond: Column, c: str) -> Column:
         return X.div(F.sum(F.when(cond, F.col(f"{c}_sum"))), F.sum(F.when(cond, F.col(f"{c}_n"))))
 
+    def stddev(self, c: str) -> Column:
+        """From the cells' (count, sum, M2): their M2 and what their means spread."""
+        n, s = F.sum(f"{c}_n"), F.sum(f"{c}_sum")
+        return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), merged_m2(c)) / F.when(n > 1, n - 1)))
+
     def min(self, c: str) -> Column:
         return F.min(f"{c}_min")
 
@@ -72,5 +80,12 @@ class RollupMeasures:
         return F.max(f"{c}_max")
 
 
+def merged_m2(c: str) -> Column:
+    """Centred sum of squares of the union of cells, as an aggregate: their
+    own, plus the spread of their means around the common one."""
+    n, s = F.col(f"{c}_n"), F.col(f"{c}_sum")
+    return F.sum(F.col(f"{c}_m2") + X.div(s * s, n)) - X.div(F.sum(s) * F.sum(s), F.sum(n))
+
+
 def measures(df: DataFrame):
     return RollupMeasures() if is_rollup(df) else TripMeasures()

@@ -6,24 +6,21 @@ statistic is a function of per-cell moments, where a cell is
 
 * the 2x2 means are ratios of cell sums;
 * the OLS ``log1p(trips) ~ post + treated + did + C(month)`` has one design
-  row per cell, so X'X, X'y, the residual sums of squares and the HC3
-  leverages all follow exactly from (n, mean, centred M2) per cell.  HC3 is
-  exact because leverage is constant inside a cell (idea: Wong et al. 2021,
-  "You Only Compress Once", arXiv 2102.11297).
-
-So the trips are reduced by Spark to at most 2 x 2 x 12 cells, and the
-15-parameter solve runs in one ``applyInPandas`` group whose size is bounded
-by that cell count, not by the data.
+  row per cell, so its sums follow exactly from (n, mean, centred M2) per
+  cell.  HC3 is exact because leverage is constant inside a cell (idea: Wong
+  et al. 2021, "You Only Compress Once", arXiv 2102.11297).
+
+The month effects are eliminated first (Frisch-Waugh-Lovell): regressors and
+outcome are centred within months, which leaves three normal equations with a
+closed-form solution.  All of it is column expressions over the at most
+2 x 2 x 12 cells to which Spark reduces the trips.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -137,53 +134,103 @@ def did_cells(panel: DataFrame) -> DataFrame:
                  F.sum("avg_congestion_fee").alias("sum_fee")))
 
 
-OLS_SCHEMA = ("term string, coef double, std_err double, z double, p_value double, "
-              "ci_lower double, ci_upper double, r_squared double, n_obs long")
-
-
-def ols_hc3_from_cells(cells: pd.DataFrame) -> pd.DataFrame:
-    """Exact OLS + HC3 of log1p(trips) ~ post + treated + did + C(month) from cells."""
-    cells = cells.sort_values(["month", "post", "treated"]).reset_index(drop=True)
-    months = sorted(cells["month"].unique())
-    names = ["Intercept"] + [f"C(month)[T.{m}]" for m in months[1:]] + ["post", "treated", "did"]
-    k = len(names)
-    x = np.zeros((len(cells), k))
-    x[:, 0] = 1.0
-    for j, m in enumerate(months[1:], start=1):
-        x[:, j] = (cells["month"].to_numpy() == m).astype(float)
-    x[:, k - 3] = cells["post"].to_numpy()
-    x[:, k - 2] = cells["treated"].to_numpy()
-    x[:, k - 1] = cells["post"].to_numpy() * cells["treated"].to_numpy()
-    n = cells["n"].to_numpy(dtype=float)
-    mean = cells["mean_y"].to_numpy(dtype=float)
-    m2 = cells["m2_y"].to_numpy(dtype=float)
-    xtx = (x * n[:, None]).T @ x
-    bread = np.linalg.pinv(xtx)
-    beta = bread @ ((x * (n * mean)[:, None]).sum(axis=0))
-    fitted = x @ beta
-    sse_c = m2 + n * (mean - fitted) ** 2
-    h = np.einsum("ij,jk,ik->i", x, bread, x)
-    scale = np.where(h < 1.0, sse_c / (1.0 - h) ** 2, np.inf)
-    meat = (x * scale[:, None]).T @ x
-    cov = bread @ meat @ bread
-    se = np.sqrt(np.diag(cov))
-    z = beta / se
-    total_n = n.sum()
-    grand = (n * mean).sum() / total_n
-    sst = m2.sum() + (n * (mean - grand) ** 2).sum()
-    r2 = 1.0 - sse_c.sum() / sst if sst > 0 else float("nan")
-    return pd.DataFrame({
-        "term": names, "coef": beta, "std_err": se, "z": z,
-        "p_value": dist.norm_two_sided(z),
-        "ci_lower": beta - dist.Z_975 * se, "ci_upper": beta + dist.Z_975 * se,
-        "r_squared": r2, "n_obs": int(total_n),
-    })
+#: The regressors left after the month effects are eliminated.
+EFFECTS = ("post", "treated", "did")
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _sym(prefix: str, i: int, j: int) -> Column:
+    """Entry of a symmetric 3x3 matrix kept as columns of its upper half."""
+    return F.col(f"{prefix}{min(i, j)}{max(i, j)}")
+
+
+def _inverse(prefix: str) -> dict[str, Column]:
+    """Upper half of the inverse of a symmetric 3x3 matrix; null if singular."""
+    m = lambda i, j: _sym(prefix, i, j)
+
+    def cofactor(i: int, j: int) -> Column:
+        r, c = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
+        return ((-1) ** (i + j)) * (m(r[0], c[0]) * m(r[1], c[1]) - m(r[0], c[1]) * m(r[1], c[0]))
+
+    det = m(0, 0) * cofactor(0, 0) + m(0, 1) * cofactor(0, 1) + m(0, 2) * cofactor(0, 2)
+    scale = m(0, 0) * m(1, 1) * m(2, 2)
+    usable = F.when(F.abs(det) > F.abs(scale) * F.lit(1e-12), det)
+    return {f"inv{i}{j}": cofactor(i, j) / usable for i, j in _PAIRS}
+
+
+def _times(prefix: str, v: Sequence[Column]) -> list[Column]:
+    """Symmetric matrix times vector."""
+    return [sum((_sym(prefix, i, j) * v[j] for j in range(1, 3)), _sym(prefix, i, 0) * v[0]) for i in range(3)]
+
+
+def _dot(u: Sequence[Column], v: Sequence[Column]) -> Column:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
 
 def did_ols_hc3(cells: DataFrame) -> DataFrame:
-    """Regression table; one bounded group (<= 48 cells) solved in pandas."""
-    return (cells.withColumn("_g", F.lit(0)).groupBy("_g")
-            .applyInPandas(lambda pdf: ols_hc3_from_cells(pdf), OLS_SCHEMA))
+    """The regression table (term, coef, std_err, z, p_value, ci_lower,
+    ci_upper, r_squared, n_obs) of log1p(trips) ~ post + treated + did +
+    C(month), with HC3 errors, from :func:`did_cells`.
+
+    Windows run over the cells, 48 at most.  Where post, treated and did are
+    collinear within months the coefficients are null.  A panel row that
+    alone decides its own fit (leverage 1) makes the errors infinite.
+    """
+    of_month, whole = Window.partitionBy("month"), Window.partitionBy(F.lit(0))
+    n = F.col("n").cast("double")
+    c = cells.select("month", n.alias("n"), F.col("mean_y").alias("y"), "m2_y",
+                     *[x.cast("double").alias(f"x{i}") for i, x in enumerate((F.col("post"), F.col("treated"), F.col("post") * F.col("treated")))])
+    c = c.withColumn("n_m", F.sum("n").over(of_month))
+    c = c.withColumns({f"{v}_m": F.sum(F.col("n") * F.col(v)).over(of_month) / F.col("n_m") for v in ("x0", "x1", "x2", "y")})
+    c = c.withColumns({f"d{i}": F.col(f"x{i}") - F.col(f"x{i}_m") for i in range(3)})
+    d = [F.col(f"d{i}") for i in range(3)]
+
+    # normal equations and their solution
+    c = c.withColumns({f"a{i}{j}": F.sum(F.col("n") * d[i] * d[j]).over(whole) for i, j in _PAIRS}
+                      | {f"g{i}": F.sum(F.col("n") * d[i] * (F.col("y") - F.col("y_m"))).over(whole) for i in range(3)}
+                      | {"n_all": F.sum("n").over(whole), "y_all": F.sum(F.col("n") * F.col("y")).over(whole)})
+    c = c.withColumns(_inverse("a"))
+    c = c.withColumns({f"b{i}": v for i, v in enumerate(_times("inv", [F.col(f"g{i}") for i in range(3)]))})
+    b = [F.col(f"b{i}") for i in range(3)]
+
+    # leverage and scaled squared residuals of each cell's rows
+    residual = F.col("y") - F.col("y_m") - _dot(b, d)
+    c = c.withColumn("h", 1 / F.col("n_m") + _dot(d, _times("inv", d))).withColumn("sse", F.col("m2_y") + F.col("n") * residual * residual)
+    c = c.withColumn("s", F.when(F.col("h") < 1 - 1e-12, F.col("sse") / ((1 - F.col("h")) * (1 - F.col("h")))).otherwise(F.when(F.col("h").isNotNull(), F.lit(float("inf")))))
+    c = c.withColumns({f"m{i}{j}": F.sum(F.col("s") * d[i] * d[j]).over(whole) for i, j in _PAIRS}
+                      | {"r_squared": 1 - F.sum("sse").over(whole)
+                         / F.nullif(F.sum(F.col("m2_y") + F.col("n") * (F.col("y") - F.col("y_all") / F.col("n_all")) * (F.col("y") - F.col("y_all") / F.col("n_all"))).over(whole), F.lit(0.0))})
+    # covariance of the three effects: inverse x meat x inverse
+    column = [[F.col(f"t{i}{j}") for i in range(3)] for j in range(3)]
+    c = c.withColumns({f"t{i}{j}": v for j in range(3) for i, v in enumerate(_times("m", [_sym("inv", k, j) for k in range(3)]))})
+    c = c.withColumns({f"v{i}{j}": _dot([_sym("inv", i, k) for k in range(3)], column[j]) for i, j in _PAIRS})
+
+    # one row per month: its effect and what its variance needs
+    shared = [*[f"b{i}" for i in range(3)], *[f"inv{i}{j}" for i, j in _PAIRS], *[f"v{i}{j}" for i, j in _PAIRS], "r_squared", "n_all"]
+    months = c.groupBy("month").agg(
+        F.first("n_m").alias("n_m"), F.first("y_m").alias("y_m"), F.sum("s").alias("s"),
+        *[F.first(f"x{i}_m").alias(f"x{i}") for i in range(3)], *[F.sum(F.col("s") * d[i]).alias(f"e{i}") for i in range(3)],
+        *[F.first(k).alias(k) for k in shared])
+    x, e = [F.col(f"x{i}") for i in range(3)], [F.col(f"e{i}") for i in range(3)]
+    months = months.withColumn("effect", F.col("y_m") - _dot(b, x))
+    months = months.withColumn("var", F.col("s") / (F.col("n_m") * F.col("n_m")) - 2 / F.col("n_m") * _dot(x, _times("inv", e)) + _dot(x, _times("v", x)))
+    first = whole.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = {f"o_{k}": F.first(k).over(first) for k in ("month", "n_m", "effect", "var", "x0", "x1", "x2", "e0", "e1", "e2")}
+    months = months.withColumns(base)
+    ox, oe = [F.col(f"o_x{i}") for i in range(3)], [F.col(f"o_e{i}") for i in range(3)]
+    shared_var = _dot(ox, _times("v", x)) - _dot(ox, _times("inv", e)) / F.col("n_m") - _dot(x, _times("inv", oe)) / F.col("o_n_m")
+    is_base = F.col("month") == F.col("o_month")
+    month_row = F.struct(
+        F.when(is_base, F.lit("Intercept")).otherwise(F.concat(F.lit("C(month)[T."), F.col("month").cast("string"), F.lit("]"))).alias("term"),
+        F.when(is_base, F.col("effect")).otherwise(F.col("effect") - F.col("o_effect")).alias("coef"),
+        F.when(is_base, F.col("var")).otherwise(F.col("var") + F.col("o_var") - 2 * shared_var).alias("var"))
+    effect_rows = [F.struct(F.lit(name).alias("term"), F.col(f"b{i}").alias("coef"), F.col(f"v{i}{i}").alias("var")) for i, name in enumerate(EFFECTS)]
+    rows = F.when(is_base, F.array(month_row, *effect_rows)).otherwise(F.array(month_row))
+    out = months.select(F.explode(rows).alias("e"), "r_squared", F.col("n_all").cast("long").alias("n_obs")).select("e.*", "r_squared", "n_obs")
+    out = out.withColumn("std_err", F.sqrt("var")).withColumn("z", X.div("coef", "std_err"))
+    half = F.lit(dist.Z_975) * F.col("std_err")
+    return out.select("term", "coef", "std_err", "z", dist.normal_two_sided("z").alias("p_value"),
+                      (F.col("coef") - half).alias("ci_lower"), (F.col("coef") + half).alias("ci_upper"), "r_squared", "n_obs")
 
 
 def summary_columns(panel: DataFrame, n_treated_zones: int) -> DataFrame:
@@ -203,7 +250,7 @@ def summary_columns(panel: DataFrame, n_treated_zones: int) -> DataFrame:
 
 
 def did_summary(panel: DataFrame, n_treated_zones: int) -> DataFrame:
-    """The one-row summary mart; only the regression row is solved in pandas."""
+    """The one-row summary mart."""
     ols = did_ols_hc3(did_cells(panel)).where("term = 'did'").select("coef", "p_value")
     r = X.round_half_even
     return one_row(summary_columns(panel, n_treated_zones), ols).select(

@@ -1,13 +1,13 @@
 """Permutation test and bootstrap intervals.
 
 Zone level: replicate ids are exploded on the units, one row per unit and
-replicate, and everything else is window, join and aggregate.  A permutation
-ranks the units of a replicate by a seeded hash and calls the first n_t
-treated; a bootstrap draw is a unit slot whose hash picks another unit of
-its arm.  Hashes are md5 over integers (``exprs.hash_key``), so replicates
-do not depend on partitions or retries, and a SQL oracle repeats them.  Work
-and shuffle are units x replicates; no task holds more than one replicate's
-units or one part of them.
+replicate, and what follows is a map and one partial aggregate by replicate.
+A unit's rank under a replicate's permutation is computed from its own index
+by a keyed bijection of 0..n-1 (:func:`permuted`), so nothing is sorted; the
+first n_t ranks are the treated.  A bootstrap draw is a unit slot whose hash
+picks another unit of its arm.  All keys are integer arithmetic modulo a
+prime, so replicates do not depend on partitions or retries, and a SQL oracle
+repeats them.  No task holds more than its chunk of replicates at a time.
 
 Trip level: :func:`poisson_bootstrap` gives every row a Poisson(1) weight
 per replicate, summed with map-side combine; only one row per replicate and
@@ -32,39 +32,120 @@ TIE = 1e-9
 PRIME = (1 << 31) - 1
 
 
-def _replicated(units: DataFrame, value: str, arm: str, unit: str, n: int) -> DataFrame:
-    """(unit, arm, value, observed_diff, r) for every unit and replicate."""
+#: Half rounds of the bijection, and what each mixes with.
+ROUNDS = 6
+#: Replicates whose rows one task makes.
+CHUNK = 320
+
+
+def round_factors(seed: int, purpose: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """Two factors below PRIME for each round."""
+    def factor(j: int, k: int) -> int:
+        return 1 + int(hashlib.md5(f"{seed}|{purpose}|{j}|{k}".encode()).hexdigest()[:13], 16) % (PRIME - 1)
+    return [(factor(j, 0), factor(j, 1)) for j in range(rounds)]
+
+
+def _round_key(r: Column, factors: tuple[int, int]) -> Column:
+    return (r * F.lit(factors[0]) + F.lit(factors[1])) % F.lit(PRIME)
+
+
+def with_grid(units: DataFrame, n: str) -> DataFrame:
+    """Adds grid_a, grid_b: sides of the tightest grid of at least ``n`` cells
+    whose first side lies between the root of n and twice that."""
+    side = F.greatest(F.lit(1), F.floor(F.sqrt(F.col(n))))
+    best = F.array_min(F.transform(F.sequence(side, side * 2), lambda a: F.struct((F.pmod(-F.col(n), a)).alias("spare"), a.alias("a"))))
+    return units.withColumn("grid_a", best["a"]).withColumn("grid_b", F.ceil(F.col(n) / F.col("grid_a")).cast("long"))
+
+
+def permuted(rows: DataFrame, index: str, n: str, replicate: str, seed: int, out: str = "rank") -> DataFrame:
+    """Adds ``out``: where the permutation of ``replicate`` puts ``index`` of
+    0..n-1.  Needs the columns of :func:`with_grid`.
+
+    A cell (l, r) of the grid goes through Feistel rounds: one side is moved,
+    modulo its length, by a function of the other side and the replicate's
+    round key, so the grid's cells are permuted whatever the function.  An
+    index that lands on a spare cell goes through the rounds again until it
+    lands below n (cycle walking); it meets each spare cell once at most, so
+    as many repetitions as there are spare cells are enough.
+    """
+    factors = round_factors(int(seed), 1)
+    a, b, r = F.col("grid_a"), F.col("grid_b"), F.col(replicate)
+
+    # the first pass as columns, each used by the next
+    rows = rows.withColumns({"__l": F.floor(F.col(index) / b).cast("long"), "__r": F.col(index) % b})
+    for j, f in enumerate(factors):
+        move, other, side = ("__l", "__r", a) if j % 2 == 0 else ("__r", "__l", b)
+        rows = rows.withColumn("__k", _round_key(r, f))
+        rows = rows.withColumn("__t", (F.col(other) + 1) * F.col("__k") % F.lit(PRIME))
+        rows = rows.withColumn(move, (F.col(move) + (F.col("__t") * F.col("__t") + F.col("__k")) % F.lit(PRIME)) % side)
+    rows = rows.withColumn(out, F.col("__l") * b + F.col("__r"))
+
+    # the rounds again, as one expression, for what landed on a spare cell
+    def let(value: Column, fn) -> Column:
+        return F.element_at(F.transform(F.array(value), fn), 1)
+
+    def again(x: Column) -> Column:
+        def step(j: int, left: Column, right: Column) -> Column:
+            if j == len(factors):
+                return left * b + right
+            move, other, side = (left, right, a) if j % 2 == 0 else (right, left, b)
+            k = _round_key(r, factors[j])
+            mixed = let((other + 1) * k % F.lit(PRIME), lambda t: (move + (t * t + k) % F.lit(PRIME)) % side)
+            return let(mixed, lambda m: step(j + 1, m, right) if j % 2 == 0 else step(j + 1, left, m))
+        return step(0, F.floor(x / b).cast("long"), x % b)
+
+    spare = F.array_repeat(F.lit(0), (a * b - F.col(n)).cast("int"))
+    walked = F.aggregate(spare, F.col(out), lambda x, _: F.when(x < F.col(n), x).otherwise(again(x)))
+    return rows.withColumn(out, F.when(F.col(out) < F.col(n), F.col(out)).otherwise(walked)).drop("__l", "__r", "__k", "__t")
+
+
+def _indexed(units: DataFrame, value: str, arm: str, unit: str) -> DataFrame:
+    """(arm, value, index, units, n_t, slot, size, observed_diff): one row per
+    unit; the windows run over the units, before they are replicated."""
     v = F.col(value).cast("double")
-    whole = Window.partitionBy()
-    obs = F.avg(F.when(F.col(arm) == TREATMENT, v)).over(whole) - F.avg(F.when(F.col(arm) == CONTROL, v)).over(whole)
-    # the window runs over the units, before they are replicated
-    base = units.select(F.col(unit).cast("long").alias("unit"), F.col(arm).alias("arm"), v.alias("value"), obs.alias("observed_diff"))
-    return base.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    whole, of_arm = Window.partitionBy(), Window.partitionBy("arm")
+    base = units.select(F.col(unit).cast("long").alias("unit"), F.col(arm).alias("arm"), v.alias("value"))
+    base = base.withColumns({
+        "observed_diff": F.avg(F.when(F.col("arm") == TREATMENT, F.col("value"))).over(whole) - F.avg(F.when(F.col("arm") == CONTROL, F.col("value"))).over(whole),
+        "units": F.count(F.lit(1)).over(whole), "n_t": F.count_if(F.col("arm") == TREATMENT).over(whole),
+        "index": (F.row_number().over(whole.orderBy("unit")) - 1).cast("long")})
+    return base.withColumns({"slot": (F.row_number().over(of_arm.orderBy("unit")) - 1).cast("long"), "size": F.count(F.lit(1)).over(of_arm)})
+
+
+def _replicated(base: DataFrame, n: int) -> DataFrame:
+    """``base`` with ``r`` in 0..n-1 for each row, dealt to tasks by chunks of replicates."""
+    chunks = -(-n // CHUNK)
+    dealt = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "chunk")
+    last = F.least(F.lit(n), (F.col("chunk") + 1) * CHUNK) - 1
+    return dealt.withColumn("r", F.explode(F.sequence((F.col("chunk") * CHUNK).cast("long"), last.cast("long")))).drop("chunk")
 
 
 def permutation_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
                       unit: str = "pickup_zone", n: int = N_REPLICATES, seed: int = 42) -> DataFrame:
     """(replicate, diff, observed_diff): mean(treatment) - mean(control) under relabelling."""
-    rows = _replicated(units, value, arm, unit, n).withColumn("h", X.hash_key(int(seed), 1, "r", "unit"))
-    of_r = Window.partitionBy("r")
-    rows = rows.withColumns({"k": F.row_number().over(of_r.orderBy("h", "unit")),
-                             "n_t": F.count_if(F.col("arm") == TREATMENT).over(of_r)})
-    treated = F.col("k") <= F.col("n_t")
-    return rows.groupBy(F.col("r").cast("long").alias("replicate")).agg(
+    base = with_grid(_indexed(units, value, arm, unit), "units")
+    rows = permuted(_replicated(base, n), "index", "units", "r", seed)
+    treated = F.col("rank") < F.col("n_t")
+    return rows.groupBy(F.col("r").alias("replicate")).agg(
         (F.avg(F.when(treated, F.col("value"))) - F.avg(F.when(~treated, F.col("value")))).alias("diff"),
         F.first("observed_diff").alias("observed_diff"))
 
 
 def bootstrap_diffs(units: DataFrame, *, value: str = "sim_trips", arm: str = "group",
                     unit: str = "pickup_zone", n: int = N_REPLICATES, seed: int = 42) -> DataFrame:
-    """(replicate, diff, observed_diff) of resampled mean(treatment) - mean(control)."""
-    rows = _replicated(units, value, arm, unit, 1).drop("r")
-    of_arm = Window.partitionBy("arm")
-    slots = rows.withColumns({"slot": F.row_number().over(of_arm.orderBy("unit")) - 1, "size": F.count(F.lit(1)).over(of_arm)})
-    draws = slots.drop("value").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("slot", (X.hash_key(int(seed), 2, "r", "unit") % F.col("size")).cast("int"))
-    drawn = draws.select("r", "arm", "slot", "observed_diff").join(slots.select("arm", "slot", "value"), ["arm", "slot"])
-    return drawn.groupBy(F.col("r").cast("long").alias("replicate")).agg(
+    """(replicate, diff, observed_diff) of resampled mean(treatment) - mean(control).
+
+    Every draw finds its unit, so the left join loses nothing; it leaves the
+    units, never the draws, to be broadcast where Catalyst knows them to be few.
+    """
+    slots = _indexed(units, value, arm, unit)
+    draws = _replicated(slots.select("arm", "index", "size", "observed_diff"), n)
+    (f, g), = round_factors(int(seed), 2, 1)
+    k = _round_key(F.col("r"), (f, g))
+    t = (F.col("index") + 1) * k % F.lit(PRIME)
+    draws = draws.withColumn("t", t).withColumn("slot", ((F.col("t") * F.col("t") + k) % F.lit(PRIME)) % F.col("size"))
+    drawn = draws.select("r", "arm", "slot", "observed_diff").join(slots.select("arm", "slot", "value"), ["arm", "slot"], "left")
+    return drawn.groupBy(F.col("r").alias("replicate")).agg(
         (F.avg(F.when(F.col("arm") == TREATMENT, F.col("value"))) - F.avg(F.when(F.col("arm") == CONTROL, F.col("value")))).alias("diff"),
         F.first("observed_diff").alias("observed_diff"))
 

@@ -13,6 +13,8 @@ filters (exact, not approximate: the landing partitions by the pickup year).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -65,8 +67,9 @@ def _in_window(raw: DataFrame, ts: str, start: str, end: str, year_from_partitio
 
 
 def silver_yellow(raw: DataFrame, *, start: str | None = None, end: str | None = None,
-                  extended: bool = False, year_from_partition: bool = False) -> DataFrame:
-    """``silver_yellow`` (13 columns), or the extended variant (P3) if asked."""
+                  extended: bool = False, year_from_partition: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """``silver_yellow`` (13 columns), or the extended variant (P3) if asked.
+    ``keep`` are raw columns that ride along before the 13."""
     ts, drop = "tpep_pickup_datetime", "tpep_dropoff_datetime"
     start, end = _window(start, end, extended)
     fare, dist = F.col("fare_amount"), F.col("trip_distance")
@@ -81,7 +84,7 @@ def silver_yellow(raw: DataFrame, *, start: str | None = None, end: str | None =
     filtered = raw.where(cond)
     if not extended:
         return filtered.select(
-            *_time_parts(ts, _year(raw, ts, year_from_partition)),
+            *keep, *_time_parts(ts, _year(raw, ts, year_from_partition)),
             F.col("pulocationid").alias("pickup_zone"),
             F.col("dolocationid").alias("dropoff_zone"),
             "fare_amount",
@@ -96,8 +99,9 @@ def silver_yellow(raw: DataFrame, *, start: str | None = None, end: str | None =
 
 
 def silver_fhv(raw: DataFrame, *, start: str | None = None, end: str | None = None,
-               extended: bool = False, year_from_partition: bool = False) -> DataFrame:
+               extended: bool = False, year_from_partition: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """``silver_fhv`` (15 columns), or the extended variant (P4) if asked.
+    ``keep`` are raw columns that ride along before the 15.
 
     ``fare_amount`` is ``base_passenger_fare`` and ``trip_distance`` is
     ``trip_miles`` as in the reference; there is no passenger test.
@@ -115,7 +119,7 @@ def silver_fhv(raw: DataFrame, *, start: str | None = None, end: str | None = No
     filtered = raw.where(cond)
     if not extended:
         return filtered.select(
-            *_time_parts(ts, _year(raw, ts, year_from_partition)),
+            *keep, *_time_parts(ts, _year(raw, ts, year_from_partition)),
             F.col("pulocationid").alias("pickup_zone"),
             F.col("dolocationid").alias("dropoff_zone"),
             F.col("base_passenger_fare").alias("fare_amount"),

@@ -20,10 +20,12 @@ WAIT_KEYS = ("year", "pickup_zone", "time_bucket", "platform")
 
 def fhv_wait_time(silver_fhv: DataFrame, *, years=WAIT_YEARS, bounds=(1, 60),
                   min_trips: int = 100) -> DataFrame:
-    """Wait statistics per (year, zone, bucket, platform) and an action."""
+    """Wait statistics per (year, zone, bucket, platform) and an action,
+    from trips or from counts of minutes (``rollup.waits``, with a column n)."""
     w = F.col("wait_time_minutes")
+    count = F.sum("n") if "n" in silver_fhv.columns else F.count(F.lit(1))
     minutes = (years_filter(silver_fhv, years).where(w.between(*bounds))
-               .groupBy(*WAIT_KEYS, "wait_time_minutes").agg(F.count(F.lit(1)).alias("_n")))
+               .groupBy(*WAIT_KEYS, "wait_time_minutes").agg(count.alias("_n")))
     n = F.sum("_n")
     g = (minutes.groupBy(*WAIT_KEYS)
          .agg(n.alias("total_trips"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.frames import attach_global, top_k
-from ..functions.measures import measures
+from ..functions.measures import is_rollup, measures
 from .silver import years_filter
 
 RECENT_YEARS = (2024, 2025, 2026)
@@ -69,10 +69,11 @@ def supply_gap(silver: DataFrame, *, years=RECENT_YEARS, min_index: float = 1.2,
     Rounding order is the reference's: the index and volatility are rounded
     before they are multiplied.
     """
+    m = measures(silver)
     base = (years_filter(silver, years).groupBy("pickup_zone", "time_bucket")
-            .agg(F.count(F.lit(1)).alias("trip_count"),
-                 X.round_half_away(F.avg("fare_amount"), 2).alias("avg_fare"),
-                 X.round_half_away(F.stddev_samp("fare_amount"), 2).alias("fare_volatility")))
+            .agg(m.n().alias("trip_count"),
+                 X.round_half_away(m.avg("fare_amount"), 2).alias("avg_fare"),
+                 X.round_half_away(m.stddev("fare_amount"), 2).alias("fare_volatility")))
     w = Window.partitionBy("pickup_zone")
     idx = base.withColumn(
         "demand_index",
@@ -88,13 +89,16 @@ def supply_gap(silver: DataFrame, *, years=RECENT_YEARS, min_index: float = 1.2,
 
 def elasticity(silver: DataFrame, *, years=RECENT_YEARS, bucket_width: float = 5.0,
                min_trips: int = 30) -> DataFrame:
-    """A4: demand per fare bucket and its change vs the previous surviving bucket."""
-    fb = (years_filter(silver, years)
-          .withColumn("fare_bucket", X.bucket_floor("fare_amount", bucket_width))
-          .groupBy("pickup_zone", "time_bucket", "fare_bucket")
-          .agg(F.count(F.lit(1)).alias("trip_count"),
-               F.avg("fare_amount").alias("_fare"),
-               F.avg("trip_distance").alias("_dist"))
+    """A4: demand per fare bucket and its change vs the previous surviving
+    bucket, from trips or from fare cells of the same width (``rollup.fares``)."""
+    m = measures(silver)
+    rows = years_filter(silver, years)
+    if not is_rollup(silver):
+        rows = rows.withColumn("fare_bucket", X.bucket_floor("fare_amount", bucket_width))
+    fb = (rows.groupBy("pickup_zone", "time_bucket", "fare_bucket")
+          .agg(m.n().alias("trip_count"),
+               m.avg("fare_amount").alias("_fare"),
+               m.avg("trip_distance").alias("_dist"))
           .where(F.col("trip_count") >= min_trips))
     w = Window.partitionBy("pickup_zone", "time_bucket").orderBy("fare_bucket")
     prev = F.lag("trip_count").over(w)

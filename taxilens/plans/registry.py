@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import session as S
 from ..operators import policy, seasonal, silver, yoy, zone
+from ..schemas import PARTITION_COLUMN
 from ..sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,8 +29,10 @@ T_CONGESTION = 100     # [1200]
 T_SEASONAL_ZONES = 400  # [4000]
 T_Q1_Q3 = 50           # [2000]
 T_WAIT = 10            # [100]
-T_SAMPLE = 1000        # [50000]
-T_TRIP_REPLICATES = 20  # [200]
+T_SAMPLE = 50_000      # as the reference; all trips of a year that has fewer
+
+T_MARTS = {"baseline": T_BASELINE, "elasticity": T_ELASTICITY, "yoy": T_YOY, "seasonal_zones": T_SEASONAL_ZONES,
+           "q1_q3": T_Q1_Q3, "congestion": T_CONGESTION, "wait": T_WAIT}
 
 
 def query(name: str):
@@ -447,10 +450,10 @@ def _q_boot(spark, sf_dir):
 
 @query("trip_bootstrap")
 def _q_trip_boot(spark, sf_dir):
-    """Poisson bootstrap on trip rows (20 replicates at test scale [200])."""
+    """Poisson bootstrap on trip rows."""
     from ..operators import experiment as E
     from ..operators import resample as R
-    return R.poisson_bootstrap(_trips(spark, sf_dir), value="sim_fare", identity=E.trip_identity(), n=T_TRIP_REPLICATES)
+    return R.poisson_bootstrap(_trips(spark, sf_dir), value="sim_fare", identity=E.trip_identity())
 
 
 @query("trip_assignment")
@@ -615,6 +618,15 @@ def _q_drift_audit(spark, sf_dir):
     return drift.audit(spark, land_with_drift(spark, sf_dir)).select("year", "found_type", "action").distinct()
 
 
+@query("partition_counts_footer")
+def _q_partition_counts_footer(spark, sf_dir):
+    """S8 from the footers of the landed files, without a scan."""
+    from ..sources import catalog, drift
+    base = {"yellow": raw_yellow(spark, sf_dir), "fhv": raw_fhv(spark, sf_dir)}
+    where = {feed: df.inputFiles()[0].rpartition(f"/{PARTITION_COLUMN}=")[0] for feed, df in base.items()}
+    return catalog.partition_counts_footer({feed: drift.footers(drift.files(spark, at)) for feed, at in where.items()})
+
+
 @query("landed_monthly_trend")
 def _q_landed_trend(spark, sf_dir):
     """Landing with type drift -> per-file repair -> silver (partition year) -> mart."""
@@ -644,7 +656,7 @@ def _q_ingest(spark, sf_dir):
 
 @query("fare_sample_test")
 def _q_fare_sample(spark, sf_dir):
-    """X18 on exact-size samples (L3); 1,000 trips per year at test scale [50,000]."""
+    """X18 on exact-size samples (L3) of 50,000 trips a year, or all there are."""
     from ..operators import experiment as E
     return E.two_year_fare_test(yellow(spark, sf_dir), sample_per_year=T_SAMPLE)
 
@@ -706,18 +718,18 @@ def _q_ddl(spark, sf_dir):
 
 @query("mart_publish_tally")
 def _q_publish(spark, sf_dir):
-    """Three marts published, with their row counts."""
+    """The 23 marts published, with their row counts."""
     from . import marts
-    return marts.publish(spark, yellow(spark, sf_dir), fhv(spark, sf_dir), _scratch(spark, "marts"),
-                         TREATED, names={"kpi_summary", "monthly_trend", "yoy_summary"})
+    return marts.publish(spark, yellow(spark, sf_dir), fhv(spark, sf_dir), _scratch(spark, "marts"), TREATED, min_trips=T_MARTS)
 
 
 # ------------------------------------------------------------- rollup base
-def rollup(spark, sf_dir):
-    """The rollup base of silver_yellow, materialized once per input version."""
+def rollup(spark, sf_dir, kind="trips"):
+    """The rollup cells of a silver view, materialized once per input version."""
     from . import rollup as RU
-    return _memo(spark, sf_dir, "rollup", lambda: RU.materialized_rollup(
-        spark, yellow(spark, sf_dir), f"rollup/{fixtures.input_version(spark, sf_dir)}/yellow"))
+    view = fhv if kind == "waits" else yellow
+    return _memo(spark, sf_dir, f"rollup-{kind}", lambda: RU.materialized(
+        spark, kind, view(spark, sf_dir), f"rollup/{fixtures.input_version(spark, sf_dir)}/{kind}"))
 
 
 @query("rollup_base")
@@ -727,13 +739,56 @@ def _q_rollup_base(spark, sf_dir):
     return RU.build_rollup(yellow(spark, sf_dir))
 
 
+def refreshed_cells(spark, sf_dir) -> str:
+    """Both feeds landed in three steps (to 2023, 2024, from 2025), the cells
+    refreshed after each, so the last refresh reads the last step alone.
+    Returns the folder that holds the cells of each feed."""
+    from ..streaming import ingest
+    from . import rollup as RU
+
+    def build():
+        root = _scratch(spark, "refresh")
+        feeds = {"yellow": raw_yellow(spark, sf_dir), "fhv": raw_fhv(spark, sf_dir)}
+        for step in (F.col("year") <= 2023, F.col("year") == 2024, F.col("year") >= 2025):
+            for feed, trips in feeds.items():
+                at = f"{root}/{feed}"
+                trips.where(step).drop("year").write.mode("append").parquet(f"{at}/landing")
+                ingest.land(spark, feed, f"{at}/landing", f"{at}/raw", f"{at}/checkpoint")
+                RU.refresh(spark, feed, f"{at}/raw", f"{at}/cells")
+        return root
+
+    return _memo(spark, sf_dir, "refreshed", build)
+
+
+@query("monthly_trend__refreshed")
+def _q_trend_refreshed(spark, sf_dir):
+    from . import rollup as RU
+    return yoy.monthly_trend(RU.cells(spark, "trips", f"{refreshed_cells(spark, sf_dir)}/yellow/cells"))
+
+
+@query("elasticity__refreshed")
+def _q_elasticity_refreshed(spark, sf_dir):
+    from . import rollup as RU
+    return zone.elasticity(RU.cells(spark, "fares", f"{refreshed_cells(spark, sf_dir)}/yellow/cells"), min_trips=T_ELASTICITY)
+
+
+@query("fhv_wait_time__refreshed")
+def _q_wait_refreshed(spark, sf_dir):
+    from ..operators import wait
+    from . import rollup as RU
+    return wait.fhv_wait_time(RU.cells(spark, "waits", f"{refreshed_cells(spark, sf_dir)}/fhv/cells"), min_trips=T_WAIT)
+
+
 def _rollup_queries():
-    """The marts that read the rollup base instead of the trips (same code)."""
-    from ..operators import did, experiment as E, forecast as FC
+    """The marts that read the rollup cells instead of the trips (same code)."""
+    from ..operators import did, experiment as E, forecast as FC, wait
     R = rollup
     return {
         "zone_performance": lambda s, d: zone.zone_performance(R(s, d)),
         "peak_hours": lambda s, d: zone.peak_hours(R(s, d)),
+        "supply_gap": lambda s, d: zone.supply_gap(R(s, d)),
+        "elasticity": lambda s, d: zone.elasticity(R(s, d, "fares"), min_trips=T_ELASTICITY),
+        "fhv_wait_time": lambda s, d: wait.fhv_wait_time(R(s, d, "waits"), min_trips=T_WAIT),
         "kpi_summary": lambda s, d: zone.kpi_summary(R(s, d)),
         "monthly_stability": lambda s, d: zone.monthly_stability(R(s, d), min_trips=T_STABILITY),
         "stability_correlation": lambda s, d: zone.stability_correlation(

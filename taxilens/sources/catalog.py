@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FEEDS, PARTITION_COLUMN, PARTITION_YEARS
+from .materialize import hadoop_path
 
 
 def partition_paths(base: str, years: Iterable[int] = PARTITION_YEARS) -> list[str]:
@@ -27,23 +28,37 @@ def read_raw(spark: SparkSession, feed: str, base: str,
 
     With ``years`` only the projected folders of those years are opened,
     so the scan never lists or touches other partitions.  Folders that do
-    not exist are skipped (a projected year may not have landed yet).
+    not exist are skipped (a projected year may not have landed yet).  Of a
+    table landed by batches only those with a commit marker are read.
     """
     schema = FEEDS[feed]["schema"]
     reader = spark.read.schema(schema).option("basePath", base)
-    if years is None:
-        return reader.parquet(base)
-    paths = [p for p in partition_paths(base, years) if _exists(spark, p)]
+    batches = marked_batches(spark, base)
+    roots = [base] if batches is None else [f"{base.rstrip('/')}/{BATCH_COLUMN}={b}" for b in batches]
+    paths = roots if years is None else [p for root in roots for p in partition_paths(root, years) if exists(spark, p)]
     if not paths:
         return spark.createDataFrame([], schema)
-    return reader.parquet(*paths)
+    return reader.parquet(*paths).select(*schema.fieldNames())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+#: Where a table landed by batches keeps their folders and commit markers.
+BATCH_COLUMN, MARKERS = "batch", "_batches"
+
+
+def marked_batches(spark: SparkSession, base: str) -> list[str] | None:
+    """The committed batches of a table landed by batches, one name each;
+    None for a table that was not.  A batch counts once the job that wrote
+    its file log has committed, which is after its rows."""
+    fs, at = hadoop_path(spark, f"{base.rstrip('/')}/{MARKERS}")
+    if not fs.exists(at):
+        return None
+    found = fs.globStatus(hadoop_path(spark, f"{base.rstrip('/')}/{MARKERS}/*/_SUCCESS")[1])
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
 
 
 def declare_table(spark: SparkSession, name: str, feed: str, base: str) -> None:
@@ -70,6 +85,17 @@ def partition_counts(feeds: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def partition_counts_footer(feeds: Mapping[str, DataFrame]) -> DataFrame:
+    """S8 from metadata: rows per feed and partition year out of the Parquet
+    footers.  ``feeds``: :func:`drift.footers` of each feed's files."""
+    out = None
+    for feed, files in feeds.items():
+        year = F.regexp_extract("path", f"/{PARTITION_COLUMN}=([0-9]+)/", 1).cast("int")
+        c = files.groupBy(year.alias(PARTITION_COLUMN)).agg(F.sum("rows").alias("trips")).select(F.lit(feed).alias("feed"), PARTITION_COLUMN, "trips")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def total_count(df: DataFrame) -> DataFrame:
     """One-row total."""
     return df.agg(F.count(F.lit(1)).alias("total"))

@@ -15,22 +15,24 @@ seen), and each micro-batch lands its files whole or not at all:
 * output is partitioned by the *pickup* year, so the partition column equals
   the silver view's derived ``year``.
 
-A batch writes its rows, then its log.  A batch that is repeated after its
-log was written is skipped.
+Landing is exactly once.  A batch writes its rows into a folder of its own,
+named by its number, then its file log, whose committed job is the batch's
+marker; readers (``catalog.read_raw``) take marked batches only.  The source
+gives a batch that was interrupted the same files again, and it replaces its
+own folders, whichever of the two had been written.  Files that failed
+before are tried again in a batch named after the marked ones, so it, too, is
+repeated under the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from ..sources import drift
+from ..sources import catalog, drift
 from ..schemas import FEEDS, FHV_COLUMNS, PARTITION_COLUMN, YELLOW_COLUMNS
 
 LANDING_COLUMNS = {"yellow": YELLOW_COLUMNS, "fhv": FHV_COLUMNS}
@@ -41,80 +43,81 @@ CALENDAR_END = "2026-03-01"
 FEED_NAMES = ("yellow", "fhv")
 
 
-LOG_SCHEMA = "path string, status string, error string, batch long, at timestamp"
+LOG_SCHEMA = "path string, status string, error string, rows long, at timestamp"
 
 
-def _log_path(checkpoint: str) -> str:
-    return f"{checkpoint.rstrip('/')}-files"
+def file_log(spark: SparkSession, raw: str) -> DataFrame:
+    """One row per landing file: its last status (landed or failed), error
+    and the batch that tells so."""
+    marked = catalog.marked_batches(spark, raw)
+    if not marked:
+        return spark.createDataFrame([], LOG_SCHEMA + ", batch string")
+    log = spark.read.schema(LOG_SCHEMA).parquet(*[f"{raw}/{catalog.MARKERS}/{b}" for b in marked])
+    log = log.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), f"/{catalog.MARKERS}/([^/]+)/", 1))
+    last = F.max_by(F.struct("status", "error", "rows", "batch", "at"), F.struct("at", "batch"))
+    return log.groupBy("path").agg(last.alias("s")).select("path", "s.*")
 
 
-def file_log(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """One row per landing file: its last status (landed or failed) and error."""
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(_log_path(checkpoint))
-    except AnalysisException:  # no batch has been landed yet
-        return spark.createDataFrame([], LOG_SCHEMA)
-    last = F.max_by(F.struct("status", "error", "batch", "at"), "at")
-    return log.groupBy("path").agg(last.alias("s")).select("path", "s.*")
+def _read_whole(file) -> dict:
+    for _ in file.iter_batches():
+        pass
+    return {}
+
 
+def write_rows(spark: SparkSession, feed: str, paths: list[str], raw: str, batch: str) -> DataFrame:
+    """First half of a batch: the rows of its readable files, in the batch's
+    own folder.  Returns the footers with the files' errors.  ``paths`` are
+    the files of one batch, so few."""
+    found = drift.files(spark, paths)
+    foots = spark.createDataFrame(drift.footers(found).collect(), drift.FOOTER_SCHEMA)
 
-def _bad_files(spark: SparkSession, schemas: dict[str, StructType]) -> dict[str, str]:
-    """Read every file whole; the errors of those that cannot be."""
-    def one(path: str) -> str | None:
-        try:
-            spark.read.schema(schemas[path]).parquet(path).write.format("noop").mode("overwrite").save()
-            return None
-        except Exception as e:  # noqa: BLE001  it is reported by name
-            return f"{type(e).__name__}: {str(e)[:300]}"
+    def write(good: DataFrame) -> None:
+        rows = drift.read_groups(spark, drift.readable_groups(good, folders=False), LANDING_COLUMNS[feed])
+        rows = rows.withColumn(PARTITION_COLUMN, F.year(FEEDS[feed]["pickup"]).cast("int"))
+        rows.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{raw}/{catalog.BATCH_COLUMN}={batch}")
+
+    try:
+        write(foots.where("error IS NULL"))
+    except Exception:  # noqa: BLE001  some file is damaged beyond its footer
+        damaged = drift.per_file(found, _read_whole, "path string, error string").where("error IS NOT NULL")
+        damaged = spark.createDataFrame(damaged.collect(), "path string, damage string")
+        more = foots.join(damaged, "path", "left").withColumn("error", F.coalesce("error", "damage")).drop("damage")
+        if more.where("error IS NOT NULL").count() == foots.where("error IS NOT NULL").count():
+            raise
+        foots = more
+        write(foots.where("error IS NULL"))
+    return foots
 
-    with ThreadPoolExecutor(drift.FOOTERS_AT_ONCE) as pool:
-        return {p: e for p, e in zip(schemas, pool.map(one, schemas), strict=True) if e}
 
+def mark(foots: DataFrame, raw: str, batch: str) -> None:
+    """Second half of a batch: its file log, whose commit makes it count."""
+    log = foots.select("path", F.when(F.col("error").isNull(), F.lit("landed")).otherwise(F.lit("failed")).alias("status"), "error",
+                       F.when(F.col("error").isNull(), F.col("rows")).alias("rows"), F.current_timestamp().alias("at"))
+    log.coalesce(1).write.mode("overwrite").parquet(f"{raw}/{catalog.MARKERS}/{batch}")
 
-def land_files(spark: SparkSession, feed: str, paths: list[str], raw: str, checkpoint: str, batch: int) -> None:
-    """Land whole files, and log every one of them.  Files are read one by
-    one only if the group they are in failed."""
-    found = drift.file_schemas(spark, paths)
-    bad = {p: f"{type(s).__name__}: {str(s)[:300]}" for p, s in found.items() if isinstance(s, Exception)}
-    good = {p: s for p, s in found.items() if p not in bad}
 
-    def write(schemas: dict[str, StructType]) -> None:
-        rows = drift.read_conformed(spark, list(schemas), LANDING_COLUMNS[feed], schemas=schemas)
-        rows = rows.withColumn(PARTITION_COLUMN, F.year(FEEDS[feed]["pickup"]).cast("int"))
-        rows.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(raw)  # all or nothing: one job commit
-
-    if good:
-        try:
-            write(good)
-        except Exception:  # noqa: BLE001  some file is damaged beyond its footer
-            damaged = _bad_files(spark, good)
-            if not damaged:
-                raise
-            bad |= damaged
-            good = {p: s for p, s in good.items() if p not in damaged}
-            if good:
-                write(good)
-    log = [(p, "failed" if p in bad else "landed", bad.get(p), batch) for p in paths]
-    spark.createDataFrame(log, "path string, status string, error string, batch long").withColumn("at", F.current_timestamp()) \
-        .coalesce(1).write.mode("append").parquet(_log_path(checkpoint))
+def land_files(spark: SparkSession, feed: str, paths: list[str], raw: str, batch: str) -> None:
+    """Land whole files as one batch, and log every one of them."""
+    mark(write_rows(spark, feed, paths, raw, batch), raw, batch)
 
 
 def land(spark: SparkSession, feed: str, landing: str, raw: str, checkpoint: str,
          *, files_per_batch: int = 64, wait: bool = True) -> StreamingQuery:
-    """Land new files of ``feed`` from ``landing`` into ``raw`` (partitioned by
-    year), and those that failed before."""
-    log = file_log(spark, checkpoint)
-    again = sorted(r.path for r in log.where("status = 'failed'").select("path").collect())
+    """Land new files of ``feed`` from ``landing`` into ``raw`` (a folder per
+    batch, partitioned by year), and those that failed before.  The table and
+    the checkpoint, which numbers the batches, belong together."""
+    marked = catalog.marked_batches(spark, raw)
+    if marked and not catalog.exists(spark, checkpoint):
+        raise ValueError(f"{raw} was landed with another checkpoint than {checkpoint}")
+    again = sorted(r.path for r in file_log(spark, raw).where("status = 'failed'").select("path").collect())
     if again:
-        land_files(spark, feed, again, raw, checkpoint, -1)
+        retries = sum(b.startswith("retry-") for b in marked or [])
+        land_files(spark, feed, again, raw, f"retry-{retries:08d}")
 
     def batch(names: DataFrame, number: int) -> None:
-        session = names.sparkSession
-        if file_log(session, checkpoint).where(F.col("batch") == number).limit(1).count():
-            return
         paths = sorted(r.path for r in names.select("path").collect())  # files_per_batch at most
         if paths:
-            land_files(session, feed, paths, raw, checkpoint, number)
+            land_files(names.sparkSession, feed, paths, raw, f"landed-{number:08d}")
 
     names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
              .option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).load(landing).select("path"))

@@ -146,13 +146,92 @@ def test_landing_keeps_good_files_and_names_bad_ones(spark, tmp_root):
     ingest.land(spark, "yellow", landing, raw, ck)
     n = feed.count()
     assert catalog.read_raw(spark, "yellow", raw).count() == 2 * n
-    status = {os.path.basename(r.path): r.status for r in ingest.file_log(spark, ck).collect()}
+    status = {os.path.basename(r.path): r.status for r in ingest.file_log(spark, raw).collect()}
     assert status == {"bigint.parquet": "landed", "double.parquet": "landed", "cut.parquet": "failed", "hole.parquet": "failed"}
     with open(os.path.join(landing, "cut.parquet"), "wb") as f:
         f.write(whole)
     ingest.land(spark, "yellow", landing, raw, ck)
     assert catalog.read_raw(spark, "yellow", raw).count() == 3 * n
-    assert ingest.file_log(spark, ck).where("status = 'failed'").count() == 1
+    assert ingest.file_log(spark, raw).where("status = 'failed'").count() == 1
+
+
+def test_landing_stopped_between_rows_and_marker(spark, tmp_root):
+    """A batch whose rows are written but not marked is not seen, and lands once when repeated."""
+    root = os.path.join(tmp_root, "landing-stop")
+    landing, raw, ck = (os.path.join(root, x) for x in ("in", "raw", "ck"))
+    feed = Q.raw_yellow(spark, SF_SMALL).drop("year")
+    n = feed.count()
+    feed.write.parquet(landing)
+    mark = ingest.mark
+    with pytest.MonkeyPatch.context() as m:
+        def stop(*a):
+            raise RuntimeError("driver lost")
+        m.setattr(ingest, "mark", stop)
+        with pytest.raises(Exception, match="driver lost"):
+            ingest.land(spark, "yellow", landing, raw, ck)
+    assert os.path.isdir(f"{raw}/batch=landed-00000000")
+    assert ingest.file_log(spark, raw).count() == 0
+    ingest.land(spark, "yellow", landing, raw, ck)
+    assert catalog.read_raw(spark, "yellow", raw).count() == n
+    # the batch once more, as after a stop behind the marker: it replaces its own folders
+    paths = [r.path for r in ingest.file_log(spark, raw).collect()]
+    ingest.land_files(spark, "yellow", paths, raw, "landed-00000000")
+    assert ingest.mark is mark and catalog.read_raw(spark, "yellow", raw).count() == n
+    # a file that failed is tried again under one name until its batch is marked
+    with open(os.path.join(landing, "bad.parquet"), "wb") as f:
+        f.write(b"no file")
+    ingest.land(spark, "yellow", landing, raw, ck)
+    ingest.land(spark, "yellow", landing, raw, ck)
+    assert catalog.marked_batches(spark, raw) == ["landed-00000000", "landed-00000001", "retry-00000000"]
+    assert catalog.read_raw(spark, "yellow", raw).count() == n
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest.land(spark, "yellow", landing, raw, ck + "-new")
+
+
+def test_audit_of_many_small_files(spark, tmp_root):
+    """10,000 files, by their footers in tasks; a damaged one is named."""
+    base = os.path.join(tmp_root, "many")
+    raw = Q.raw_yellow(spark, SF_SMALL).limit(10)
+    kinds = {}
+    for kind in ("double", "bigint"):
+        part = os.path.join(tmp_root, "many-" + kind)
+        raw.withColumn("passenger_count", F.col("passenger_count").cast(kind)).drop("year").coalesce(1).write.parquet(part)
+        kinds[kind] = next(os.path.join(part, f) for f in os.listdir(part) if f.endswith(".parquet"))
+    for year in range(2022, 2027):
+        os.makedirs(f"{base}/year={year}")
+        for k in range(2000):
+            os.link(kinds["double" if year < 2024 else "bigint"], f"{base}/year={year}/{k}.parquet")
+    with open(f"{base}/year=2022/bad.parquet", "wb") as f:
+        f.write(b"PAR1 no footer PAR1")
+    out = drift.audit(spark, base).groupBy("year", "found_type", "action").count().collect()
+    assert sorted((r.year, r.found_type, r["count"]) for r in out if r.found_type) == [(y, "double" if y < 2024 else "bigint", 2000) for y in range(2022, 2027)]
+    assert [(r.year, r.action) for r in out if not r.found_type] == [(2022, "error: ArrowInvalid")]
+    foots = drift.footers(drift.files(spark, base)).where("error IS NULL")
+    assert sum(len(places) for _, places in drift.readable_groups(foots)) == 5  # folders, not files
+    assert {r.year: r.trips for r in catalog.partition_counts_footer({"yellow": foots}).collect()} == dict.fromkeys(range(2022, 2027), 20_000)
+
+
+def test_footers_from_a_store_that_only_spark_reads(spark, tmp_root, monkeypatch):
+    base = os.path.join(tmp_root, "store")
+    Q.raw_yellow(spark, SF_SMALL).write.partitionBy("year").parquet(base)
+    by_range = drift.footers(drift.files(spark, base)).collect()
+    monkeypatch.setattr(drift, "_opens", lambda path: False)
+    whole = drift.footers(drift.files(spark, base)).collect()
+    assert sorted(by_range) == sorted(whole) and all(r.error is None for r in whole)
+
+
+def test_table_load_switches_at_once(spark, tmp_root):
+    from taxilens.sources.sinks import load_table
+    path = os.path.join(tmp_root, "switch")
+    mart = spark.range(5).selectExpr("id", "id * 2 AS twice")
+    assert load_table(spark, mart, "switched", path=path) == 5
+    seen = spark.table("switched")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        load_table(spark, mart.selectExpr("id", "id DIV (id - 3) AS twice"), "switched", path=path)
+    assert spark.table("switched").count() == 5
+    assert load_table(spark, mart.where("id < 2"), "switched", path=path) == 2
+    assert seen.count() == 5 and spark.table("switched").count() == 2  # who has begun reads on
+    assert load_table(spark, mart.selectExpr("id"), "switched", path=path) == 5 and spark.table("switched").columns == ["id"]
 
 
 def test_mixed_types_in_one_folder(spark, tmp_root):

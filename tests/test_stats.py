@@ -1,5 +1,6 @@
 """Statistics operators against brute-force numpy on collected small inputs."""
 import math
+import re
 
 import numpy as np
 import pytest
@@ -32,11 +33,28 @@ def test_hc3_cells_equal_row_level(spark):
     panel = Q._panel(spark, SF_MID)
     pdf = panel.toPandas()
     beta, se, r2 = row_level_hc3(pdf)
-    got = did.did_ols_hc3(did.did_cells(panel)).toPandas()
+    got = did.did_ols_hc3(did.did_cells(panel)).toPandas().set_index("term")
+    months = sorted(pdf["month"].unique())
+    got = got.loc[["Intercept", *(f"C(month)[T.{m}]" for m in months[1:]), "post", "treated", "did"]]
     np.testing.assert_allclose(got["coef"].to_numpy(), beta, rtol=1e-9, atol=1e-11)
     np.testing.assert_allclose(got["std_err"].to_numpy(), se, rtol=1e-8)
     assert got["r_squared"].iloc[0] == pytest.approx(r2, rel=1e-9)
-    assert got["term"].iloc[-1] == "did"
+    want = [math.erfc(abs(z) / math.sqrt(2)) for z in got["z"]]
+    np.testing.assert_allclose(got["p_value"].to_numpy(), want, rtol=1e-12)
+
+
+def test_hc3_of_a_collinear_panel_is_null(spark):
+    cells = did.did_cells(Q._panel(spark, SF_MID).where("treated = 1"))
+    got = {r.term: r for r in did.did_ols_hc3(cells).collect()}
+    assert got["did"].coef is None and got["did"].p_value is None and got["Intercept"].n_obs > 0
+
+
+def test_normal_two_sided(spark):
+    from taxilens.functions.dist import normal_two_sided
+    zs = [0.0, -1e-6, 0.3, -1.96, 4.0, 9.5, 25.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_two_sided("z").alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-12)
 
 
 def test_did_summary_consistent_with_2x2(spark):
@@ -121,32 +139,76 @@ def test_tiers_use_linear_quantiles(spark):
     assert got == want
 
 
-def md5_key(*parts):
-    import hashlib
-    return int(hashlib.md5("|".join(str(int(p)) for p in parts).encode()).hexdigest()[:13], 16)
+def rank_of(x, n, r, seed, purpose=1):
+    """The keyed bijection in plain Python."""
+    side = max(1, math.isqrt(n))
+    _, a = min((-n % a, a) for a in range(side, 2 * side + 1))
+    b = -(-n // a)
+    while True:
+        s = [x // b, x % b]
+        for j, (f, g) in enumerate(R.round_factors(seed, purpose)):
+            k = (r * f + g) % R.PRIME
+            t = (s[1 - j % 2] + 1) * k % R.PRIME
+            s[j % 2] = (s[j % 2] + (t * t + k) % R.PRIME) % (a, b)[j % 2]
+        x = s[0] * b + s[1]
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 13, 40, 47, 229, 1009])
+def test_ranks_are_a_bijection(spark, n):
+    """Every replicate's ranks are 0..n-1, those of the plain version; sizes
+    without a tight grid make indexes walk over spare cells."""
+    units = R.with_grid(spark.range(n).selectExpr("id AS index", f"{n}L AS units"), "units")
+    rows = R.permuted(units.crossJoin(spark.range(6).withColumnRenamed("id", "r")), "index", "units", "r", 7)
+    got = {(r, i): k for r, i, k in rows.select("r", "index", "rank").collect()}
+    for r in range(6):
+        assert sorted(got[r, i] for i in range(n)) == list(range(n))
+        assert [got[r, i] for i in range(n)] == [rank_of(i, n, r, 7) for i in range(n)]
+
+
+def test_ranks_look_random(spark):
+    """Over replicates each unit, and each pair, is in the first half as often as it should be."""
+    n, reps = 41, 4000
+    units = R.with_grid(spark.range(n).selectExpr("id AS index", f"{n}L AS units"), "units")
+    rows = R.permuted(R._replicated(units, reps), "index", "units", "r", 3).select("r", "index", "rank").toPandas()
+    m = rows.pivot(index="r", columns="index", values="rank").to_numpy() < 20
+    assert np.abs(m.mean(axis=0) - 20 / n).max() < 5 * math.sqrt(0.25 / reps)
+    pairs = (m.T.astype(float) @ m) / reps
+    off = pairs[~np.eye(n, dtype=bool)]
+    assert np.abs(off - 20 * 19 / (n * (n - 1))).max() < 5.5 * math.sqrt(0.19 / reps)
+
+
+def test_permutation_plan_sorts_no_replicate(spark):
+    plan = R.permutation_diffs(Q._projected(spark, SF_SMALL), n=50)._jdf.queryExecution().executedPlan().toString()
+    ordered = [line for line in plan.splitlines() if re.search(r"\b(Window|Sort) \[", line)]
+    assert ordered and not any(re.search(r"\br#", line) for line in ordered)
 
 
 def test_permutation_and_bootstrap_reproducible_and_exact(spark):
     proj = Q._projected(spark, SF_MID)
-    a = R.permutation_diffs(proj, n=300).orderBy("replicate").toPandas()
-    b = R.permutation_diffs(proj.repartition(5), n=300).orderBy("replicate").toPandas()
+    a = R.permutation_diffs(proj, n=700).orderBy("replicate").toPandas()
+    b = R.permutation_diffs(proj.repartition(5), n=700).orderBy("replicate").toPandas()
     np.testing.assert_allclose(a["diff"].to_numpy(), b["diff"].to_numpy(), rtol=1e-12)
     pdf = proj.toPandas().sort_values("pickup_zone")
     zones, values = pdf.pickup_zone.tolist(), dict(zip(pdf.pickup_zone, pdf.sim_trips.astype(float)))
     arms = {g: pdf.loc[pdf.group == g, "pickup_zone"].tolist() for g in ("control", "treatment")}
     mean = lambda zs: np.mean([values[z] for z in zs])
+    (f, g), = R.round_factors(42, 2, 1)
     perm, boot = [], []
-    for r in range(300):
-        order = sorted(zones, key=lambda z: (md5_key(42, 1, r, z), z))
+    for r in range(700):
+        ranks = [rank_of(i, len(zones), r, 42) for i in range(len(zones))]
         n_t = len(arms["treatment"])
-        perm.append(mean(order[:n_t]) - mean(order[n_t:]))
-        drawn = {g: [zs[md5_key(42, 2, r, z) % len(zs)] for z in zs] for g, zs in arms.items()}
+        perm.append(mean([z for z, k in zip(zones, ranks) if k < n_t]) - mean([z for z, k in zip(zones, ranks) if k >= n_t]))
+        k = (r * f + g) % R.PRIME
+        slot = lambda z, size: (((zones.index(z) + 1) * k % R.PRIME) ** 2 + k) % R.PRIME % size
+        drawn = {arm: [zs[slot(z, len(zs))] for z in zs] for arm, zs in arms.items()}
         boot.append(mean(drawn["treatment"]) - mean(drawn["control"]))
     np.testing.assert_allclose(a["diff"].to_numpy(), perm, rtol=1e-9, atol=1e-6)
     obs = mean(arms["treatment"]) - mean(arms["control"])
-    p_val = R.permutation_test(proj, n=300).first().p_value
+    p_val = R.permutation_test(proj, n=700).first().p_value
     assert p_val == pytest.approx(np.mean(np.abs(perm) >= abs(obs) * (1 - 1e-9)))
-    ci = R.bootstrap_ci(proj, n=300).first()
+    ci = R.bootstrap_ci(proj, n=700).first()
     assert ci.ci_lower == pytest.approx(np.percentile(boot, 2.5)) and ci.ci_upper == pytest.approx(np.percentile(boot, 97.5))
 
 
