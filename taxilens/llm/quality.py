@@ -9,6 +9,15 @@ fails (a fixed sequence, which needs no correction of its own); of those
 that hold, the one with the best surplus of bad over good documents turned
 down is taken, the most lenient first, and none if no surplus is positive.
 Candidates are a fixed grid, so all labelled documents serve as holdout.
+
+A stratum may have so few good labels that no test could reject even if its
+cutoff turned down none of them.  Such strata are pooled and tested as one.
+That keeps the guarantee, for the pool as a stratum: which strata are pooled
+follows from their numbers of good labels alone, not from what a rule does to
+them, so given these numbers every test is an exact binomial test of a fixed
+population; and there are no more of them than rules x strata, for which the
+level is corrected.  Within the pool a single stratum may lose more than RISK,
+at the expense of none but the pool's share.
 """
 
 from __future__ import annotations
@@ -39,6 +48,7 @@ GRID = {
 #: and the chance that any of the guarantees is wrong.
 RISK = 0.01
 ERROR = 0.05
+POOL = "\0pool"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -158,8 +168,8 @@ def pick_cutoff(cuts: list[float], good: list[int], bad: list[int], n_good: int,
 
 def cutoffs(rows: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, one cutoff per rule) from labelled rows (stratum, quality,
-    ratios).  Spark reduces them to one row per stratum with a count for each
-    cutoff and label; the tests run on that row."""
+    ratios).  Spark reduces them to one row per stratum, or pool of strata,
+    with a count for each cutoff and label; the tests run on that row."""
     sums = [F.count_if(F.col("quality") == q).alias(f"n{q}") for q in (0, 1)]
     sums += [F.count_if((F.col("quality") == q) & (F.col(r) > c)).alias(f"{r}_{i}_{q}") for r, cuts in GRID.items() for i, c in enumerate(cuts) for q in (0, 1)]
     table = rows.groupBy("stratum").agg(*sums)
@@ -172,7 +182,13 @@ def cutoffs(rows: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFr
                 out[f"cut_{r}"] = [pick_cutoff(cuts, [int(x[f"{r}_{i}_1"]) for i in range(len(cuts))], [int(x[f"{r}_{i}_0"]) for i in range(len(cuts))], int(x["n1"]), int(x["n0"]), risk, error / max(int(x["tests"]), 1)) for _, x in t.iterrows()]
             yield pd.DataFrame(out)
 
-    return table.withColumn("tests", tests).mapInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in GRID))
+    # good labels of which none would have to be turned down for a test to reject
+    least = F.ceil(F.log(F.lit(error) / F.col("tests")) / F.lit(math.log1p(-risk)))
+    table = table.withColumn("tests", tests).withColumn("pool", F.when(F.col("n1") < least, F.lit(POOL)).otherwise(F.col("stratum")))
+    counted = [c for c in table.columns if c not in ("stratum", "pool", "tests")]
+    pooled = table.groupBy(F.col("pool").alias("stratum")).agg(*[F.sum(c).alias(c) for c in counted], F.first("tests").alias("tests"))
+    cuts = pooled.mapInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in GRID)).withColumnRenamed("stratum", "pool")
+    return table.select("stratum", "pool").join(cuts, "pool").drop("pool")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
