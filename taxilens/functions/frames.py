@@ -39,3 +39,9 @@ def one_row(df: DataFrame, *others: DataFrame) -> DataFrame:
         out = out.withColumn(tag, o.select(F.struct(*o.columns).alias("v")).scalar())
         out = out.select(*[c for c in out.columns if c != tag], *[F.col(f"{tag}.{c}").alias(c) for c in o.columns])
     return out
+
+
+def grouped_schema(df: DataFrame, group: Sequence[str], columns: str) -> str:
+    """DDL of the group columns of ``df`` followed by ``columns``."""
+    types = dict(df.dtypes)
+    return ", ".join([*(f"`{g}` {types[g]}" for g in group), columns])

@@ -574,6 +574,33 @@ def _q_zone_fc(spark, sf_dir):
     return FC.forecast_trips(s, group=("pickup_zone",))
 
 
+def _long_series(spark, sf_dir):
+    """Monthly trips of each zone over all years, those held out included."""
+    from ..operators import forecast as FC
+    return FC.monthly_series(yellow(spark, sf_dir), years=(*FC.TRAIN_YEARS, 2026), group=("pickup_zone",))
+
+
+@query("forecast_backtest")
+def _q_backtest(spark, sf_dir):
+    """T4 for every zone, origin, training length and months ahead."""
+    from ..operators import forecast as FC
+    return FC.backtest(_long_series(spark, sf_dir), group=("pickup_zone",))
+
+
+@query("forecast_backtest_accuracy")
+def _q_backtest_accuracy(spark, sf_dir):
+    from ..operators import forecast as FC
+    return FC.backtest_accuracy(_q_backtest(spark, sf_dir))
+
+
+@query("forecast_changepoints")
+def _q_changepoints(spark, sf_dir):
+    """T1 with a trend that may bend, for every zone."""
+    from ..operators import forecast as FC
+    s = FC.monthly_series(yellow(spark, sf_dir), group=("pickup_zone",))
+    return FC.changepoint_forecast(s, group=("pickup_zone",))
+
+
 # ------------------------------------------------- sources: calendar, landing
 @query("month_coverage")
 def _q_coverage(spark, sf_dir):

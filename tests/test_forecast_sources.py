@@ -40,6 +40,58 @@ def test_bridge_series_duplicates_last_actual(spark):
     assert full.count() == s.count() + 9 + 1
 
 
+def test_backtest_equals_single_fits(spark):
+    """Every origin of the city series against :func:`fit_forecast` trained on its months alone."""
+    s = FC.monthly_series(Q.yellow(spark, SF_MID), years=(*FC.TRAIN_YEARS, 2026))
+    got = {(str(r.ds), str(r.origin), r.length): r.forecast for r in FC.backtest(s, lengths=(24, 48), ahead=(1, 3)).collect()}
+    for origin, length in (("2025-12-01", 48), ("2024-06-01", 24), ("2025-12-01", 24)):
+        first = f"add_months(date'{origin}', {1 - length})"
+        fit = FC.fit_forecast(s.where(f"ds BETWEEN {first} AND date'{origin}'"), "trip_count", horizon=3).orderBy("ds").collect()
+        for h in (1, 3):
+            assert got[str(fit[h - 1].ds), origin, length] == pytest.approx(fit[h - 1].yhat, rel=1e-9)
+    assert {k[2] for k in got} == {24, 48} and len([k for k in got if k[2] == 48]) == 3 + 1
+
+
+def test_changepoints_are_found_and_help(spark):
+    """Planted breaks of the slope; a series without one; groups fitted side by side."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for zone, at in ((1, 30), (2, 18), (3, None)):
+        for k in range(51):
+            slope = 0.01 * k - (0.05 * max(0, k - at) if at else 0)
+            rows.append((zone, f"{2022 + k // 12}-{k % 12 + 1:02d}-01", float(np.exp(8 + slope + 0.1 * np.sin(2 * np.pi * k / 12) + 0.004 * rng.normal()))))
+    s = spark.createDataFrame(rows, "pickup_zone int, ds string, trip_count double").withColumn("ds", F.col("ds").cast("date"))
+    train, held = s.where("ds < '2026-01-01'"), s.where("ds >= '2026-01-01'")
+    bent = FC.changepoint_forecast(train, group=("pickup_zone",)).join(held, ["pickup_zone", "ds"])
+    straight = FC.fit_forecast(train, "trip_count", group=("pickup_zone",)).join(held, ["pickup_zone", "ds"])
+    off = lambda df: {r.pickup_zone: r.e for r in df.groupBy("pickup_zone").agg(F.avg(F.abs(F.col("yhat") / F.col("trip_count") - 1)).alias("e")).collect()}
+    a, b = off(bent), off(straight)
+    assert a[1] < 0.03 and a[2] < 0.03 and a[1] < b[1] / 5 and a[2] < b[2] / 5 and a[3] < 0.03
+    last = {r.pickup_zone: r for r in bent.collect()}
+    for zone, at in ((1, 30), (2, 18)):
+        found = last[zone].last_break
+        assert last[zone].n_breaks >= 1 and abs((found.year - 2022) * 12 + found.month - 1 - at) <= 3
+    assert last[3].n_breaks == 0 and last[3].last_break is None
+
+
+def test_changepoint_forecast_of_short_and_odd_series(spark):
+    rows = [(1, "2024-01-01", 5.0), (2, "2024-01-01", 5.0), (2, "2024-02-01", 6.0), (3, "2024-01-01", None), (4, "2024-01-01", 0.0), (4, "2024-02-01", 3.0)]
+    s = spark.createDataFrame(rows, "zone int, ds string, trip_count double").withColumn("ds", F.col("ds").cast("date"))
+    out = FC.changepoint_forecast(s, group=("zone",), horizon=2).collect()
+    assert sorted((r.zone, str(r.ds)) for r in out) == [(z, d) for z in (1, 2, 4) for d in (("2024-02-01", "2024-03-01") if z == 1 else ("2024-03-01", "2024-04-01"))]
+    assert all(r.yhat > 0 and np.isfinite(r.yhat) for r in out)
+    assert FC.changepoint_forecast(s.where("false"), horizon=2).count() == 0
+
+
+def test_coordinate_descent_meets_the_optimality_conditions():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    gram, corr = x.T @ x / 60, x.T @ rng.normal(size=60) / 60
+    d = FC.coordinate_descent(gram, corr, 0.05, np.zeros(8))
+    grad = corr - gram @ d
+    assert np.all(np.abs(grad) <= 0.05 + 1e-7) and np.allclose(grad[d != 0], 0.05 * np.sign(d[d != 0]), atol=1e-7)
+
+
 def test_ingest_twice_adds_nothing(spark, tmp_root):
     root = os.path.join(tmp_root, "ingest")
     li = fixtures.read_lineitem(spark, SF_SMALL)
