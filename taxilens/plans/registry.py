@@ -750,6 +750,60 @@ def _q_publish(spark, sf_dir):
     return marts.publish(spark, yellow(spark, sf_dir), fhv(spark, sf_dir), _scratch(spark, "marts"), TREATED, min_trips=T_MARTS)
 
 
+# ------------------------------------------------------ live demand on events
+#: Events land in files of so many days; a tenth of them is three files late,
+#: longer than the watermark waits.
+LIVE_DAYS, LIVE_DELAY, LIVE_EVERY = 6, "2 days", "1 hour"
+
+
+def _arrivals(spark, sf_dir) -> DataFrame:
+    """The events with the number of the batch they arrive in."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    day = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400)
+    late = F.when(F.col("event_id") % 10 == 0, F.lit(3)).otherwise(F.lit(0))
+    return events.withColumn("batch", (F.floor(day / LIVE_DAYS) + late).cast("int"))
+
+
+def live_windows(spark, sf_dir) -> DataFrame:
+    """Hours of demand per event type, given out by a stream over the landed files."""
+    from ..streaming import live
+
+    def build():
+        root = _scratch(spark, "live")
+        S.prepare(spark)
+        arrivals = _arrivals(spark, sf_dir)
+        landed = arrivals.drop("batch")
+        for b in sorted(r.batch for r in arrivals.select("batch").distinct().collect()):
+            arrivals.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        live.run(spark, f"{root}/landing", landed.schema, f"{root}/windows", f"{root}/checkpoint", keys=["event_type"], every=LIVE_EVERY, delay=LIVE_DELAY)
+        return live.closed(spark, f"{root}/windows", live.demand(landed, keys=["event_type"], every=LIVE_EVERY).schema)
+
+    return _memo(spark, sf_dir, "live", build)
+
+
+@query("live_demand")
+def _q_live_demand(spark, sf_dir):
+    return live_windows(spark, sf_dir)
+
+
+@query("live_peak_hours")
+def _q_live_peak(spark, sf_dir):
+    from ..streaming import live
+    return live.peak_hours(live_windows(spark, sf_dir), key="event_type")
+
+
+@query("live_trend")
+def _q_live_trend(spark, sf_dir):
+    from ..streaming import live
+    return live.trend(live_windows(spark, sf_dir))
+
+
+@query("live_late_rows")
+def _q_live_late(spark, sf_dir):
+    from ..streaming import live
+    return live.late_rows(_arrivals(spark, sf_dir), every=LIVE_EVERY, delay=LIVE_DELAY)
+
+
 # ------------------------------------------------------------- rollup base
 def rollup(spark, sf_dir, kind="trips"):
     """The rollup cells of a silver view, materialized once per input version."""
