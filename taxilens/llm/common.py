@@ -8,6 +8,7 @@ passes.  Where code points matter, tasks use Python strings.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -195,11 +196,28 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
 KEPT: list[dict] = []
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _give_back() -> None:
+    """Memory that the task no longer uses goes back to the system: a worker
+    that waits for its next task, maybe of another operator, holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: dict | None = None) -> DataFrame:
+    """``mapInArrow``; workers free what other operators keep, but ``keep``."""
+    own = next((k for k, kept in enumerate(KEPT) if kept is keep), None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kept in KEPT:
-            kept.clear()
-        yield from fn(batches)
+        for k, kept in enumerate(KEPT):
+            if k != own:
+                kept.clear()
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
 
     return df.mapInArrow(run, schema)
 

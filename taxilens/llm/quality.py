@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, Words, documents, flat, gram_hash, mix, pieces, prefix_sums, range_hash, written
+from .common import IS_SPACE, U, Words, documents, flat, gram_hash, map_arrow, mix, pieces, prefix_sums, range_hash, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -130,7 +130,7 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
                 m = measure(*flat(part.column("text")))
                 yield pa.record_batch({k: part.column(k) for k in keep} | {k: pa.array(m[k]) for k in COUNTS})
 
-    return docs.select(*keep, "text").mapInArrow(fn, ", ".join([*fields, *(f"{c} long" for c in COUNTS)]))
+    return map_arrow(docs.select(*keep, "text"), fn, ", ".join([*fields, *(f"{c} long" for c in COUNTS)]))
 
 
 def ratios() -> dict:

@@ -21,8 +21,8 @@ no half block.  The dictionary lies beside them, by its hash.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -30,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxilens.session import scratch_path
 
-from .common import KEPT, documents, pieces
+from .blocks import bounds, dictionary
+from .common import IS_SPACE, KEPT, documents, flat, map_arrow, pieces, ranges
 
 MAGIC = b"TOKSTOR1"
 HEAD = struct.Struct("<8s16sI")
@@ -52,34 +52,57 @@ DICT_BYTES = 64 << 10
 LEVEL = 3
 #: A block is closed when its frames hold so many ids.
 BLOCK_TOKENS = 1 << 19
-#: What a Python worker remembers of words (each as written) and of parts.
-CACHE_WORDS = 500_000
-CACHE_PARTS = 1_000_000
+#: Parts of words whose ids a Python worker remembers: so many of late, and
+#: as many before these.
+CACHE_PARTS = 200_000
 LINE_WORDS = 500
-#: Texts encoded at once: so many characters, one text at least.
-BATCH_CHARS = 1 << 20
+#: Texts encoded at once: so many bytes, one text at least.
+BATCH_BYTES = 4 << 20
 
-#: Letters that no composition, case rule or contraction ties to a neighbour.
-_CLOSING = ".,;:!?"
-_PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[*b".,;:!?"]] = True
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes of letters that no composition, case rule or contraction
+    ties to a neighbour: A-Z, a-z and U+00C0 to U+00FF without the two signs."""
+    low = data | 32
+    out = (low >= 97) & (low <= 122) & (data < 128)
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out |= second
+    out[:-1] |= second[1:]
+    return out
+
+
+def _small(data: np.ndarray) -> np.ndarray:
+    """Those letters in lower case."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[second] += 32
+    return out
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, a word at a time.
+    """Ids of whole texts by the tokenizers library.
 
     No token of the vocabulary and no step before the merges reaches across
     ASCII white space, so a text's ids are those of its white-space-separated
-    words, joined.  A worker remembers words and, longer, their parts: a
-    plain word in lower case, its closing punctuation, or any other word
-    whole.  The library encodes what is new; plain words go to it in lines,
-    whose ids fall apart at the tokens that end a word.
+    words, joined.  The distinct words of some texts fall into parts: a plain
+    word in lower case and its closing punctuation, or any other word whole.
+    The library encodes what parts are new, plain ones in lines, whose ids
+    fall apart at the tokens that end a word; a worker remembers a bounded
+    number of parts.  The ids of the texts are then gathered by number.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
@@ -100,59 +123,69 @@ class Encoder:
                 self.parts[p] = raw[at:t]
                 at = t
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.parts) + len(words) > CACHE_PARTS:
-            self.parts = {"": b""}
-        split, plain, other = {}, set(), set()
-        parts = self.parts
-        for w in words:
-            a = w.rstrip(_CLOSING)
-            if a.isascii() and a.isalpha():
-                b, a = w[len(a):], a.lower()
-                simple = True
-            else:
-                m = _PLAIN.fullmatch(w)
-                a, b = (m[1].lower(), m[2]) if m else (w, "")
-                simple = m is not None
-            split[w] = a, b
-            if a not in parts:
-                (plain if simple else other).add(a)
-            if b and b not in parts:
-                other.add(b)
-        if plain:
-            self._encode_plain(list(plain))
+    def _ids(self, parts: list[str], plain: np.ndarray) -> list[bytes]:
+        """The ids of each part, from memory or from the library."""
+        known, old = self.parts, self.old
+        missing = []
+        for k, p in enumerate(parts):
+            if p not in known:
+                ids = old.get(p)
+                if ids is None:
+                    missing.append(k)
+                else:
+                    known[p] = ids
+        lines = [parts[k] for k in missing if plain[k]]
+        if lines:
+            self._encode_plain(lines)
+        other = [parts[k] for k in missing if not plain[k]]
         if other:
-            self._encode(list(other))
-        known = self.words
-        for w, (a, b) in split.items():
-            known[w] = parts[a] + parts[b] if b else parts[a]
-
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+            self._encode(other)
+        out = [known[p] for p in parts]
+        if len(known) > CACHE_PARTS:
+            self.parts, self.old = {}, known
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, without end ids, and where each text's begin (n + 1)."""
+        data, off = flat(texts)
+        ink = ~IS_SPACE[data]
+        start, end = bounds(ink, off)
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        codes, words = dictionary(data, ink, start, end)
+        # each distinct word: its body, lowered if plain, and what closes it
+        wdata, woff = flat(words)
+        first, last = woff[:-1], woff[1:]
+        place = np.where(_CLOSING[wdata], -1, np.arange(len(wdata)))
+        cut = np.maximum(np.maximum.reduceat(place, first) + 1, first)
+        before = np.concatenate([[0], np.cumsum(~_letters(wdata))])
+        plain = (cut > first) & (before[cut] == before[first])
+        cut = np.where(plain, cut, last)
+        is_body = np.zeros(len(wdata) + 1, np.int64)
+        np.add.at(is_body, first, 1)
+        np.add.at(is_body, cut, -1)
+        body = np.cumsum(is_body[:-1]) > 0
+        small = np.where(np.repeat(plain, last - first), _small(wdata), wdata)
+        body_of, bodies = dictionary(small, body, first, cut)
+        close_of, closings = dictionary(wdata, ~body, cut, last)
+        parts = [*bodies.to_pylist(), *closings.to_pylist()]
+        is_plain = np.zeros(len(parts), bool)
+        is_plain[body_of[plain]] = True
+        ids = self._ids(parts, is_plain)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        # two parts for each word of the texts
+        both = np.empty(2 * len(codes), np.int64)
+        both[::2], both[1::2] = body_of[codes], close_of[codes] + len(bodies)
+        out = np.frombuffer(b"".join(ids), "<u4")[ranges(begin[both], size[both])]
+        upto = np.concatenate([[0], np.cumsum(size[both])])
+        return out, upto[2 * np.searchsorted(start, off)]
+
+    def ids_of(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32, without an end id."""
-        on = gc.isenabled()
-        gc.disable()  # millions of short strings, none in a cycle
-        try:
-            return self._ids_of(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _ids_of(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = text or ""
-            for ws in "\n\t\r\v\f":
-                if ws in text:
-                    text = text.replace(ws, " ")
-            split.append(text.split(" "))
-        every = set().union(*split) if split else set()
-        new = {w for w in every if w not in self.words}
-        if new:
-            self._learn(new if len(self.words) + len(new) <= CACHE_WORDS else every)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        ids, at = self.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -177,10 +210,10 @@ def train_dictionary(docs: DataFrame, path: str, n_docs: int = SAMPLE_DOCS, size
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            yield pa.record_batch({"ids": pa.array([(x + struct.pack("<I", END_ID))[:4 * SAMPLE_IDS] for x in enc.ids_of(b.column(0).to_pylist())], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([(x + struct.pack("<I", END_ID))[:4 * SAMPLE_IDS] for x in enc.ids_of(b.column(0))], pa.binary())})
 
     chosen = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n_docs)
-    ids = sorted(bytes(r[0]) for r in chosen.select("text").mapInArrow(sample, "ids binary").collect())
+    ids = sorted(bytes(r[0]) for r in map_arrow(chosen.select("text"), sample, "ids binary", keep=_ENCODERS).collect())
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
@@ -243,8 +276,8 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
                                     "n_tokens": pa.array([sum(counts)], pa.int64()), "block": pa.array([pack(key, ids, counts, frames)], pa.binary())})
 
         for b in batches:
-            for part in pieces(b, "text", BATCH_CHARS):
-                for i, raw_ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1).to_pylist()), strict=True):
+            for part in pieces(b, "text", BATCH_BYTES):
+                for i, raw_ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1)), strict=True):
                     raw_ids += end
                     ids.append(NULL_ID if i is None else i)
                     counts.append(len(raw_ids) // 4)
@@ -258,7 +291,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
 
     # blocks know their part by the range they were dealt to, which follows the ids
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = dealt.mapInArrow(blocks, "seq long, n_docs long, first_id long, n_tokens long, block binary")
+    made = map_arrow(dealt, blocks, "seq long, n_docs long, first_id long, n_tokens long, block binary", keep=_ENCODERS)
     made.select(F.spark_partition_id().cast("long").alias("part"), "*").write.parquet(f"{target}/blocks")
 
 
@@ -286,7 +319,7 @@ def read_store(spark: SparkSession, target: str) -> DataFrame:
                     "at": pa.array(np.cumsum(counts) - counts), "n_tokens": pa.array(counts),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    rows = blocks.select("part", "seq", "block").mapInArrow(docs_of, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    rows = map_arrow(blocks.select("part", "seq", "block"), docs_of, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
