@@ -134,16 +134,21 @@ def near_pairs(words: DataFrame, common: int = COMMON) -> DataFrame:
     place = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.floor(F.col("length") / 2))
     grams = grams.where(F.abs(F.col("y_at") - place) <= 1)
 
-    key = ["length", "k", "gram"]
-    often = grams.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > common).select(*key, F.lit(True).alias("often"))
+    # Rows meet by a hash of the gram, its length class and the longer key:
+    # what meets by a collision is told apart like any other candidate.
+    def hashed(side: DataFrame, *keep: str) -> DataFrame:
+        return side.select(*keep, "rest", F.xxhash64("length", "k", "gram").alias("key"))
+
+    chunks, grams = hashed(chunks, "x", "x_n"), hashed(grams, "y", "y_n")
+    often = grams.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > common).select("key", F.lit(True).alias("often"))
     often = written(often, "spelling-often")
 
-    def keyed(side: DataFrame) -> DataFrame:
-        side = side.join(often, key, "left")
+    def keyed(side: DataFrame, *keep: str) -> DataFrame:
+        side = side.join(often, "key", "left")
         deep = F.when(F.col("often"), _rests(F.col("rest"))).otherwise(F.array(F.lit("")))
-        return side.select("*", F.explode(deep).alias("deep")).drop("rest", "often")
+        return side.select(*keep, "key", F.explode(deep).alias("deep")).select(*keep, F.xxhash64("key", "deep").alias("key"))
 
-    met = keyed(chunks).join(keyed(grams), [*key, "deep"])
+    met = keyed(chunks, "x", "x_n").join(keyed(grams, "y", "y_n"), "key")
     met = met.where((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 1) == 1)).select("x", "x_n", "y", "y_n")
     both = met.unionByName(met.select(F.col("y").alias("x"), F.col("y_n").alias("x_n"), F.col("x").alias("y"), F.col("x_n").alias("y_n")))
     return both.distinct().select(F.col("x").alias("word"), F.col("x_n").alias("n"), F.col("y").alias("other"), F.col("y_n").alias("other_n"))
