@@ -259,7 +259,9 @@ def backtest_accuracy(tested: DataFrame, *, by: Sequence[str] = ("length", "ahea
 #: Candidate breaks lie evenly in this first share of a series' months.
 BREAKS, BREAK_SHARE = 24, 0.85
 FOURIER = 4
-PENALTIES = 20
+PENALTIES = 16
+#: The path of penalties ends with the first set of more breaks than this.
+MOST_BREAKS = 6
 
 
 def _design(t: np.ndarray, moy: np.ndarray, span: float) -> np.ndarray:
@@ -307,9 +309,11 @@ def fit_changepoints(t: np.ndarray, moy: np.ndarray, y: np.ndarray) -> tuple[np.
     floor = 1e-12 * max(float(y @ y), 1e-300)  # a perfect fit has no better one
     best, d = None, np.zeros(len(breaks))
     sets = [np.zeros(0, int)]
-    for penalty in np.abs(corr).max(initial=0.0) * np.logspace(0, -4, PENALTIES):
-        d = coordinate_descent(gram, corr, penalty, d, tol=1e-6)
+    for penalty in np.abs(corr).max(initial=0.0) * np.logspace(0, -3, PENALTIES):
+        d = coordinate_descent(gram, corr, penalty, d, rounds=200, tol=1e-5)
         sets.append(np.flatnonzero(d))
+        if len(sets[-1]) > MOST_BREAKS:
+            break
     for active in {tuple(s) for s in sets}:
         x = np.column_stack([base, hinge[:, list(active)]])
         if x.shape[1] >= n:
