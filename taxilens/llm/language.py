@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, map_arrow, pieces, ranges
+from .common import documents, flat, map_arrow, pieces, ranges, small, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -135,11 +135,16 @@ def bucket(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None:
-    """The network, from labelled rows outside the held-out quarter."""
+    """The network, from labelled rows outside the held-out quarter: of each
+    language about ``docs_per_lang`` different ones, told by a hash of id and
+    text, so null or repeated ids do not make a language all in or all out.
+    Languages are counted first, and the counts go to the texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket() != HELD_OUT)).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = (F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit((1 << 31) - 1))) / F.lit(float(1 << 31))
-    chosen = known.join(sizes, "lang").where(share < F.lit(float(docs_per_lang)) / F.col("n"))
+    known = known.withColumn("version", F.xxhash64(F.lit(3), "doc_id", "text"))
+    sizes = written(known.groupBy("lang").agg(F.approx_count_distinct("version").alias("n")), "language-sizes")
+    share = F.col("version").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
+    chosen = known.join(small(sizes, 64), "lang").where(share < F.lit(float(docs_per_lang)) / F.col("n"))
+    chosen = chosen.dropDuplicates(["lang", "doc_id", "version"])  # a few hundred texts of a language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
