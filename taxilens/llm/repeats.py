@@ -20,9 +20,9 @@ but the one with the smallest id loses everything.  A row is told by its id
 and a 64-bit hash of its text (version).  The index of anchors has 48 bits
 of either; texts that agree in those keep all their anchors.
 
-What moves is a row per distinct segment and short rows per holder, and no
-anchor with many segments is one group, so a hot text or passage never meets
-in one task.
+Occurrences are positions; only of the segments that are searched, bytes
+move: each is cut from the text of one of its holders.  No anchor with many
+segments is one group, so a hot text or passage never meets in one task.
 """
 
 from __future__ import annotations
@@ -65,6 +65,10 @@ class Units:
     end: np.ndarray | None
     data: np.ndarray
 
+    def size(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Their number of bytes."""
+        return b - a if self.start is None else self.end[b - 1] - self.start[a]
+
     def payload(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
         """The bytes of the units [a, b), for each pair."""
         if self.start is not None:
@@ -244,9 +248,8 @@ class Repeats:
         return two.groupBy("bucket").applyInPandas(by_text, "low long, anchors binary")
 
     def _occurrences(self, texts: DataFrame) -> DataFrame:
-        """(anchor, seg, version, id, pos, n, size, payload) of segments of
-        shared anchors; size is that of the payload.  Null anchors stand for
-        all there are."""
+        """(anchor, seg, version, id, pos, n, size) of segments of shared
+        anchors; size is in bytes.  Null anchors stand for all there are."""
         units, window, k = self.units, self.window, self.k
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,29 +272,57 @@ class Repeats:
                     doc, at, n, low = doc[keep], at[keep], n[keep], low[keep]
                     end = at + n + window - 1
                     seg = mix(range_hash(u.sums, at, end) ^ low).view(np.int64)
-                    for i in range(0, len(doc), 50_000):
+                    yield pa.record_batch({"anchor": pa.array(low.astype(np.int64)), "seg": pa.array(seg), "version": part.column("version").take(pa.array(doc)), "id": part.column("id").take(pa.array(doc)),
+                                           "pos": pa.array(at - u.first[doc]), "n": pa.array(n), "size": pa.array(u.size(at, end).astype(np.int32))})
+
+        return map_arrow(texts.select("id", "version", "anchors", "text"), fn, "anchor long, seg long, version long, id long, pos long, n long, size int")
+
+    def _cut(self, segs: DataFrame, *keep: str) -> DataFrame:
+        """(keep.., payload) of distinct segments (keep.., n, holder): a text
+        that holds some is read once and cut.  Of rows equal in id and text
+        more than one may be cut."""
+        units, window = self.units, self.window
+        lists = segs.groupBy(F.col("holder.id").alias("id"), F.col("holder.version").alias("version")).agg(
+            F.collect_list(F.struct(F.col("holder.pos").alias("pos"), "n", *keep)).alias("segs"))
+        lists = written(lists, "repeat-holders")
+
+        def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for b in batches:
+                for part in pieces(b, limit=PIECE_BYTES):
+                    rows = list(zip(part.column("id").to_pylist(), part.column("version").to_pylist(), strict=True))
+                    new = [i for i, r in enumerate(rows) if r != (rows[i - 1] if i else last)]
+                    last = rows[-1]
+                    if len(new) < len(rows):
+                        part = part.take(pa.array(new, pa.int64()))
+                    u = units(*flat(part.column("text")))
+                    x = part.column("segs")
+                    doc = np.repeat(np.arange(part.num_rows), x.value_lengths().to_numpy())
+                    x = x.flatten()
+                    at = u.first[doc] + x.field("pos").to_numpy()
+                    end = at + x.field("n").to_numpy() + window - 1
+                    for i in range(0, len(at), 50_000):
                         s = slice(i, i + 50_000)
-                        payload = u.payload(at[s], end[s])
-                        yield pa.record_batch({"anchor": pa.array(low[s].astype(np.int64)), "seg": pa.array(seg[s]), "version": part.column("version").take(pa.array(doc[s])), "id": part.column("id").take(pa.array(doc[s])),
-                                               "pos": pa.array(at[s] - u.first[doc[s]]), "n": pa.array(n[s]),
-                                               "size": pa.array(np.diff(np.frombuffer(payload.buffers()[1], np.int32))), "payload": payload})
+                        yield pa.record_batch({c: x.field(c)[s] for c in keep} | {"payload": u.payload(at[s], end[s])})
 
-        return map_arrow(texts.select("id", "version", "anchors", "text"), fn, "anchor long, seg long, version long, id long, pos long, n long, size int, payload binary")
+        texts = self.docs.select("id", "version", "text").join(lists, ["id", "version"])
+        return map_arrow(texts.select("id", "version", "text", "segs"), fn, ", ".join([*(f"{c} long" for c in keep), "payload binary"]))
 
     def _found(self, occ: DataFrame) -> DataFrame:
         """(seg, o, n, least): n windows of a segment from its o-th on, and the
         smallest document that has them."""
         search, window = self.search, self.window
-        stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"))
+        stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"),
+                                                 F.min(F.struct("id", "version", "pos")).alias("holder"))
         stats = written(stats, "repeat-segments")
         per = written(stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("size").alias("bytes")).where("segs > 1"), "repeat-per-anchor")
         alone = stats.where(F.col("least") < F.col("most")).join(per, "anchor", "left_anti").select("seg", F.lit(0).cast("long").alias("o"), "n", "least")
         wide = per.where(F.col("bytes") > ANCHOR_BYTES).select("anchor")
         narrow = per.where(F.col("bytes") <= ANCHOR_BYTES)
-        several = stats.join(narrow, "anchor").select("seg", "least", "most")
+        several = stats.join(narrow.select("anchor"), "anchor").select("anchor", "seg", "least", "most", "n", "holder")
         shards = max(self.buckets * SHARDS, -(-(narrow.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-        rows = occ.select("anchor", "seg", "payload").join(several, "seg").select(shard, "seg", "least", "most", "payload").dropDuplicates(["seg"])
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("long")
+        rows = self._cut(several.withColumn("shard", shard), "shard", "seg", "least", "most")
 
         def fn(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.drop_duplicates("seg")
@@ -301,15 +332,13 @@ class Repeats:
             return pd.DataFrame({"seg": rows["seg"].to_numpy()[s[use]], "o": o[use], "n": n[use], "least": least[use]})
 
         found = alone.unionByName(rows.groupBy("shard").applyInPandas(fn, "seg long, o long, n long, least long"))
-        return found if wide.isEmpty() else found.unionByName(self._found_wide(occ, stats, wide))
+        return found if wide.isEmpty() else found.unionByName(self._found_wide(stats, wide))
 
-    def _found_wide(self, occ: DataFrame, stats: DataFrame, wide: DataFrame) -> DataFrame:
+    def _found_wide(self, stats: DataFrame, wide: DataFrame) -> DataFrame:
         """As :meth:`_found`, for the segments of the anchors ``wide``: a row
         per window of a distinct segment."""
         keys, window = self.keys, self.window
-        wide = small(wide, 8)
-        stats = stats.join(wide, "anchor", "left_semi").select("seg", "least", "most")
-        rows = occ.select("anchor", "seg", "payload").join(wide, "anchor", "left_semi").select("seg", "payload").dropDuplicates(["seg"])
+        rows = self._cut(stats.join(small(wide, 8), "anchor", "left_semi"), "seg", "least", "most")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -320,10 +349,10 @@ class Repeats:
                     at = pa.array(np.repeat(np.arange(len(n)), n))
                     yield pa.record_batch({c: part.column(c).take(at) for c in ("seg", "least", "most")} | {"o": pa.array(ranges(np.zeros(len(n), np.int64), n)), "key": pa.array([k for x in each for k in x], pa.binary())})
 
-        windows = written(map_arrow(rows.join(stats, "seg"), cut, "seg long, least long, most long, o long, key binary"), "repeat-windows")
+        windows = written(map_arrow(rows, cut, "seg long, least long, most long, o long, key binary"), "repeat-windows")
         first = windows.groupBy("key").agg(F.min("least").alias("first"))
         lost = windows.join(first, "key").where((F.col("first") < F.col("least")) | (F.col("least") < F.col("most")))
-        lost = lost.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("o", "first"))).alias("lost"))
+        lost = lost.groupBy("seg").agg(F.array_sort(F.collect_set(F.struct("o", "first"))).alias("lost"))
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
