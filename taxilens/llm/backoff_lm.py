@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, grouped, joined_key, lowered, numbered, order_of, pack, steps, unpack
+from .blocks import BLOCK_BYTES, bounds, dealt, dealt_to, dictionary, grouped, joined_key, lowered, numbered, order_of, pack, steps, unpack
 from .common import IS_SPACE, documents, flat, map_arrow, pieces, release, written
 
 ORDER = 3
@@ -129,17 +129,6 @@ class _Texts:
             yield here, keys, cols, ok[first]
 
 
-def _dealt(columns: list[np.ndarray], values: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """Rows sorted by their columns, packed by destination."""
-    to = dealt_to(columns, parts)
-    order = order_of(to)
-    cut = np.searchsorted(to[order], np.arange(parts + 1))
-    for p in range(parts):
-        rows = order[cut[p]:cut[p + 1]]
-        if len(rows):
-            yield p, pack(steps(columns[0][rows]), *(c[rows] for c in columns[1:]), *(v[rows] for v in values))
-
-
 def _ask(named: DataFrame, level: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +138,7 @@ def _ask(named: DataFrame, level: int, parts: int) -> DataFrame:
                     if k == level:
                         seen = here >= 0
                         counts = np.bincount(here[seen & t.train], minlength=len(keys))
-                        out = list(_dealt([t.ids[c] for c in cols], [counts], parts))
+                        out = list(dealt([t.ids[c] for c in cols], [counts], parts))
                         if out:
                             yield pa.record_batch({"part": pa.array([p for p, _ in out], pa.int64()), "block": pa.array([r["block"]] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
@@ -187,7 +176,7 @@ def _answer(asked: DataFrame, level: int, parts: int) -> DataFrame:
             new = np.ones(len(seen), bool)
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in context]) if len(seen) else new[1:]
             begin = np.flatnonzero(new)
-            for p, x in _dealt([c[begin] for c in context], [np.diff(np.append(begin, len(seen)))], parts):
+            for p, x in dealt([c[begin] for c in context], [np.diff(np.append(begin, len(seen)))], parts):
                 to.append(None)
                 part.append(p)
                 blob.append(x)

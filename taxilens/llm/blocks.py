@@ -10,6 +10,8 @@ whose size follows the distinct keys of the block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -129,6 +131,18 @@ def dealt_to(columns: list[np.ndarray], parts: int) -> np.ndarray:
     return (h % np.uint64(parts)).astype(np.int64)
 
 
+def dealt(columns: list[np.ndarray], values: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Rows in order of their columns, packed by destination: the steps of the
+    first column, the others, and the values."""
+    to = dealt_to(columns, parts)
+    order = order_of(to)
+    cut = np.searchsorted(to[order], np.arange(parts + 1))
+    for p in range(parts):
+        rows = order[cut[p]:cut[p + 1]]
+        if len(rows):
+            yield p, pack(steps(columns[0][rows]), *(c[rows] for c in columns[1:]), *(v[rows] for v in values))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str, first: int = 0, column: str = "id") -> DataFrame:
     """``rows`` written in ``order`` with consecutive numbers from ``first``.
     Numbers come from places inside sorted partitions and from sums over the

@@ -10,10 +10,14 @@ scan of the shorter ones.
 
 Words have numbers (only those that reach the threshold; others end a
 phrase).  A task knows from the numbers' reach when a pair of words is
-active.  Whether longer phrases may be is told by a bit filter of the
-subphrases that have reached the threshold, of bounded size; what passes it
-by chance falls out in an exact join with them, after the counts of a step
-are summed.
+active.  Whether longer phrases may be is told by bit filters of the
+subphrases that have reached the threshold, ever and within the last cycle,
+of bounded size; what passes them by chance falls out in an exact join with
+the subphrases, after the counts of a step are summed.
+
+Counts move as packed columns, a value per block and destination.  A
+destination holds the pairs of words that fall to it, with what they have
+been counted so far; their number follows the counted words.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, bounds, dealt_to, dictionary, grouped, lowered, numbered, pack, steps, unpack
-from .common import documents, flat, map_arrow, pieces, written
+from .blocks import BLOCK_BYTES, bounds, dealt, dealt_to, dictionary, grouped, joined_key, lowered, numbered, pack, steps, unpack
+from .common import documents, flat, map_arrow, pieces, release, written
 
 THRESHOLD = 30
+#: Words of the corpus for each destination of counts.
+WORDS_PER_PART = 3_000_000
 LONGEST = 4
 SHARDS = 3
 TOP = 2000
@@ -99,7 +105,9 @@ def _name(blocks: DataFrame, words: DataFrame) -> DataFrame:
 
 
 class _Filter:
-    """Two bits for each phrase, in slices that tasks make one by one."""
+    """Two bits for each phrase that has reached the threshold, and two more
+    in a second half for those that did so from step ``since`` on; in slices
+    that tasks make one by one."""
 
     def __init__(self, bits: int, slices: dict[int, bytes]):
         self.bits, self.slices = bits, slices
@@ -109,12 +117,14 @@ class _Filter:
         return [dealt_to([np.full(len(columns[0]), salt), *columns], bits) for salt in (1, 2)]
 
     @classmethod
-    def of(cls, phrases: DataFrame, columns: list[str], count: int) -> _Filter:
+    def of(cls, phrases: DataFrame, columns: list[str], count: int, since: int) -> _Filter:
         bits = min(FILTER_MOST, max(_SLICE, 1 << (FILTER_BITS * count - 1).bit_length()))
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = np.unique(np.concatenate(cls.slots([b.column(c).to_numpy() for c in columns], bits)))
+                late = b.column("reach").to_numpy() >= since
+                at = np.concatenate(cls.slots([b.column(c).to_numpy() for c in columns], bits))
+                at = np.unique(np.concatenate([at, at[np.tile(late, 2)] + bits]))
                 yield pa.record_batch({"slice": pa.array(at // _SLICE), "at": pa.array(at % _SLICE)})
 
         def fill(key: tuple, table: pa.Table) -> pa.Table:
@@ -122,15 +132,15 @@ class _Filter:
             out[table.column("at").to_numpy()] = True
             return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "raw": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
-        rows = map_arrow(phrases.select(*columns), slots, "slice long, at long").distinct().groupBy("slice").applyInArrow(fill, "slice long, raw binary")
+        rows = map_arrow(phrases.select(*columns, "reach"), slots, "slice long, at long").distinct().groupBy("slice").applyInArrow(fill, "slice long, raw binary")
         return cls(bits, {r["slice"]: bytes(r["raw"]) for r in rows.collect()})
 
-    def table(self) -> np.ndarray:
-        """All slices, as bits; bounded by FILTER_MOST."""
-        out = np.zeros(self.bits // 8, np.uint8)
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of all phrases and of the late ones; bounded by FILTER_MOST."""
+        out = np.zeros(2 * self.bits // 8, np.uint8)
         for k, raw in self.slices.items():
             out[k * _SLICE // 8:(k + 1) * _SLICE // 8] = np.frombuffer(raw, np.uint8)
-        return out
+        return out[:self.bits // 8], out[self.bits // 8:]
 
     @classmethod
     def may_hold(cls, table: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
@@ -144,28 +154,37 @@ def _cols(k: int) -> list[str]:
     return [f"w{j}" for j in range(k)]
 
 
-def _scan(named: DataFrame, shard: int, k: int, step: int, shards: int, filters: dict[int, _Filter]) -> DataFrame:
-    """Counts of a shard's phrases of k words, by block: pairs that are active
-    at ``step``, with their first step, or longer ones that may be."""
+def _scan(named: DataFrame, shard: int, k: int, step: int, shards: int, filters: dict[int, _Filter], parts: int) -> DataFrame:
+    """(part, blob): a shard's counts of phrases of k words, by block: of the
+    pairs that are active at ``step``, with their first step, or of the longer
+    phrases that may be."""
     shared = {j: named.sparkSession.sparkContext.broadcast(f) for j, f in filters.items() if j < k}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {j: f.value.table() for j, f in shared.items()}
+        tables = {j: f.value.halves() for j, f in shared.items()}
         for b in batches:
             for codes, opens, ids, reach in zip(*(b.column(c).to_pylist() for c in ("codes", "opens", "ids", "reach")), strict=True):
                 seq, opens, ids, reach = unpack(codes)[0], unpack(opens)[0] > 0, np.cumsum(unpack(ids)[0]), unpack(reach)[0]
                 ends = np.flatnonzero(seq > 0)  # places where a phrase of j words may end
-                ok = seq > 0
+                ok, late = seq > 0, None
                 for j in range(2, k + 1):
                     ends = ends[ends > 0]
                     ends = ends[ok[ends - 1] & ~opens[ends]]
                     if j == 2:
                         first = np.maximum(reach[seq[ends - 1]], reach[seq[ends]]) + 1
                         ends = ends[(first <= step) & ((j < k) | (step < first + shards))]
+                    elif j == k:
+                        ends = ends[late[ends - 1] | late[ends]]  # else its cycle is over
                     if j < k:
-                        ends = ends[_Filter.may_hold(tables[j], [ids[seq[ends - j + 1 + i]] for i in range(j)])]
+                        words = [ids[seq[ends - j + 1 + i]] for i in range(j)]
+                        hit = _Filter.may_hold(tables[j][0], words)
+                        ends, words = ends[hit], [w[hit] for w in words]
                         ok = np.zeros(len(seq), bool)
                         ok[ends] = True
+                        if j == k - 1:
+                            late = np.zeros(len(seq), bool)
+                            late[ends] = _Filter.may_hold(tables[j][1], words)
+                        ends = np.flatnonzero(ok)
                 if not len(ends):
                     continue
                 key = seq[ends - k + 1]
@@ -174,57 +193,106 @@ def _scan(named: DataFrame, shard: int, k: int, step: int, shards: int, filters:
                         key = grouped(key)[1]
                     key = key * len(ids) + seq[ends - k + 1 + i]
                 distinct, inverse, at = grouped(key)
-                n = np.bincount(inverse, minlength=len(distinct))
                 words = [seq[ends[at] - k + 1 + i] for i in range(k)]
-                first = np.maximum(reach[words[0]], reach[words[1]]) + 1 if k == 2 else np.zeros(len(at), np.int64)
-                yield pa.record_batch({**{c: pa.array(ids[w]) for c, w in zip(_cols(k), words, strict=True)}, "first": pa.array(first.astype(np.int32)), "n": pa.array(n, pa.int64())})
-
-    cols = ", ".join(f"{c} long" for c in _cols(k))
-    return map_arrow(named.where(F.col("shard") == shard).select("codes", "opens", "ids", "reach"), run, f"{cols}, first int, n long")
+                values = [np.bincount(inverse, minlength=len(distinct))]
+                if k == 2:
+                    values.insert(0, np.maximum(reach[words[0]], reach[words[1]]) + 1)
+                out = list(dealt([ids[w] for w in words], values, parts))
+                yield pa.record_batch({"part": pa.array([p for p, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
+
+    return map_arrow(named.where(F.col("shard") == shard).select("codes", "opens", "ids", "reach"), run, "part long, blob binary")
+
+
+def _joined(blobs: list[bytes], columns: int) -> list[np.ndarray]:
+    """The rows of packed columns, one after another."""
+    rows = [unpack(x) for x in blobs]
+    return [np.concatenate([np.cumsum(r[j]) if j == 0 else r[j] for r in rows]) if rows else np.zeros(0, np.int64) for j in range(columns)]
+
+
+_PAIRS = "part long, state binary, w0 array<long>, w1 array<long>, n array<long>, reach array<int>"
+
+
+def _add_pairs(counts: DataFrame, state: DataFrame | None, step: int, shards: int, threshold: int) -> DataFrame:
+    """The pairs of each destination after a step: all that count on or have
+    reached the threshold, packed (w0, w1, first step, n, reach + 1 or 0), and
+    those that have reached it."""
+    def run(key: tuple, new: pa.Table, old: pa.Table | None = None) -> pa.Table:
+        w0, w1, first, n = _joined(new.column("blob").to_pylist(), 4)
+        o0, o1, o_first, o_n, o_reach = _joined(old.column("state").to_pylist() if old is not None else [], 5)
+        w0, w1, first, n = (np.concatenate(x) for x in ((w0, o0), (w1, o1), (first, o_first), (n, o_n)))
+        reach = np.concatenate([np.zeros(len(n) - len(o_n), np.int64), o_reach])
+        distinct, inverse, at = grouped(joined_key([w0, w1]))
+        total, top = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, n)
+        np.maximum.at(top, inverse, reach)
+        top = np.where((top == 0) & (total >= threshold), step + 1, top)
+        w0, w1, first = w0[at], w1[at], first[at]
+        on = (top > 0) | (first + shards - 1 > step)
+        done = top > 0
+        each = lambda x, kind: pa.array([x[done]], pa.list_(kind))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([pack(steps(w0[on]), w1[on], first[on], total[on], top[on])], pa.binary()),
+                         "w0": each(w0, pa.int64()), "w1": each(w1, pa.int64()), "n": each(total, pa.int64()), "reach": each((top - 1).astype(np.int32), pa.int32())})
+
+    if state is None:
+        return counts.groupBy("part").applyInArrow(lambda key, new: run(key, new), _PAIRS)
+    return counts.groupBy("part").cogroup(state.select("part", "state").groupBy("part")).applyInArrow(run, _PAIRS)
+
+
+def _sum(counts: DataFrame, k: int) -> DataFrame:
+    """(w0, w1, .., n) of the phrases of each destination."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        *words, n = _joined(table.column("blob").to_pylist(), k + 1)
+        distinct, inverse, at = grouped(joined_key(words))
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, n)
+        return pa.table({**{c: pa.array(w[at]) for c, w in zip(_cols(k), words, strict=True)}, "n": pa.array(total)})
+
+    return counts.groupBy("part").applyInArrow(run, ", ".join(f"{c} long" for c in [*_cols(k), "n"]))
 
 
 def _active(counts: DataFrame, k: int, shorter: DataFrame, step: int, shards: int) -> DataFrame:
-    """Summed counts of those phrases both of whose subphrases have reached
-    the threshold and whose cycle runs at ``step``."""
+    """Counts of those phrases both of whose subphrases have reached the
+    threshold and whose cycle runs at ``step``, with their first step."""
     own, less = _cols(k), _cols(k - 1)
     left = shorter.select(*[F.col(c).alias(f"w{j}") for j, c in enumerate(less)], F.col("reach").alias("reach_l"))
     right = shorter.select(*[F.col(c).alias(f"w{j + 1}") for j, c in enumerate(less)], F.col("reach").alias("reach_r"))
-    summed = counts.groupBy(*own).agg(F.sum("n").alias("n"))
-    summed = summed.join(left, own[:-1]).join(right, own[1:]).withColumn("first", F.greatest("reach_l", "reach_r") + 1)
-    return summed.where((F.col("first") <= step) & (F.col("first") + shards > step)).select(*own, "first", "n")
+    counts = counts.join(left, own[:-1]).join(right, own[1:]).withColumn("first", F.greatest("reach_l", "reach_r") + 1)
+    return counts.where((F.col("first") <= step) & (F.col("first") + shards > step)).select(*own, "first", "n")
 
 
-def count_phrases(named: DataFrame, threshold: int, longest: int, shards: int) -> dict[int, DataFrame]:
+def count_phrases(named: DataFrame, threshold: int, longest: int, shards: int, parts: int) -> dict[int, DataFrame]:
     """For each length from 2: (w0, w1, .., n) of the phrases with
     ``threshold`` occurrences and more."""
     state: dict[int, DataFrame] = {}
-    filters: dict[int, _Filter] = {}
-    held: dict[int, int] = {}
-    last = {2: 2 * shards - 1}  # words reach by step shards - 1
-    step = 1
-    while step <= max(last.values()):
-        before = dict(state)
-        known = dict(filters)
-        for k in range(2, longest + 1):
-            if step > last.get(k, 0) or k > 2 and any(j not in known for j in range(2, k)):
-                continue
-            counts = _scan(named, step % shards, k, step, shards, known)
-            if k > 2:
-                counts = _active(counts, k, before[k - 1].where("reach IS NOT NULL"), step, shards)
-            rows = counts.select(*_cols(k), "first", "n", F.lit(None).cast("int").alias("reach"))
-            if k in state:
-                rows = rows.unionByName(state[k])
-            rows = rows.groupBy(*_cols(k)).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("reach").alias("reach"))
-            reach = F.coalesce("reach", F.when(F.col("n") >= threshold, F.lit(step)))
-            rows = rows.withColumn("reach", reach).where(F.col("reach").isNotNull() | (F.col("first") + shards - 1 > step))
-            state[k] = written(rows.select(*_cols(k), "first", "n", F.col("reach").cast("int").alias("reach")), f"phrases-{k}-{step}")
-            reached = state[k].where("reach IS NOT NULL").agg(F.count(F.lit(1)), F.max("reach")).first()
-            if k < longest and reached[0] > held.get(k, 0):
-                held[k] = reached[0]
-                filters[k] = _Filter.of(state[k].where("reach IS NOT NULL"), _cols(k), reached[0])
-                last[k + 1] = reached[1] + shards
+    reached: dict[int, DataFrame] = {}
+    last: dict[int, tuple[int, int]] = {}  # phrases that have reached the threshold, and the step of the last to do so
+    step = 0
+    while True:
         step += 1
-    return {k: s.where("reach IS NOT NULL").select(*_cols(k), "n") for k, s in state.items()}
+        # pairs whose cycle may run (words reach by step shards - 1), and longer
+        # phrases of which a subphrase has reached the threshold within a cycle
+        running = [k for k in range(2, longest + 1) if (step < 2 * shards if k == 2 else k - 1 in last and last[k - 1][0] and last[k - 1][1] >= step - shards)]
+        if not running:
+            return {k: r.select(*_cols(k), "n") for k, r in reached.items()}
+        before = dict(reached)
+        filters = {j: _Filter.of(before[j], _cols(j), last[j][0], step - shards) for j in range(2, max(running)) if j in last and last[j][0]}
+        for k in running:
+            counts = _scan(named, step % shards, k, step, shards, filters, parts)
+            if k == 2:
+                state[k] = written(_add_pairs(counts, state.get(k), step, shards, threshold), f"phrases-{k}-{step}")
+                reached[k] = state[k].select(F.explode(F.arrays_zip("w0", "w1", "n", "reach")).alias("e")).select("e.*")
+            else:
+                rows = _active(_sum(counts, k), k, before[k - 1], step, shards)
+                rows = rows.select(*_cols(k), "first", "n", F.lit(None).cast("int").alias("reach"))
+                if k in state:
+                    rows = rows.unionByName(state[k])
+                rows = rows.groupBy(*_cols(k)).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("reach").alias("reach"))
+                rows = rows.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= threshold, F.lit(step))))
+                rows = rows.where(F.col("reach").isNotNull() | (F.col("first") + shards - 1 > step))
+                state[k] = written(rows.select(*_cols(k), "first", "n", F.col("reach").cast("int").alias("reach")), f"phrases-{k}-{step}")
+                reached[k] = state[k].where("reach IS NOT NULL")
+            found = reached[k].agg(F.count(F.lit(1)), F.max("reach")).first()
+            last[k] = found[0], -1 if found[1] is None else found[1]
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, top: int = TOP) -> DataFrame:
@@ -236,6 +304,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     long texts are read whole.  An empty table, and a language without a
     phrase over the threshold, give no rows.  Other columns are not read.
     """
+    spark = docs.sparkSession
     blocks = written(_read(docs, shards), "phrases-blocks", "zstd")
     every = blocks.select("shard", F.explode(F.arrays_zip("langs", "words", "counts")).alias("e"))
     in_shard = [F.sum(F.when(F.col("shard") == s, F.col("e.counts")).otherwise(0)).alias(f"s{s}") for s in range(shards)]
@@ -246,7 +315,9 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     often = words.select("lang", "word", so_far[-1].alias("f"), reach.alias("reach")).where("reach IS NOT NULL")
     often = written(numbered(often, [F.col("f").desc(), F.col("lang"), F.col("word")], "phrases-numbered", 1), "phrases-vocabulary")
     named = written(_name(blocks, often), "phrases-texts")
-    counted = count_phrases(named, threshold, longest, shards)
+    release(spark)
+    every_word = totals.agg(F.sum("n")).first()[0] or 0
+    counted = count_phrases(named, threshold, longest, shards, max(1, -(-every_word // WORDS_PER_PART)))
 
     one = often.select(F.array("id").alias("key"), F.col("f").alias("a"))
     long = reduce(DataFrame.unionByName, [c.select(F.array(*_cols(k)).alias("key"), F.col("n").alias("a")) for k, c in counted.items()])
