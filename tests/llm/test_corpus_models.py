@@ -66,7 +66,7 @@ def check_scores(df, rows, order):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [1, 3])
 def test_lm_equals_the_definition(make, odd, prose, order):
     rows = [r for r in odd if r[0] not in (20, 21)] + [(100 + k, prose(120, 5, 40)) for k in range(20)] + [(None, "x y x"), (5, "x y"), (5, "x y")]
     check_scores(backoff_lm.lm_scores(clashing(make(rows)), order), rows, order)
@@ -125,7 +125,7 @@ def test_spelling_equals_brute_force(spark):
     assert spelled(registry.QUERIES["op12_spelling"](spark, SF_SMALL)) == sorted(spelling_rows(rows), key=str)
 
 
-@pytest.mark.parametrize("common", [0, 2, 64])
+@pytest.mark.parametrize("common", [0, 64])
 def test_spelling_with_common_grams(make, common):
     """Families of words with one beginning or one end, whatever counts as common."""
     rng = random.Random(4)
@@ -174,7 +174,7 @@ def test_collocations_equal_brute_force(spark):
     assert mined(registry.QUERIES["op13_collocations"](spark, SF_SMALL)) == sorted(phrase_rows(rows))
 
 
-@pytest.mark.parametrize("shards", [1, 2, 3, 5])
+@pytest.mark.parametrize("shards", [1, 4])
 def test_collocations_whatever_the_shards(make, prose, shards, monkeypatch):
     """Counts are those of a full cycle, from whichever shard a phrase began."""
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 300)
