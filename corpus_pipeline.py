@@ -5,6 +5,10 @@ Every stage works on all rows that its predecessor kept and passes on the
 columns of documents as they are.  Rows are told apart by their id and a
 hash of their text, so null and repeated ids do no harm; columns that the
 stages add on the way start with an underscore pair and end inside a stage.
+
+In every stage null text is empty text, rows of an empty table give an empty
+table, very long texts are read whole, and columns beyond id, text, lang and
+source pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ def _same(docs: DataFrame, table: DataFrame) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not those without a letter, nor
-    those the network scores under MIN_SCORE."""
+    """Documents whose language can be told: not those without a letter (null
+    and empty texts among them), nor those the network scores under MIN_SCORE.
+    Repeated rows stay or go together.  Without a labelled row nothing can be
+    told, and none stays."""
     prepare(spark)
     cols = docs.columns
     out = language.identify(docs, language.train(docs), *cols, names=("__lang", "__score"))
@@ -38,8 +44,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: the one with the
-    smallest id.  Documents without words are linked with nothing and stay.
-    Of rows equal in id and text one stays, unless they have no words."""
+    smallest id, null being larger than any, then the smallest hash of the text.
+    Documents without words are linked with nothing and stay.  Of rows equal
+    in id and text one stays, the smallest in its other columns, unless they
+    have no words."""
     prepare(spark)
     groups = written(jaccard.jaccard_components(docs).select("doc_id", "version", "n_shingles", "component"), "pipeline-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
@@ -52,18 +60,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay = small(written(stay, "pipeline-stay"), 32)
     kept = docs.join(stay, _same(docs, stay))
     single = kept.where(~F.col("__one") | (F.col("__rows") == 1)).select(*docs.columns)
-    again = kept.where(F.col("__one") & (F.col("__rows") > 1)).groupBy("__id", "__version").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    again = kept.where(F.col("__one") & (F.col("__rows") > 1)).groupBy("__id", "__version").agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return single.unionByName(again.select("__row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no item of the table ``benchmark`` was found."""
+    """Documents in which no item of the table ``benchmark`` was found.  Null
+    texts and items match nothing; repeated rows stay or go together."""
     found = decontaminate.with_hits(docs, documents(spark, sf_dir, "benchmark"), "__hits")
     return found.where(F.size("__hits") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it was taken."""
+    """The mix: each document as often as it was taken.  A null source is one
+    of its own; documents without words are never taken; of rows equal in id,
+    text and source each is taken as often as the mix took one of them."""
     prepare(spark)
     plan = mixing.fair_mix(docs)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
@@ -74,7 +85,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store of the mix, as read back."""
+    """The token store of the mix, as read back: in order of id, null first,
+    then by text; each of repeated rows has a frame of its own, an empty text
+    the end id alone."""
     prepare(spark)
     return token_store.token_store(docs).drop("ids")
 
