@@ -21,12 +21,23 @@ from pyspark.sql import functions as F
 
 from taxilens.llm import decontaminate, jaccard, language, mixing, token_store
 from taxilens.llm.common import documents, small, written
-from taxilens.session import prepare, scratch_path
+from taxilens.session import scratch_path
+from taxilens.session import prepare as prepare_session
 
 #: Documents whose language is told with less confidence go.
 MIN_SCORE = 0.5
 
 
+#: Rows of texts that go to a Python worker at once.  Stages run one after
+#: another in the same workers, so each should hold little.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    prepare_session(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _same(docs: DataFrame, table: DataFrame) -> Column:
     return F.col("__id").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("__version") == F.xxhash64(docs["text"]))
 
@@ -67,6 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no item of the table ``benchmark`` was found.  Null
     texts and items match nothing; repeated rows stay or go together."""
+    prepare(spark)
     found = decontaminate.with_hits(docs, documents(spark, sf_dir, "benchmark"), "__hits")
     return found.where(F.size("__hits") == 0).select(*docs.columns)
 
