@@ -57,7 +57,7 @@ BLOCK_TOKENS = 1 << 19
 CACHE_PARTS = 200_000
 LINE_WORDS = 500
 #: Texts encoded at once: so many bytes, one text at least.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[*b".,;:!?"]] = True
