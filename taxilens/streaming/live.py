@@ -57,14 +57,14 @@ def peak_hours(windows: DataFrame, *, key: str) -> DataFrame:
     """A2 live: events per key and hour of day, against the key's mean hour."""
     hours = windows.groupBy(key, F.hour("start").alias("hour")).agg(F.sum("events").alias("events"), X.div(F.sum("value_sum"), F.sum("events")).alias("avg_value"))
     mean = hours.groupBy(F.col(key).alias("of")).agg(F.avg("events").alias("mean"))
-    return hours.join(mean, F.col(key) == F.col("of")).select(key, "hour", "events", X.round_half_away("avg_value", 2).alias("avg_value"),
+    return hours.join(mean, F.col(key) == F.col("of")).select(key, "hour", "events", "avg_value",
                                                               X.div(F.col("events").cast("double"), "mean").alias("demand_index"))
 
 
 def trend(windows: DataFrame) -> DataFrame:
     """A11 live: events, mean value and total per day."""
     return windows.groupBy(F.to_date("start").alias("day")).agg(
-        F.sum("events").alias("events"), X.round_half_away(X.div(F.sum("value_sum"), F.sum("events")), 2).alias("avg_value"), F.sum("value_sum").alias("total_value"))
+        F.sum("events").alias("events"), X.div(F.sum("value_sum"), F.sum("events")).alias("avg_value"), F.sum("value_sum").alias("total_value"))
 
 
 def late_rows(batches: DataFrame, *, every: str, delay: str = DELAY, ts: str = "ts") -> DataFrame:
