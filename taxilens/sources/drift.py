@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, IntegerType, LongType, ShortType, StructField, StructType, TimestampType
 
 from ..schemas import FEEDS, PARTITION_COLUMN
+from .materialize import write_partitioned
 
 FOOTER_SCHEMA = "path string, schema string, columns map<string, string>, rows long, error string"
 _SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
@@ -194,6 +195,4 @@ def rewrite(df: DataFrame, out: str, *, mode: str = "overwrite",
     belong to; ``maxRecordsPerFile`` bounds file size.  (Repartitioning by
     ``year`` would funnel a whole year through one task.)
     """
-    (df.write.mode(mode).option("compression", "snappy")
-       .option("maxRecordsPerFile", max_records_per_file)
-       .partitionBy(PARTITION_COLUMN).parquet(out))
+    write_partitioned(df, out, [PARTITION_COLUMN], mode=mode, max_records_per_file=max_records_per_file, compression="snappy")

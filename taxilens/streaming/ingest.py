@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import catalog, drift
+from ..sources.materialize import write_partitioned
 from ..schemas import FEEDS, FHV_COLUMNS, PARTITION_COLUMN, YELLOW_COLUMNS
 
 LANDING_COLUMNS = {"yellow": YELLOW_COLUMNS, "fhv": FHV_COLUMNS}
@@ -74,7 +75,7 @@ def write_rows(spark: SparkSession, feed: str, paths: list[str], raw: str, batch
     def write(good: DataFrame) -> None:
         rows = drift.read_groups(spark, drift.readable_groups(good, folders=False), LANDING_COLUMNS[feed])
         rows = rows.withColumn(PARTITION_COLUMN, F.year(FEEDS[feed]["pickup"]).cast("int"))
-        rows.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{raw}/{catalog.BATCH_COLUMN}={batch}")
+        write_partitioned(rows, f"{raw}/{catalog.BATCH_COLUMN}={batch}", [PARTITION_COLUMN], mode="overwrite")
 
     try:
         write(foots.where("error IS NULL"))
