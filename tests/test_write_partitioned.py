@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_SMALL
 from pyspark.sql import DataFrameWriter, functions as F
 from taxilens.plans import registry as Q
-from taxilens.sources import materialize
+from taxilens.sources import fixtures, materialize
 
 ROWS = 200_000
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -60,6 +60,13 @@ def unsorted(monkeypatch):
     return lambda part: [n >= 8 for path, n in seen if part in path]
 
 
+def test_landing_once_does_not_sort(spark, unsorted):
+    rows = fixtures.yellow_from_lineitem(fixtures.read_lineitem(spark, SF_SMALL))
+    got = materialize.once(spark, "no-sort/yellow", lambda: rows, spark.read.parquet, partition_by=("year",))
+    assert unsorted("/no-sort/") == [True]
+    assert got.count() == rows.count()
+
+
 def test_landing_by_batches_and_refresh_do_not_sort(spark, unsorted):
     Q._PLANS.clear()  # another test of this session may have landed it
     Q.refreshed_cells(spark, SF_SMALL)
