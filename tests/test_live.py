@@ -75,3 +75,35 @@ def test_batch_marts_of_closed_windows(spark):
     assert peak == {("a", 1): (4, 1.5, pytest.approx(4 / 3)), ("a", 2): (2, 1.5, pytest.approx(2 / 3)), ("b", 1): (1, 0.0, 1.0)}
     assert sorted((str(r.day), r.events) for r in live.trend(w).collect()) == [("2024-01-01", 5), ("2024-01-02", 2)]
     assert live.trend(w.where(F.lit(False))).count() == 0
+
+
+def test_landing_reads_its_rows_once_and_makes_a_file_a_batch(spark, tmp_root):
+    root = os.path.join(tmp_root, "live-land")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rows = [(at(k, m), "a", float(m), k) for m in range(20) for k in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA + ", batch int").repartition(3)
+    live.land(df.mapInPandas(counted, df.schema), f"{root}/arrivals", f"{root}/in")
+    assert read.value == len(rows)
+    files = sorted((f for f in os.scandir(f"{root}/in") if f.name.endswith(".parquet")), key=lambda f: f.stat().st_mtime)
+    got = [{r.ts.hour for r in spark.read.parquet(f.path).collect()} for f in files]
+    assert got == [{k} for k in range(5)]
+    assert spark.read.parquet(f"{root}/in").count() == len(rows)
+
+
+def test_state_has_a_part_a_core_at_most(spark, tmp_root):
+    root = os.path.join(tmp_root, "live-parts")
+    land(spark, f"{root}/in", BATCHES[:2])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        live.run(spark, f"{root}/in", SCHEMA, f"{root}/out", f"{root}/ck", keys=["kind"], every="1 hour", delay="2 hours")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in os.listdir(f"{root}/ck/state/0") if p.isdigit()]) == min(40, spark.sparkContext.defaultParallelism)
