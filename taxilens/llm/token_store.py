@@ -57,7 +57,7 @@ BLOCK_TOKENS = 1 << 19
 CACHE_PARTS = 200_000
 LINE_WORDS = 500
 #: Texts encoded at once: so many bytes, one text at least.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 4 << 20
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[*b".,;:!?"]] = True
@@ -126,21 +126,22 @@ class Encoder:
     def _ids(self, parts: list[str], plain: np.ndarray) -> list[bytes]:
         """The ids of each part, from memory or from the library."""
         known, old = self.parts, self.old
-        missing = []
-        for k, p in enumerate(parts):
-            if p not in known:
-                ids = old.get(p)
-                if ids is None:
-                    missing.append(k)
-                else:
-                    known[p] = ids
+        out = [*map(known.get, parts)]
+        new, missing = [k for k, ids in enumerate(out) if ids is None], []
+        for k in new:
+            ids = old.get(parts[k])
+            if ids is None:
+                missing.append(k)
+            else:
+                known[parts[k]] = ids
         lines = [parts[k] for k in missing if plain[k]]
         if lines:
             self._encode_plain(lines)
         other = [parts[k] for k in missing if not plain[k]]
         if other:
             self._encode(other)
-        out = [known[p] for p in parts]
+        for k in new:
+            out[k] = known[parts[k]]
         if len(known) > CACHE_PARTS:
             self.parts, self.old = {}, known
         return out
@@ -174,12 +175,14 @@ class Encoder:
         ids = self._ids(parts, is_plain)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(size) - size
-        # two parts for each word of the texts
-        both = np.empty(2 * len(codes), np.int64)
-        both[::2], both[1::2] = body_of[codes], close_of[codes] + len(bodies)
-        out = np.frombuffer(b"".join(ids), "<u4")[ranges(begin[both], size[both])]
-        upto = np.concatenate([[0], np.cumsum(size[both])])
-        return out, upto[2 * np.searchsorted(start, off)]
+        # two parts for each distinct word, then these for each word of the texts
+        both = np.stack([body_of, close_of + len(bodies)], axis=1)
+        of_words = np.frombuffer(b"".join(ids), "<u4")[ranges(begin[both.ravel()], size[both.ravel()])]
+        size = size[both].sum(axis=1)
+        begin = np.cumsum(size) - size
+        size = size[codes]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return of_words[ranges(begin[codes], size)], upto[np.searchsorted(start, off)]
 
     def ids_of(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32, without an end id."""
