@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, small, written
+from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, written
 
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
@@ -51,19 +52,29 @@ SHARDS = 8
 SHARD_BYTES = 2 << 20
 #: Bytes of the distinct segments of an anchor that still go to one shard.
 ANCHOR_BYTES = 1 << 18
+#: The shard of segments that go to none.
+WIDE = -1
 
 
 @dataclass
 class Units:
-    """A piece of the column as units: units before each document, hash of
-    the k-gram at each unit, prefix sums for hashes of ranges, and the byte
-    bounds of units."""
+    """A piece of the column as units: units before each document, the byte
+    bounds of units, and, made when asked for, prefix sums for hashes of
+    ranges and the hash of the k-gram at each unit."""
     first: np.ndarray
-    gram: np.ndarray
-    sums: np.ndarray
     start: np.ndarray | None
     end: np.ndarray | None
     data: np.ndarray
+    sum_up: Callable[[], np.ndarray]
+    hash_grams: Callable[[np.ndarray], np.ndarray]
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return self.sum_up()
+
+    @cached_property
+    def gram(self) -> np.ndarray:
+        return self.hash_grams(self.sums)
 
     def size(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Their number of bytes."""
@@ -80,18 +91,22 @@ class Units:
 
 def byte_units(k: int) -> Callable[[np.ndarray, np.ndarray], Units]:
     def read(data: np.ndarray, off: np.ndarray) -> Units:
-        p = prefix_sums(data)
-        return Units(off, rolling_hash(p, k), p, None, None, data)
+        return Units(off, None, None, data, lambda: prefix_sums(data), lambda p: rolling_hash(p, k))
     return read
 
 
 def word_units(k: int) -> Callable[[np.ndarray, np.ndarray], Units]:
     def read(data: np.ndarray, off: np.ndarray) -> Units:
         w = Words(data, off)
-        h = w.hashes()
-        p = np.zeros(len(h) + 1, U)
-        np.cumsum(h * powers(0x5851F42D4C957F2D, len(h))[:len(h)], out=p[1:])
-        return Units(w.first, gram_hash(h, k), p, w.start, w.end, data)
+        hashes = cache(w.hashes)
+
+        def sum_up() -> np.ndarray:
+            h = hashes()
+            p = np.zeros(len(h) + 1, U)
+            np.cumsum(h * powers(0x5851F42D4C957F2D, len(h))[:len(h)], out=p[1:])
+            return p
+
+        return Units(w.first, w.start, w.end, data, sum_up, lambda _: gram_hash(hashes(), k))
     return read
 
 
@@ -278,13 +293,11 @@ class Repeats:
         return map_arrow(texts.select("id", "version", "anchors", "text"), fn, "anchor long, seg long, version long, id long, pos long, n long, size int")
 
     def _cut(self, segs: DataFrame, *keep: str) -> DataFrame:
-        """(keep.., payload) of distinct segments (keep.., n, holder): a text
-        that holds some is read once and cut.  Of rows equal in id and text
-        more than one may be cut."""
+        """(keep.., payload) of distinct segments (keep.., n, least, version,
+        pos): a text that holds some is read once and cut.  Of rows equal in
+        id and text more than one may be cut."""
         units, window = self.units, self.window
-        lists = segs.groupBy(F.col("holder.id").alias("id"), F.col("holder.version").alias("version")).agg(
-            F.collect_list(F.struct(F.col("holder.pos").alias("pos"), "n", *keep)).alias("segs"))
-        lists = written(lists, "repeat-holders")
+        lists = written(segs.groupBy(F.col("least").alias("id"), "version").agg(F.collect_list(F.struct("pos", "n", *keep)).alias("segs")), "repeat-holders")
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None
@@ -312,17 +325,17 @@ class Repeats:
         """(seg, o, n, least): n windows of a segment from its o-th on, and the
         smallest document that has them."""
         search, window = self.search, self.window
-        stats = occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"),
-                                                 F.min(F.struct("id", "version", "pos")).alias("holder"))
-        stats = written(stats, "repeat-segments")
+        # the holder is a row of the least id; of several, both see the same one first
+        stats = written(occ.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("n").alias("n"), F.min("size").alias("size"),
+                                                         F.min_by("version", "id").alias("version"), F.min_by("pos", "id").alias("pos")), "repeat-segments")
         per = written(stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("size").alias("bytes")).where("segs > 1"), "repeat-per-anchor")
         alone = stats.where(F.col("least") < F.col("most")).join(per, "anchor", "left_anti").select("seg", F.lit(0).cast("long").alias("o"), "n", "least")
-        wide = per.where(F.col("bytes") > ANCHOR_BYTES).select("anchor")
-        narrow = per.where(F.col("bytes") <= ANCHOR_BYTES)
-        several = stats.join(narrow.select("anchor"), "anchor").select("anchor", "seg", "least", "most", "n", "holder")
-        shards = max(self.buckets * SHARDS, -(-(narrow.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("long")
-        rows = self._cut(several.withColumn("shard", shard), "shard", "seg", "least", "most")
+        narrow = F.col("bytes") <= ANCHOR_BYTES
+        shards = max(self.buckets * SHARDS, -(-(per.where(narrow).agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+        shard = F.when(narrow, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(WIDE).cast("long")
+        several = stats.join(per, "anchor").select(shard.alias("shard"), "seg", "least", "most", "n", "version", "pos")
+        # one pass over the texts for all: they are as large as all else together
+        rows = written(self._cut(several, "shard", "seg", "least", "most"), "repeat-payloads")
 
         def fn(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.drop_duplicates("seg")
@@ -331,14 +344,13 @@ class Repeats:
             use = (least < own) | (own < most)
             return pd.DataFrame({"seg": rows["seg"].to_numpy()[s[use]], "o": o[use], "n": n[use], "least": least[use]})
 
-        found = alone.unionByName(rows.groupBy("shard").applyInPandas(fn, "seg long, o long, n long, least long"))
-        return found if wide.isEmpty() else found.unionByName(self._found_wide(stats, wide))
+        found = alone.unionByName(rows.where(F.col("shard") != WIDE).groupBy("shard").applyInPandas(fn, "seg long, o long, n long, least long"))
+        return found if per.where(~narrow).isEmpty() else found.unionByName(self._found_wide(rows.where(F.col("shard") == WIDE)))
 
-    def _found_wide(self, stats: DataFrame, wide: DataFrame) -> DataFrame:
-        """As :meth:`_found`, for the segments of the anchors ``wide``: a row
-        per window of a distinct segment."""
+    def _found_wide(self, rows: DataFrame) -> DataFrame:
+        """As :meth:`_found`, for segments (seg, least, most, payload) of wide
+        anchors: a row per window of a distinct segment."""
         keys, window = self.keys, self.window
-        rows = self._cut(stats.join(small(wide, 8), "anchor", "left_semi"), "seg", "least", "most")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -376,7 +388,7 @@ class Repeats:
         shared = first.select("low", "key", "texts", F.col("first").alias("id")).join(shared, "low", "left").where((F.col("texts") > 1) | F.col("anchors").isNotNull())
         shared = shared.select("key", "id", F.when(F.col("texts") == 1, F.col("anchors")).alias("anchors"))
         occ = written(self._occurrences(self.docs.select("id", "version", key, "text").join(shared, ["key", "id"])), "repeat-occurrences")
-        found = self._found(occ)
+        found = written(self._found(occ), "repeat-found")
         window = self.window
         spans = occ.select("seg", "version", "id", "pos").join(found, "seg").where(F.col("least") < F.col("id"))
         a = F.col("pos") + F.col("o")

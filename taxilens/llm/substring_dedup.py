@@ -20,7 +20,7 @@ from .repeats import Repeats, byte_keys, byte_units, window_runs
 from .suffix import sort_suffixes
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 
 
 def suffix_search(payloads: list[bytes], docs: np.ndarray, window: int):

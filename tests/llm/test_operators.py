@@ -179,6 +179,29 @@ def test_hot_anchors_are_no_group(spark, make, prose, monkeypatch):
         assert got(out, *cols) == sorted(brute(rows))
 
 
+def test_texts_are_cut_once_for_narrow_and_wide_anchors(make, prose, monkeypatch):
+    """A pass over the texts for each kind would shuffle all of them again."""
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 2000)
+    cuts, cut = [], repeats.Repeats._cut
+    monkeypatch.setattr(repeats.Repeats, "_cut", lambda self, *a: cuts.append(1) or cut(self, *a))
+    line = " ".join(f"common{k}" for k in range(8))
+    rows = [(i, f"{prose(20, i)} {line} {prose(20, 700 + i)}") for i in range(60)] + [(500 + i, f"{prose(40, 300 + i // 2)} {i}") for i in range(20)]
+    out = substring_dedup.remove_repeats(make(rows)).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, *COLS3) == sorted(substring_rows(rows))
+    assert len(cuts) == 1
+
+
+def test_short_strings_that_texts_share_are_no_anchors(make, prose):
+    """What frequent words make by chance, 20 bytes, would be looked up in all texts that have it."""
+    short = [prose(5, 900 + k).encode()[:18].decode(errors="ignore") for k in range(40)]
+    rows = [(i, "".join(f"{i}<{k}>{i}{s}" for k, s in enumerate(short))) for i in range(6)]
+    docs = make(rows)
+    found = repeats.Repeats(docs, repeats.byte_units(substring_dedup.GRAM), F.octet_length("text").cast("long"), substring_dedup.WINDOW, substring_dedup.GRAM, substring_dedup.suffix_search, repeats.byte_keys)
+    assert found._shared_anchors(found._pairs()).count() == 0
+    out = substring_dedup.remove_repeats(docs).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, *COLS3) == sorted(substring_rows(rows))
+
+
 def test_texts_whose_hashes_collide_are_no_copies(make, prose, monkeypatch):
     """Hashes of which 46 bits are always the same: many texts collide."""
     monkeypatch.setattr(repeats, "text_hash", lambda text: F.xxhash64(text).bitwiseAND(F.lit(3 | 7 << 48)))
