@@ -85,6 +85,11 @@ def _small(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def strings(arr: pa.Array) -> list[str]:
+    """``to_pylist`` of a string column without nulls, several times faster."""
+    return arr.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -127,20 +132,21 @@ class Encoder:
         """The ids of each part, from memory or from the library."""
         known, old = self.parts, self.old
         out = [*map(known.get, parts)]
-        new, missing = [k for k, ids in enumerate(out) if ids is None], []
-        for k in new:
-            ids = old.get(parts[k])
+        missing = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            part = parts[k]
+            ids = old.get(part)
             if ids is None:
                 missing.append(k)
             else:
-                known[parts[k]] = ids
+                out[k] = known[part] = ids
         lines = [parts[k] for k in missing if plain[k]]
         if lines:
             self._encode_plain(lines)
         other = [parts[k] for k in missing if not plain[k]]
         if other:
             self._encode(other)
-        for k in new:
+        for k in missing:
             out[k] = known[parts[k]]
         if len(known) > CACHE_PARTS:
             self.parts, self.old = {}, known
@@ -169,7 +175,7 @@ class Encoder:
         small = np.where(np.repeat(plain, last - first), _small(wdata), wdata)
         body_of, bodies = dictionary(small, body, first, cut)
         close_of, closings = dictionary(wdata, ~body, cut, last)
-        parts = [*bodies.to_pylist(), *closings.to_pylist()]
+        parts = strings(bodies) + strings(closings)
         is_plain = np.zeros(len(parts), bool)
         is_plain[body_of[plain]] = True
         ids = self._ids(parts, is_plain)
