@@ -28,14 +28,17 @@ from taxilens.session import prepare as prepare_session
 MIN_SCORE = 0.5
 
 
-#: Rows of texts that go to a Python worker at once.  Stages run one after
-#: another in the same workers, so each should hold little.
+#: Rows that go to a Python worker at once: so many, and no more once they
+#: have so many bytes.  Stages run one after another in the same workers, so
+#: each should hold little, however long the texts are.
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     prepare_session(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _same(docs: DataFrame, table: DataFrame) -> Column:

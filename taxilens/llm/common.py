@@ -191,9 +191,18 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(k))
 
 
-#: What tasks of an operator keep in a Python worker for their next ones;
-#: tasks of other operators free it before they start.
-KEPT: list[dict] = []
+#: What tasks of an operator keep in a Python worker for their next ones, by
+#: name; tasks of other operators free it before they start.  Powers are made
+#: anew by the tasks that need them.
+KEPT: dict[str, dict] = {"powers": _POW}
+
+
+def _free(keep: str | None) -> None:
+    """At the top of the module, so that a task finds this worker's ``KEPT``:
+    what a function inside another refers to is sent along as a copy."""
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
 
 
 def _give_back() -> None:
@@ -206,14 +215,10 @@ def _give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: dict | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: str | None = None) -> DataFrame:
     """``mapInArrow``; workers free what other operators keep, but ``keep``."""
-    own = next((k for k, kept in enumerate(KEPT) if kept is keep), None)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, kept in enumerate(KEPT):
-            if k != own:
-                kept.clear()
+        _free(keep)
         try:
             yield from fn(batches)
         finally:

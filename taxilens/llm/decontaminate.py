@@ -41,6 +41,8 @@ SAMPLES = 2
 RECALL = 0.99
 TABLES = (4, 48)
 BLOCK_BYTES = 4 << 20
+#: Embeddings made at once, one window's at least.
+EMBED_BYTES = 16 << 20
 
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
@@ -164,8 +166,9 @@ class Items:
         row = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(which))
         windows = np.unique(np.stack((doc[which], self.item[row], at[which] - self.place[row]), axis=1), axis=0)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(0, len(windows), 4096):
-            d, it, start = windows[i:i + 4096].T
+        at_once = max(1, EMBED_BYTES // max(1, 3 * max(map(len, self.seqs)) * self.tables * 8))
+        for i in range(0, len(windows), at_once):
+            d, it, start = windows[i:i + at_once].T
             x, m = padded([h[max(a, first[k]):min(a + len(self.seqs[j]), first[k + 1])] for k, j, a in zip(d, it, start, strict=True)])
             met = (cgk_keys(x, m, self.tables) == self.keys[it]).any(axis=1)
             for k, j, a in zip(d[met].tolist(), it[met].tolist(), start[met].tolist(), strict=True):

@@ -198,7 +198,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-KEPT.append(_ENCODERS)
+KEPT["encoders"] = _ENCODERS
 
 
 def encoder(path: str) -> Encoder:
@@ -222,7 +222,7 @@ def train_dictionary(docs: DataFrame, path: str, n_docs: int = SAMPLE_DOCS, size
             yield pa.record_batch({"ids": pa.array([(x + struct.pack("<I", END_ID))[:4 * SAMPLE_IDS] for x in enc.ids_of(b.column(0))], pa.binary())})
 
     chosen = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n_docs)
-    ids = sorted(bytes(r[0]) for r in map_arrow(chosen.select("text"), sample, "ids binary", keep=_ENCODERS).collect())
+    ids = sorted(bytes(r[0]) for r in map_arrow(chosen.select("text"), sample, "ids binary", keep="encoders").collect())
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
@@ -300,7 +300,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
 
     # blocks know their part by the range they were dealt to, which follows the ids
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = map_arrow(dealt, blocks, "seq long, n_docs long, first_id long, n_tokens long, block binary", keep=_ENCODERS)
+    made = map_arrow(dealt, blocks, "seq long, n_docs long, first_id long, n_tokens long, block binary", keep="encoders")
     made.select(F.spark_partition_id().cast("long").alias("part"), "*").write.parquet(f"{target}/blocks")
 
 

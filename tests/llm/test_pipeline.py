@@ -83,3 +83,64 @@ def test_import_errors_are_not_swallowed(monkeypatch):
     monkeypatch.delattr(taxilens.llm, "registry")
     with pytest.raises(ImportError):
         entry.queries()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from taxilens.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"rows": pa.array([b.num_rows], pa.int64()), "bytes": pa.array([b.nbytes], pa.int64())})
+
+    cp.prepare(spark)
+    rows = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("a"), 100_000).alias("text"))
+    got = common.map_arrow(rows, sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 60
+    assert max(r["bytes"] for r in got) <= cp.BATCH_BYTES + 110_000
+
+
+def test_workers_free_what_other_operators_keep(spark):
+    import os
+
+    import pyarrow as pa
+    from taxilens.llm import common, token_store
+    from taxilens.session import prepare
+    prepare(spark)
+    path = token_store.tokenizer_path()
+
+    def fill(batches):
+        for _ in batches:
+            token_store.encoder(path)
+            common.powers(3, 10)
+            yield pa.record_batch({"pid": pa.array([os.getpid()], pa.int64()), "encoders": pa.array([0], pa.int64()), "powers": pa.array([0], pa.int64())})
+
+    def look(batches):
+        for _ in batches:
+            yield pa.record_batch({"pid": pa.array([os.getpid()], pa.int64()), "encoders": pa.array([len(token_store._ENCODERS)], pa.int64()), "powers": pa.array([len(common._POW)], pa.int64())})
+
+    def run(fn, keep=None):
+        return common.map_arrow(spark.range(0, 64, 1, 16), fn, "pid long, encoders long, powers long", keep).collect()
+
+    filled = {r.pid for r in run(fill, "encoders")}
+    kept = [r for r in run(look, "encoders") if r.pid in filled]
+    assert kept and all(r.encoders == 1 for r in kept)
+    assert all(r.powers == 0 for r in kept)
+    assert all(r.encoders == 0 and r.powers == 0 for r in run(look))
+
+
+def test_embeddings_made_at_once_are_bounded(monkeypatch, prose):
+    import pyarrow as pa
+    words_of = prose(60, 900, 4000).split()
+    texts = [" ".join(words_of), prose(30, 901, 4000)]
+    docs = [" ".join([*words_of[:3], "x", *words_of[10:13], "y"] * 600), " ".join([*words_of[:30], "zz", *words_of[31:]]), "q " + texts[1], ""]
+    h, first = decontaminate.terms(*decontaminate.flat(pa.array(docs, pa.string())))
+    look = decontaminate.Items([1, 2], texts)
+    made, keys = [], decontaminate.cgk_keys
+    monkeypatch.setattr(decontaminate, "cgk_keys", lambda x, m, tables: made.append(x.size * 3 * tables * 8) or keys(x, m, tables))
+    found = look.find(h, first)
+    assert max(made) <= decontaminate.EMBED_BYTES and sum(made) > decontaminate.EMBED_BYTES
+    assert [(d, i) for d, i, *_ in found] == [(1, 1), (2, 2)]
+    monkeypatch.setattr(decontaminate, "EMBED_BYTES", 1)
+    assert look.find(h, first) == found
