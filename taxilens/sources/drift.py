@@ -62,7 +62,8 @@ def _opens(path: str) -> bool:
 def per_file(found: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(pyarrow.parquet.ParquetFile) -> dict`` for each file of
     :func:`files`, in tasks; rows have the path and, where it failed, the
-    error.  A task opens files itself, by ranges; from a store that only
+    error.  Such a row is no result: who needs all files raises it, others
+    report it.  A task opens files itself, by ranges; from a store that only
     Spark reads, it gets them from Spark, whole."""
     first = found.select("path").first()
     by_range = first is None or _opens(first.path)

@@ -263,6 +263,21 @@ def test_audit_of_many_small_files(spark, tmp_root):
     assert {r.year: r.trips for r in catalog.partition_counts_footer({"yellow": foots}).collect()} == dict.fromkeys(range(2022, 2027), 20_000)
 
 
+def test_counts_by_footer_of_a_damaged_file_are_an_error(spark, tmp_root):
+    base = os.path.join(tmp_root, "damaged-count")
+    spark.sql("SELECT id, 2022 + id % 2 AS year FROM range(10)").coalesce(1).write.partitionBy("year").parquet(base)
+
+    def counts():
+        return catalog.partition_counts_footer({"yellow": drift.footers(drift.files(spark, base))})
+
+    assert sorted((r.year, r.trips) for r in counts().collect()) == [(2022, 5), (2023, 5)]
+    with open(f"{base}/year=2022/bad.parquet", "wb") as f:
+        f.write(b"PAR1 no footer PAR1")
+    for use in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("year").collect()):
+        with pytest.raises(Exception, match="year=2022/bad.parquet: ArrowInvalid"):
+            use(counts())
+
+
 def test_footers_from_a_store_that_only_spark_reads(spark, tmp_root, monkeypatch):
     base = os.path.join(tmp_root, "store")
     Q.raw_yellow(spark, SF_SMALL).write.partitionBy("year").parquet(base)
