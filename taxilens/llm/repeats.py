@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, rolling_hash, written
+from .common import SMALL_BYTES, U, Words, flat, gram_hash, map_arrow, mix, pieces, powers, prefix_sums, range_hash, ranges, release, rolling_hash, written
 
 NO_ID = -(1 << 63)
 #: Windows in a segment at most; periodic texts have one anchor throughout.
 CAP = 256
 FLUSH = 1 << 19
+#: Texts in a sort of pairs at most: 16 bits beside an anchor's 48.
+TEXTS = 1 << 16
 PIECE_BYTES = 1 << 20
 LOW48 = (1 << 48) - 1
 #: Shards for each shuffle partition, at least.
@@ -121,17 +123,24 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 def segments(u: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first unit, windows, anchor) of every segment."""
     count = np.maximum(0, np.diff(u.first) - window + 1)
-    if not count.sum():
+    full = np.flatnonzero(count)
+    if not len(full):
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U),)
-    at = ranges(u.first[:-1], count)
-    doc = np.repeat(np.arange(len(count)), count)
-    v = sliding_min(u.gram, window - k + 1)[at]
-    new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]))))
-    size = np.diff(np.append(new, len(v)))
+    start, end = u.first[full], u.first[full] + count[full]
+    v = sliding_min(u.gram, window - k + 1)
+    change = np.ones(len(v) + 1, bool)
+    np.not_equal(v[1:], v[:-1], out=change[1:-1])
+    change[start] = change[end] = True
+    new = np.flatnonzero(change)
+    size = np.diff(new)
+    new = new[:-1]
+    doc = np.searchsorted(end, new, side="right")
+    inside = (doc < len(full)) & (new >= start[np.minimum(doc, len(full) - 1)])  # no window crosses documents
+    doc, new, size = full[doc[inside]], new[inside], size[inside]
     parts = -(-size // CAP)
     place = ranges(np.zeros(len(new), np.int64), parts) * CAP
     s = np.repeat(new, parts) + place
-    return doc[s], at[s], np.minimum(CAP, np.repeat(size, parts) - place), v[s]
+    return np.repeat(doc, parts), s, np.minimum(CAP, np.repeat(size, parts) - place), v[s]
 
 
 def byte_keys(payload: bytes, window: int) -> list[bytes]:
@@ -164,11 +173,28 @@ def unpacked(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(key: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
     """Rows by bucket of their key: (buckets that have any, their bytes)."""
-    b = (key % U(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(at))
-    return full, [rows[order[at[i]:at[i + 1]]].tobytes() for i in full]
+    b = (key % U(buckets)).astype(np.uint16 if buckets <= TEXTS else np.int64)  # 16 bits are sorted by counting
+    size = np.bincount(b, minlength=buckets)
+    at = np.concatenate(([0], np.cumsum(size)))
+    full = np.flatnonzero(size)
+    rows = rows.view(f"V{rows.shape[1]}").reshape(-1)[np.argsort(b, kind="stable")]
+    return full, [rows[at[i]:at[i + 1]].tobytes() for i in full]
+
+
+def firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by these keys, differ from the row before."""
+    out = np.zeros(len(sorted_keys[0]), bool)
+    out[:1] = True
+    for k in sorted_keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def in_several(first: np.ndarray) -> np.ndarray:
+    """Which rows are not alone, by the marks of :func:`firsts`."""
+    out = ~first
+    out[:-1] |= ~first[1:]
+    return out
 
 
 def text_hash(text: Column) -> Column:
@@ -202,30 +228,38 @@ class Repeats:
         units, window, k, buckets = self.units, self.window, self.k, self.buckets
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
+            held, versions, texts, size = [], [], 0, 0
 
             def out():
-                rows = np.unique(np.concatenate(held).view("V12")).view(np.uint8).reshape(-1, 12)
-                a, v = unpacked([rows.tobytes()])
-                order = np.lexsort((v, a))
-                rows, a, v = rows[order], a[order], v[order]
-                nth = np.arange(len(a)) - np.searchsorted(a, a)
-                shared = np.zeros(len(a), bool)
-                shared[1:] = a[1:] == a[:-1]
-                shared |= np.append(shared[1:], False)
-                full, raw = dealt(a[nth < 2], rows[nth < 2], buckets)
+                v, nth = np.unique(np.concatenate(versions) & U(LOW48), return_inverse=True)
+                both = np.concatenate(held)
+                both = np.sort((both & ~U(TEXTS - 1)) | nth.astype(U)[(both & U(TEXTS - 1)).astype(np.int64)])
+                both = both[firsts(both)]
+                a, v = both >> U(16), v[(both & U(TEXTS - 1)).astype(np.int64)]
+                first = firsts(a)
+                shared, two = in_several(first), first.copy()
+                two[1:] |= first[:-1]
+                rows = packed(a, v)
+                full, raw = dealt(a[two], rows[two], buckets)
                 sure, more = dealt(v[shared], rows[shared], buckets)
                 return pa.record_batch({"bucket": pa.array(np.concatenate((full, sure))), "known": pa.array([False] * len(full) + [True] * len(sure)), "pairs": pa.array(raw + more, pa.binary())})
 
             for b in batches:
                 for part in pieces(b, limit=PIECE_BYTES):
-                    version = part.column("version").to_numpy()
                     doc, _, _, anchor = segments(units(*flat(part.column("text"))), window, k)
-                    held.append(packed(anchor, version.astype(U)[doc]))
+                    if not len(doc):
+                        continue
+                    new = firsts(doc)
+                    if texts + np.count_nonzero(new) > TEXTS and texts:
+                        yield out()
+                        held, versions, texts, size = [], [], 0, 0
+                    held.append((anchor << U(16)) | (np.cumsum(new) + (texts - 1)).astype(U))
+                    versions.append(part.column("version").to_numpy().astype(U)[doc[new]])
+                    texts += len(versions[-1])
                     size += len(doc)
                     if size > FLUSH:
                         yield out()
-                        held, size = [], 0
+                        held, versions, texts, size = [], [], 0, 0
             if size:
                 yield out()
 
@@ -242,22 +276,25 @@ class Repeats:
             a, v = unpacked(rows.loc[~known, "pairs"].tolist())
             if not len(a):
                 return passed
+            order = np.argsort(a)
+            order = order[in_several(firsts(a[order]))]
+            a, v = a[order], v[order]
             order = np.lexsort((v, a))
             a, v = a[order], v[order]
-            once = np.concatenate(([True], (a[1:] != a[:-1]) | (v[1:] != v[:-1])))
+            once = firsts(a, v)
             a, v = a[once], v[once]
-            again = np.zeros(len(a), bool)
-            again[1:] = a[1:] == a[:-1]
-            again |= np.append(again[1:], False)
+            again = in_several(firsts(a))
             full, raw = dealt(v[again], packed(a[again], v[again]), buckets)
             return pd.concat((passed, pd.DataFrame({"bucket": full, "pairs": raw})))
 
         def by_text(rows: pd.DataFrame) -> pd.DataFrame:
             a, v = unpacked(rows["pairs"].tolist())
-            order = np.argsort(v, kind="stable")
+            order = np.lexsort((a, v))
             a, v = a[order], v[order]
-            at = np.append(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))), len(v))
-            return pd.DataFrame({"low": v[at[:-1]].astype(np.int64), "anchors": [np.unique(a[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+            once = firsts(a, v)
+            a, v = a[once], v[once]
+            at = np.append(np.flatnonzero(firsts(v)), len(v))
+            return pd.DataFrame({"low": v[at[:-1]].astype(np.int64), "anchors": [a[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
 
         two = pairs.groupBy("bucket").applyInPandas(both, "bucket long, pairs binary")
         return two.groupBy("bucket").applyInPandas(by_text, "low long, anchors binary")
@@ -298,6 +335,7 @@ class Repeats:
         id and text more than one may be cut."""
         units, window = self.units, self.window
         lists = written(segs.groupBy(F.col("least").alias("id"), "version").agg(F.collect_list(F.struct("pos", "n", *keep)).alias("segs")), "repeat-holders")
+        release(self.spark)  # the texts are shuffled next
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None
@@ -336,6 +374,7 @@ class Repeats:
         several = stats.join(per, "anchor").select(shard.alias("shard"), "seg", "least", "most", "n", "version", "pos")
         # one pass over the texts for all: they are as large as all else together
         rows = written(self._cut(several, "shard", "seg", "least", "most"), "repeat-payloads")
+        release(self.spark)
 
         def fn(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.drop_duplicates("seg")
@@ -385,9 +424,11 @@ class Repeats:
         first = sets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n"), F.min("version").bitwiseAND(F.lit(LOW48)).alias("low"))
         first = written(first.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("low"))), "repeat-texts")
         shared = written(self._shared_anchors(self._pairs()), "repeat-anchors")
+        release(self.spark)
         shared = first.select("low", "key", "texts", F.col("first").alias("id")).join(shared, "low", "left").where((F.col("texts") > 1) | F.col("anchors").isNotNull())
         shared = shared.select("key", "id", F.when(F.col("texts") == 1, F.col("anchors")).alias("anchors"))
         occ = written(self._occurrences(self.docs.select("id", "version", key, "text").join(shared, ["key", "id"])), "repeat-occurrences")
+        release(self.spark)
         found = written(self._found(occ), "repeat-found")
         window = self.window
         spans = occ.select("seg", "version", "id", "pos").join(found, "seg").where(F.col("least") < F.col("id"))

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
-from .repeats import Repeats, byte_keys, byte_units, window_runs
+from .common import documents, prefix_sums, ranges, rolling_hash
+from .repeats import Repeats, byte_keys, byte_units, firsts, in_several, window_runs
 from .suffix import sort_suffixes
 
 WINDOW = 50
@@ -27,17 +27,29 @@ def suffix_search(payloads: list[bytes], docs: np.ndarray, window: int):
     """For the windows of each payload, the least document with an equal one."""
     size = np.array([len(p) for p in payloads], np.int64)
     start = np.cumsum(size + 1) - size - 1
-    raw = np.frombuffer(b"\0".join(payloads) + b"\0", np.uint8).astype(np.uint16) + 1
-    raw[start + size] = 0
-    sa, lcp = sort_suffixes(raw)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    whole = owner[sa]
-    least = np.minimum.reduceat(docs[whole], head := np.flatnonzero(lcp < window))
-    out = np.empty(len(raw), docs.dtype)
-    out[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
-    place = np.arange(len(raw)) - start[owner]
-    full = place <= (size - window)[owner]
-    return window_runs(owner[full], place[full], out[full])
+    data = np.frombuffer(b"\0".join(payloads) + b"\0", np.uint8)
+    count = np.maximum(size - window + 1, 0)
+    at, owner = ranges(start, count), np.repeat(np.arange(len(size)), count)
+    # equal windows have equal hashes, so the sort needs no more of a segment than its windows whose hash comes again
+    hashes = rolling_hash(prefix_sums(data), window)[at]
+    order = np.argsort(hashes)
+    again = np.sort(order[in_several(firsts(hashes[order]))])
+    out = docs[owner]
+    if len(again):
+        head = np.flatnonzero(firsts(owner[again]))
+        first, last = again[head], again[np.append(head[1:], len(again)) - 1]
+        size = at[last] - at[first] + window
+        raw = np.zeros(int(size.sum()) + len(size), np.uint16)
+        begin = np.cumsum(size + 1) - size - 1
+        raw[ranges(begin, size)] = data[ranges(at[first], size)].astype(np.uint16) + 1
+        sa, lcp = sort_suffixes(raw)
+        whole = np.repeat(docs[owner[first]], size + 1)[sa]
+        least = np.empty(len(raw), docs.dtype)
+        head = np.flatnonzero(lcp < window)
+        least[sa] = np.repeat(np.minimum.reduceat(whole, head), np.diff(np.append(head, len(sa))))
+        n = last - first + 1
+        out[ranges(first, n)] = least[ranges(begin, n)]
+    return window_runs(owner, at - start[owner], out)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -148,26 +148,47 @@ def _name(t: np.ndarray, s: np.ndarray, star: np.ndarray, end: np.ndarray) -> np
 def _doubling(name: np.ndarray, closed: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes of a sequence of names; a suffix ends with the
     first closed place, whose name is unique."""
-    n, rank, step = len(name), name.copy(), 1
+    n, step = len(name), 1
     stop = np.append(np.flatnonzero(closed), n)
-    last = np.minimum(stop[np.searchsorted(stop, np.arange(n))], n - 1)
-    while len(np.unique(rank)) < n:
-        nxt = np.minimum(np.arange(n) + step, last)
-        rank = np.unique(rank * np.int64(n + 1) + rank[nxt] + 1, return_inverse=True)[1]
+    last = np.minimum(np.repeat(stop, np.diff(stop, prepend=-1))[:n], n - 1)
+    size = np.bincount(name)
+    rank = (np.cumsum(size) - size)[name]  # how many are smaller
+    live = np.flatnonzero(size[name] > 1)  # those that are unique keep their ranks
+    while len(live):
+        key = rank[live] * np.int64(n + 1) + rank[np.minimum(live + step, last[live])]
+        order = np.argsort(key)
+        key, live = key[order], live[order]
+        was = rank[live]
+        part = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.concatenate(([True], was[1:] != was[:-1]))
+        at = np.arange(len(live))
+        rank[live] = was + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        alone = part & np.append(part[1:], True)
+        live = live[~alone]
         step *= 2
     return rank
 
 
+def _fours(t: np.ndarray) -> np.ndarray:
+    """Four symbols of 16 bits from each place on, or 0 where one of them is."""
+    out, whole = np.zeros(len(t), np.uint64), np.ones(len(t), bool)
+    padded = np.append(t, np.zeros(3, t.dtype))
+    for i in range(4):
+        symbol = padded[i:i + len(t)]
+        out |= symbol.astype(np.uint64) << np.uint64(16 * i)
+        whole &= symbol != 0
+    return np.where(whole, out, np.uint64(0))
+
+
 def _star_lcp(t: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Common prefixes of neighbours in ``pos``; the first is 0."""
     out = np.zeros(len(pos), np.int64)
-    live = np.arange(1, len(pos))
-    depth = 0
-    while len(live):
-        a, b = t[pos[live] + depth], t[pos[live - 1] + depth]
-        live = live[(a == b) & (a != 0)]
-        out[live] += 1
-        depth += 1
+    for symbols, width in [(_fours(t), 4), (t, 1)] if t.dtype == np.uint16 else [(t, 1)]:
+        live = np.arange(1, len(pos))
+        while len(live):
+            a, b = symbols[pos[live] + out[live]], symbols[pos[live - 1] + out[live]]
+            live = live[(a == b) & (a != 0)]
+            out[live] += width
     return out
 
 
@@ -183,7 +204,7 @@ class _Scan:
     def feed(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         """Scanned suffixes and their lcp with the one scanned before."""
         prev = np.maximum(pos - 1, 0)
-        c = self.t[prev].astype(np.int64)
+        c = self.t[prev]
         ok = np.flatnonzero((pos > 0) & (self.s[prev] == self.want) & (c != 0))
         if len(ok):
             ok = ok[np.argsort(c[ok], kind="stable")]

@@ -217,6 +217,77 @@ def test_short_strings_that_texts_share_are_no_anchors(make, prose):
     assert got(out, *COLS3) == sorted(substring_rows(rows))
 
 
+def test_only_windows_that_come_again_are_sorted(monkeypatch):
+    """Texts share strings shorter than a window by chance the more often the
+    more of them there are; the sort gets none of their bytes."""
+    rng, sizes, sort = random.Random(8), [], substring_dedup.sort_suffixes
+    monkeypatch.setattr(substring_dedup, "sort_suffixes", lambda t: sizes.append(len(t)) or sort(t))
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    short, passage = noise(30), noise(52)
+    by_chance = [noise(20) + short + noise(20) for _ in range(200)]
+    copies = [noise(20) + bytes([i]) + passage + bytes([i]) + noise(20) for i in range(3)]
+    docs = np.array([rng.randrange(1000) for _ in range(203)])
+    payloads = by_chance + copies
+    s, o, n, least = substring_dedup.suffix_search(payloads, docs, 50)
+    assert sizes == [3 * 53]
+    first = {}
+    for p, d in zip(payloads, docs):
+        for i in range(len(p) - 49):
+            first[p[i:i + 50]] = min(d, first.get(p[i:i + 50], d))
+    assert [(k, i + j, x) for k, i, m, x in zip(s, o, n, least) for j in range(m)] == [(k, i, first[p[i:i + 50]]) for k, p in enumerate(payloads) for i in range(len(p) - 49)]
+    sizes.clear()
+    assert [x.tolist() for x in substring_dedup.suffix_search(by_chance[:2], docs[:2], 50)] == [[0, 1], [0, 0], [21, 21], docs[:2].tolist()] and not sizes
+
+
+@pytest.mark.parametrize("flush,texts", [(1 << 19, 1 << 16), (300, 1 << 16), (1 << 19, 8)])
+def test_pairs_of_anchor_and_text(make, prose, monkeypatch, flush, texts):
+    """Whatever a task sorts at once, every text's anchors are dealt, and
+    each pair once."""
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    monkeypatch.setattr(repeats, "TEXTS", texts)
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(repeats, "map_arrow", lambda df, fn, schema: fn)
+    line = prose(30, 1)
+    data = [t for i in range(60) for t in (prose(25, 10 + i // 2) + " " + line, "short", "")]
+    docs = make(list(enumerate(data)))
+    batch = pa.record_batch({"version": pa.array([hash(t) % (1 << 62) for t in data], pa.int64()), "text": pa.array(data)})
+    units = repeats.byte_units(24)
+    out = list(repeats.Repeats(docs, units, F.octet_length("text").cast("long"), 50, 24, None, None)._pairs()(iter([batch.slice(0, 100), batch.slice(100)])))
+    doc, _, _, anchor = repeats.segments(units(*repeats.flat(batch.column("text"))), 50, 24)
+    want = set(zip((anchor & np.uint64(repeats.LOW48)).tolist(), (batch.column("version").to_numpy()[doc] & repeats.LOW48).tolist()))
+    seen = set()
+    for b in out:
+        have = {False: set(), True: set()}
+        for known, raw in zip(b.column("known").to_pylist(), b.column("pairs").to_pylist()):
+            a, v = repeats.unpacked([raw])
+            pairs = list(zip(a.tolist(), v.tolist()))
+            assert len(set(pairs)) == len(pairs) and not have[known] & set(pairs)
+            have[known] |= set(pairs)
+        seen |= have[False] | have[True]
+        of = {}
+        for a, v in have[False] | have[True]:
+            of.setdefault(a, set()).add(v)
+        assert have[True] == {(a, v) for a, vs in of.items() if len(vs) > 1 for v in vs}
+        assert all(sum(a == x for x, _ in have[False]) == min(2, len(vs)) for a, vs in of.items())
+    assert seen == want and len(out) == 1 or (flush, texts) != (1 << 19, 1 << 16) and seen == want and len(out) > 1
+
+
+def test_segments_do_not_cross_texts(prose):
+    data = ["", prose(3, 1)[:49], prose(9, 2)[:50], "", prose(90, 3), "ab" * 400, prose(90, 3), "x" * 20]
+    units = repeats.byte_units(24)
+    u = units(*repeats.flat(pa.array(data)))
+    got_ = list(zip(*(x.tolist() for x in repeats.segments(u, 50, 24))))
+    want = []
+    for d in range(len(data)):
+        low = [min(u.gram[i:i + 27].tolist()) for i in range(u.first[d], u.first[d + 1] - 49)]
+        i = 0
+        while i < len(low):
+            j = next((j for j in range(i, len(low)) if low[j] != low[i]), len(low))
+            want += [(d, int(u.first[d]) + x, min(repeats.CAP, j - x), low[i]) for x in range(i, j, repeats.CAP)]
+            i = j
+    assert got_ == want
+
+
 def test_texts_whose_hashes_collide_are_no_copies(make, prose, monkeypatch):
     """Hashes of which 46 bits are always the same: many texts collide."""
     monkeypatch.setattr(repeats, "text_hash", lambda text: F.xxhash64(text).bitwiseAND(F.lit(3 | 7 << 48)))
