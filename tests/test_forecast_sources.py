@@ -278,6 +278,13 @@ def test_counts_by_footer_of_a_damaged_file_are_an_error(spark, tmp_root):
             use(counts())
 
 
+def test_counts_by_footer_of_rows_without_a_year(spark, tmp_root):
+    base = os.path.join(tmp_root, "no-year-count")
+    spark.sql("SELECT id, CASE WHEN id > 2 THEN 2022 END AS year FROM range(10)").coalesce(1).write.partitionBy("year").parquet(base)
+    out = catalog.partition_counts_footer({"yellow": drift.footers(drift.files(spark, base))}).collect()
+    assert {r.year: r.trips for r in out} == {None: 3, 2022: 7}
+
+
 def test_footers_from_a_store_that_only_spark_reads(spark, tmp_root, monkeypatch):
     base = os.path.join(tmp_root, "store")
     Q.raw_yellow(spark, SF_SMALL).write.partitionBy("year").parquet(base)
